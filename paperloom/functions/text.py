@@ -78,5 +78,8 @@ def first_chars(text: Column, count: int) -> Column:
 
 
 def literal_array(values) -> Column:
-    """A constant array of strings; typed even when empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """A constant array of strings, written as one literal so that long lists keep plans small."""
+    values = list(values)
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x1f".join(values)), "\x1f", -1)

@@ -34,7 +34,9 @@ GUIDE_SECTIONS = {
 MIGRATION_SECTION = r"(?mid)^#{1,3}\s*(?:migration plan|db changes|database changes)"
 LOOK_BACK = 8
 
-CONTENT = F.col("content")
+
+def _content() -> Column:
+    return F.col("content")
 
 
 def _only(docs: DataFrame, *names: str) -> DataFrame:
@@ -51,8 +53,8 @@ def missing_files(docs: DataFrame) -> DataFrame:
 def code_blocks(docs: DataFrame) -> DataFrame:
     """``project, rel_path, language, body`` of the schema and the API block; an empty body is an error."""
     language = F.when(F.col("rel_path") == DATABASE, "prisma").otherwise("graphql")
-    body = F.when(F.col("rel_path") == DATABASE, md.code_block(CONTENT, "prisma")).otherwise(
-        md.code_block(CONTENT, "graphql")
+    body = F.when(F.col("rel_path") == DATABASE, md.code_block(_content(), "prisma")).otherwise(
+        md.code_block(_content(), "graphql")
     )
     return _only(docs, DATABASE, API).select("project", "rel_path", language.alias("language"), body.alias("body"))
 
@@ -63,13 +65,13 @@ def missing_blocks(docs: DataFrame) -> DataFrame:
 
 def layer_paths(docs: DataFrame) -> DataFrame:
     """Projects whose architecture document names layered source paths."""
-    return _only(docs, ARCHITECTURE).where(CONTENT.rlike(LAYER_PATH)).select("project", "rel_path")
+    return _only(docs, ARCHITECTURE).where(_content().rlike(LAYER_PATH)).select("project", "rel_path")
 
 
 def models(docs: DataFrame) -> DataFrame:
     """``project, model, body`` of the schema block; a repeated name keeps its last body."""
     found = let(
-        md.code_block(CONTENT, "prisma"),
+        md.code_block(_content(), "prisma"),
         lambda b: F.arrays_zip(
             F.regexp_extract_all(b, F.lit(MODEL), F.lit(1)).alias("model"),
             F.regexp_extract_all(b, F.lit(MODEL), F.lit(2)).alias("body"),
@@ -87,10 +89,10 @@ def models(docs: DataFrame) -> DataFrame:
 def model_coverage(docs: DataFrame, minimum: float = 0.5) -> DataFrame:
     """Projects whose API document mentions less than half of the schema's models."""
     names = let(
-        md.code_block(CONTENT, "prisma"), lambda b: F.array_distinct(F.regexp_extract_all(b, F.lit(MODEL), F.lit(1)))
+        md.code_block(_content(), "prisma"), lambda b: F.array_distinct(F.regexp_extract_all(b, F.lit(MODEL), F.lit(1)))
     )
     listed = _only(docs, DATABASE).select("project", names.alias("names"))
-    api = _only(docs, API).select("project", F.lower(CONTENT).alias("api"))
+    api = _only(docs, API).select("project", F.lower(_content()).alias("api"))
     absent = F.filter("names", lambda n: ~F.contains(F.col("api"), F.lower(n)))
     counted = listed.join(api, "project").select(
         "project", F.inline(F.array(F.struct(absent.alias("absent"), F.size("names").cast("bigint").alias("total"))))
@@ -103,7 +105,7 @@ def model_coverage(docs: DataFrame, minimum: float = 0.5) -> DataFrame:
 
 def traceability(docs: DataFrame) -> DataFrame:
     """Schema and API documents without a reference to a requirement document."""
-    return _only(docs, DATABASE, API).where(~CONTENT.rlike(REQUIREMENT_DOC)).select("project", "rel_path")
+    return _only(docs, DATABASE, API).where(~_content().rlike(REQUIREMENT_DOC)).select("project", "rel_path")
 
 
 def list_fields_without_paging(docs: DataFrame) -> DataFrame:
@@ -163,12 +165,12 @@ def list_fields_without_paging(docs: DataFrame) -> DataFrame:
         F.array().cast("array<struct<line: bigint, root_type: string, field: string>>").alias("found"),
     )
     found = let(
-        split_lines(md.code_block(CONTENT, "graphql")),
+        split_lines(md.code_block(_content(), "graphql")),
         lambda lines: F.aggregate(
             F.transform(lines, lambda _, i: i), start, lambda acc, i: step(lines, acc, i), lambda acc: acc["found"]
         ),
     )
-    return _only(docs, API).where(CONTENT.rlike(LIST_TYPE)).select("project", F.inline(found))
+    return _only(docs, API).where(_content().rlike(LIST_TYPE)).select("project", F.inline(found))
 
 
 def models_without_timestamps(docs: DataFrame) -> DataFrame:
@@ -180,14 +182,14 @@ def models_without_timestamps(docs: DataFrame) -> DataFrame:
 def guide_sections(docs: DataFrame) -> DataFrame:
     """Sections the implementation guide lacks."""
     absent = F.array_compact(
-        F.array(*[F.when(~CONTENT.rlike(rx), F.lit(name)) for name, rx in GUIDE_SECTIONS.items()])
+        F.array(*[F.when(~_content().rlike(rx), F.lit(name)) for name, rx in GUIDE_SECTIONS.items()])
     )
     return _only(docs, GUIDE).select("project", F.explode(absent).alias("section"))
 
 
 def migration_section(docs: DataFrame, update_mode: bool = True) -> DataFrame:
     """Schema documents without a migration section; only looked at in update mode."""
-    chosen = _only(docs, DATABASE).where(F.lit(update_mode) & ~CONTENT.rlike(MIGRATION_SECTION))
+    chosen = _only(docs, DATABASE).where(F.lit(update_mode) & ~_content().rlike(MIGRATION_SECTION))
     return chosen.select("project", "rel_path")
 
 

@@ -2,13 +2,15 @@
 
 Input is ``docs(project, rel_path, content)``, one row per document of a project. Checks
 give issue rows ``project, rel_path, line, rule, detail``; ``line`` is null when a finding
-concerns the whole document. Everything inside one document is computed within its row.
+concerns the whole document.
+
+A check is an array expression over the text of one document, or over the vision and the
+specification of one project. Used alone it is exploded from its document; ``validate``
+puts all of them behind a single grouping by project.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,18 @@ MIN_SECTION_CHARS = 60
 LENGTH_CHECKED = (VISION, SPEC)
 LENGTH_EXEMPT = ("## References", "## Navigation", "## Quick links", "## Integrations", "## Artifacts")
 
+# Column names of the three texts once they share a row.
+TEXT_COLUMNS = {INDEX: "index", VISION: "vision", SPEC: "spec"}
+
 # Allowed statuses and the metadata lines.
 STATUSES = ("draft", "in review", "approved")
 STATUS_LINE = r"\*\*Status:\*\*\s*(draft|in review|approved)"
 DATE_LINE = r"\*\*Date:\*\*\s*(\d{4}-\d{2}-\d{2})"
 
+# Smallest share of keywords the specification has to mention.
+CAPABILITY_COVERAGE = 0.4
+SCOPE_COVERAGE = 0.35
+
 # Header cells of tables, in both languages.
 METRIC_HEADERS = ("Metric", "Метрика")
 ENTITY_HEADERS = ("Entity", "Сущность")
@@ -87,29 +96,34 @@ BANNED = (
     "качественный", "качественная", "качественное",
 )
 
-CONTENT = F.col("content")
+ISSUE = "array<struct<line: bigint, rule: string, detail: string>>"
 
 
-def _fold(phrase: str) -> str:
-    return phrase.replace("ё", "е").replace("Ё", "Е").lower()
+def _content() -> Column:
+    return F.col("content")
 
 
-def _issues(found: DataFrame, rule, detail: Column, line: Column | None = None, rel_path: Column | None = None):
-    """Shape findings as issue rows."""
-    return found.select(
-        "project",
-        (rel_path if rel_path is not None else F.col("rel_path")).alias("rel_path"),
+def _issue(rule: Column | str, detail: Column, line: Column | None = None) -> Column:
+    return F.struct(
         (line if line is not None else F.lit(None)).cast("bigint").alias("line"),
-        (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"),
+        (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"),
         detail.alias("detail"),
     )
 
 
-def _per_document(values: dict) -> Column:
-    """A constant array chosen by ``rel_path``."""
-    chosen = F.lit(None).cast("array<string>")
-    for rel_path, entries in values.items():
-        chosen = F.when(F.col("rel_path") == rel_path, literal_array(entries)).otherwise(chosen)
+def _no_issues() -> Column:
+    return F.array().cast(ISSUE)
+
+
+def _fold(phrase: str) -> str:
+    return phrase.replace("ё", "е").replace("Ё", "Е").lower()
+
+
+def _by_document(check, rel_paths=tuple(HEADINGS)) -> Column:
+    """``check(content, rel_path)`` for the document at hand; no issues for other documents."""
+    chosen = _no_issues()
+    for rel_path in rel_paths:
+        chosen = F.when(F.col("rel_path") == rel_path, check(_content(), rel_path)).otherwise(chosen)
     return chosen
 
 
@@ -118,12 +132,16 @@ def required(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("rel_path").isin(*HEADINGS))
 
 
+def _emit(docs: DataFrame, issues: Column) -> DataFrame:
+    return docs.select("project", "rel_path", F.inline(issues))
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """``project, rel_path, heading, body`` of every required heading that has text."""
     by_document = F.lit(None).cast("array<struct<heading: string, body: string>>")
     for rel_path, headings in HEADINGS.items():
         bodies = F.array(
-            *[F.struct(F.lit(h).alias("heading"), md.section(CONTENT, h).alias("body")) for h in headings]
+            *[F.struct(F.lit(h).alias("heading"), md.section(_content(), h).alias("body")) for h in headings]
         )
         by_document = F.when(F.col("rel_path") == rel_path, bodies).otherwise(by_document)
     found = required(docs).select("project", "rel_path", F.inline(by_document))
@@ -132,69 +150,126 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def stand_block(docs: DataFrame, stand: str) -> DataFrame:
     """The block of one named stand in a runbook, heading included; empty when it is missing."""
-    return docs.select("project", "rel_path", md.block_from(CONTENT, f"## Stand: {stand}").alias("block"))
+    return docs.select("project", "rel_path", md.block_from(_content(), f"## Stand: {stand}").alias("block"))
 
 
 def section_items(docs: DataFrame, heading: str, rel_path: str = VISION) -> DataFrame:
     """``project, pos, item`` of the list items below ``heading``."""
     chosen = docs.where(F.col("rel_path") == rel_path)
-    return chosen.select("project", F.posexplode(md.list_items(md.section(CONTENT, heading))).alias("pos", "item"))
+    return chosen.select("project", F.posexplode(md.list_items(md.section(_content(), heading))).alias("pos", "item"))
 
 
 def section_cells(docs: DataFrame, heading: str, skip, rel_path: str = SPEC) -> DataFrame:
     """``project, pos, cell``: first cells of the table below ``heading``."""
     chosen = docs.where(F.col("rel_path") == rel_path)
     return chosen.select(
-        "project", F.posexplode(md.first_cells(md.section(CONTENT, heading), skip)).alias("pos", "cell")
+        "project", F.posexplode(md.first_cells(md.section(_content(), heading), skip)).alias("pos", "cell")
     )
 
 
+# Checks of one document.
+
+
+def _status(content: Column) -> Column:
+    return F.nullif(F.regexp_extract(content, STATUS_LINE, 1), F.lit(""))
+
+
+def _date(content: Column) -> Column:
+    return F.nullif(F.regexp_extract(content, DATE_LINE, 1), F.lit(""))
+
+
 def doc_metadata(docs: DataFrame) -> DataFrame:
     """``project, rel_path, status, date``: the first of each, null when missing."""
     return docs.select(
-        "project",
-        "rel_path",
-        F.nullif(F.regexp_extract(CONTENT, STATUS_LINE, 1), F.lit("")).alias("status"),
-        F.nullif(F.regexp_extract(CONTENT, DATE_LINE, 1), F.lit("")).alias("date"),
+        "project", "rel_path", _status(_content()).alias("status"), _date(_content()).alias("date")
     )
 
 
-def metadata_issues(docs: DataFrame) -> DataFrame:
-    meta = doc_metadata(required(docs))
-    missing = F.array_compact(
-        F.array(F.when(F.col("status").isNull(), F.lit("status")), F.when(F.col("date").isNull(), F.lit("date")))
+def _metadata(content: Column, _rel_path: str) -> Column:
+    return F.array_compact(
+        F.array(
+            F.when(_status(content).isNull(), _issue("metadata", F.lit("status"))),
+            F.when(_date(content).isNull(), _issue("metadata", F.lit("date"))),
+        )
     )
-    return _issues(meta.withColumn("field", F.explode(missing)), "metadata", F.col("field"))
 
 
-def missing_documents(docs: DataFrame) -> DataFrame:
-    """Required documents a project lacks. One flag per document, so nothing grows with a project."""
-    flags = [F.bool_or(F.col("rel_path") == p) for p in HEADINGS]
-    absent = F.array_compact(F.array(*[F.when(~flag, F.lit(p)) for flag, p in zip(flags, HEADINGS)]))
-    found = docs.groupBy("project").agg(absent.alias("absent")).select("project", F.explode("absent").alias("rel_path"))
-    return _issues(found, "missing document", F.lit(""))
+def metadata_issues(docs: DataFrame) -> DataFrame:
+    """Required documents without a status or a date line."""
+    return _emit(docs, _by_document(_metadata))
+
+
+def _headings(content: Column, rel_path: str) -> Column:
+    absent = let(
+        F.transform(split_lines(content), trim_space),
+        lambda lines: F.filter(
+            literal_array(HEADINGS[rel_path]), lambda h: ~F.exists(lines, lambda line: F.startswith(line, h))
+        ),
+    )
+    return F.transform(absent, lambda h: _issue("missing heading", h))
 
 
 def missing_headings(docs: DataFrame) -> DataFrame:
     """Headings no line of a document starts with."""
-    lines = F.transform(split_lines(CONTENT), trim_space)
-    absent = let(
-        F.struct(lines.alias("lines"), _per_document(HEADINGS).alias("headings")),
-        lambda d: F.filter(d["headings"], lambda h: ~F.exists(d["lines"], lambda line: F.startswith(line, h))),
+    return _emit(docs, _by_document(_headings))
+
+
+def missing_documents(docs: DataFrame) -> DataFrame:
+    """Required documents a project lacks. One flag per document, so nothing grows with a project."""
+    absent = F.array_compact(
+        F.array(*[F.when(~F.bool_or(F.col("rel_path") == p), F.lit(p)) for p in HEADINGS])
     )
-    found = required(docs).select("project", "rel_path", F.explode(absent).alias("heading"))
-    return _issues(found, "missing heading", F.col("heading"))
+    found = docs.groupBy("project").agg(absent.alias("absent")).select("project", F.explode("absent").alias("rel_path"))
+    return _emit(found, F.array(_issue("missing document", F.lit(""))))
 
 
 def required_documents_and_headings(docs: DataFrame) -> DataFrame:
     return missing_documents(docs).unionByName(missing_headings(docs))
 
 
+def _placeholders(content: Column) -> Column:
+    hits = F.filter(md.numbered_lines(md.blank_fences(content)), lambda ln: ln["text"].rlike(PLACEHOLDER))
+    return F.transform(hits, lambda ln: _issue("placeholder", first_chars(ln["text"], EXCERPT), ln["line"]))
+
+
 def placeholders(docs: DataFrame) -> DataFrame:
     """Lines outside code fences that hold bracketed text which is not a link."""
-    hits = F.filter(md.numbered_lines(md.blank_fences(CONTENT)), lambda ln: ln["text"].rlike(PLACEHOLDER))
-    found = docs.where(CONTENT.contains("[")).select("project", "rel_path", F.inline(hits))
-    return _issues(found, "placeholder", first_chars(F.col("text"), EXCERPT), F.col("line"))
+    return _emit(docs.where(_content().contains("[")), _placeholders(_content()))
+
+
+def _banned_regex(folded) -> str:
+    several = [quote(p) for p in folded if " " in p]
+    single = [quote(p) for p in folded if " " not in p]
+    whole_word = [f"{NOT_AFTER_WORD}(?:{'|'.join(single)}){NOT_BEFORE_WORD}"] if single else []
+    return "|".join(whole_word + several)
+
+
+def _banned(content: Column, phrases=BANNED) -> Column:
+    folded = [_fold(p) for p in phrases]
+    any_phrase = _banned_regex(folded)
+    table = F.arrays_zip(
+        literal_array(phrases).alias("phrase"),
+        literal_array(folded).alias("folded"),
+        literal_array([_banned_regex([f]) for f in folded]).alias("regex"),
+    )
+    hits = F.filter(md.numbered_lines(md.blank_fences(content)), lambda ln: normalize(ln["text"]).rlike(any_phrase))
+
+    def first(line: Column) -> Column:
+        return F.element_at(
+            F.filter(table, lambda p: F.contains(line, p["folded"]) & (F.regexp_instr(line, p["regex"]) > 0)), 1
+        )["phrase"]
+
+    found = F.transform(
+        hits, lambda ln: F.struct(ln["line"].alias("line"), first(normalize(ln["text"])).alias("phrase"))
+    )
+    return F.transform(
+        found,
+        lambda f: _issue(
+            F.when(f["phrase"].contains(" "), F.lit("banned phrase")).otherwise(F.lit("banned word")),
+            f["phrase"],
+            f["line"],
+        ),
+    )
 
 
 def banned_words(docs: DataFrame, phrases=BANNED) -> DataFrame:
@@ -204,212 +279,260 @@ def banned_words(docs: DataFrame, phrases=BANNED) -> DataFrame:
     alternation over the whole document sorts out the clean ones; the list is only walked for
     lines that hit.
     """
-    folded = [_fold(p) for p in phrases]
-    several = [quote(p) for p in folded if " " in p]
-    single = [quote(p) for p in folded if " " not in p]
-    branches = list(several)
-    if single:
-        branches.append(f"{NOT_AFTER_WORD}(?:{'|'.join(single)}){NOT_BEFORE_WORD}")
-    any_phrase = "|".join(branches)
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("phrase"),
-                F.lit(f).alias("folded"),
-                F.lit(quote(f) if " " in f else f"{NOT_AFTER_WORD}{quote(f)}{NOT_BEFORE_WORD}").alias("regex"),
-            )
-            for p, f in zip(phrases, folded)
-        ]
+    suspicious = docs.where(normalize(_content()).rlike(_banned_regex([_fold(p) for p in phrases])))
+    return _emit(suspicious, _banned(_content(), phrases))
+
+
+def _short(content: Column, rel_path: str, minimum: int = MIN_SECTION_CHARS) -> Column:
+    headings = [h for h in HEADINGS[rel_path] if h not in LENGTH_EXEMPT]
+    bodies = F.array(
+        *[F.struct(F.lit(h).alias("heading"), md.section(content, h).alias("body")) for h in headings]
     )
-    hits = F.filter(md.numbered_lines(md.blank_fences(CONTENT)), lambda ln: normalize(ln["text"]).rlike(any_phrase))
-    found = docs.where(normalize(CONTENT).rlike(any_phrase)).select("project", "rel_path", F.inline(hits))
-    line = normalize(F.col("text"))
-    first = F.element_at(
-        F.filter(table, lambda p: F.contains(line, p["folded"]) & (F.regexp_instr(line, p["regex"]) > 0)), 1
+    short = F.filter(bodies, lambda s: (s["body"] != "") & (F.char_length(s["body"]) < minimum))
+    return F.transform(
+        short,
+        lambda s: _issue(
+            "short section", F.concat(s["heading"], F.lit(" "), F.char_length(s["body"]).cast("string"))
+        ),
     )
-    found = found.withColumn("phrase", first["phrase"])
-    rule = F.when(F.col("phrase").contains(" "), F.lit("banned phrase")).otherwise(F.lit("banned word"))
-    return _issues(found, rule, F.col("phrase"), F.col("line"))
 
 
 def short_sections(docs: DataFrame, minimum: int = MIN_SECTION_CHARS) -> DataFrame:
     """Sections with text of fewer than ``minimum`` characters."""
-    checked = sections(docs).where(
-        F.col("rel_path").isin(*LENGTH_CHECKED) & ~F.col("heading").isin(*LENGTH_EXEMPT)
-    )
-    short = checked.where(F.char_length("body") < minimum)
-    return _issues(
-        short, "short section", F.concat("heading", F.lit(" "), F.char_length("body").cast("string"))
-    )
+    return _emit(docs, _by_document(lambda c, p: _short(c, p, minimum), LENGTH_CHECKED))
 
 
-def metrics_without_number(docs: DataFrame) -> DataFrame:
-    """Success metrics whose target value holds no digit."""
+def _metrics(content: Column) -> Column:
     rows = F.filter(
-        md.table_rows(md.section(CONTENT, "## Success metrics")),
+        md.table_rows(md.section(content, "## Success metrics")),
         lambda r: ~F.get(r, F.lit(0)).isin(*METRIC_HEADERS, "")
         & ~F.coalesce(F.get(r, F.lit(1)), F.lit("")).rlike(r"\p{Nd}"),
     )
-    found = docs.where(F.col("rel_path") == VISION).select("project", "rel_path", F.explode(rows).alias("row"))
-    return _issues(found, "metric without number", F.get("row", F.lit(0)))
+    return F.transform(rows, lambda r: _issue("metric without number", F.get(r, F.lit(0))))
+
+
+def metrics_without_number(docs: DataFrame) -> DataFrame:
+    """Success metrics whose target value holds no digit."""
+    return _emit(docs, _by_document(lambda c, _: _metrics(c), (VISION,)))
 
 
-# Agreement between the vision and the specification of a project.
+# Checks of a vision against the specification of its project.
+
+
+def _pair(docs: DataFrame) -> DataFrame:
+    """``project, vision, spec`` of the projects that have both."""
+    both = docs.where(F.col("rel_path").isin(VISION, SPEC)).groupBy("project").agg(
+        F.max(F.when(F.col("rel_path") == VISION, _content())).alias("vision"),
+        F.max(F.when(F.col("rel_path") == SPEC, _content())).alias("spec"),
+    )
+    return both.where("vision IS NOT NULL AND spec IS NOT NULL")
 
 
 def _vision(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("rel_path") == VISION).select("project", CONTENT.alias("vision"))
+    return docs.where(F.col("rel_path") == VISION).select("project", _content().alias("vision"))
 
 
 def _spec(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("rel_path") == SPEC).select("project", CONTENT.alias("spec"))
+    return docs.where(F.col("rel_path") == SPEC).select("project", _content().alias("spec"))
 
 
-def _items(heading: str) -> Column:
+def _items(vision: Column, heading: str) -> Column:
     """Items of a vision section with their keywords."""
     return F.transform(
-        md.list_items(md.section(F.col("vision"), heading)),
+        md.list_items(md.section(vision, heading)),
         lambda item: F.struct(item.alias("item"), md.keywords(item).alias("words")),
     )
 
 
-def _scope_words(spec: Column) -> Column:
-    """Normalised text of the operations and pages of a specification."""
-    return normalize(
-        F.concat(md.section(spec, "## Key operations"), F.lit(" "), md.section(spec, "## Pages and screens"))
+def _found_in(words: Column, text: Column) -> Column:
+    return F.filter(words, lambda w: F.contains(text, w))
+
+
+def _enough(shared: Column, words: Column) -> Column:
+    """Two shared keywords that are half of the item's."""
+    return (F.size(shared) >= 2) & (F.size(shared) / F.size(words) >= 0.5)
+
+
+def _distinct_words(items: Column) -> Column:
+    return F.transform(items, lambda i: F.struct(i["item"].alias("item"), F.array_distinct(i["words"]).alias("words")))
+
+
+def _contradictions(inside: Column, outside: Column) -> Column:
+    pairs = F.flatten(
+        F.transform(
+            _distinct_words(outside),
+            lambda out: F.transform(
+                inside,
+                lambda inn: F.struct(
+                    inn["item"].alias("included"),
+                    out["item"].alias("excluded"),
+                    out["words"].alias("words"),
+                    F.array_intersect(out["words"], inn["words"]).alias("shared"),
+                ),
+            ),
+        )
     )
+    return F.filter(pairs, lambda p: _enough(p["shared"], p["words"]))
 
 
 def scope_contradictions(docs: DataFrame) -> DataFrame:
     """Excluded and included items that share two keywords and half of the excluded item's.
 
-    Both lists stand in one document, so pairs are compared within its row.
+    Both lists stand in one document, so items are compared within its row and only the
+    contradicting ones leave it.
     """
-    listed = _vision(docs).select("project", _items("## In scope").alias("inside"), F.explode(_items("## Out of scope")).alias("out"))
-    excluded = listed.select(
-        "project", "inside", F.col("out.item").alias("excluded"), F.array_distinct("out.words").alias("words")
-    ).where(F.size("words") >= 2)
-    pairs = F.filter(
-        F.transform(
-            "inside",
-            lambda i: F.struct(
-                i["item"].alias("included"), F.array_intersect(F.col("words"), i["words"]).alias("shared")
-            ),
-        ),
-        lambda p: (F.size(p["shared"]) >= 2) & (F.size(p["shared"]) / F.size(F.col("words")) >= 0.5),
-    )
-    return excluded.select("project", "excluded", F.inline(pairs)).select(
+    vision = F.col("vision")
+    found = _contradictions(_items(vision, "## In scope"), F.array(F.col("out")))
+    listed = _vision(docs).select("project", "vision", F.explode(_items(vision, "## Out of scope")).alias("out"))
+    return listed.select("project", F.inline(found)).select(
         "project", "included", "excluded", F.array_join(F.array_sort("shared"), ", ").alias("shared")
     )
 
 
-def _found_in(words: Column, text: Column) -> Column:
-    return F.filter(words, lambda w: F.contains(text, w))
+def _scope_text(spec: Column) -> Column:
+    """Normalised text of the operations and pages of a specification."""
+    return normalize(
+        F.concat(md.section(spec, "## Key operations"), F.lit(" "), md.section(spec, "## Pages and screens"))
+    )
+
+
+def _specified(outside: Column, scope: Column) -> Column:
+    found = F.transform(
+        outside, lambda o: F.struct(o["item"].alias("item"), _found_in(o["words"], scope).alias("found"))
+    )
+    return F.filter(found, lambda f: F.size(f["found"]) >= 2)
 
 
 def excluded_but_specified(docs: DataFrame) -> DataFrame:
     """Excluded items with two keywords, repeats counted, in the operations or pages of the specification."""
-    scope = _spec(docs).select("project", _scope_words(F.col("spec")).alias("scope"))
-    excluded = _vision(docs).select("project", F.inline(_items("## Out of scope")))
-    found = excluded.join(scope, "project").withColumn("found", _found_in(F.col("words"), F.col("scope")))
-    return found.where(F.size("found") >= 2).select(
+    found = let(
+        _scope_text(F.col("spec")), lambda scope: _specified(_items(F.col("vision"), "## Out of scope"), scope)
+    )
+    return _pair(docs).select("project", F.inline(found)).select(
         "project", F.col("item").alias("excluded"), F.array_join(F.slice("found", 1, 5), ", ").alias("found")
     )
 
 
-def coverage(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Share of each item's keywords, repeats counted, that occur in the text of its project.
+def _covered(items: Column, text: Column) -> Column:
+    """How many keywords of each item, repeats counted, occur in a normalised text."""
+    worded = F.filter(items, lambda i: F.size(i["words"]) > 0)
+    return F.transform(
+        worded,
+        lambda i: F.struct(
+            i["item"].alias("item"),
+            F.size(_found_in(i["words"], text)).cast("bigint").alias("found"),
+            F.size(i["words"]).cast("bigint").alias("total"),
+        ),
+    )
+
 
-    ``items`` has ``project, item``, ``texts`` one ``project, text`` row per project. Items
-    without keywords are left out.
-    """
-    worded = items.withColumn("words", md.keywords(F.col("item"))).where(F.size("words") > 0)
-    joined = worded.join(texts.select("project", normalize(F.col("text")).alias("_text")), "project")
-    counted = joined.withColumn("found", F.size(_found_in(F.col("words"), F.col("_text"))).cast("bigint"))
-    total = F.size("words").cast("bigint")
-    return counted.select("project", "item", "found", total.alias("total"), (F.col("found") / total).alias("share"))
+def _weak(items: Column, text: Column, minimum: float) -> Column:
+    return F.filter(_covered(items, text), lambda c: c["found"] / c["total"] < minimum)
 
 
-def _vision_coverage(docs: DataFrame, heading: str) -> DataFrame:
-    items = section_items(docs, heading).select("project", "item")
-    return coverage(items, _spec(docs).select("project", F.col("spec").alias("text")))
+def _coverage(docs: DataFrame, heading: str, minimum: float) -> DataFrame:
+    found = let(normalize(F.col("spec")), lambda text: _weak(_items(F.col("vision"), heading), text, minimum))
+    return _pair(docs).select("project", F.inline(found)).withColumn("share", F.col("found") / F.col("total"))
 
 
-def capability_coverage(docs: DataFrame, minimum: float = 0.4) -> DataFrame:
+def capability_coverage(docs: DataFrame, minimum: float = CAPABILITY_COVERAGE) -> DataFrame:
     """Capabilities of the vision that the specification hardly mentions."""
-    return _vision_coverage(docs, "## Key capabilities").where(F.col("share") < minimum)
+    return _coverage(docs, "## Key capabilities", minimum)
 
 
-def inscope_coverage(docs: DataFrame, minimum: float = 0.35) -> DataFrame:
+def inscope_coverage(docs: DataFrame, minimum: float = SCOPE_COVERAGE) -> DataFrame:
     """Items in scope that the specification hardly mentions."""
-    return _vision_coverage(docs, "## In scope").where(F.col("share") < minimum)
+    return _coverage(docs, "## In scope", minimum)
 
 
-def entities_without_operation(docs: DataFrame) -> DataFrame:
-    """Entities that no key operation mentions."""
-    operations = normalize(md.section(F.col("spec"), "## Key operations"))
-    entities = let(
+def _unused_entities(spec: Column) -> Column:
+    return let(
         F.struct(
-            operations.alias("operations"),
-            md.first_cells(md.section(F.col("spec"), "## Entities"), ENTITY_HEADERS).alias("names"),
+            normalize(md.section(spec, "## Key operations")).alias("operations"),
+            md.first_cells(md.section(spec, "## Entities"), ENTITY_HEADERS).alias("names"),
         ),
         lambda d: F.filter(d["names"], lambda n: ~F.contains(d["operations"], normalize(n))),
     )
-    return _spec(docs).select("project", F.explode(entities).alias("entity"))
 
 
-def testing_subsections(docs: DataFrame) -> DataFrame:
-    """Required subsections the testing section lacks."""
-    absent = let(
-        md.section(F.col("spec"), "## Testing"),
+def entities_without_operation(docs: DataFrame) -> DataFrame:
+    """Entities that no key operation mentions."""
+    return _spec(docs).select("project", F.explode(_unused_entities(F.col("spec"))).alias("entity"))
+
+
+def _absent_subsections(spec: Column) -> Column:
+    return let(
+        md.section(spec, "## Testing"),
         lambda t: F.filter(literal_array(TEST_SUBSECTIONS), lambda s: ~F.contains(t, s)),
     )
-    return _spec(docs).select("project", F.explode(absent).alias("subsection"))
 
 
-def unused_glossary_terms(docs: DataFrame) -> DataFrame:
-    """Glossary terms that neither the rest of the specification nor the vision uses."""
-    spec = F.col("spec")
-    terms = let(
+def testing_subsections(docs: DataFrame) -> DataFrame:
+    """Required subsections the testing section lacks."""
+    return _spec(docs).select("project", F.explode(_absent_subsections(F.col("spec"))).alias("subsection"))
+
+
+def _unused_terms(vision: Column, spec: Column) -> Column:
+    parts = let(
         md.section(spec, "## Glossary"),
         lambda g: F.struct(
             md.first_cells(g, TERM_HEADERS).alias("terms"),
             normalize(F.when(g == "", spec).otherwise(F.replace(spec, g, F.lit("")))).alias("rest"),
+            normalize(vision).alias("vision"),
+        ),
+    )
+    return let(
+        parts,
+        lambda d: F.filter(
+            d["terms"],
+            lambda t: ~F.contains(d["rest"], normalize(t)) & ~F.contains(d["vision"], normalize(t)),
+        ),
+    )
+
+
+def unused_glossary_terms(docs: DataFrame) -> DataFrame:
+    """Glossary terms that neither the rest of the specification nor the vision uses."""
+    return _pair(docs).select("project", F.explode(_unused_terms(F.col("vision"), F.col("spec"))).alias("term"))
+
+
+def _conflicts(outside: Column, goal: Column) -> Column:
+    found = F.transform(
+        _distinct_words(outside),
+        lambda o: F.struct(
+            o["item"].alias("item"), o["words"].alias("words"), _found_in(o["words"], goal).alias("shared")
         ),
     )
-    listed = _spec(docs).select("project", F.inline(F.array(terms)))
-    unused = F.filter("terms", lambda t: ~F.contains(F.col("rest"), normalize(t)))
-    candidates = listed.select("project", F.explode(unused).alias("term"))
-    joined = candidates.join(_vision(docs), "project")
-    return joined.where(~F.contains(normalize(F.col("vision")), normalize(F.col("term")))).select("project", "term")
+    return F.filter(found, lambda f: _enough(f["shared"], f["words"]))
 
 
 def goal_conflicts(docs: DataFrame) -> DataFrame:
     """Excluded items with two distinct keywords, and half of theirs, in the goal."""
-    goal = normalize(md.section(F.col("vision"), "## Goal"))
-    listed = _vision(docs).select("project", goal.alias("goal"), F.inline(_items("## Out of scope")))
-    distinct = listed.withColumn("words", F.array_distinct("words")).where(F.size("words") >= 2)
-    found = distinct.withColumn("shared", _found_in(F.col("words"), F.col("goal")))
-    return found.where((F.size("shared") >= 2) & (F.size("shared") / F.size("words") >= 0.5)).select(
+    vision = F.col("vision")
+    found = let(
+        normalize(md.section(vision, "## Goal")), lambda goal: _conflicts(_items(vision, "## Out of scope"), goal)
+    )
+    return _vision(docs).select("project", F.inline(found)).select(
         "project", F.col("item").alias("excluded"), F.array_join(F.array_sort("shared"), ", ").alias("shared")
     )
 
 
 def unmentioned_artifacts(artifacts: DataFrame, docs: DataFrame) -> DataFrame:
     """Artifacts (``project, rel_path``) whose name and path occur in no document of their project."""
-    texts = [F.max(F.when(F.col("rel_path") == p, CONTENT)) for p in HEADINGS]
-    combined = required(docs).groupBy("project").agg(F.concat_ws("\n", *texts).alias("text"))
+    return _unmentioned(artifacts, _texts(docs), "left")
+
+
+def _unmentioned(artifacts: DataFrame, texts: DataFrame, how: str) -> DataFrame:
     path = F.translate("rel_path", "\\", "/")
-    text = F.coalesce("text", F.lit(""))
-    joined = artifacts.join(combined, "project", "left")
-    return joined.where(
-        ~F.contains(text, base_name(path)) & ~F.contains(text, path)
-    ).select("project", path.alias("rel_path"))
+    combined = F.concat_ws("\n", *[F.col(c) for c in TEXT_COLUMNS.values()])
+    joined = artifacts.join(texts.select("project", combined.alias("_text")), "project", how)
+    text = F.coalesce("_text", F.lit(""))
+    return joined.where(~F.contains(text, base_name(path)) & ~F.contains(text, path)).select(
+        "project", path.alias("rel_path")
+    )
 
 
 def status_report(docs: DataFrame) -> DataFrame:
     """Status and date of every expected document: ``MISSING`` without the document, ``?`` without the line."""
-    meta = doc_metadata(docs)
     unknown = F.lit("?")
     cells = [
         F.max(
@@ -424,7 +547,7 @@ def status_report(docs: DataFrame) -> DataFrame:
     rows = F.array(
         *[F.struct(F.lit(p).alias("rel_path"), F.coalesce(c, absent).alias("cell")) for c, p in zip(cells, HEADINGS)]
     )
-    report = meta.groupBy("project").agg(rows.alias("rows")).select("project", F.inline("rows"))
+    report = doc_metadata(docs).groupBy("project").agg(rows.alias("rows")).select("project", F.inline("rows"))
     return report.select("project", "rel_path", "cell.status", "cell.date")
 
 
@@ -432,60 +555,103 @@ def set_status(docs: DataFrame, status: str, date: str) -> DataFrame:
     """Required documents with every status and date line rewritten, and whether that changed them."""
     if status not in STATUSES:
         raise ValueError(f"status must be one of {', '.join(STATUSES)}")
-    new = F.regexp_replace(CONTENT, STATUS_LINE, f"**Status:** {status}")
+    new = F.regexp_replace(_content(), STATUS_LINE, f"**Status:** {status}")
     new = F.regexp_replace(new, DATE_LINE, f"**Date:** {date}")
-    return required(docs).select("project", "rel_path", F.inline(F.array(F.struct(
-        new.alias("content"), (new != CONTENT).alias("changed")
-    ))))
-
-
-def structure_issues(docs: DataFrame) -> DataFrame:
-    """All checks within single documents."""
-    needed = required(docs)
-    checks = (
-        missing_documents(docs),
-        metadata_issues(docs),
-        missing_headings(docs),
-        placeholders(needed),
-        banned_words(needed),
-        short_sections(docs),
-        metrics_without_number(docs),
-    )
-    return reduce(DataFrame.unionByName, checks)
-
-
-def consistency_issues(docs: DataFrame) -> DataFrame:
-    """All checks across the vision and the specification."""
-    none = F.lit(None)
-    vision, spec = F.lit(VISION), F.lit(SPEC)
-    checks = (
-        _issues(scope_contradictions(docs), "scope contradiction", F.col("excluded"), none, vision),
-        _issues(excluded_but_specified(docs), "excluded but specified", F.col("excluded"), none, vision),
-        _issues(capability_coverage(docs), "capability not covered", F.col("item"), none, vision),
-        _issues(inscope_coverage(docs), "scope item not covered", F.col("item"), none, vision),
-        _issues(entities_without_operation(docs), "entity without operation", F.col("entity"), none, spec),
-        _issues(testing_subsections(docs), "missing test subsection", F.col("subsection"), none, spec),
-        _issues(unused_glossary_terms(docs), "unused term", F.col("term"), none, spec),
-        _issues(goal_conflicts(docs), "goal conflict", F.col("excluded"), none, vision),
-    )
-    return reduce(DataFrame.unionByName, checks)
+    rewritten = let(new, lambda text: F.struct(text.alias("content"), (text != _content()).alias("changed")))
+    return required(docs).select("project", "rel_path", F.inline(F.array(rewritten)))
+
+
+# All checks together.
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """One row per project with the texts of its required documents, null where one is missing."""
+    return docs.groupBy("project").agg(
+        *[F.max(F.when(F.col("rel_path") == p, _content())).alias(c) for p, c in TEXT_COLUMNS.items()]
+    )
+
+
+def _at(rel_path: str, issues: Column) -> Column:
+    return F.transform(
+        issues,
+        lambda i: F.struct(
+            F.lit(rel_path).alias("rel_path"), i["line"].alias("line"), i["rule"].alias("rule"), i["detail"].alias("detail")
+        ),
+    )
+
+
+def _structure(rel_path: str, text: Column) -> Column:
+    """Issues within one document, or its absence."""
+    checks = [_metadata(text, rel_path), _headings(text, rel_path), _placeholders(text), _banned(text)]
+    if rel_path in LENGTH_CHECKED:
+        checks.append(_short(text, rel_path))
+    if rel_path == VISION:
+        checks.append(_metrics(text))
+    absent = F.array(_issue("missing document", F.lit("")))
+    return _at(rel_path, F.when(text.isNull(), absent).otherwise(F.concat(*checks)))
+
+
+def _consistency(vision: Column, spec: Column) -> Column:
+    """Issues between a vision and a specification."""
+    facts = F.struct(
+        _items(vision, "## In scope").alias("inside"),
+        _items(vision, "## Out of scope").alias("outside"),
+        _items(vision, "## Key capabilities").alias("capabilities"),
+        normalize(md.section(vision, "## Goal")).alias("goal"),
+        _scope_text(spec).alias("scope"),
+        normalize(spec).alias("spec"),
+    )
+
+    def named(rule: str, found: Column, field: str | None = None) -> Column:
+        return F.transform(found, lambda f: _issue(rule, f[field] if field else f))
+
+    return let(
+        facts,
+        lambda d: F.concat(
+            _at(
+                VISION,
+                F.concat(
+                    named("scope contradiction", _contradictions(d["inside"], d["outside"]), "excluded"),
+                    named("excluded but specified", _specified(d["outside"], d["scope"]), "item"),
+                    named("capability not covered", _weak(d["capabilities"], d["spec"], CAPABILITY_COVERAGE), "item"),
+                    named("scope item not covered", _weak(d["inside"], d["spec"], SCOPE_COVERAGE), "item"),
+                    named("goal conflict", _conflicts(d["outside"], d["goal"]), "item"),
+                ),
+            ),
+            _at(
+                SPEC,
+                F.concat(
+                    named("entity without operation", _unused_entities(spec)),
+                    named("missing test subsection", _absent_subsections(spec)),
+                    named("unused term", _unused_terms(vision, spec)),
+                ),
+            ),
+        ),
+    )
 
 
 def validate_documents(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Issues of the first failing stage of each project, with ``stage`` 1 to 3.
 
-    Structure errors stop the consistency checks, those stop the artifact check.
+    Structure errors stop the consistency checks, those stop the artifact check. The texts of
+    a project meet in one row, so the documents are read and shuffled once and a stage that
+    is not reached is not computed; only artifacts of projects clean so far are looked up.
     """
-    staged = [
-        structure_issues(docs).withColumn("stage", F.lit(1)),
-        consistency_issues(docs).withColumn("stage", F.lit(2)),
-        _issues(unmentioned_artifacts(artifacts, docs), "artifact not mentioned", F.lit("")).withColumn(
-            "stage", F.lit(3)
-        ),
-    ]
-    issues = reduce(DataFrame.unionByName, staged)
-    first = issues.groupBy("project").agg(F.min("stage").alias("stage"))
-    return issues.join(first, ["project", "stage"], "left_semi")
+    texts = _texts(docs)
+    structure = F.concat(*[_structure(p, F.col(c)) for p, c in TEXT_COLUMNS.items()])
+    staged = texts.select("*", F.explode(F.array(structure)).alias("first"))
+    second = F.when(F.size("first") == 0, _consistency(F.col("vision"), F.col("spec"))).otherwise(
+        F.slice("first", 1, 0)
+    )
+    staged = staged.select("*", F.explode(F.array(second)).alias("second"))
+
+    stage = F.when(F.size("first") > 0, F.lit(1)).otherwise(F.lit(2))
+    documented = staged.select("project", stage.alias("stage"), F.inline(F.concat("first", "second")))
+    clean = staged.where((F.size("first") == 0) & (F.size("second") == 0))
+    unmentioned = _emit(
+        _unmentioned(artifacts, clean, "inner"), F.array(_issue("artifact not mentioned", F.lit("")))
+    )
+    return documented.unionByName(unmentioned.withColumn("stage", F.lit(3)))
 
 
 def project_name_issues(names: DataFrame) -> DataFrame:

@@ -242,18 +242,14 @@ def pack_token_summary(files: DataFrame, fmt: str = "xml", tie=(), vocabulary=No
     headers), so the sum equals the count of the joined text.
     """
     fmt = known_format(fmt)
-    rank_file, pattern = vocabulary or tok.default_vocabulary()
-    encoder = tok._encoder(rank_file, pattern)
 
     def fixed(text: str) -> int:
-        return len(encoder.encode_ordinary(text))
+        return tok.count_text(text, vocabulary)
 
     key = F.struct(*_order(tie)).alias("key")
     if fmt == "xml":
         inner = F.concat(F.lit(' path="'), "path", F.lit('">\n'), "content", F.lit("\n</file"))
-        counted = tok.token_count(
-            files.select("project", inner.alias("body")), "body", vocabulary=(rank_file, pattern)
-        )
+        counted = tok.token_count(files.select("project", inner.alias("body")), "body", vocabulary=vocabulary)
         total = (
             F.sum("body_tokens")
             + (F.count(F.lit(1)) - 1) * fixed(">\n\n<file")
@@ -269,7 +265,7 @@ def pack_token_summary(files: DataFrame, fmt: str = "xml", tie=(), vocabulary=No
             F.concat(inner, F.lit("\n\n//")).alias("body"),
             inner.alias("last"),
         )
-        counted = tok.token_count(pieces, "body", "last", vocabulary=(rank_file, pattern)).withColumn("key", key)
+        counted = tok.token_count(pieces, "body", "last", vocabulary=vocabulary).withColumn("key", key)
         total = F.sum("body_tokens") + F.max_by(F.col("last_tokens") - F.col("body_tokens"), "key") + fixed("//")
     totals = counted.groupBy("project").agg(F.count(F.lit(1)).alias("files"), total.cast("bigint").alias("tokens"))
     return totals.withColumn("usd", tok.token_cost(F.col("tokens"))).withColumn("format", F.lit(fmt))

@@ -59,7 +59,9 @@ DECISIONS_SHOWN = 7
 # Fixed value: components a call matrix stays readable with.
 MATRIX_COMPONENTS = 12
 
-CONTENT = F.col("content")
+
+def _content() -> Column:
+    return F.col("content")
 
 
 def detect_runtime(files: DataFrame) -> DataFrame:
@@ -94,13 +96,13 @@ def scan_patterns(files: DataFrame, patterns=None) -> DataFrame:
     patterns = patterns or SECRET_PATTERNS
     anything = F.lit(False)
     for regex in patterns.values():
-        anything = anything | CONTENT.rlike("(?m)" + regex)
+        anything = anything | _content().rlike("(?m)" + regex)
     hit_names = [
         lambda t, n=name, rx=regex: F.when(t.rlike(rx) & ~t.rlike(PLACEHOLDER_VALUE), F.lit(n))
         for name, regex in patterns.items()
     ]
     lines = F.transform(
-        F.split(CONTENT, "\n", -1),
+        F.split(_content(), "\n", -1),
         lambda t, i: F.struct(
             (i + 1).cast("bigint").alias("line"), F.array_compact(F.array(*[h(t) for h in hit_names])).alias("hits")
         ),
@@ -118,7 +120,7 @@ def critical_paths(files: DataFrame, limit: int = CRITICAL_PATHS) -> DataFrame:
     for rank, (name, prefix) in enumerate(TIERS):
         tier = F.when(F.col("path").rlike(prefix), F.lit(name)).otherwise(tier)
         order = F.when(F.col("path").rlike(prefix), F.lit(rank)).otherwise(order)
-    found = files.where(F.col("path").startswith("src/") & CONTENT.rlike("|".join(CRITICAL_WORDS)))
+    found = files.where(F.col("path").startswith("src/") & _content().rlike("|".join(CRITICAL_WORDS)))
     listed = found.select("project", "path", tier.alias("tier"), order.alias("_order"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy("_order", "path"))
     return listed.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_order", "_rank")
@@ -139,7 +141,7 @@ def extract_env_vars(files: DataFrame, runtimes: DataFrame) -> DataFrame:
     """Distinct ``project, name`` of the variables read by source files."""
     return (
         files.join(runtimes.select("project", "runtime"), "project")
-        .select("project", F.explode(env_names(CONTENT, F.col("runtime"))).alias("name"))
+        .select("project", F.explode(env_names(_content(), F.col("runtime"))).alias("name"))
         .distinct()
     )
 
@@ -147,7 +149,7 @@ def extract_env_vars(files: DataFrame, runtimes: DataFrame) -> DataFrame:
 def documented_env_vars(files: DataFrame) -> DataFrame:
     """Distinct ``project, name`` of the variables an environment example lists."""
     examples = files.where(F.col("path").rlike(r"(?:^|/)\.env\.example$"))
-    names = F.regexp_extract_all(CONTENT, F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]*)="), F.lit(1))
+    names = F.regexp_extract_all(_content(), F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]*)="), F.lit(1))
     return examples.select("project", F.explode(names).alias("name")).distinct()
 
 
@@ -165,7 +167,7 @@ def env_sync(used: DataFrame, documented: DataFrame) -> DataFrame:
 
 def documented_commands(docs: DataFrame) -> DataFrame:
     """Distinct ``project, name`` of package scripts that documents tell to run."""
-    names = F.regexp_extract_all(CONTENT, F.lit(r"(?:npm|pnpm|yarn) run ([A-Za-z0-9:_-]+)"), F.lit(1))
+    names = F.regexp_extract_all(_content(), F.lit(r"(?:npm|pnpm|yarn) run ([A-Za-z0-9:_-]+)"), F.lit(1))
     return docs.select("project", F.explode(names).alias("name")).distinct()
 
 
@@ -185,8 +187,8 @@ def broken_links(docs: DataFrame, files: DataFrame) -> DataFrame:
 
     External links are not looked at. ``files`` lists what exists besides the documents.
     """
-    links = F.regexp_extract_all(CONTENT, F.lit(r"\]\(([^)\s]+)[^)]*\)"), F.lit(1))
-    found = docs.where(CONTENT.contains("](")).select(
+    links = F.regexp_extract_all(_content(), F.lit(r"\]\(([^)\s]+)[^)]*\)"), F.lit(1))
+    found = docs.where(_content().contains("](")).select(
         "project", "rel_path", F.explode(F.array_distinct(links)).alias("link")
     )
     local = found.where(~F.col("link").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"))
@@ -203,7 +205,7 @@ def broken_links(docs: DataFrame, files: DataFrame) -> DataFrame:
     listed = docs.select("project", F.col("rel_path").alias("path")).unionByName(files.select("project", "path"))
     folders = F.transform(directory_prefixes(F.col("path")), lambda d: F.regexp_replace(d, "/$", ""))
     known = listed.select("project", F.explode(F.concat(F.array("path"), folders)).alias("target")).distinct()
-    headings = F.regexp_extract_all(CONTENT, F.lit(r"(?md)^#{1,6} +(.*)$"), F.lit(1))
+    headings = F.regexp_extract_all(_content(), F.lit(r"(?md)^#{1,6} +(.*)$"), F.lit(1))
     slugs = docs.select(
         "project", F.col("rel_path").alias("target"), F.explode(F.transform(headings, heading_slug)).alias("slug")
     ).distinct()
@@ -222,7 +224,7 @@ def _line_windows(min_lines: int) -> Column:
     """Every run of ``min_lines`` lines that are not blank: place, digest, tokens."""
     lines = F.filter(
         F.transform(
-            split_lines(CONTENT),
+            split_lines(_content()),
             lambda text, i: let(
                 trim_space(text),
                 lambda t: F.struct(
@@ -282,8 +284,8 @@ def duplicate_blocks(
 def debt_markers(files: DataFrame, as_of: str, months: int = OLD_MONTHS) -> DataFrame:
     """``project, path, line, problem``: markers without date, author or ticket, and dated ones grown old."""
     marker = r"(?:^|[^A-Za-z0-9_])(?:TODO|FIXME)(?:[^A-Za-z0-9_]|$)"
-    hits = F.filter(md.numbered_lines(CONTENT), lambda ln: ln["text"].rlike(marker))
-    found = files.where(CONTENT.rlike("TODO|FIXME")).select("project", "path", F.inline(hits))
+    hits = F.filter(md.numbered_lines(_content()), lambda ln: ln["text"].rlike(marker))
+    found = files.where(_content().rlike("TODO|FIXME")).select("project", "path", F.inline(hits))
     text = F.col("text")
     dated = F.try_to_date(F.nullif(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd")
     author = text.rlike(r"(?:TODO|FIXME)\([^)]+\)|@[A-Za-z0-9_-]+")
@@ -343,7 +345,7 @@ def classify_manifest(manifests: DataFrame) -> DataFrame:
 
 def active_decisions(docs: DataFrame, count: int = DECISIONS_SHOWN) -> DataFrame:
     """Front matter of decisions that are active or need review, the newest of each project."""
-    front = F.regexp_extract(CONTENT, r"\A---\n((?s:.)*?)\n---", 1)
+    front = F.regexp_extract(_content(), r"\A---\n((?s:.)*?)\n---", 1)
 
     def field(name: str) -> Column:
         return F.regexp_extract("front", rf"(?md)^{name}:\s*(.*)$", 1)

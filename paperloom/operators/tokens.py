@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: US dollars per million tokens.
 PRICE_PER_MILLION = 5.0
 
-_ENCODERS: dict = {}
 
+def default_vocabulary() -> tuple[str, str]:
+    """Rank file and split pattern of the installed byte-pair vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def _count_tokens(columns, rank_file: str, pattern: str):
+    """Task function of ``token_count``; it carries all it needs, so workers import nothing of ours."""
 
-def _encoder(rank_file: str, pattern: str):
-    """The encoder of this worker process, built on first use."""
-    if (rank_file, pattern) not in _ENCODERS:
+    def run(batches):
         import base64
 
         import tiktoken
@@ -23,17 +27,18 @@ def _encoder(rank_file: str, pattern: str):
         with open(rank_file, "rb") as handle:
             pairs = (line.split() for line in handle if line.strip())
             ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        _ENCODERS[rank_file, pattern] = tiktoken.Encoding(
-            name="corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _ENCODERS[rank_file, pattern]
+        encoder = tiktoken.Encoding(name="corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+        def length(text):
+            return len(encoder.encode_ordinary(text)) if text is not None else None
 
-def default_vocabulary() -> tuple[str, str]:
-    """Rank file and split pattern of the installed byte-pair vocabulary."""
-    import public_tokenizers
+        for batch in batches:
+            out = batch.drop(columns=list(columns))
+            for column in columns:
+                out[f"{column}_tokens"] = batch[column].map(length).astype("Int64")
+            yield out
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return run
 
 
 def token_count(df: DataFrame, *columns: str, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -41,7 +46,7 @@ def token_count(df: DataFrame, *columns: str, vocabulary: tuple[str, str] | None
 
     The vocabulary is a rank file every executor can open and the pattern that splits text
     before the merges. Marker strings count as ordinary text. This is the one step that
-    leaves the JVM; batches are Arrow-encoded and the encoder is built once per worker.
+    leaves the JVM; batches are Arrow-encoded and the encoder is built once per partition.
     """
     rank_file, pattern = vocabulary or default_vocabulary()
     kept = [f for f in df.schema.fields if f.name not in columns]
@@ -49,19 +54,16 @@ def token_count(df: DataFrame, *columns: str, vocabulary: tuple[str, str] | None
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{c}_tokens` bigint" for c in columns]
     )
 
-    def run(batches: Iterator):
-        encoder = _encoder(rank_file, pattern)
+    return df.mapInPandas(_count_tokens(columns, rank_file, pattern), schema)
 
-        def length(text):
-            return len(encoder.encode_ordinary(text)) if text is not None else None
 
-        for batch in batches:
-            out = batch.drop(columns=list(columns))
-            for column in columns:
-                out[f"{column}_tokens"] = batch[column].map(length).astype("Int64")
-            yield out
+def count_text(text: str, vocabulary: tuple[str, str] | None = None) -> int:
+    """Tokens of one short text, counted in this process."""
+    import pandas as pd
 
-    return df.mapInPandas(run, schema)
+    rank_file, pattern = vocabulary or default_vocabulary()
+    counted = _count_tokens(["text"], rank_file, pattern)([pd.DataFrame({"text": [text]})])
+    return int(next(counted)["text_tokens"].iloc[0])
 
 
 def token_cost(tokens: Column, price: float = PRICE_PER_MILLION) -> Column:
