@@ -20,14 +20,14 @@ RUNTIMES = (
 )
 NO_RUNTIME = ("generic", "fallback")
 
-# How each runtime reads a variable; the name is what is left after the second pattern.
+# How each runtime reads a variable; the group is its name.
 ENV_PATTERNS = {
-    "node": (r"process\.env\.[A-Z0-9_]+|import\.meta\.env\.[A-Z0-9_]+", r".*env\."),
-    "go": (r'os\.Getenv\("[A-Z0-9_]+"\)', r'[^"]*"|"\)'),
-    "python": (r"os\.environ(?:\.get)?\(?[\"']?[A-Z0-9_]+", r"os\.environ(?:\.get)?\(?[\"']?"),
-    "rust": (r'(?:std::)?env::var\(?"[A-Z0-9_]+"', r'[^"]*"|"'),
-    "java": (r'System\.getenv\("[A-Z0-9_]+"\)', r'[^"]*"|"\)'),
-    "generic": (r"[A-Z][A-Z0-9_]{2,}", r"\A\z"),
+    "node": r"(?:process\.env|import\.meta\.env)\.([A-Z0-9_]+)",
+    "go": r'os\.Getenv\("([A-Z0-9_]+)"\)',
+    "python": r"os\.environ(?:\.get)?\(?[\"']?([A-Z0-9_]+)",
+    "rust": r'(?:std::)?env::var\(?"([A-Z0-9_]+)"',
+    "java": r'System\.getenv\("([A-Z0-9_]+)"\)',
+    "generic": r"([A-Z][A-Z0-9_]{2,})",
 }
 
 # Patterns of secrets; every one is plain enough for any regular-expression dialect.
@@ -128,12 +128,9 @@ def critical_paths(files: DataFrame, limit: int = CRITICAL_PATHS) -> DataFrame:
 
 def env_names(content: Column, runtime: Column) -> Column:
     """Distinct variable names a text reads, by the pattern of its runtime."""
-    names = None
-    for name, (regex, rest) in ENV_PATTERNS.items():
-        found = F.transform(
-            F.regexp_extract_all(content, F.lit(regex), F.lit(0)), lambda m, r=rest: F.regexp_replace(m, r, "")
-        )
-        names = F.when(runtime == name, found) if names is None else names.when(runtime == name, found)
+    names = F.lit(None).cast("array<string>")
+    for name, regex in ENV_PATTERNS.items():
+        names = F.when(runtime == name, F.regexp_extract_all(content, F.lit(regex), F.lit(1))).otherwise(names)
     return F.array_distinct(names)
 
 
