@@ -1,7 +1,8 @@
 """Segment rewrite: cut a text at every match of a pattern, decide per match, join again.
 
-``split`` and ``regexp_extract_all`` with one pattern give the pieces between the matches
-and the matches themselves, so the rewrite is a narrow, JVM-side expression.
+One ``regexp_replace`` marks the matches and a split at the marks gives the pieces between
+them and the matches in turn, so the rewrite is a narrow, JVM-side expression that scans a
+text once.
 """
 
 from __future__ import annotations
@@ -35,15 +36,21 @@ _SINGLE = r"'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
 _TEMPLATE = r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
 _BLOCK = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
 _LINE = r"//[^\n\r\u2028\u2029]*+"
+# A slash starts a regex literal after an operator or a keyword; otherwise it divides. The
+# look-behind stands behind the slash, so it is only tried at slashes.
 _REGEX = (
-    r"(?<=[=(,:;!&|?{\[+~^<>%*]\s{0,8}|\breturn\s{1,8}|\btypeof\s{1,8}|\bcase\s{1,8}|\A\s{0,8})"
-    r"/(?![*/])[^/\\\[\n]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
+    r"/(?<=[=(,:;!&|?{\[+~^<>%*]\s{0,8}/|\breturn\s{1,8}/|\btypeof\s{1,8}/|\bcase\s{1,8}/|\A\s{0,8}/)"
+    r"(?![*/])[^/\\\[\n]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
 )
 # An expression container that holds nothing but block comments, in child position.
-_JSX_EMPTY = rf"(?<=(?<!=)>\s{{0,64}})\{{\s*+(?:{_BLOCK}\s*+)++\}}(?=\s*+[<{{])"
+_JSX_EMPTY = rf"\{{(?<=(?<!=)>\s{{0,64}}\{{)\s*+(?:{_BLOCK}\s*+)++\}}(?=\s*+[<{{])"
 
-CODE_TOKENS = "|".join((_DOUBLE, _SINGLE, _TEMPLATE, _BLOCK, _LINE, _REGEX))
-JSX_TOKENS = "|".join((_JSX_EMPTY, CODE_TOKENS))
+_CODE = "|".join((_DOUBLE, _SINGLE, _TEMPLATE, _BLOCK, _LINE, _REGEX))
+CODE_TOKENS = rf"(?=[\"'`/])(?:{_CODE})"
+JSX_TOKENS = rf"(?=[\"'`/{{])(?:{_JSX_EMPTY}|{_CODE})"
+
+# Cuts a text around its matches; a text that holds this noncharacter is cut the long way.
+_CUT = "\uffff"
 
 
 def is_code_comment(token: Column) -> Column:
@@ -85,10 +92,19 @@ def remove_segments(text: Column, pattern: str, removes: Callable[[Column], Colu
     tokens never merge, unless it is a whole expression container. ``matches`` holds the
     dropped texts in order.
     """
-    cut = F.struct(
-        F.split(text, pattern, -1).alias("pieces"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("tokens"),
+    # Pieces at even places, matches at odd ones; the last piece is always there.
+    marked = F.split(F.regexp_replace(text, pattern, f"{_CUT}$0{_CUT}"), _CUT, -1)
+    apart = let(
+        F.struct(
+            F.split(text, pattern, -1).alias("pieces"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("tokens"),
+        ),
+        lambda c: F.concat(
+            F.flatten(F.zip_with(F.slice(c["pieces"], 1, F.size(c["tokens"])), c["tokens"], lambda p, t: F.array(p, t))),
+            F.slice(c["pieces"], -1, 1),
+        ),
     )
+    cut = F.when(text.contains(_CUT), apart).otherwise(marked)
 
     def rebuilt(part: Column) -> Column:
         token = part["token"]
@@ -97,17 +113,23 @@ def remove_segments(text: Column, pattern: str, removes: Callable[[Column], Colu
         return F.concat(part["before"], F.when(removes(token), gap).otherwise(token))
 
     def rewritten(c: Column) -> Column:
-        count = F.size(c["tokens"])
-        parts = F.arrays_zip(
-            F.slice(c["pieces"], 1, count).alias("before"),
-            c["tokens"].alias("token"),
-            F.slice(c["pieces"], 2, count).alias("after"),
-        )
-        dropped = F.filter(c["tokens"], removes)
-        content = F.concat(F.array_join(F.transform(parts, rebuilt), ""), F.element_at(c["pieces"], -1))
-        return F.struct(
-            content.alias("content"), F.size(dropped).cast("bigint").alias("removed"), dropped.alias("matches")
-        )
+        def at(place: int) -> Column:
+            return F.filter(c, lambda _, i: i % 2 == place)
+
+        def whole(ends: Column) -> Column:
+            pieces, tokens = ends["pieces"], ends["tokens"]
+            parts = F.arrays_zip(
+                F.slice(pieces, 1, F.size(tokens)).alias("before"),
+                tokens.alias("token"),
+                F.slice(pieces, 2, F.size(tokens)).alias("after"),
+            )
+            dropped = F.filter(tokens, removes)
+            content = F.concat(F.array_join(F.transform(parts, rebuilt), ""), F.element_at(pieces, -1))
+            return F.struct(
+                content.alias("content"), F.size(dropped).cast("bigint").alias("removed"), dropped.alias("matches")
+            )
+
+        return let(F.struct(at(0).alias("pieces"), at(1).alias("tokens")), whole)
 
     return let(cut, rewritten)
 

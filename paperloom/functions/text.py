@@ -13,6 +13,7 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 
+_RARE_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -21,9 +22,15 @@ def quote(text: str) -> str:
     return "".join("\\" + ch if ch in r"\.[]{}()*+-?^$|/#&~" else ch for ch in text)
 
 
+# Every white-space character, as a set of characters to trim.
+SPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def trim_space(text: Column) -> Column:
-    """Drop white space of every kind from both ends (Spark's own trim drops blanks only)."""
-    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    """Drop white space of every kind from both ends (a plain trim drops blanks only)."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,8 +44,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line, empty text has none."""
+    # A plain newline needs no regular expression; the other line ends are rare.
+    parts = F.when(text.rlike(_RARE_LINE_END), F.split(text, _LINE_END, -1)).otherwise(F.split(text, "\n", -1))
     return let(
-        F.split(text, _LINE_END, -1),
+        parts,
         lambda parts: F.when(
             F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
         ).otherwise(parts),
@@ -47,12 +56,12 @@ def split_lines(text: Column) -> Column:
 
 def unix_lines(text: Column) -> Column:
     """Every kind of line end written as one newline."""
-    return F.regexp_replace(text, _LINE_END, "\n")
+    return F.when(text.rlike(_RARE_LINE_END), F.regexp_replace(text, _LINE_END, "\n")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
     """Lower case with the letter yo folded to ye."""
-    return F.lower(F.translate(text, "ёЁ", "еЕ"))
+    return F.lower(F.replace(F.replace(text, F.lit("ё"), F.lit("е")), F.lit("Ё"), F.lit("Е")))
 
 
 def extension(path: Column) -> Column:

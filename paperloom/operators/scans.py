@@ -30,15 +30,19 @@ ENV_PATTERNS = {
     "generic": r"([A-Z][A-Z0-9_]{2,})",
 }
 
-# Patterns of secrets; every one is plain enough for any regular-expression dialect.
+# Patterns of secrets, each with a cheap one that every hit also matches. All are plain
+# enough for any regular-expression dialect.
 SECRET_PATTERNS = {
-    "assignment": r"(?i)(?:^|[^a-z0-9])(?:password|token|key|secret)[ \t]*[=:][ \t]*[\"'][^\"']+[\"']",
-    "url credentials": r"[A-Za-z][A-Za-z0-9+.-]*://[^ \t/:@]+:[^ \t/@]+@",
-    "url parameter": r"[?&](?:api_key|apikey|token|secret)=[^ \t&#]+",
-    "private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "cloud access key": r"(?:^|[^A-Za-z0-9])AKIA[0-9A-Z]{16}",
-    "repository token": r"(?:^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}",
-    "model provider key": r"(?:^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}",
+    "assignment": (
+        r"[=:][ \t]*[\"']",
+        r"(?i)(?:^|[^a-z0-9])(?:password|token|key|secret)[ \t]*[=:][ \t]*[\"'][^\"']+[\"']",
+    ),
+    "url credentials": (r"://[^ \t/:@]+:", r"[A-Za-z][A-Za-z0-9+.-]*://[^ \t/:@]+:[^ \t/@]+@"),
+    "url parameter": (r"[?&](?:api_key|apikey|token|secret)=", r"[?&](?:api_key|apikey|token|secret)=[^ \t&#]+"),
+    "private key": (r"PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "cloud access key": (r"AKIA", r"(?:^|[^A-Za-z0-9])AKIA[0-9A-Z]{16}"),
+    "repository token": (r"gh[pousr]_", r"(?:^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}"),
+    "model provider key": (r"sk-", r"(?:^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}"),
 }
 # Values that only hold a place.
 PLACEHOLDER_VALUE = r"(?i)[=:][ \t]*[\"'](?:<[^\"']*>|\$\{[^\"']*|x{3,}|\*{3,}|your[-_ ][^\"']*|change[-_ ]?me|example|placeholder|todo|\.{3})[\"']"
@@ -95,11 +99,11 @@ def scan_patterns(files: DataFrame, patterns=None) -> DataFrame:
     """
     patterns = patterns or SECRET_PATTERNS
     anything = F.lit(False)
-    for regex in patterns.values():
-        anything = anything | _content().rlike("(?m)" + regex)
+    for hint, regex in patterns.values():
+        anything = anything | (_content().rlike(hint) & _content().rlike("(?m)" + regex))
     hit_names = [
         lambda t, n=name, rx=regex: F.when(t.rlike(rx) & ~t.rlike(PLACEHOLDER_VALUE), F.lit(n))
-        for name, regex in patterns.items()
+        for name, (_, regex) in patterns.items()
     ]
     lines = F.transform(
         F.split(_content(), "\n", -1),

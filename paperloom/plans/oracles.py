@@ -631,7 +631,7 @@ WHERE status IN ('FAIL', 'ACCEPTED') GROUP BY ALL"""
 def _secret_oracle() -> str:
     from ..operators.scans import PLACEHOLDER_VALUE, SECRET_PATTERNS
 
-    quoted = {name: rx.replace("'", "''") for name, rx in SECRET_PATTERNS.items()}
+    quoted = {name: rx.replace("'", "''") for name, (_, rx) in SECRET_PATTERNS.items()}
     placeholder = PLACEHOLDER_VALUE.replace("'", "''")
     lines = """SELECT project, path, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS txt FROM (SELECT project, path, string_split(content, chr(10)) AS p FROM fx_texts)"""
     parts = [

@@ -399,8 +399,22 @@ TABLES = {
 }
 
 
+# Tables of a few rows at every scale.
+TINY = ("region", "nation")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    A table that comes as fewer scan partitions than there are cores, such as one small file,
+    is spread over the cores, since the work per text row is far larger than moving the row.
+    A large table has more partitions than cores and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in TINY and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
