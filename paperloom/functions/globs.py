@@ -30,6 +30,8 @@ def glob_body(pattern: Column) -> Column:
     # Two placeholders keep the star replacements apart.
     text = F.regexp_replace(text, r"(^|/)\*\*(?=/)/", "$1\u0001")
     text = F.regexp_replace(text, r"/\*\*$", "/\u0002")
+    # A part of stars only stands for a part that is there, so "a/*" does not mean "a/" itself.
+    text = F.regexp_replace(text, "(?<=^|/|\u0001)\\*+(?=/|$)", "[^/]+")
     text = F.regexp_replace(text, r"\*+", "[^/]*")
     text = F.regexp_replace(text, r"\?", "[^/]")
     text = F.replace(text, F.lit("\u0001"), F.lit("(?:[^/]*/)*"))

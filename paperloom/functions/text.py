@@ -45,12 +45,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line, empty text has none."""
     # A plain newline needs no regular expression; the other line ends are rare.
-    parts = F.when(text.rlike(_RARE_LINE_END), F.split(text, _LINE_END, -1)).otherwise(F.split(text, "\n", -1))
+    parts = let(
+        text,
+        lambda t: F.when(t.rlike(_RARE_LINE_END), F.split(t, _LINE_END, -1)).otherwise(F.split(t, "\n", -1)),
+    )
     return let(
         parts,
-        lambda parts: F.when(
-            F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-        ).otherwise(parts),
+        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p),
     )
 
 

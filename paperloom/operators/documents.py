@@ -237,50 +237,49 @@ def placeholders(docs: DataFrame) -> DataFrame:
     return _emit(docs.where(_content().contains("[")), _placeholders(_content()))
 
 
-def _banned_regex(folded) -> str:
-    several = [quote(p) for p in folded if " " in p]
-    single = [quote(p) for p in folded if " " not in p]
-    whole_word = [f"{NOT_AFTER_WORD}(?:{'|'.join(single)}){NOT_BEFORE_WORD}"] if single else []
-    return "|".join(whole_word + several)
-
-
 def _banned(content: Column, phrases=BANNED) -> Column:
     folded = [_fold(p) for p in phrases]
-    any_phrase = _banned_regex(folded)
     table = F.arrays_zip(
         literal_array(phrases).alias("phrase"),
         literal_array(folded).alias("folded"),
-        literal_array([_banned_regex([f]) for f in folded]).alias("regex"),
-    )
-    hits = F.filter(md.numbered_lines(md.blank_fences(content)), lambda ln: normalize(ln["text"]).rlike(any_phrase))
-
-    def first(line: Column) -> Column:
-        return F.element_at(
-            F.filter(table, lambda p: F.contains(line, p["folded"]) & (F.regexp_instr(line, p["regex"]) > 0)), 1
-        )["phrase"]
+        literal_array([f"{NOT_AFTER_WORD}{quote(f)}{NOT_BEFORE_WORD}" for f in folded]).alias("regex"),
+    )
+    # A substring search over the whole text leaves few phrases, mostly none, for its lines.
+    present = let(normalize(content), lambda text: F.filter(table, lambda p: F.contains(text, p["folded"])))
+
+    def hit(line: Column, p: Column) -> Column:
+        whole_word = F.regexp_instr(line, p["regex"]) > 0
+        return F.contains(line, p["folded"]) & (p["folded"].contains(" ") | whole_word)
+
+    def issues(some: Column) -> Column:
+        first = F.transform(
+            md.numbered_lines(md.blank_fences(content)),
+            lambda ln: F.struct(
+                ln["line"].alias("line"),
+                let(
+                    normalize(ln["text"]),
+                    lambda line: F.get(F.filter(some, lambda p: hit(line, p)), F.lit(0))["phrase"],
+                ).alias("phrase"),
+            ),
+        )
+        return F.transform(
+            F.filter(first, lambda f: f["phrase"].isNotNull()),
+            lambda f: _issue(
+                F.when(f["phrase"].contains(" "), F.lit("banned phrase")).otherwise(F.lit("banned word")),
+                f["phrase"],
+                f["line"],
+            ),
+        )
 
-    found = F.transform(
-        hits, lambda ln: F.struct(ln["line"].alias("line"), first(normalize(ln["text"])).alias("phrase"))
-    )
-    return F.transform(
-        found,
-        lambda f: _issue(
-            F.when(f["phrase"].contains(" "), F.lit("banned phrase")).otherwise(F.lit("banned word")),
-            f["phrase"],
-            f["line"],
-        ),
-    )
+    return let(present, lambda some: F.when(F.size(some) == 0, _no_issues()).otherwise(issues(some)))
 
 
 def banned_words(docs: DataFrame, phrases=BANNED) -> DataFrame:
     """First banned phrase of each line outside code fences, in list order.
 
-    Phrases of several words match as substrings, single words as whole words. One
-    alternation over the whole document sorts out the clean ones; the list is only walked for
-    lines that hit.
+    Phrases of several words match as substrings, single words as whole words.
     """
-    suspicious = docs.where(normalize(_content()).rlike(_banned_regex([_fold(p) for p in phrases])))
-    return _emit(suspicious, _banned(_content(), phrases))
+    return _emit(docs, _banned(_content(), phrases))
 
 
 def _short(content: Column, rel_path: str, minimum: int = MIN_SECTION_CHARS) -> Column:

@@ -67,12 +67,12 @@ def parse_findings(reports: DataFrame) -> DataFrame:
     }
 
     def typed(rows: Column) -> Column:
-        header = F.element_at(F.filter(rows, lambda r: F.get(r, F.lit(0)) == "Check ID"), 1)
+        header = F.get(F.filter(rows, lambda r: F.get(r, F.lit(0)) == "Check ID"), F.lit(0))
 
         def cell(row: Column, title: str) -> Column:
             return F.nullif(F.get(row, F.array_position(header, title).cast("int") - 1), F.lit("—"))
 
-        body = F.filter(rows, lambda r: F.get(r, F.lit(0)).rlike(r"^[A-Z]+-\d+$"))
+        body = F.filter(rows, lambda r: header.isNotNull() & F.get(r, F.lit(0)).rlike(r"^[A-Z]+-\d+$"))
         return F.transform(body, lambda r: F.struct(*[cell(r, t).alias(n) for n, t in columns.items()]))
 
     found = reports.select("session", "audit", "component", F.inline(let(md.table_rows(F.col("content")), typed)))

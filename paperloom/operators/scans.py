@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +127,8 @@ def critical_paths(files: DataFrame, limit: int = CRITICAL_PATHS) -> DataFrame:
     for rank, (name, prefix) in enumerate(TIERS):
         tier = F.when(F.col("path").rlike(prefix), F.lit(name)).otherwise(tier)
         order = F.when(F.col("path").rlike(prefix), F.lit(rank)).otherwise(order)
-    found = files.where(F.col("path").startswith("src/") & _content().rlike("|".join(CRITICAL_WORDS)))
+    mentions = reduce(or_, [_content().contains(word) for word in CRITICAL_WORDS])
+    found = files.where(F.col("path").startswith("src/") & mentions)
     listed = found.select("project", "path", tier.alias("tier"), order.alias("_order"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy("_order", "path"))
     return listed.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_order", "_rank")

@@ -13,8 +13,8 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
     Paths are relative. A filter on ``length`` reaches the scan, and content that is not
     selected is not read. Files that vanish or cannot be read are skipped. Like every Spark
-    file scan this one leaves out names that start with a dot or an underscore;
-    ``list_tree`` has them.
+    file scan this one leaves out empty files and names that start with a dot or an
+    underscore; ``list_tree`` and ``read_tree`` have them.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -99,11 +99,15 @@ def load_content(files: DataFrame, root: str) -> DataFrame:
     return files.mapInPandas(run, f"{fields}, content binary")
 
 
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root`` with content, hidden and empty ones included."""
+    return load_content(list_tree(spark, root), root)
+
+
 def decode(files: DataFrame) -> DataFrame:
     """Bytes to text; ``valid_utf8`` marks rows whose bytes were not valid and had to be replaced."""
-    return files.withColumn("valid_utf8", F.is_valid_utf8("content")).withColumn(
-        "content", F.decode("content", "UTF-8")
-    )
+    text = F.col("content").cast("string")
+    return files.withColumn("valid_utf8", F.is_valid_utf8(text)).withColumn("content", F.make_valid_utf8(text))
 
 
 def write_cleaned(cleaned: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -126,14 +130,15 @@ def changed_originals(cleaned: DataFrame) -> DataFrame:
     return cleaned.where("removed > 0").select("project", "path", F.col("original").alias("content"))
 
 
-def write_context(parts: DataFrame, path: str, order=("first_path",)) -> None:
-    """Write packed text so that the files of a project, read in name order, give its context.
+def write_context(parts: DataFrame, path: str) -> None:
+    """Write packed text so that the files of a project, read in name order, give its context and a line end.
 
-    ``parts`` holds ``project``, the order columns and ``text``. A range partitioning over
-    project and order spreads one large project over many tasks and keeps the order across
-    the files; the closing line end belongs to the last part.
+    ``parts`` is the result of a pack. Rows of a large project start with the separator
+    before them; its first line end is the one the sink writes after the row before. A range
+    partitioning over project and path spreads one large project over many tasks and keeps
+    the order across the files.
     """
-    ordered = parts.repartitionByRange("project", *order).sortWithinPartitions("project", *order)
-    ordered.select("project", "text").write.mode("errorifexists").option("lineSep", "").partitionBy("project").text(
-        path
-    )
+    key = F.collate("first_path", "UNICODE")
+    ordered = parts.repartitionByRange("project", key, "first_path").sortWithinPartitions("project", key, "first_path")
+    text = F.when(~F.col("whole") & F.col("text").startswith("\n"), F.substring("text", 2, 1 << 30)).otherwise(F.col("text"))
+    ordered.select("project", text.alias("text")).write.mode("errorifexists").partitionBy("project").text(path)
