@@ -127,7 +127,7 @@ def fill_template(
             .when(holder == "{{context}}", context)
             .when(holder == "{{fileList}}", files)
             .when(holder == "{{tokenCount}}", tokens.cast("string"))
-            .otherwise(F.format_string("%.4f", usd))
+            .otherwise(tok.usd_text(usd))
         )
         return F.concat(piece, filled)
 

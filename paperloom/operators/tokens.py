@@ -71,6 +71,11 @@ def token_cost(tokens: Column, price: float = PRICE_PER_MILLION) -> Column:
     return tokens / F.lit(1_000_000) * F.lit(price)
 
 
+def usd_text(usd: Column) -> Column:
+    """A price with four decimals, rounded by its exact binary value as C and Go do."""
+    return F.call_function("format_number", usd, F.lit("0.0000"))
+
+
 def estimate_tokens(size: Column) -> Column:
     """Tokens taken as a quarter of the bytes, rounded half away from zero."""
     return F.round(size / 4).cast("bigint")

@@ -235,6 +235,16 @@ _FILL = """CASE WHEN instr({t}, '{{{{context}}}}') > 0 THEN {v} ELSE {v} || chr(
 )
 ORACLES["d04_fill_template"] = f"""WITH {_CONTEXTS}
 SELECT project, {_FILL.format(t='template')} AS output FROM contexts JOIN prompts USING (project) WHERE template IS NOT NULL"""
+# Own texts of a template at even slots, the context rows between them at odd ones.
+_PIECES = """
+pieces AS (SELECT project, unnest(range(0, len(p))) AS i, unnest(p) AS piece, len(p) AS n, files, tokens, usd FROM (
+  SELECT project, files, tokens, usd, string_split(CASE WHEN instr(template, '{{context}}') > 0 THEN template ELSE template || chr(10) || chr(10) || '{{context}}' END, '{{context}}') AS p
+  FROM contexts JOIN prompts USING (project) WHERE template IS NOT NULL))"""
+ORACLES["d04_fill_template_rows"] = f"""WITH {_CONTEXTS}, {_PIECES},
+chunks AS ({ORACLES["d01_pack_xml_rows"]})
+SELECT project, CAST(i * 2 AS INT) AS slot, '' AS first_path, replace(replace(replace(piece, '{{{{fileList}}}}', files), '{{{{tokenCount}}}}', CAST(tokens AS VARCHAR)), '{{{{usdEstimate}}}}', usd) AS text FROM pieces
+UNION ALL
+SELECT p.project, CAST(i * 2 + 1 AS INT), first_path, text FROM pieces p JOIN chunks c ON c.project = p.project WHERE i < n - 1"""
 ORACLES["d05_resolve_template"] = """
 SELECT id, source, coalesce(t.content, inline) AS template, coalesce(t.content, inline) IS NOT NULL AS found
 FROM (SELECT id, source, CASE WHEN instr(source, chr(10)) > 0 OR (regexp_matches(source, '[^\\s]') AND instr(source, '/') = 0

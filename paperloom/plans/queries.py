@@ -223,7 +223,7 @@ def c02_token_cost(v):
         F.sum(tokens.estimate_tokens(byte_length(F.col("text")))).alias("tokens")
     )
     return estimated.select(
-        "source", "tokens", F.format_string("%.4f", tokens.token_cost(F.col("tokens"))).alias("usd")
+        "source", "tokens", tokens.usd_text(tokens.token_cost(F.col("tokens"))).alias("usd")
     )
 
 

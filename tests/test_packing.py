@@ -143,6 +143,12 @@ def test_price(frame):
     assert abs(row - 2 / 1_000_000 * 5) < 1e-12
 
 
+def test_price_text_rounds_by_binary_value(frame):
+    prices = [n * 5e-6 for n in range(0, 4000, 10)]
+    got = frame("u double", *[(u,) for u in prices]).select(tokens.usd_text(F.col("u")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["%.4f" % u for u in prices]
+
+
 def test_packing_cleaned_files_leaves_the_sources(frame):
     files = frame(SCHEMA, ("p", "a.ts", "a // x"))
     assert packing.pack_text(files, clean=True).collect()[0]["text"] == "// file: a.ts\na "
