@@ -46,7 +46,9 @@ def _size(files: DataFrame) -> Column:
 def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_bytes: int) -> DataFrame:
     head, sep, tail = (F.lit(part) for part in layout)
     sizes = files.groupBy("project").agg(F.sum(size).alias("bytes"))
-    large = sizes.where(F.col("bytes") > max_bytes).select("project")
+    # At most all bytes / max_bytes projects are large (100 TB hold fewer than 1.7 million above
+    # 64 MiB), so their names can be broadcast and no content moves to tell them apart.
+    large = F.broadcast(sizes.where(F.col("bytes") > max_bytes).select("project"))
 
     whole = (
         files.join(large, "project", "left_anti")
@@ -61,8 +63,9 @@ def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_
     )
 
     parts = files.join(large, "project", "left_semi").withColumn("_key", F.struct(*_order(extra)))
+    # One row per large project again.
     ends = parts.groupBy("project").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
-    parts = parts.join(ends, "project").select(
+    parts = parts.join(F.broadcast(ends), "project").select(
         "project",
         F.lit(False).alias("whole"),
         F.col("path").alias("first_path"),
@@ -216,20 +219,23 @@ def choose_output(contexts: DataFrame, sources: DataFrame, names: DataFrame, tem
     )
 
 
-def context_bytes(fmt: str) -> Column:
+def context_bytes(files: DataFrame, fmt: str) -> Column:
     """Aggregate: bytes of the packed context of a group of files."""
+    around = {"xml": len('<file path="">\n\n</file>'), "text": len("// file: \n")}[fmt]
     head, sep, tail = (len(part) for part in LAYOUT[fmt])
-    size = F.sum(F.octet_length(_chunk(fmt))) + (F.count(F.lit(1)) - 1) * sep + head + tail
+    size = F.sum(_size(files) + F.octet_length("path") + around) + (F.count(F.lit(1)) - 1) * sep + head + tail
     return size.cast("bigint")
 
 
 def pack_summary(files: DataFrame, fmt: str = "xml") -> DataFrame:
     """Files, bytes, estimated tokens, cost and format per project; the template does not count.
 
-    Sizes add up, so no context is built for it.
+    Sizes add up, so no context is built for it, and with a ``length`` column no content is read.
     """
     fmt = known_format(fmt)
-    totals = files.groupBy("project").agg(F.count(F.lit(1)).alias("files"), context_bytes(fmt).alias("context_bytes"))
+    totals = files.groupBy("project").agg(
+        F.count(F.lit(1)).alias("files"), context_bytes(files, fmt).alias("context_bytes")
+    )
     counted = totals.withColumn("tokens", tok.estimate_tokens(F.col("context_bytes")))
     return counted.withColumn("usd", tok.token_cost(F.col("tokens"))).withColumn("format", F.lit(fmt))
 

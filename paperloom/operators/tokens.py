@@ -73,7 +73,8 @@ def token_cost(tokens: Column, price: float = PRICE_PER_MILLION) -> Column:
 
 def usd_text(usd: Column) -> Column:
     """A price with four decimals, rounded by its exact binary value as C and Go do."""
-    return F.call_function("format_number", usd, F.lit("0.0000"))
+    smallest = F.when(usd >= 0.00005, F.lit("0.0001")).otherwise(F.lit("0.0000"))
+    return F.when(usd < 0.0001, smallest).otherwise(F.call_function("format_number", usd, F.lit("0.0000")))
 
 
 def estimate_tokens(size: Column) -> Column:

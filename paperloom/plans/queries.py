@@ -25,8 +25,12 @@ def query(fn):
     """Register ``fn(v)``, where ``v(name)`` gives a view or a table, under its own name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known: dict[str, DataFrame] = {}
+
         def v(name: str) -> DataFrame:
-            return view(spark, sf_dir, name) if name.startswith("fx_") else table(spark, sf_dir, name)
+            if name not in known:
+                known[name] = (view if name.startswith("fx_") else table)(spark, sf_dir, name)
+            return known[name]
 
         v.spark, v.sf_dir = spark, sf_dir
         return fn(v)
