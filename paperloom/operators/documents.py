@@ -516,7 +516,10 @@ def goal_conflicts(docs: DataFrame) -> DataFrame:
 
 
 def unmentioned_artifacts(artifacts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Artifacts (``project, rel_path``) whose name and path occur in no document of their project."""
+    """Artifacts (``project, rel_path``) whose name and path occur in no document of their project.
+
+    The path ends with the name, so a text without the name is without the path.
+    """
     return _unmentioned(artifacts, _texts(docs), "left")
 
 
@@ -525,9 +528,7 @@ def _unmentioned(artifacts: DataFrame, texts: DataFrame, how: str) -> DataFrame:
     combined = F.concat_ws("\n", *[F.col(c) for c in TEXT_COLUMNS.values()])
     joined = artifacts.join(texts.select("project", combined.alias("_text")), "project", how)
     text = F.coalesce("_text", F.lit(""))
-    return joined.where(~F.contains(text, base_name(path)) & ~F.contains(text, path)).select(
-        "project", path.alias("rel_path")
-    )
+    return joined.where(~F.contains(text, base_name(path))).select("project", path.alias("rel_path"))
 
 
 def status_report(docs: DataFrame) -> DataFrame:

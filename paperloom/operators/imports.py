@@ -13,6 +13,9 @@ from .packing import pack
 # Extensions an import may leave out, in the order they are tried.
 RESOLVED_EXTENSIONS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json")
 
+# Largest set of graph nodes that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 _STRING = r"(?:\"[^\"\n]+\"|'[^'\n]+')"
 IMPORT = (
     rf"\b(?:import|export)\b[^;'\"`()]*?\bfrom\s*{_STRING}"
@@ -119,38 +122,56 @@ def graph_edges(resolved: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _measure(nodes: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of checkpointed nodes."""
+    size = F.octet_length("project") + F.octet_length("path")
+    row = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
 def reachable(edges: DataFrame, entries: DataFrame, max_depth: int = 0) -> DataFrame:
     """``project, path, depth, parent``: files reachable from ``entries`` (``project, path``).
 
     Depth 0 are the entries, 1 their imports; a ``max_depth`` below 1 means no limit. Among
     the importers one step closer the first by path is the parent. Each round expands only
-    the newest level, so cycles end and an edge is used once; every level is checkpointed,
-    which keeps the plan short and survives the loss of an executor.
+    the newest level, so cycles end and an edge is used once. Every level is checkpointed,
+    which keeps the plan short and survives the loss of an executor, and measured: while the
+    level and the nodes seen are small they are broadcast and the edges stay where they are,
+    beyond ``BROADCAST_BYTES`` the joins shuffle.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.checkpoint()
     level = (
         entries.select("project", "path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
         .distinct()
         .checkpoint()
     )
-    if level.isEmpty():
+    rows, level_bytes = _measure(level)
+    if rows == 0:
         raise ValueError("reachability needs at least one entry file")
-    seen, depth = level, 0
+
+    def sized(nodes: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(nodes) if size <= BROADCAST_BYTES else nodes
+
+    seen, seen_bytes, depth = level, level_bytes, 0
     while max_depth < 1 or depth < max_depth:
         depth += 1
-        step = edges.join(
-            level.select("project", F.col("path").alias("src")), ["project", "src"]
-        ).groupBy("project", F.col("dst").alias("path")).agg(F.min("src").alias("parent"))
+        frontier = sized(level.select("project", F.col("path").alias("src")), level_bytes)
+        step = (
+            edges.join(frontier, ["project", "src"])
+            .groupBy("project", F.col("dst").alias("path"))
+            .agg(F.min("src").alias("parent"))
+        )
+        known = sized(seen.select("project", "path"), seen_bytes)
         level = (
-            step.join(seen.select("project", "path"), ["project", "path"], "left_anti")
+            step.join(known, ["project", "path"], "left_anti")
             .select("project", "path", F.lit(depth).alias("depth"), "parent")
             .checkpoint()
         )
-        if level.isEmpty():
+        rows, level_bytes = _measure(level)
+        if rows == 0:
             break
-        seen = seen.unionByName(level)
+        seen, seen_bytes = seen.unionByName(level), seen_bytes + level_bytes
         if depth % 16 == 0:
             seen = seen.checkpoint()
     return seen

@@ -71,6 +71,12 @@ def test_depth_and_reasons(frame):
     assert {r["path"] for r in reach(frame, ["a"], -5).collect()} == set("abcde")
 
 
+def test_large_levels_are_joined_by_a_shuffle(frame, monkeypatch):
+    monkeypatch.setattr(imp, "BROADCAST_BYTES", -1)
+    rows = {r["path"]: (r["depth"], r["parent"]) for r in reach(frame, ["a"]).collect()}
+    assert rows == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "b"), "e": (3, "d")}
+
+
 def test_no_entry_is_an_error(frame):
     with pytest.raises(ValueError):
         reach(frame, [])
