@@ -5,8 +5,6 @@ Input is ``docs(project, rel_path, content)``. Errors fail a project, warnings d
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +31,10 @@ GUIDE_SECTIONS = {
 }
 MIGRATION_SECTION = r"(?mid)^#{1,3}\s*(?:migration plan|db changes|database changes)"
 LOOK_BACK = 8
+MODEL_COVERAGE = 0.5
+
+# Column names of the texts once they share a row.
+TEXT_COLUMNS = {GUIDE: "guide", DATABASE: "database", API: "api", ARCHITECTURE: "architecture", "TESTING_PLAN.md": "testing"}
 
 
 def _content() -> Column:
@@ -68,52 +70,74 @@ def layer_paths(docs: DataFrame) -> DataFrame:
     return _only(docs, ARCHITECTURE).where(_content().rlike(LAYER_PATH)).select("project", "rel_path")
 
 
-def models(docs: DataFrame) -> DataFrame:
-    """``project, model, body`` of the schema block; a repeated name keeps its last body."""
+def _models(database: Column) -> Column:
+    """Array of ``struct(model, body)``; a repeated name keeps its last body."""
     found = let(
-        md.code_block(_content(), "prisma"),
+        md.code_block(database, "prisma"),
         lambda b: F.arrays_zip(
             F.regexp_extract_all(b, F.lit(MODEL), F.lit(1)).alias("model"),
             F.regexp_extract_all(b, F.lit(MODEL), F.lit(2)).alias("body"),
         ),
     )
-    last = let(
+    return let(
         found,
         lambda ms: F.filter(
             ms, lambda m, i: ~F.exists(F.slice(ms, i + 2, F.size(ms)), lambda later: later["model"] == m["model"])
         ),
     )
-    return _only(docs, DATABASE).select("project", F.inline(last))
 
 
-def model_coverage(docs: DataFrame, minimum: float = 0.5) -> DataFrame:
-    """Projects whose API document mentions less than half of the schema's models."""
-    names = let(
-        md.code_block(_content(), "prisma"), lambda b: F.array_distinct(F.regexp_extract_all(b, F.lit(MODEL), F.lit(1)))
-    )
-    listed = _only(docs, DATABASE).select("project", names.alias("names"))
-    api = _only(docs, API).select("project", F.lower(_content()).alias("api"))
-    absent = F.filter("names", lambda n: ~F.contains(F.col("api"), F.lower(n)))
-    counted = listed.join(api, "project").select(
-        "project", F.inline(F.array(F.struct(absent.alias("absent"), F.size("names").cast("bigint").alias("total"))))
+def models(docs: DataFrame) -> DataFrame:
+    """``project, model, body`` of the schema block."""
+    return _only(docs, DATABASE).select("project", F.inline(_models(_content())))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """One row per project with the texts of its required files, null where one is missing."""
+    return docs.groupBy("project").agg(
+        *[F.max(F.when(F.col("rel_path") == p, _content())).alias(c) for p, c in TEXT_COLUMNS.items()]
     )
-    covered = (F.col("total") - F.size("absent")).cast("bigint")
-    return counted.where((F.col("total") > 0) & (covered / F.col("total") < minimum)).select(
-        "project", covered.alias("covered"), "total", F.array_join("absent", ", ").alias("missing")
+
+
+def _weak_coverage(database: Column, api: Column, minimum: float) -> Column:
+    """One ``struct(covered, total, missing)`` when too few models are mentioned, else none."""
+    names = let(
+        md.code_block(database, "prisma"),
+        lambda b: F.array_distinct(F.regexp_extract_all(b, F.lit(MODEL), F.lit(1))),
     )
 
+    def measured(n: Column) -> Column:
+        total = F.size(n["names"]).cast("bigint")
+        absent = F.filter(n["names"], lambda name: ~F.contains(n["api"], F.lower(name)))
+        return let(
+            absent,
+            lambda gone: F.struct(
+                (total - F.size(gone)).cast("bigint").alias("covered"),
+                total.alias("total"),
+                F.array_join(gone, ", ").alias("missing"),
+            ),
+        )
+
+    found = let(F.struct(names.alias("names"), F.lower(api).alias("api")), measured)
+    return F.filter(F.array(found), lambda c: (c["total"] > 0) & (c["covered"] / c["total"] < minimum))
+
+
+def model_coverage(docs: DataFrame, minimum: float = MODEL_COVERAGE) -> DataFrame:
+    """Projects whose API document mentions less than half of the schema's models."""
+    both = _texts(_only(docs, DATABASE, API)).where("database IS NOT NULL AND api IS NOT NULL")
+    return both.select("project", F.inline(_weak_coverage(F.col("database"), F.col("api"), minimum)))
+
 
 def traceability(docs: DataFrame) -> DataFrame:
     """Schema and API documents without a reference to a requirement document."""
     return _only(docs, DATABASE, API).where(~_content().rlike(REQUIREMENT_DOC)).select("project", "rel_path")
 
 
-def list_fields_without_paging(docs: DataFrame) -> DataFrame:
-    """``project, line, root_type, field``: list fields of root operations without paging words.
+def _unpaged(api: Column) -> Column:
+    """Array of ``struct(line, root_type, field)``, found by one walk over the lines of the API block.
 
-    The words are looked for in the line and the eight lines before it. A root type lasts
-    while its brace depth stays above zero, so one that opens its brace on a later line is
-    left at once. The walk over the lines of a block carries only the depth and the type.
+    A root type lasts while its brace depth stays above zero, so one that opens its brace on a
+    later line is left at once. The walk carries only the depth, the type and the findings.
     """
 
     def step(lines: Column, acc: Column, i: Column) -> Column:
@@ -164,27 +188,42 @@ def list_fields_without_paging(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("root_type"),
         F.array().cast("array<struct<line: bigint, root_type: string, field: string>>").alias("found"),
     )
-    found = let(
-        split_lines(md.code_block(_content(), "graphql")),
+    return let(
+        split_lines(md.code_block(api, "graphql")),
         lambda lines: F.aggregate(
             F.transform(lines, lambda _, i: i), start, lambda acc, i: step(lines, acc, i), lambda acc: acc["found"]
         ),
     )
-    return _only(docs, API).where(_content().rlike(LIST_TYPE)).select("project", F.inline(found))
+
+
+def list_fields_without_paging(docs: DataFrame) -> DataFrame:
+    """``project, line, root_type, field``: list fields of root operations without paging words.
+
+    The words are looked for in the line and the eight lines before it.
+    """
+    return _only(docs, API).where(_content().rlike(LIST_TYPE)).select("project", F.inline(_unpaged(_content())))
+
+
+def _timeless(database: Column) -> Column:
+    found = F.filter(
+        _models(database),
+        lambda m: ~m["model"].contains("_") & ~m["body"].contains("createdAt") & ~m["body"].contains("updatedAt"),
+    )
+    return F.transform(found, lambda m: m["model"])
 
 
 def models_without_timestamps(docs: DataFrame) -> DataFrame:
     """Models, join tables aside, that have neither a creation nor an update time."""
-    bare = ~F.col("model").contains("_") & ~F.col("body").contains("createdAt") & ~F.col("body").contains("updatedAt")
-    return models(docs).where(bare).select("project", "model")
+    return _only(docs, DATABASE).select("project", F.explode(_timeless(_content())).alias("model"))
+
+
+def _guide_gaps(guide: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(~guide.rlike(rx), F.lit(name)) for name, rx in GUIDE_SECTIONS.items()]))
 
 
 def guide_sections(docs: DataFrame) -> DataFrame:
     """Sections the implementation guide lacks."""
-    absent = F.array_compact(
-        F.array(*[F.when(~_content().rlike(rx), F.lit(name)) for name, rx in GUIDE_SECTIONS.items()])
-    )
-    return _only(docs, GUIDE).select("project", F.explode(absent).alias("section"))
+    return _only(docs, GUIDE).select("project", F.explode(_guide_gaps(_content())).alias("section"))
 
 
 def migration_section(docs: DataFrame, update_mode: bool = True) -> DataFrame:
@@ -193,42 +232,71 @@ def migration_section(docs: DataFrame, update_mode: bool = True) -> DataFrame:
     return chosen.select("project", "rel_path")
 
 
-def blueprint_issues(docs: DataFrame, update_mode: bool = False) -> DataFrame:
-    """``project, check, detail, severity`` of all checks, with their order of stopping.
+def _checked(docs: DataFrame, update_mode: bool) -> DataFrame:
+    """``project, issues`` for every project; its texts meet in one row, so they are shuffled once."""
+    guide, database, api, architecture = (F.col(c) for c in ("guide", "database", "api", "architecture"))
 
-    A missing file stops everything else; a missing code block skips the checks that read it.
-    """
-    absent = missing_files(docs)
-    complete = docs.join(absent.select("project").distinct(), "project", "left_anti")
-    blocks = missing_blocks(complete)
-    parsed = complete.join(blocks.select("project").distinct(), "project", "left_anti")
-
-    def rows(found: DataFrame, check: str, detail: str, severity: str = "error") -> DataFrame:
-        return found.select(
-            "project", F.lit(check).alias("check"), F.col(detail).alias("detail"), F.lit(severity).alias("severity")
+    def issues(check: str, details: Column, severity: str = "error") -> Column:
+        return F.transform(
+            details,
+            lambda d: F.struct(F.lit(check).alias("check"), d.alias("detail"), F.lit(severity).alias("severity")),
         )
 
+    def named(tests: dict) -> Column:
+        return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in tests.items()]))
+
+    absent = named({p: F.col(c).isNull() for p, c in TEXT_COLUMNS.items()})
+    blocks = named(
+        {
+            "prisma": md.code_block(database, "prisma") == "",
+            "graphql": md.code_block(api, "graphql") == "",
+        }
+    )
+    parsed = F.concat(
+        issues(
+            "model coverage",
+            F.transform(_weak_coverage(database, api, MODEL_COVERAGE), lambda c: c["missing"]),
+        ),
+        issues("paging", F.transform(_unpaged(api), lambda f: f["field"]), "warning"),
+        issues("timestamps", _timeless(database)),
+    )
     checks = [
-        rows(absent, "missing file", "rel_path"),
-        rows(blocks, "missing block", "language"),
-        rows(layer_paths(complete), "layer path", "rel_path"),
-        rows(model_coverage(parsed), "model coverage", "missing"),
-        rows(traceability(complete), "traceability", "rel_path"),
-        rows(list_fields_without_paging(parsed), "paging", "field", "warning"),
-        rows(models_without_timestamps(parsed), "timestamps", "model"),
-        rows(guide_sections(complete), "guide section", "section"),
+        issues("layer path", named({ARCHITECTURE: architecture.rlike(LAYER_PATH)})),
+        issues(
+            "traceability",
+            named({DATABASE: ~database.rlike(REQUIREMENT_DOC), API: ~api.rlike(REQUIREMENT_DOC)}),
+        ),
+        issues("guide section", _guide_gaps(guide)),
     ]
     if update_mode:
-        checks.append(rows(migration_section(complete), "migration section", "rel_path"))
-    return reduce(DataFrame.unionByName, checks)
+        checks.append(issues("migration section", named({DATABASE: ~database.rlike(MIGRATION_SECTION)})))
+    none = F.array().cast("array<struct<check: string, detail: string, severity: string>>")
+    content = let(
+        blocks,
+        lambda b: F.concat(issues("missing block", b), F.when(F.size(b) == 0, parsed).otherwise(none)),
+    )
+    found = let(
+        absent,
+        lambda a: F.when(F.size(a) > 0, issues("missing file", a)).otherwise(F.concat(content, *checks)),
+    )
+    return _texts(docs).select("project", F.explode(F.array(found)).alias("issues"))
+
+
+def blueprint_issues(docs: DataFrame, update_mode: bool = False) -> DataFrame:
+    """``project, check, detail, severity`` of all checks.
+
+    A missing file stops everything else; a missing code block skips the checks that read it.
+    """
+    return _checked(docs, update_mode).select("project", F.inline("issues"))
 
 
 def blueprint_verdict(docs: DataFrame, update_mode: bool = False) -> DataFrame:
     """``project, errors, warnings, passed`` for every project, clean ones included."""
-    counts = blueprint_issues(docs, update_mode).groupBy("project").agg(
-        F.count_if(F.col("severity") == "error").alias("errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"),
+
+    def count(severity: str) -> Column:
+        return F.size(F.filter("issues", lambda i: i["severity"] == severity)).cast("bigint")
+
+    counted = _checked(docs, update_mode).select(
+        "project", count("error").alias("errors"), count("warning").alias("warnings")
     )
-    joined = docs.select("project").distinct().join(counts, "project", "left")
-    filled = joined.fillna(0, ["errors", "warnings"])
-    return filled.withColumn("passed", F.col("errors") == 0)
+    return counted.withColumn("passed", F.col("errors") == 0)

@@ -43,7 +43,9 @@ def _size(files: DataFrame) -> Column:
     return F.col("length").cast("bigint") if "length" in files.columns else byte_length(F.col("content"))
 
 
-def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_bytes: int) -> DataFrame:
+def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_bytes: int, prepare=None) -> DataFrame:
+    """Pack ``chunk`` of each file; ``prepare`` rewrites files after they are sorted by project size."""
+    prepare = prepare or (lambda df: df)
     head, sep, tail = (F.lit(part) for part in layout)
     sizes = files.groupBy("project").agg(F.sum(size).alias("bytes"))
     # At most all bytes / max_bytes projects are large (100 TB hold fewer than 1.7 million above
@@ -51,7 +53,7 @@ def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_
     large = F.broadcast(sizes.where(F.col("bytes") > max_bytes).select("project"))
 
     whole = (
-        files.join(large, "project", "left_anti")
+        prepare(files.join(large, "project", "left_anti"))
         .groupBy("project")
         .agg(F.sort_array(F.collect_list(F.struct(*_order(extra), chunk.alias("chunk")))).alias("items"))
         .select(
@@ -65,7 +67,7 @@ def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_
     parts = files.join(large, "project", "left_semi").withColumn("_key", F.struct(*_order(extra)))
     # One row per large project again.
     ends = parts.groupBy("project").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
-    parts = parts.join(F.broadcast(ends), "project").select(
+    parts = prepare(parts).join(F.broadcast(ends), "project").select(
         "project",
         F.lit(False).alias("whole"),
         F.col("path").alias("first_path"),
@@ -88,10 +90,10 @@ def pack(
     the rows of a project, in the order of ``first_path``, concatenate to it. With ``clean``
     comments are dropped first, the sources stay untouched.
     """
-    if clean:
-        files = clean_files(files, **cleaning).drop("length")
     fmt = known_format(fmt)
-    return _assemble(files, _chunk(fmt), _size(files), LAYOUT[fmt], tie, max_bytes)
+    # Cleaning never makes a text longer, so sizes before it bound those after it.
+    prepare = (lambda df: clean_files(df, **cleaning)) if clean else None
+    return _assemble(files, _chunk(fmt), _size(files), LAYOUT[fmt], tie, max_bytes, prepare)
 
 
 def pack_xml(files: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LISTING = "path string, length bigint, modified timestamp"
+from ..session import ensure_checkpoint_dir
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -63,16 +63,18 @@ def _list_below(root: str):
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length, modified)`` of all files below ``root``, hidden names included.
 
-    One job per directory level; every directory is one row of work. Version-control
-    directories are not entered and unreadable ones are skipped.
+    One job per directory level; every directory is one row of work. Each level is
+    checkpointed, so no directory is listed twice. Version-control directories are not
+    entered and unreadable ones are skipped.
     """
+    ensure_checkpoint_dir(spark)
     schema = "path string, length bigint, modified timestamp, is_dir boolean"
     width = spark.sparkContext.defaultParallelism
-    level = spark.createDataFrame([("",)], "path string").mapInPandas(_list_below(root), schema).persist()
+    level = spark.createDataFrame([("",)], "path string").mapInPandas(_list_below(root), schema).checkpoint()
     found = level
     while not level.where("is_dir").isEmpty():
         level = (
-            level.where("is_dir").select("path").repartition(width).mapInPandas(_list_below(root), schema).persist()
+            level.where("is_dir").select("path").repartition(width).mapInPandas(_list_below(root), schema).checkpoint()
         )
         found = found.unionByName(level)
     return found.where("NOT is_dir").select("path", "length", "modified")
