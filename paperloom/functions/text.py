@@ -79,6 +79,21 @@ def parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def clean_path(path: Column) -> Column:
+    """Resolve ``.`` and ``..`` parts; a path that leaves the project becomes null."""
+    stepped = F.aggregate(
+        F.split(path, "/", -1),
+        F.array().cast("array<string>"),
+        lambda acc, part: F.when(acc.isNull() | part.isin("", "."), acc)
+        .when(
+            part == "..",
+            F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))),
+        )
+        .otherwise(F.concat(acc, F.array(part))),
+    )
+    return F.array_join(stepped, "/")
+
+
 def byte_length(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 

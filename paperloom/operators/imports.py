@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import segments
-from ..functions.text import parent_dir, quote
+from ..functions.text import clean_path, parent_dir, quote
 from ..session import ensure_checkpoint_dir
 from .packing import pack
 
@@ -40,21 +40,6 @@ def import_edges_raw(files: DataFrame, strip_comments: bool = True) -> DataFrame
     return found.select("project", "path", specifier.alias("specifier"), kind.alias("kind"))
 
 
-def _clean_path(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` parts; a path that leaves the project becomes null."""
-    stepped = F.aggregate(
-        F.split(path, "/", -1),
-        F.array().cast("array<string>"),
-        lambda acc, part: F.when(acc.isNull() | part.isin("", "."), acc)
-        .when(
-            part == "..",
-            F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))),
-        )
-        .otherwise(F.concat(acc, F.array(part))),
-    )
-    return F.array_join(stepped, "/")
-
-
 def _target(path: Column, specifier: Column, aliases) -> Column:
     """Project path a specifier points to, without extension handling; null for packages."""
     local = F.when(
@@ -68,7 +53,7 @@ def _target(path: Column, specifier: Column, aliases) -> Column:
             )
         else:
             local = local.when(specifier == alias, F.lit(target))
-    return _clean_path(local)
+    return clean_path(local)
 
 
 def file_keys(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_length, let
+from ..functions.text import byte_length, clean_path, let
 from . import tokens as tok
 from .cleaning import clean_files
 from .selection import locale_key
@@ -174,11 +174,12 @@ def looks_inline(source: Column) -> Column:
 
 
 def resolve_source(sources: DataFrame, templates: DataFrame) -> DataFrame:
-    """Add ``template`` and ``found``: a stored template of that name, else inline text, else nothing."""
-    stored = templates.select(F.col("name").alias("source"), F.col("content").alias("_stored"))
+    """Add ``template`` and ``found``: a stored template of that path, else inline text, else nothing."""
+    stored = templates.select(F.col("name").alias("_path"), F.col("content").alias("_stored"))
     inline = F.when(looks_inline(F.col("source")), F.col("source"))
-    joined = sources.join(stored, "source", "left").withColumn("template", F.coalesce("_stored", inline))
-    return joined.withColumn("found", F.col("template").isNotNull()).drop("_stored")
+    joined = sources.withColumn("_path", clean_path(F.col("source"))).join(stored, "_path", "left")
+    joined = joined.withColumn("template", F.coalesce("_stored", inline))
+    return joined.withColumn("found", F.col("template").isNotNull()).drop("_path", "_stored")
 
 
 def resolve_name(names: DataFrame, templates: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.globs import directory_prefixes
-from ..functions.text import let, literal_array, parent_dir, split_lines, trim_space
-from .imports import _clean_path
+from ..functions.text import clean_path, let, literal_array, parent_dir, split_lines, trim_space
 
 # Runtimes by priority, the base names that mark them, their tier.
 RUNTIMES = (
@@ -203,7 +202,7 @@ def broken_links(docs: DataFrame, files: DataFrame) -> DataFrame:
         "project",
         "rel_path",
         "link",
-        F.when(named == "", F.col("rel_path")).otherwise(_clean_path(base)).alias("target"),
+        F.when(named == "", F.col("rel_path")).otherwise(clean_path(base)).alias("target"),
         F.nullif(F.regexp_extract("link", r"#(.*)$", 1), F.lit("")).alias("slug"),
     )
 

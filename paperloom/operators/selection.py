@@ -223,6 +223,26 @@ def effective_config(configs: DataFrame) -> DataFrame:
     )
 
 
+def ignore_sources(config: DataFrame, files: DataFrame, tool_file: str | None = None, clean: bool = False) -> DataFrame:
+    """Ignore texts of each project for ``ignore_rules``: configuration, version-control file, tool file.
+
+    ``config`` comes from ``effective_config``. The version-control file counts unless the
+    configuration says otherwise; only files at the project root are looked at. With ``clean``
+    the lists for cleaning are added and its own switch is used.
+    """
+    lists = F.concat("pack_ignore", "clean_ignore") if clean else F.col("pack_ignore")
+    switch = "clean_use_vcs_ignore" if clean else "pack_use_vcs_ignore"
+    configured = config.where(~F.col("invalid")).select(
+        "project", F.lit(1).alias("origin_ord"), F.array_join(lists, "\n").alias("content")
+    )
+    texts = files.where(F.col("path") == ".gitignore").join(config.where(switch).select("project"), "project", "left_semi")
+    sources = configured.unionByName(texts.select("project", F.lit(2).alias("origin_ord"), "content"))
+    if tool_file:
+        own = files.where(F.col("path") == tool_file)
+        sources = sources.unionByName(own.select("project", F.lit(3).alias("origin_ord"), "content"))
+    return sources
+
+
 def list_files(files: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
     """Paths only, or ``path``, arrow and reason when ``reasons`` (project, path, reason) is given."""
     if reasons is None:

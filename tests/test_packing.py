@@ -80,9 +80,9 @@ def test_looks_inline(frame, value, inline):
 
 def test_template_lookup(frame):
     templates = frame("name string, content string", ("review.md", "M"), ("review.txt", "T"), ("only.txt", "O"), ("x/p.md", "P"))
-    sources = frame("source string", ("review.md",), ("do it",), ("gone.md",), ("x/p.md",))
+    sources = frame("source string", ("review.md",), ("do it",), ("gone.md",), ("x/p.md",), ("./x/../review.md",))
     found = {r["source"]: r["template"] for r in packing.resolve_source(sources, templates).collect()}
-    assert found == {"review.md": "M", "do it": "do it", "gone.md": None, "x/p.md": "P"}
+    assert found == {"review.md": "M", "do it": "do it", "gone.md": None, "x/p.md": "P", "./x/../review.md": "M"}
     names = frame("named string", ("review",), ("review.txt",), ("only",), ("gone",))
     found = {r["named"]: r["template"] for r in packing.resolve_name(names, templates).collect()}
     assert found == {"review": "M", "review.txt": "T", "only": "O", "gone": None}

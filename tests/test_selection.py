@@ -145,6 +145,21 @@ def test_config_of_wrong_type_is_an_error_row(frame):
     assert row["invalid"] and row["whitelist"] is None
 
 
+def test_ignore_sources_follow_the_configuration(frame):
+    config = sel.effective_config(
+        frame("project string, json string", ("p", '{"packer":{"ignore":["gen"]}}'), ("q", '{"packer":{"useGitignore":false}}'))
+    )
+    schema = "project string, path string, content string"
+    files = frame(
+        schema,
+        *[(p, path, text) for p in "pq" for path, text in ((".gitignore", "*.log"), (".toolignore", "*.md"), ("sub/.gitignore", "*.ts"))],
+        *[(p, path, "") for p in "pq" for path in ("a.log", "b.md", "c.ts", "gen/x.ts", "dist/y.ts")],
+    )
+    found = sel.ignore_filter(files, sel.ignore_rules(sel.ignore_sources(config, files, ".toolignore")))
+    left = sorted((r["project"], r["path"]) for r in found.collect() if not r["path"].endswith("ignore"))
+    assert left == [("p", "c.ts"), ("p", "dist/y.ts"), ("q", "a.log"), ("q", "c.ts"), ("q", "gen/x.ts")]
+
+
 def make_tree(root):
     for path, data in {
         "src/a.ts": b"a", "src/deep/b.ts": b"bb", ".gitignore": b"*.log\n", ".git/config": b"x", "_x/c.ts": b"ccc", "d.log": b"",
