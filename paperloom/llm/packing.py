@@ -26,7 +26,7 @@ END_ID = 2
 #: Open windows a task may hold, each with at most ``window`` ids.
 OPEN_WINDOWS = 1024
 #: Distinct words whose ids a worker remembers, and the longest word remembered.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 350_000
 LONGEST_KEPT = 48
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -34,40 +34,69 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 class WordEncoder:
     """Ids of texts, remembered word by word. A vocabulary whose pre-tokenizer never joins
-    across white space gives the same ids for a text as for its words one after another."""
+    across white space gives the same ids for a text as for its words one after another.
+
+    Two generations are remembered: when the newer is full it becomes the older, and words met
+    again come back into the newer."""
 
     def __init__(self, definition: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
+        self.table = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
+        # whether case does not matter, and a word of plain letters is one piece for the model; probed
+        # on words of several kinds, and else every word takes the whole way through the library
+        probes = [b"a", b"the", b"qzx", b"internationalisation", b"s", b"xyzzyplugh"]
+        self.folds = self._whole([p.upper() for p in probes]) == self._whole(probes)
+        self.plain = self.folds and self._whole(probes) == [self._letters(p) for p in probes]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit numbers."""
-        split = [(text or "").encode().split() for text in texts]
+        split = [self._words(text or "") for text in texts]
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        known = self.known
-        fresh = list(set().union(*split).difference(known))
-        met = dict(zip(fresh, self._ids(fresh), strict=True))
-        for word, ids in met.items():
-            if len(word) <= LONGEST_KEPT:
+            self.known, self.older = {}, self.known
+        known, older, long = self.known, self.older, {}
+        rest = []
+        for word in set().union(*split).difference(known):
+            ids = older.get(word)
+            if ids is None and self.plain:
+                if word.isalpha() and word.islower():
+                    ids = self._letters(word)
+                elif word[-1] in b".,;:!|" and word[:-1].isalpha() and word.islower():
+                    # letters end a piece, and so does the end of the word
+                    mark = word[-1:]
+                    if mark not in known:
+                        known[mark] = self._whole([mark])[0]
+                    ids = (known.get(word[:-1]) or self._letters(word[:-1])) + known[mark]
+            if ids is None:
+                rest.append(word)
+            elif len(word) <= LONGEST_KEPT:
                 known[word] = ids
-        look = _Both(known, met).__getitem__ if any(len(w) > LONGEST_KEPT for w in fresh) else known.__getitem__
+            else:
+                long[word] = ids
+        for word, ids in zip(rest, self._whole(rest), strict=True):
+            (known if len(word) <= LONGEST_KEPT else long)[word] = ids
+        look = known.__getitem__ if not long else lambda word: known[word] if word in known else long[word]
         return [b"".join(map(look, words)) + self.end for words in split]
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
-
+    def _words(self, text: str) -> list[bytes]:
+        """Words of a text, capitals of the basic alphabet folded unless a combining mark (the bytes
+        0xCC and 0xCD begin those that join with such letters) might make that matter."""
+        data = text.encode()
+        return (data.lower() if self.folds and b"\xcc" not in data and b"\xcd" not in data else data).split()
 
-class _Both(dict):
-    """Looks a word up among the remembered ones first."""
+    def _letters(self, word: bytes) -> bytes:
+        table = self.table
+        return b"".join([table[token.id] for token in self.model.tokenize(word.decode())])
 
-    def __init__(self, known: dict, met: dict):
-        super().__init__(known)
-        self.update(met)
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        table = self.table
+        out = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [b"".join([table[i] for i in x.ids]) for x in out]
 
 
 class Packer:
