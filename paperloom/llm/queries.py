@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, licenses, lines, packing, pages, ppm, quality, topk
+from paperloom.llm import bpe, jaccard, licenses, lines, packing, pages, ppm, quality, substrings, topk
 
 
 @cache
@@ -42,6 +42,14 @@ def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -69,6 +77,8 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
     "op3_ppm_score": op3_ppm_score,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_exact_topk": op7_exact_topk,
     "op8_sum_of_squares": op8_sum_of_squares,
@@ -114,3 +124,63 @@ SELECT l.doc_id, CAST(coalesce(len(l.ls), 0) AS BIGINT) AS n_lines, CAST(coalesc
        kept.text AS text
 FROM l LEFT JOIN kept ON kept.doc_id = l.doc_id
 """
+
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES["op4_ngram_jaccard"] = (
+    """
+WITH RECURSIVE d AS (
+    SELECT doc_id, """
+    + _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """ AS ws FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o
+    FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+),
+link AS (
+    SELECT x, y FROM pair JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+    WHERE 100 * o >= 75 * (nx.n + ny.n - o)
+),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc, other) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT reach.doc, e.y FROM reach JOIN e ON e.x = reach.other
+),
+least AS (SELECT doc, min(other) AS component_id FROM reach GROUP BY doc)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON least.doc = d.doc_id
+"""
+)
+
+ORACLES["op5_substring_dedup"] = (
+    """
+WITH d AS (SELECT doc_id, """
+    + _WORDS.format(text="coalesce(text, '')")
+    + """ AS ws FROM documents),
+w AS (
+    SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 50], ' ')) AS k
+    FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 49, 0))) AS i FROM d)
+),
+low AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (
+    SELECT DISTINCT doc_id, i + j AS at
+    FROM (SELECT w.doc_id, w.i FROM w JOIN low ON low.k = w.k WHERE low.least < w.doc_id), (SELECT unnest(range(0, 50)) AS j)
+),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS at FROM d),
+kept AS (
+    SELECT word.doc_id, count(gone.at) AS n_removed,
+           string_agg(CASE WHEN gone.at IS NULL THEN word.word END, ' ' ORDER BY word.at) AS rest
+    FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.at = word.at GROUP BY word.doc_id
+)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(kept.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+)
