@@ -9,10 +9,12 @@ The order of all n-grams is cut into fragments by hash, and each fragment counts
 2. The rest, one text for each distinct set, is ordered by frequency, again by fragment, rare n-grams
    first. Sets that link share an n-gram of their prefixes; those n-grams are the postings.
 3. Links are sought in rounds. The members of a posting are met by a few of its first members, the
-   hubs, twice as many each round, but only where the two are not yet connected. The overlap of
+   hubs, four times as many each round, but only where the two are not yet connected. The overlap of
    such a pair is counted fragment by fragment and summed. Connected members need not meet, so a
    group of copies of any size costs one pair a member; a posting is done when its members are
-   connected or all have been hubs. No pair that could connect anything is left out.
+   connected or all have been hubs. A pair is counted only if what either set has from the common
+   n-gram on could suffice, as it must at the first n-gram they share. No pair that could connect
+   anything is left out.
 
 N-grams and sets are known by 64-bit hashes.
 """
@@ -27,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.scratch import Scratch
 from paperloom.llm.words import LOWER, Spans, buffers, mix, per_text, slices, whole, windows
-from paperloom.session import ensure_checkpoint_dir
 
 WORDS = 5
 PERCENT = 75
@@ -169,7 +171,7 @@ def _may_link(size: Column, shared: Column, percent: int) -> Column:
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Component of each set that links with another: columns set, component (the least set id of the
     component). ``sets``: set, size, grams (array of distinct bigint), one row for each set."""
-    spark = sets.sparkSession
+    scratch = Scratch(sets.sparkSession)
     tokens = sets.select("set", "size", F.explode("grams").alias("gram"))
     # the frequency of an n-gram is added up before it is joined to its sets
     frequent = tokens.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -177,32 +179,38 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = F.col("size") - F.size("order")
     # the prefix has size - ceil(percent * size / 100) + 1 n-grams, the set's own ones first
     prefix = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - own).cast("int")
-    prefixes = shared.where(prefix > 0).select("set", "size", F.explode(F.slice("order", 1, prefix)).alias("t"))
+    prefixes = shared.where(prefix > 0).select("set", "size", F.size("order").alias("common"), F.posexplode(F.slice("order", 1, prefix)).alias("place", "t"))
     ranked = Window.partitionBy("gram").orderBy("set")
-    postings = prefixes.select("set", "size", F.col("t.gram").alias("gram")).withColumn("rank", F.row_number().over(ranked) - 1)
+    # ``left`` n-grams of the set come at or after this one
+    postings = prefixes.select("set", "size", F.col("t.gram").alias("gram"), (F.col("common") - F.col("place")).alias("left")).withColumn("rank", F.row_number().over(ranked) - 1)
     members = postings.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    postings = postings.join(members, "gram").checkpoint()
+    postings = scratch.write(postings.join(members, "gram"), "postings")
     part = F.pmod(F.shiftright("gram", 32), F.lit(OVERLAP_FRAGMENTS))
-    fragments = tokens.join(postings.select("set").distinct(), "set", "left_semi").groupBy("set", part.alias("fragment")).agg(F.collect_list("gram").alias("grams")).checkpoint()
-    component = postings.select("set").distinct().select("set", F.col("set").alias("component")).checkpoint()
+    fragments = tokens.join(postings.select("set").distinct(), "set", "left_semi").groupBy("set", part.alias("fragment")).agg(F.collect_list("gram").alias("grams"))
+    fragments = scratch.write(fragments, "fragments")
+    component = scratch.write(postings.select("set").distinct().select("set", F.col("set").alias("component")), "component")
     first, hubs = 0, 1
     while True:
         placed = postings.join(component, "set")
-        met = placed.where((F.col("rank") >= first) & (F.col("rank") < first + hubs)).select("gram", F.col("set").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a"))
+        met = placed.where((F.col("rank") >= first) & (F.col("rank") < first + hubs)).select("gram", F.col("set").alias("a"), F.col("size").alias("size_a"), F.col("left").alias("left_a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a"))
         pairs = met.join(placed, "gram").where((F.col("rank") > F.col("rank_a")) & (F.col("component") != F.col("component_a")))
-        pairs = pairs.where((100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a"))).select("a", "size_a", F.col("set").alias("b"), F.col("size").alias("size_b")).distinct()
+        # at its first common n-gram a pair has no more in common than what either set has from there on
+        most = F.least("left", "left_a")
+        pairs = pairs.where(100 * most >= percent * (F.col("size") + F.col("size_a") - most)).select("a", "size_a", F.col("set").alias("b"), F.col("size").alias("size_b")).distinct()
         overlap = pairs.join(fragments.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("grams_a")), "a").join(fragments.select(F.col("set").alias("b"), "fragment", "grams"), ["b", "fragment"])
         overlap = overlap.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams")).alias("n")).groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         found = overlap.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b")
-        edges = found.join(component.select(F.col("set").alias("a"), F.col("component").alias("u")), "a").join(component.select(F.col("set").alias("b"), F.col("component").alias("v")), "b").select("u", "v").distinct().checkpoint()
+        edges = found.join(component.select(F.col("set").alias("a"), F.col("component").alias("u")), "a").join(component.select(F.col("set").alias("b"), F.col("component").alias("v")), "b")
+        edges = scratch.write(edges.select("u", "v").distinct(), "edges")
         if not edges.isEmpty():
             merged = connected(edges)
-            component = component.join(merged.select(F.col("node").alias("component"), "least"), "component", "left").select("set", F.coalesce("least", "component").alias("component")).checkpoint()
-        first, hubs = first + hubs, hubs * 2
+            component = component.join(merged.select(F.col("node").alias("component"), "least"), "component", "left").select("set", F.coalesce("least", "component").alias("component"))
+            component = scratch.write(component, "component")
+        first, hubs = first + hubs, hubs * 4
         # what is left: members from the next hub on, where members are not all connected
         left = postings.where(F.col("rank") >= first)
         mixed = left.join(component, "set").groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("gram")
-        postings = left.join(mixed, "gram", "left_semi").checkpoint()
+        postings = scratch.write(left.join(mixed, "gram", "left_semi"), "postings")
         if postings.isEmpty():
             return component
 
@@ -210,13 +218,15 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """Least node of the component of every node that has an edge: columns node, least. Each round
     every node takes the least label around it, then the label of its label, until none changes."""
-    both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v"), F.col("u"))).distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")).checkpoint()
+    scratch = Scratch(edges.sparkSession)
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v"), F.col("u"))).distinct()
+    both = scratch.write(both, "both")
+    labels = scratch.write(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("now")), "labels").withColumnRenamed("now", "least")
     while True:
         around = both.join(labels.select(F.col("node").alias("other"), F.col("least").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         step = labels.join(around, "node").select("node", F.least("least", "near").alias("next"), "least")
         jump = step.join(labels.select(F.col("node").alias("next"), F.col("least").alias("far")), "next", "left")
-        moved = jump.select("node", F.least("next", F.coalesce("far", "next")).alias("now"), "least").checkpoint()
+        moved = scratch.write(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("now"), "least"), "labels")
         labels = moved.select("node", F.col("now").alias("least"))
         if moved.where("now != least").isEmpty():
             return labels
@@ -230,8 +240,7 @@ def classes(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     null or empty text, or one of white space, has none and no links. Equal texts link; rows that
     share an id are vertices each, with one number. A null id is never the smallest; a component of
     null ids alone has a null id. An empty table gives an empty result."""
-    spark = documents.sparkSession
-    ensure_checkpoint_dir(spark)
+    scratch = Scratch(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one n-gram for every six bytes
@@ -239,11 +248,13 @@ def classes(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     kind = "doc_ids array<bigint>, sets array<bigint>, sizes array<bigint>, versions array<bigint>"
     sent = rows.mapInArrow(_send(fragments, words), f"fragment int, block bigint, counts binary, grams binary, {kind}")
     counted = sent.groupBy("fragment").applyInArrow(_count_alone, f"block bigint, alone binary, {kind}")
-    members = counted.groupBy("block").applyInArrow(_sum_alone, "doc_id bigint, set bigint, size bigint, version bigint, alone bigint").checkpoint()
+    members = counted.groupBy("block").applyInArrow(_sum_alone, "doc_id bigint, set bigint, size bigint, version bigint, alone bigint")
+    members = scratch.write(members, "members")
     # equal sets are one; an n-gram that only copies of one set have still counts as shared here
     able = members.where((F.col("size") > 1) & _may_link(F.col("size"), F.col("size") - F.col("alone"), percent))
     chosen = able.groupBy("set").agg(F.min("version").alias("version")).select("version").distinct()
-    sets = rows.select("version", "text").join(chosen, "version", "left_semi").dropDuplicates(["version"]).mapInArrow(_sets(words), "set bigint, size bigint, grams array<bigint>").dropDuplicates(["set"]).checkpoint()
+    sets = rows.select("version", "text").join(chosen, "version", "left_semi").dropDuplicates(["version"]).mapInArrow(_sets(words), "set bigint, size bigint, grams array<bigint>").dropDuplicates(["set"])
+    sets = scratch.write(sets, "sets")
     linked = links(sets, percent)
     whole_class = F.coalesce("component", "set").alias("group")
     grouped = members.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("least")).join(linked, "set", "left").select("set", "least", whole_class)
