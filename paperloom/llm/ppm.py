@@ -157,30 +157,40 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], found])), pa.array(np.concatenate([[size, tokens], pairs[found]]))], names=["code", "n"])
 
 
-def _add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge distinct keys and their counts with further keys, each with a weight."""
-    found, inverse = np.unique(np.concatenate([keys, more]), return_inverse=True)
-    return found, np.bincount(inverse, np.concatenate([counts, weights]), minlength=len(found)).astype(np.int64)
-
-
 class Dictionary:
-    """Distinct grams and words of a block with their training counts, in the order of sending:
-    by fragment, then by value."""
+    """Distinct grams and words of a block in the order of sending: by fragment, then by value; with
+    their training counts, or with the place of each text's grams and words in the dictionary."""
 
-    def __init__(self, docs: pa.Table, fragments: int):
-        none = np.zeros(0, np.uint64)
-        self.kinds = [(none, np.zeros(0, np.int64)), (none, np.zeros(0, np.int64))]
+    def __init__(self, docs: pa.Table, fragments: int, counting: bool):
+        found: tuple[list, list] = ([], [])
+        amounts: tuple[list, list] = ([], [])
+        self.parts = []
         for batch in docs.to_batches():
             for part in slices(batch):
                 spans = _words(part.column("text"))
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 codes, ends = scored(*stream(spans))
+                places = []
                 for kind, (values, owners) in enumerate(((codes, np.diff(ends)), (spans.hashes(), spans.counts))):
-                    own, counts = np.unique(values, return_inverse=True)
-                    counts = np.bincount(counts, np.repeat(train, owners), minlength=len(own)).astype(np.int64)
-                    self.kinds[kind] = _add(*self.kinds[kind], own, counts)
-        self.order, self.ends = [], []
-        for kind, (keys, _) in enumerate(self.kinds):
+                    if counting:
+                        own = np.unique(values)
+                        seen, n = np.unique(values[np.repeat(train, owners)], return_counts=True)
+                        counts = np.zeros(len(own), np.int64)
+                        counts[np.searchsorted(own, seen)] = n
+                        amounts[kind].append(counts)
+                    else:
+                        own, inverse = np.unique(values, return_inverse=True)
+                        places.append((own, inverse.astype(np.int32)))
+                    found[kind].append(own)
+                if not counting:
+                    self.parts.append((part.column("doc_id"), part.column("held_out"), ends, spans.first, places))
+        self.keys, self.counts, self.order, self.ends = [], [], [], []
+        for kind in (0, 1):
+            every = np.concatenate([*found[kind], np.zeros(0, np.uint64)])
+            keys = np.unique(every)
+            self.keys.append(keys)
+            if counting:
+                self.counts.append(np.bincount(np.searchsorted(keys, every), np.concatenate([*amounts[kind], np.zeros(0, np.int64)]), minlength=len(keys)).astype(np.int64))
             fragment = fragment_of(keys, kind, fragments)
             self.order.append(np.argsort(fragment, kind="stable"))
             self.ends.append(np.concatenate([[0], np.cumsum(np.bincount(fragment, minlength=fragments))]))
@@ -210,10 +220,10 @@ WIDTHS = (ORDER + 1, 8)
 def _send(fragments: int):
     def run(docs: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
-        book = Dictionary(docs, fragments)
+        book = Dictionary(docs, fragments, True)
         rows = []
         for kind in (0, 1):
-            keys, counts = (x[book.order[kind]] for x in book.kinds[kind])
+            keys, counts = (x[kind][book.order[kind]] for x in (book.keys, book.counts))
             for f in range(fragments):
                 part = slice(book.ends[kind][f], book.ends[kind][f + 1])
                 if part.start < part.stop:
@@ -246,7 +256,7 @@ def _score(fragments: int, train_tokens: int, train_texts: int):
     end_price = np.log10(train_texts + 0.5)
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        book = Dictionary(docs, fragments)
+        book = Dictionary(docs, fragments, False)
         said = sorted(zip(replies.column("fragment").to_pylist(), replies.column("prices").to_pylist(), strict=True))
         values = []
         for kind, form in ((0, "<f8"), (1, "<i8")):
@@ -255,15 +265,12 @@ def _score(fragments: int, train_tokens: int, train_texts: int):
             back[book.order[kind]] = own
             values.append(back)
         out = []
-        for batch in docs.to_batches():
-            for part in slices(batch):
-                spans = _words(part.column("text"))
-                codes, ends = scored(*stream(spans))
-                score = per_text(values[0][np.searchsorted(book.kinds[0][0], codes)], ends)
-                counts = values[1][np.searchsorted(book.kinds[1][0], spans.hashes())] if len(spans.starts) else np.zeros(0, np.int64)
-                known = per_text(counts > 0, spans.first) + (train_texts > 0)
-                base = per_text(np.log10(counts + 0.5), spans.first) + end_price
-                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (spans.counts + 1, known.astype(np.int64), np.full(part.num_rows, train_tokens), base, score))], names=RESULT))
+        for doc_id, held_out, ends, first, places in book.parts:
+            price, counts = (values[kind][np.searchsorted(book.keys[kind], own)][inverse] for kind, (own, inverse) in enumerate(places))
+            known = per_text(counts > 0, first) + (train_texts > 0)
+            base = per_text(np.log10(counts + 0.5), first) + end_price
+            numbers = (np.diff(first) + 1, known.astype(np.int64), np.full(len(doc_id), train_tokens), base, per_text(price, ends))
+            out.append(pa.RecordBatch.from_arrays([doc_id, held_out, *(pa.array(x) for x in numbers)], names=RESULT))
         return pa.Table.from_batches(out)
 
     return run
