@@ -116,31 +116,28 @@ class Scanner:
         return (min(found)[1], -min(found)[0]) if found else None
 
     def scan(self, text: str | None) -> list[dict]:
-        """Matches of the spans of a text in order: the whole, paragraphs of several lines, lines.
-        A span inside a matched longer one is not reported again."""
+        """Matches of the spans of a text in order: the whole, paragraphs of several lines, lines. A
+        longer span stands for the matches inside it unless one of them is closer to a template."""
         split = [line.split() for line in normalise(text or "").split(b"\n")]
-        out: list[dict] = []
 
-        def look(first: int, last: int) -> bool:
+        def look(first: int, last: int) -> list[dict]:
             words = [w for line in split[first : last + 1] for w in line] if first < last else split[first]
             hit = self.best(bigrams(words)) if len(words) > 1 else None
-            if hit:
-                out.append({"license": hit[0], "dice": hit[1], "first_line": first, "last_line": last})
-            return bool(hit)
+            return [{"license": hit[0], "dice": hit[1], "first_line": first, "last_line": last}] if hit else []
+
+        def closest(first: int, last: int, inside: list[dict]) -> list[dict]:
+            own = look(first, last) if first < last and self._may_fit(split, first, last) else []
+            return own if own and all(m["dice"] <= own[0]["dice"] for m in inside) else inside
 
-        if len(split) > 1 and self._may_fit(split, 0, len(split) - 1) and look(0, len(split) - 1):
-            return out
+        out: list[dict] = []
         start = 0
         for i in range(len(split) + 1):
             if i < len(split) and split[i]:
                 continue
             if i > start:
-                several = i - start > 1 and not (start == 0 and i == len(split))
-                if not (several and self._may_fit(split, start, i - 1) and look(start, i - 1)):
-                    for line in range(start, i):
-                        look(line, line)
+                out += closest(start, i - 1, [m for line in range(start, i) for m in look(line, line)])
             start = i + 1
-        return out
+        return closest(0, len(split) - 1, out)
 
     def _may_fit(self, split: list, first: int, last: int) -> bool:
         """A span of as many lines with words cannot be ruled out by a count of its words: its bigrams
