@@ -181,12 +181,18 @@ def evidence_path(evidence: Column) -> Column:
     return F.regexp_extract(evidence, r"([^\s:`|]+)", 1)
 
 
+def _shared_project(*frames: DataFrame) -> list[str]:
+    return ["project"] if all("project" in f.columns for f in frames) else []
+
+
 def uncovered_modules(files: DataFrame, findings: DataFrame, root: str = "src") -> DataFrame:
-    """Source directories no finding refers to, directly or through a directory below."""
+    """Source directories no finding of their project refers to, directly or through a directory below.
+    Without ``project`` in both inputs all rows are of one project."""
+    keys = _shared_project(files, findings)
     sources = files.where(F.col("path").startswith(f"{root}/") & extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
-    directories = sources.select(F.concat(parent_dir(F.col("path")), F.lit("/")).alias("directory")).distinct()
-    mentioned = findings.select(F.explode(directory_prefixes(evidence_path(F.col("evidence")))).alias("directory")).distinct()
-    return directories.join(mentioned, "directory", "left_anti")
+    directories = sources.select(*keys, F.concat(parent_dir(F.col("path")), F.lit("/")).alias("directory")).distinct()
+    mentioned = findings.select(*keys, F.explode(directory_prefixes(evidence_path(F.col("evidence")))).alias("directory")).distinct()
+    return directories.join(mentioned, [*keys, "directory"], "left_anti")
 
 
 def weak_evidence(findings: DataFrame) -> DataFrame:
@@ -201,11 +207,13 @@ def weak_evidence(findings: DataFrame) -> DataFrame:
 def verify_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``verdict``: ``confirmed``, ``false positive`` without that line, ``stale`` without the file.
 
-    Only line counts leave the files, not their content.
+    Only line counts leave the files, not their content. Where both inputs have ``project``, a
+    finding is held against the files of its own.
     """
+    keys = _shared_project(files, findings)
     counted = files.select(
-        F.col("path").alias("_path"), F.size(F.split("content", "\n", -1)).cast("bigint").alias("_lines")
-    ).groupBy("_path").agg(F.max("_lines").alias("_lines"))
+        *keys, F.col("path").alias("_path"), F.size(F.split("content", "\n", -1)).cast("bigint").alias("_lines")
+    ).groupBy(*keys, "_path").agg(F.max("_lines").alias("_lines"))
     line = F.nullif(F.regexp_extract("evidence", _LOCATION, 2), F.lit("")).cast("bigint")
     located = findings.withColumn("_path", evidence_path(F.col("evidence"))).withColumn("_line", line)
     verdict = (
@@ -213,7 +221,7 @@ def verify_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("_line").isNull() | F.col("_line").between(1, F.col("_lines")), "confirmed")
         .otherwise("false positive")
     )
-    return located.join(counted, "_path", "left").withColumn("verdict", verdict).drop("_path", "_line", "_lines")
+    return located.join(counted, [*keys, "_path"], "left").withColumn("verdict", verdict).drop("_path", "_line", "_lines")
 
 
 def stale_sessions(sessions: DataFrame, as_of: str, days: int = STALE_DAYS) -> DataFrame:

@@ -119,8 +119,9 @@ def scan_patterns(files: DataFrame, patterns=None) -> DataFrame:
     return suspicious.select("project", "path", "line", F.explode("hits").alias("pattern"))
 
 
-def critical_paths(files: DataFrame, limit: int = CRITICAL_PATHS) -> DataFrame:
-    """The first source files of each project that mention a critical word, by tier and path."""
+def critical_paths(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Source files that mention a critical word, ranked within their project by tier and path; with a
+    ``limit`` only the first of each project."""
     tier = F.lit("standard")
     order = F.lit(1)
     for rank, (name, prefix) in enumerate(TIERS):
@@ -130,7 +131,8 @@ def critical_paths(files: DataFrame, limit: int = CRITICAL_PATHS) -> DataFrame:
     found = files.where(F.col("path").startswith("src/") & mentions)
     listed = found.select("project", "path", tier.alias("tier"), order.alias("_order"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy("_order", "path"))
-    return listed.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_order", "_rank")
+    ranked = listed.withColumn("rank", rank).drop("_order")
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def env_names(content: Column, runtime: Column) -> Column:
@@ -347,8 +349,9 @@ def classify_manifest(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("m", parsed).select("project", kind.alias("kind"))
 
 
-def active_decisions(docs: DataFrame, count: int = DECISIONS_SHOWN) -> DataFrame:
-    """Front matter of decisions that are active or need review, the newest of each project."""
+def active_decisions(docs: DataFrame, count: int | None = None) -> DataFrame:
+    """Front matter of decisions that are active or need review, ranked within their project from the
+    newest; with a ``count`` only the newest of each."""
     front = F.regexp_extract(_content(), r"\A---\n((?s:.)*?)\n---", 1)
 
     def field(name: str) -> Column:
@@ -364,7 +367,8 @@ def active_decisions(docs: DataFrame, count: int = DECISIONS_SHOWN) -> DataFrame
     )
     active = parsed.where(F.col("status").isin("active", "needs_review"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy(F.col("created_at").desc(), "id", "rel_path"))
-    return active.withColumn("_rank", rank).where(F.col("_rank") <= count).drop("_rank")
+    ranked = active.withColumn("rank", rank)
+    return ranked if count is None else ranked.where(F.col("rank") <= count)
 
 
 def project_stage(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
@@ -189,9 +189,16 @@ def changed_filter(files: DataFrame, changes: DataFrame, mode: str = "changed")
     return files.join(change_set(changes, mode), keys, "left_semi")
 
 
-def audit_scope(changes: DataFrame, limit: int = AUDIT_SCOPE_FILES) -> DataFrame:
-    """First changed source files of an incremental audit."""
-    return extension_filter(change_set(changes), AUDITED_EXTENSIONS).orderBy("path").limit(limit)
+def audit_scope(changes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Changed source files of an incremental audit; with a ``limit`` only the first by path, of each
+    project where ``changes`` has projects."""
+    scope = extension_filter(change_set(changes), AUDITED_EXTENSIONS)
+    if limit is None:
+        return scope
+    if "project" not in scope.columns:
+        return scope.orderBy("path").limit(limit)
+    rank = F.row_number().over(Window.partitionBy("project").orderBy("path"))
+    return scope.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def effective_config(configs: DataFrame) -> DataFrame:

@@ -109,9 +109,7 @@ ORACLES["a12_changed_filter"] = "SELECT project, path FROM fx_code WHERE path IN
 ORACLES["a12_staged_filter"] = (
     "SELECT project, path FROM fx_code WHERE path IN (SELECT path FROM fx_changes WHERE list = 'staged')"
 )
-ORACLES["a12_audit_scope"] = (
-    f"SELECT DISTINCT path FROM fx_changes WHERE {_ext()} IN {_in(sel.AUDITED_EXTENSIONS)} ORDER BY path LIMIT 30"
-)
+ORACLES["a12_audit_scope"] = f"SELECT DISTINCT path FROM fx_changes WHERE {_ext()} IN {_in(sel.AUDITED_EXTENSIONS)}"
 ORACLES["a13_list_files"] = f"SELECT project, path FROM fx_files WHERE {_NO_VCS}"
 ORACLES["a00_find_files"] = f"""WITH {_IGNORED}
 SELECT f.project, f.path, f.length FROM fx_files f ANTI JOIN gone g ON f.project = g.project AND f.path = g.path
@@ -653,10 +651,9 @@ def _secret_oracle() -> str:
 
 ORACLES["h15_scan_patterns"] = _secret_oracle()
 ORACLES["h16_critical_paths"] = """
-SELECT project, path, tier FROM (SELECT project, path,
+SELECT project, path, tier, CAST(row_number() OVER (PARTITION BY project ORDER BY CASE tier WHEN 'critical' THEN 0 WHEN 'standard' THEN 1 ELSE 2 END, path) AS INTEGER) AS rank FROM (SELECT project, path,
   CASE WHEN regexp_matches(path, '^src/(auth|payments|workers)/') THEN 'critical' WHEN starts_with(path, 'src/utils/') THEN 'low' ELSE 'standard' END AS tier
-  FROM fx_files WHERE starts_with(path, 'src/') AND regexp_matches(path || chr(10) || content, 'auth|login|payment|billing|webhook|cron|migration'))
-QUALIFY row_number() OVER (PARTITION BY project ORDER BY CASE tier WHEN 'critical' THEN 0 WHEN 'standard' THEN 1 ELSE 2 END, path) <= 20"""
+  FROM fx_files WHERE starts_with(path, 'src/') AND regexp_matches(path || chr(10) || content, 'auth|login|payment|billing|webhook|cron|migration'))"""
 _USED = f"""{_runtimes('SELECT project, path FROM fx_env')},
 used AS (SELECT DISTINCT project, unnest(CASE runtime
   WHEN 'node' THEN regexp_extract_all(content, '(?:process|import\\.meta)\\.env\\.([A-Z0-9_]+)', 1)
@@ -732,10 +729,10 @@ SELECT project, CASE
   WHEN list_has_any(deps, ['@nestjs/core', 'express', 'fastify']) THEN 'backend' WHEN json_extract(json, '$.bin') IS NOT NULL THEN 'CLI' ELSE 'library' END AS kind
 FROM (SELECT project, json, coalesce(json_keys(json, '$.dependencies'), []) AS deps, coalesce(json_keys(json, '$.devDependencies'), []) AS dev FROM fx_manifests)"""
 ORACLES["h25_active_decisions"] = """
-SELECT project, rel_path, id, title, status, created_at FROM (SELECT project, rel_path, regexp_extract(content, '(?m)^id:\\s*(.*)$', 1) AS id,
+SELECT project, rel_path, id, title, status, created_at, CAST(row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id, rel_path) AS INTEGER) AS rank FROM (SELECT project, rel_path, regexp_extract(content, '(?m)^id:\\s*(.*)$', 1) AS id,
   regexp_extract(content, '(?m)^title:\\s*(.*)$', 1) AS title, regexp_extract(content, '(?m)^status:\\s*(.*)$', 1) AS status,
   regexp_extract(content, '(?m)^created_at:\\s*(.*)$', 1) AS created_at FROM fx_decisions)
-WHERE status IN ('active', 'needs_review') QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id, rel_path) <= 7"""
+WHERE status IN ('active', 'needs_review')"""
 ORACLES["h26_project_stage"] = """
 SELECT project, bool_or(path = 'docs/' || project || '/2_PRODUCT_SPEC/SPEC.md') AS specified, bool_or(starts_with(path, 'prototype/src/')) AS prototyped,
   bool_or(path = 'blueprint/' || project || '/3_TECH_BLUEPRINT/IMPLEMENTATION_GUIDE.md') AS planned,

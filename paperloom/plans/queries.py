@@ -47,12 +47,6 @@ def joined(column: str, sep: str = " | "):
 # A: file selection
 
 
-@query
-def a01_scan_files(v):
-    """The table files themselves as a tree."""
-    return sources.scan_files(v.spark, v.sf_dir, "*.parquet").select("path", "length")
-
-
 @query
 def a02_ignore_rules(v):
     return selection.ignore_rules(v("fx_ignore_files")).drop("regex")
@@ -215,12 +209,6 @@ def b09_backup_originals(v):
 # C: tokens
 
 
-@query
-def c01_token_count(v):
-    counted = tokens.token_count(v("documents").select("doc_id", "text"), "text")
-    return counted.select("doc_id", F.col("text_tokens").alias("tokens"))
-
-
 @query
 def c02_token_cost(v):
     estimated = v("documents").groupBy("source").agg(
@@ -322,11 +310,6 @@ def d08_pack_summary(v):
     return packing.pack_summary(v("fx_files"), "markdown")
 
 
-@query
-def d08_pack_token_summary(v):
-    return packing.pack_token_summary(v("fx_files"), tie=("seq",))
-
-
 @query
 def d09_pack_clean(v):
     return packing.pack(v("fx_code"), clean=True, keep_words=selection.DEFAULT_WHITELIST).select("project", "text")
