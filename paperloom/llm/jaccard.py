@@ -38,6 +38,8 @@ PERCENT = 75
 FRAGMENT_GRAMS = 1 << 20
 #: Fragments that the overlap of a pair is counted in.
 OVERLAP_FRAGMENTS = 4
+#: Members of a posting that one task ranks on average.
+LANE_MEMBERS = 1 << 12
 BLOCK_BYTES = 6 << 20
 
 
@@ -180,11 +182,18 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the prefix has size - ceil(percent * size / 100) + 1 n-grams, the set's own ones first
     prefix = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - own).cast("int")
     prefixes = shared.where(prefix > 0).select("set", "size", F.size("order").alias("common"), F.posexplode(F.slice("order", 1, prefix)).alias("place", "t"))
-    ranked = Window.partitionBy("gram").orderBy("set")
     # ``left`` n-grams of the set come at or after this one
-    postings = prefixes.select("set", "size", F.col("t.gram").alias("gram"), (F.col("common") - F.col("place")).alias("left")).withColumn("rank", F.row_number().over(ranked) - 1)
+    postings = prefixes.select("set", "size", F.col("t.gram").alias("gram"), (F.col("common") - F.col("place")).alias("left"))
+    postings = scratch.write(postings, "postings")
     members = postings.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    postings = scratch.write(postings.join(members, "gram"), "postings")
+    # the members of a common n-gram are ranked in lanes, which take turns: no task sorts them all, and no rank comes twice
+    lanes = F.ceil(F.col("members") / LANE_MEMBERS)
+    placed = postings.join(members, "gram").withColumn("lanes", lanes).withColumn("lane", F.pmod(F.xxhash64("set"), F.col("lanes")))
+    # the join leaves all of an n-gram in one place, which the window would take as it is
+    placed = placed.repartition("gram", "lane")
+    ranked = Window.partitionBy("gram", "lane").orderBy("set")
+    placed = placed.withColumn("rank", (F.row_number().over(ranked) - 1) * F.col("lanes") + F.col("lane"))
+    postings = scratch.write(placed.select("set", "size", "gram", "left", "rank"), "postings")
     part = F.pmod(F.shiftright("gram", 32), F.lit(OVERLAP_FRAGMENTS))
     fragments = tokens.join(postings.select("set").distinct(), "set", "left_semi").groupBy("set", part.alias("fragment")).agg(F.collect_list("gram").alias("grams"))
     fragments = scratch.write(fragments, "fragments")

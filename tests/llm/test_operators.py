@@ -176,6 +176,18 @@ def test_jaccard_chain_of_near_copies(spark):
     assert sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, DOCS)).collect()), key=str) == brute_components(rows)
 
 
+def test_jaccard_ranks_in_lanes_give_the_same_components(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "LANE_MEMBERS", 3)
+    rng = random.Random(3)
+    base = sentence(rng, 80, 10**6).split()
+    # thirty near copies and twenty texts that only share a passage of them
+    rows = [(k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]]), "r", 1) for k in range(30)]
+    rows += [(100 + k, " ".join(base[:30]) + " " + sentence(rng, 12 + k, 10**6), "r", 1) for k in range(20)]
+    for case, frame in ((rows, spark.createDataFrame(rows, DOCS)), (corpus, docs)):
+        found = jaccard.classes(frame).collect()
+        assert sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(case)
+
+
 def brute_spans(corpus, window=50):
     lowest = {}
     for i, t, *_ in corpus:
