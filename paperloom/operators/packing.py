@@ -48,9 +48,8 @@ def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_
     prepare = prepare or (lambda df: df)
     head, sep, tail = (F.lit(part) for part in layout)
     sizes = files.groupBy("project").agg(F.sum(size).alias("bytes"))
-    # At most all bytes / max_bytes projects are large (100 TB hold fewer than 1.7 million above
-    # 64 MiB), so their names can be broadcast and no content moves to tell them apart.
-    large = F.broadcast(sizes.where(F.col("bytes") > max_bytes).select("project"))
+    # How many projects are large depends on max_bytes, so the optimizer sizes the joins with them.
+    large = sizes.where(F.col("bytes") > max_bytes).select("project")
 
     whole = (
         prepare(files.join(large, "project", "left_anti"))
@@ -67,7 +66,7 @@ def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_
     parts = files.join(large, "project", "left_semi").withColumn("_key", F.struct(*_order(extra)))
     # One row per large project again.
     ends = parts.groupBy("project").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
-    parts = prepare(parts).join(F.broadcast(ends), "project").select(
+    parts = prepare(parts).join(ends, "project").select(
         "project",
         F.lit(False).alias("whole"),
         F.col("path").alias("first_path"),
