@@ -1,16 +1,21 @@
 """License scans: spans of a text against license templates by Dice's coefficient over word bigrams.
 
 A template and a span are normalised alike (lower case, all but letters and digits to blanks) and
-compared as sets of word bigrams. Spans are the whole text, its paragraphs and its lines. A
-coefficient of t needs sizes within a factor of (2 - t) / t of each other, so sizes rule out
-templates, and spans longer than any bound, before any bigram is counted.
+compared as sets of word bigrams. Spans are all runs of words, over lines and paragraphs. The closest
+span of a template starts and ends with a bigram of it, as any other bigram at an edge only adds to
+the size; so spans are sought from each such bigram on, up to the size at which no coefficient can
+reach the threshold: one of t needs sizes within a factor of (2 - t) / t of each other, and as many
+bigrams of the template as the lower bound, which rules out most texts at once.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import bisect
+import heapq
+import pkgutil
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +24,36 @@ from paperloom.llm.words import slices
 
 THRESHOLD = 0.75
 
-# Public license notices and short license texts.
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+    "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+)
+
+
+def _gnu(name: str, version: str, work: str = "program") -> str:
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the "
+        f"License, or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    )
+
+
+def _full(name: str) -> tuple[str, str]:
+    return name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+
+
+# Public license notices and license texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -46,18 +80,13 @@ TEMPLATES = (
         "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
-    (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
-        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version "
-        "3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
-        "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    ),
+    ("BSD-2-Clause", f"{_BSD_CONDITIONS} {_BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD_CONDITIONS} {_BSD_NAMES} {_BSD_WARRANTY}"),
+    ("GPL-3.0", _gnu("GNU General Public License", "3")),
+    ("GPL-2.0", _gnu("GNU General Public License", "2")),
+    ("LGPL-3.0", _gnu("GNU Lesser General Public License", "3")),
+    ("LGPL-2.1", _gnu("GNU Lesser General Public License", "2.1", "library")),
+    ("AGPL-3.0", _gnu("GNU Affero General Public License", "3")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -67,8 +96,15 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    *map(_full, ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")),
 )
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c == 10 else 32) for c in range(256))
@@ -89,60 +125,106 @@ class Scanner:
     def __init__(self, templates: tuple = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.templates = [(name, bigrams(normalise(text).split())) for name, text in templates]
-        self.index: dict[tuple, list[int]] = defaultdict(list)
+        self.number = {pair: k for k, pair in enumerate(sorted(set().union(*(own for _, own in self.templates))))}
+        self.holds = np.zeros((len(self.number), len(self.templates)), bool)
         for i, (_, own) in enumerate(self.templates):
-            for pair in own:
-                self.index[pair].append(i)
-        factor = (2 - threshold) / threshold
-        self.bounds = [(len(own) / factor, len(own) * factor) for _, own in self.templates]
-        self.least = min(low for low, _ in self.bounds)
-        self.most = max(high for _, high in self.bounds)
-        self.all = set(self.index)
+            self.holds[[self.number[pair] for pair in own], i] = True
+        self.sizes = self.holds.sum(axis=0)
+        # a span of n bigrams of a template has n or more, so 2n / (n + size) bounds its coefficient
+        self.needed = threshold * self.sizes / (2 - threshold) - 1e-9
 
     def best(self, pairs: set) -> tuple[str, float] | None:
-        """The template of the highest coefficient, the first by name and place among equals."""
-        size = len(pairs)
-        if not self.least <= size <= self.most:
-            return None
-        shared: dict[int, int] = defaultdict(int)
-        for pair in pairs & self.all:
-            for i in self.index[pair]:
-                shared[i] += 1
+        """The template closest to a set of bigrams, the first by name and place among equals."""
         found = []
-        for i, n in shared.items():
-            low, high = self.bounds[i]
-            if low <= size <= high and (dice := 2 * n / (size + len(self.templates[i][1]))) >= self.threshold:
-                found.append((-dice, self.templates[i][0], i))
+        for i, (name, own) in enumerate(self.templates):
+            if own and (dice := 2 * len(pairs & own) / (len(pairs) + len(own))) >= self.threshold:
+                found.append((-dice, name, i))
         return (min(found)[1], -min(found)[0]) if found else None
 
     def scan(self, text: str | None) -> list[dict]:
-        """Matches of the spans of a text in order: the whole, paragraphs of several lines, lines. A
-        longer span stands for the matches inside it unless one of them is closer to a template."""
+        """Matches of a text in order. The closest span of any template is taken first, the longest
+        among equals, then the closest ones of what is left before and after it."""
         split = [line.split() for line in normalise(text or "").split(b"\n")]
-
-        def look(first: int, last: int) -> list[dict]:
-            words = [w for line in split[first : last + 1] for w in line] if first < last else split[first]
-            hit = self.best(bigrams(words)) if len(words) > 1 else None
-            return [{"license": hit[0], "dice": hit[1], "first_line": first, "last_line": last}] if hit else []
-
-        def closest(first: int, last: int, inside: list[dict]) -> list[dict]:
-            own = look(first, last) if first < last and self._may_fit(split, first, last) else []
-            return own if own and all(m["dice"] <= own[0]["dice"] for m in inside) else inside
-
-        out: list[dict] = []
-        start = 0
-        for i in range(len(split) + 1):
-            if i < len(split) and split[i]:
+        words = [w for line in split for w in line]
+        get = self.number.get
+        known = np.array([get(pair, -1) for pair in zip(words, words[1:], strict=False)], np.int64)
+        counts = self.holds[np.unique(known[known >= 0])].sum(axis=0)
+        able = np.flatnonzero((counts >= self.needed) & (counts > 0))
+        if not len(able):
+            return []
+        spans = _Spans(words)
+        hits = {int(i): (known >= 0) & self.holds[known, i] for i in able}
+        heap: list[tuple] = []
+
+        def offer(i: int, start: int, stop: int) -> None:
+            found = spans.closest(start, stop, hits[i], int(self.sizes[i]), self.threshold)
+            if found:
+                dice, end = found
+                heapq.heappush(heap, (-dice, start - end, self.templates[i][0], i, start, end))
+
+        for i, hit in hits.items():
+            so_far = np.concatenate([[0], np.cumsum(hit)])
+            starts = np.flatnonzero(hit)
+            for start in starts[so_far[spans.next[starts]] - so_far[starts] >= self.needed[i]].tolist():
+                offer(i, start, len(known))
+        line = np.repeat(np.arange(len(split)), list(map(len, split)))
+        taken: list[tuple[int, int]] = []
+        out = []
+        while heap:
+            dice, _, name, i, start, end = heapq.heappop(heap)
+            place = bisect.bisect(taken, (start, end))
+            if place and taken[place - 1][1] + 1 >= start:
+                continue
+            if place < len(taken) and taken[place][0] <= end + 1:
+                offer(i, start, taken[place][0] - 1)
                 continue
-            if i > start:
-                out += closest(start, i - 1, [m for line in range(start, i) for m in look(line, line)])
-            start = i + 1
-        return closest(0, len(split) - 1, out)
-
-    def _may_fit(self, split: list, first: int, last: int) -> bool:
-        """A span of as many lines with words cannot be ruled out by a count of its words: its bigrams
-        are fewer than its words, and repeats make them fewer still."""
-        return sum(map(len, split[first : last + 1])) > self.least
+            low = taken[place - 1][1] + 2 if place else 0
+            high = taken[place][0] - 1 if place < len(taken) else len(known)
+            start, end = spans.widened(start, end, low, high, hits[i])
+            taken.insert(place, (start, end))
+            out.append((start, {"license": name, "dice": -dice, "first_line": int(line[start]), "last_line": int(line[end + 1])}))
+        return [match for _, match in sorted(out, key=lambda m: m[0])]
+
+
+class _Spans:
+    """The bigrams of a text with the places before and after that have the same one."""
+
+    def __init__(self, words: list[bytes]):
+        codes: dict[tuple, int] = {}
+        code = np.array([codes.setdefault(pair, len(codes)) for pair in zip(words, words[1:], strict=False)], np.int64)
+        order = np.argsort(code, kind="stable")
+        same = code[order[1:]] == code[order[:-1]]
+        self.before = np.full(len(code), -1)
+        self.before[order[1:][same]] = order[:-1][same]
+        self.next = np.full(len(code), len(code))
+        self.next[order[:-1][same]] = order[1:][same]
+
+    def closest(self, start: int, stop: int, hit: np.ndarray, own: int, threshold: float) -> tuple[float, int] | None:
+        """The coefficient and the last bigram of the closest span from ``start`` on and before
+        ``stop`` for a template of ``own`` bigrams, the shortest among equals. A span that has its
+        first bigram again is no closer than the one from there on, so it is left out; so the lengths
+        tried for one bigram of a template add up to the text at most."""
+        stop, most = min(stop, int(self.next[start])), own * (2 - threshold) / threshold
+        best, at, size, shared = None, start, 0, 0
+        while at < stop and size <= most:
+            end = min(stop, at + int(most) + 1)
+            new = self.before[at:end] < start
+            sizes, common = size + np.cumsum(new), shared + np.cumsum(new & hit[at:end])
+            dice = 2 * common / (sizes + own)
+            k = int(np.argmax(dice))
+            if dice[k] >= threshold and (best is None or dice[k] > best[0]):
+                best = (float(dice[k]), at + k)
+            at, size, shared = end, int(sizes[-1]), int(common[-1])
+        return best
+
+    def widened(self, start: int, end: int, low: int, high: int, hit: np.ndarray) -> tuple[int, int]:
+        """The span with the bigrams of the template around it that it has already, from ``low`` on and
+        before ``high``; they change no coefficient."""
+        while end + 1 < high and hit[end + 1] and self.before[end + 1] >= start:
+            end += 1
+        while start > low and hit[start - 1] and self.next[start - 1] <= end:
+            start -= 1
+        return start, end
 
 
 def scan(documents: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -224,6 +224,106 @@ def test_licenses(spark):
     assert scanner.best(a) is None or scanner.best(a)[1] == 2 * len(a & b) / (len(a) + len(b))
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+BSD_NAMES = """
+3. Neither the name of Example Works nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+
+
+def test_licenses_inside_long_texts_and_lines():
+    rng = random.Random(4)
+    before, after = sentence(rng, 300), sentence(rng, 300)
+    scanner = licenses.Scanner()
+    full = next(text for name, text in reversed(licenses.TEMPLATES) if name == "GPL-3.0")
+    for name, text in (("MIT", MIT_TEXT), ("BSD-2-Clause", BSD_TEXT % ""), ("BSD-3-Clause", BSD_TEXT % BSD_NAMES), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("GPL-3.0", full)):
+        text = text.strip("\n")
+        for form in (text, text.replace("\n", "\n# ")):
+            (found,) = scanner.scan(f"{before}\n{after}\n\n{form}\n\n{after}")
+            assert found["license"] == name and found["dice"] > 0.9
+            assert (found["first_line"], found["last_line"]) == (3, 3 + text.count("\n"))
+        (found,) = scanner.scan(f"{before} {' '.join(text.split())} {after}")
+        assert (found["license"], found["first_line"], found["last_line"]) == (name, 0, 0) and found["dice"] > 0.9
+    twice = scanner.scan(f"{before} {MIT_TEXT}\n{BSD_TEXT % ''} {MIT_TEXT}\n{after}")
+    assert [m["license"] for m in twice] == ["MIT", "BSD-2-Clause", "MIT"]
+
+
+def brute_licenses(scanner, words):
+    """The closest span, the longest and then the first among equals, and the same on either side of it."""
+    best = None
+    for a in range(len(words)):
+        for b in range(a + 2, len(words) + 1):
+            pairs = licenses.bigrams(words[a:b])
+            for i, (name, own) in enumerate(scanner.templates):
+                dice = 2 * len(pairs & own) / (len(pairs) + len(own))
+                # the shortest of the spans of one start, and no start whose bigram comes again
+                if dice >= scanner.threshold and tuple(words[a : a + 2]) in own and tuple(words[a : a + 2]) not in licenses.bigrams(words[a + 1 : b]):
+                    shorter = any(2 * len((p := licenses.bigrams(words[a:c])) & own) / (len(p) + len(own)) >= dice for c in range(a + 2, b))
+                    if not shorter:
+                        best = min(best or (1,), (-dice, a - b, name, i, a, b))
+    if best is None:
+        return []
+    a, b = best[4:]
+    known = licenses.bigrams(words[a:b]) & scanner.templates[best[3]][1]
+    while b < len(words) and (words[b - 1], words[b]) in known:
+        b += 1
+    while a and (words[a - 1], words[a]) in known:
+        a -= 1
+    left, right = brute_licenses(scanner, words[:a]), brute_licenses(scanner, words[b:])
+    return left + [(best[2], -best[0], a, b)] + [(n, d, x + b, y + b) for n, d, x, y in right]
+
+
+def test_licenses_are_the_closest_spans():
+    rng = random.Random(8)
+    for threshold in (0.5, 0.75):
+        for _ in range(60):
+            templates = tuple((f"T{k}", " ".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9)))) for k in range(3))
+            scanner = licenses.Scanner(templates, threshold)
+            words = [rng.choice("abcdefg") for _ in range(rng.randrange(0, 22))]
+            want = brute_licenses(scanner, [w.encode() for w in words])
+            # one word a line, so lines are places
+            assert [(m["license"], m["dice"], m["first_line"], m["last_line"] + 1) for m in scanner.scan("\n".join(words))] == want
+
+
 def test_topk(spark):
     rng = random.Random(9)
     rows = [(k, [rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(6)]) for k in range(130)]
