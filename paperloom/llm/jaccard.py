@@ -249,6 +249,12 @@ def classes(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     null or empty text, or one of white space, has none and no links. Equal texts link; rows that
     share an id are vertices each, with one number. A null id is never the smallest; a component of
     null ids alone has a null id. An empty table gives an empty result."""
+    return _members(documents, words, percent).drop("first")
+
+
+def _members(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``classes`` with ``first``, the least (doc_id, version) of the component, null ids
+    last; null for a row without words."""
     scratch = Scratch(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -266,18 +272,30 @@ def classes(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     sets = scratch.write(sets, "sets")
     linked = links(sets, percent)
     whole_class = F.coalesce("component", "set").alias("group")
-    grouped = members.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("least")).join(linked, "set", "left").select("set", "least", whole_class)
-    smallest = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "group").select("set", "component_id")
-    alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return members.join(named, "set", "left").select("doc_id", "version", F.col("size").alias("n_shingles"), alone.alias("component_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
+    grouped = members.where("size > 0").groupBy("set").agg(F.min(row).alias("least")).join(linked, "set", "left").select("set", "least", whole_class)
+    smallest = grouped.groupBy("group").agg(F.min("least").alias("first"))
+    named = grouped.join(smallest, "group").select("set", "first")
+    alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return members.join(named, "set", "left").select("doc_id", "version", F.col("size").alias("n_shingles"), alone.alias("component_id"), "first")
 
 
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``documents`` that stay when of each component only the document of the smallest
-    doc_id does, with all their columns. Of rows with equal id and text one stays; rows without words
-    all stay."""
-    found = classes(documents, words, percent)
-    out = found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).distinct()
+    """The rows of ``documents`` that stay when of each component only one row does, with all their
+    columns: the row of the smallest doc_id, null ids last, and of the rows of that id the one whose
+    text has the least hash. Of rows with equal id and text any one stays; rows without words all stay."""
+    scratch = Scratch(documents.sparkSession)
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    found = _members(documents, words, percent).where("n_shingles > 0").select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), first.alias("first"))
+    # rows of equal id and text are in one component
+    found = scratch.write(found.groupBy("__doc", "__version").agg(F.first("first").alias("first"), F.count("*").alias("rows")), "found")
+    out, repeated = found.where("not first").select("__doc", "__version"), found.where("first and rows > 1").select("__doc", "__version")
     same = documents["doc_id"].cast("bigint").eqNullSafe(F.col("__doc")) & (F.xxhash64(documents["text"]) == F.col("__version"))
-    return documents.join(out, same, "left_anti")
+    if repeated.isEmpty():
+        return documents.join(out, same, "left_anti")
+    # repeated rows are told apart by a number, which is fixed once they are written
+    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")
+    numbered = scratch.write(documents.join(repeated, same).select(row, "__doc", "__version", F.monotonically_increasing_id().alias("__row")), "repeated")
+    chosen = numbered.groupBy("__doc", "__version").agg(F.min("__row").alias("__row")).select("__row")
+    one = numbered.join(chosen, "__row", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+    return documents.join(found.where("not first or rows > 1").select("__doc", "__version"), same, "left_anti").unionByName(one)

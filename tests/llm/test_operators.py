@@ -165,6 +165,43 @@ def test_jaccard_components(docs, none, corpus):
     assert jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_of_each_component(spark, docs, none, corpus):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    near = sentence(rng, 90).split()
+    lost, other = sentence(rng, 80), sentence(rng, 70)
+    rows = [(i, t, f"r{k}", s) for k, (i, t, _, s) in enumerate(corpus)]
+    # repeated rows; one id with two linked texts; groups of null ids alone; one id with two texts that do not link
+    rows += [(50, lost, "a", 1), (50, lost, "b", 2), (50, lost, "a", 1), (51, lost, "c", 1)]
+    rows += [(60, " ".join(near), "d", 1), (60, " ".join([*near, "end"]), "e", 1), (61, " ".join(["start", *near]), "f", 1)]
+    rows += [(None, other, "g", 1), (None, other, "g", 1), (None, other + " end", "h", 1), (None, sentence(rng, 60), "i", 1)]
+    rows += [(None, None, "j", 1), (None, None, "j", 1), (70, "", "k", 1), (70, "", "k", 1), (80, sentence(rng, 50), "l", 1), (80, sentence(rng, 50), "m", 1)]
+    for case in (rows, corpus):
+        frame = spark.createDataFrame(case, DOCS).repartition(3)
+        version = {r["text"]: r["v"] for r in frame.select("text", F.xxhash64("text").alias("v")).distinct().collect()}
+        sets = []
+        for _, t, *_ in case:
+            ws = [w.lower() for w in cut(t)]
+            sets.append({tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set())
+        left, want = set(range(len(case))), []
+        while left:
+            group, todo = [], [left.pop()]
+            while todo:
+                group.append(a := todo.pop())
+                linked = {b for b in left if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+                left -= linked
+                todo += linked
+            i, t = min(((case[a][0], case[a][1]) for a in group), key=lambda r: (r[0] is None, r[0] or 0, version[r[1]]))
+            want.append((str(i), str(t)))
+        kept = jaccard.keep_one(frame)
+        assert kept.columns == frame.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted((str(r[0]), str(r[1])) for r in got) == sorted(want)
+        assert set(got) <= set(case)
+    assert jaccard.keep_one(none).count() == 0
+
+
 def test_jaccard_chain_of_near_copies(spark):
     rng = random.Random(2)
     base = sentence(rng, 100, 10**6).split()
