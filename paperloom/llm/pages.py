@@ -39,6 +39,8 @@ ARTICLE_TAG = frozenset(("article", "main"))
 #: A start tag of the first ends an open one of the second, up to a barrier.
 P_ENDERS = BLOCK - frozenset(("body", "button", "head", "html", "option", "script", "style", "title", "textarea", "noscript", "select", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "caption", "legend", "summary", "figcaption"))
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+#: Any other start tag, and text, ends an open head.
+HEAD_TAG = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BARRIER = frozenset("article aside body div dl form main nav ol section table ul".split())
 
 _SPACE = re.compile(r"\s+")
@@ -100,7 +102,15 @@ class Lines(HTMLParser):
             if self.stack[i][0] in barrier:
                 return
 
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self._end(("head",), frozenset())
+        elif tag not in HEAD_TAG:
+            self._end_head()
         if tag in P_ENDERS:
             self._end(("p",), BARRIER)
         if tag in SIBLINGS:
@@ -139,6 +149,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.noise and self.stack[-1][0] in ("script", "style"):
             return
+        if data.strip():
+            self._end_head()
         self.parts.append(data)
         if self.links:
             self.link_chars += len(data)

@@ -95,6 +95,23 @@ def test_page_text(spark):
     assert got == {"u": (want, len(want)), None: ("", 0), "v": ("", 0), "w": ("plain text without any article", 30), "x": ("", 0)}
 
 
+OMITTED = """<!doctype html><html lang=en><head><meta charset=utf-8><title>No</title><style>p{}</style><noscript><img src=x></noscript>%s
+<nav><ul><li><a href=x>no</a><li><a href=y>no</a></ul></nav>
+<div><p>First paragraph without an end tag, long enough to count.<ul><li>item one<li>item two</ul>
+<table><tr><td>cell one<td>cell two</table><p>Second paragraph, also long enough to count as text, and longer than the first.
+<p>Third paragraph, also long enough to count as text, and about as long as the second one is.</div>
+<footer>&copy; no</footer>"""
+
+
+def test_page_text_with_omitted_end_tags():
+    want = "First paragraph without an end tag, long enough to count.\nitem one\nitem two\ncell one\ncell two\nSecond paragraph, also long enough to count as text, and longer than the first.\nThird paragraph, also long enough to count as text, and about as long as the second one is."
+    for head_end in ("</head><body>", "</head>", "<body>", "", '<body class="page"><main>'):
+        assert pages.main_text(OMITTED % head_end) == want
+    assert pages.main_text("<head><title>No</title>Plain text right after the title.") == "Plain text right after the title."
+    assert pages.main_text("<head><title>No</title><noscript><p>no</p></noscript><body><p>Text after a head that stays open.") == "Text after a head that stays open."
+    assert pages.main_text("<head><script>no</script><template><p>no</p></template></head><p>Text after a head.") == "Text after a head."
+
+
 def test_model_scores(docs, none, corpus):
     from math import log10
 
