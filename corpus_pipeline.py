@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import jaccard, lines, packing, quality, substrings
 from paperloom.llm.queries import read, vocabulary
-from paperloom.session import ensure_checkpoint_dir
+from paperloom.llm.scratch import Scratch
 
-#: The tokenizer and the model have no SQL; the tests hold each stage against plain Python.
+#: The tokenizer and the model have no SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -62,10 +62,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared checkpoint folder, so a lost
-    executor costs at most the stage at work."""
-    ensure_checkpoint_dir(spark)
+    """All stages over ``documents``; each result is written to the shared checkpoint folder as Parquet
+    and read again, so a lost executor costs at most the stage at work."""
+    scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir).checkpoint()
+        docs = scratch.write(stage(spark, docs, sf_dir), "documents")
     return STAGES[-1][1](spark, docs, sf_dir)
