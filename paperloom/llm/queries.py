@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, jaccard, licenses, lines, packing, pages, ppm, quality, substrings, topk
+from paperloom.llm import bpe, jaccard, licenses, lines, packing, pages, pieces, ppm, quality, substrings, topk
 
 
 @cache
@@ -73,6 +73,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.col("lines.n_lines").alias("n_lines"), F.col("lines.n_removed").alias("n_removed"), "text")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
