@@ -29,6 +29,14 @@ class Scratch:
         df.write.parquet(path)
         old, self.paths[name] = self.paths.get(name), path
         if old:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(old)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        self.paths.clear()
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
