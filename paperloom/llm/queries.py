@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, codes, jaccard, licenses, lines, packing, pages, pieces, ppm, quality, substrings, topk
+from paperloom.llm import bpe, codes, jaccard, licenses, lines, packing, pages, pieces, ppm, quality, substrings, topk, turns
 
 
 @cache
@@ -73,6 +73,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.col("lines.n_lines").alias("n_lines"), F.col("lines.n_removed").alias("n_removed"), "text")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(read(spark, sf_dir, "embeddings")).drop("label")
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_sum_of_squares": op8_sum_of_squares,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_turn_repair": op11_turn_repair,
     "op12_vector_codes": op12_vector_codes,
     "op13_sentencepiece": op13_sentencepiece,
 }
