@@ -85,14 +85,14 @@ def _ident_at_start(piece: Column) -> Column:
     return F.left(piece, F.lit(1)).rlike(r"^[A-Za-z0-9_$]$")
 
 
-def remove_segments(text: Column, pattern: str, removes: Callable[[Column], Column]) -> Column:
+def remove_segments(text: Column, pattern: str, removes: Callable[[Column], Column], known: Column | None = None) -> Column:
     """``struct(content, removed, matches)`` after dropping the matches ``removes`` selects.
 
     A dropped match leaves one blank when both neighbours are identifier characters, so two
     tokens never merge, unless it is a whole expression container. ``matches`` holds the
-    dropped texts in order.
+    dropped texts in order. Where ``known`` is not null it is the text already cut: pieces at
+    even places, matches at odd ones, the last piece always there.
     """
-    # Pieces at even places, matches at odd ones; the last piece is always there.
     marked = F.split(F.regexp_replace(text, pattern, f"{_CUT}$0{_CUT}"), _CUT, -1)
     apart = let(
         F.struct(
@@ -105,6 +105,8 @@ def remove_segments(text: Column, pattern: str, removes: Callable[[Column], Colu
         ),
     )
     cut = F.when(text.contains(_CUT), apart).otherwise(marked)
+    if known is not None:
+        cut = F.when(known.isNotNull(), known).otherwise(cut)
 
     def rebuilt(part: Column) -> Column:
         token = part["token"]

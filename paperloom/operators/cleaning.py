@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import segments
+from ..functions import lexer, segments
 from ..functions.text import byte_length, extension
 
 HTML_EXTENSIONS = (".html", ".htm")
@@ -20,33 +20,42 @@ def strip_html_comments(text: Column, keep_words=(), keep_doc=True) -> Column:
     )
 
 
-def strip_code_comments(text: Column, keep_words=(), keep_doc=True, jsx: bool = False) -> Column:
+def strip_code_comments(text: Column, keep_words=(), keep_doc=True, jsx: bool = False, cut: Column | None = None) -> Column:
     """``struct(content, removed, matches)`` of a JavaScript or TypeScript text.
 
-    Lexical: strings, template literals and regex literals are recognised and kept whole.
-    Text between JSX tags is read as code, so an apostrophe or ``//`` in it is misread; with
-    ``jsx`` an expression container that holds only comments goes with its braces.
+    Lexical: strings, template literals and regex literals are recognised and kept whole. The
+    flat pattern reads text between tags as code and templates as plain; where that matters
+    ``cut`` brings the text already cut by the nested lexer (see ``clean_files``). With ``jsx`` an
+    expression container that holds only comments goes with its braces.
     """
     return segments.remove_segments(
         text,
         segments.JSX_TOKENS if jsx else segments.CODE_TOKENS,
         lambda t: segments.is_code_comment(t) & ~segments.keeps_comment(t, keep_words, keep_doc),
+        cut,
     )
 
 
-def clean_files(files: DataFrame, keep_words=(), keep_doc=True) -> DataFrame:
+def clean_files(files: DataFrame, keep_words=(), keep_doc=True, nested: bool = True) -> DataFrame:
     """Add the cleaned ``content``, the ``original``, ``removed`` and the dropped ``matches``.
 
     The kind of a file follows from its extension. ``keep_words`` and ``keep_doc`` are values
-    or columns of ``files``, so each project can bring its own configuration.
+    or columns of ``files``, so each project can bring its own configuration. Scripts with code in
+    templates or with tags are cut by the nested lexer, in Arrow batches that hold such files only;
+    ``nested`` false leaves it out, for corpora without such files.
     """
     text, ext = F.col("content"), extension(F.col("path"))
+    kept = [c for c in files.columns if c != "content"]
+    cut = None
+    if nested:
+        script = F.when(~ext.isin(*HTML_EXTENSIONS), text)
+        files = files.withColumn("_cut", lexer.nested_cut(script, F.coalesce(ext.isin(*JSX_EXTENSIONS), F.lit(False))))
+        cut = F.col("_cut")
     result = (
         F.when(ext.isin(*HTML_EXTENSIONS), strip_html_comments(text, keep_words, keep_doc))
-        .when(ext.isin(*JSX_EXTENSIONS), strip_code_comments(text, keep_words, keep_doc, jsx=True))
-        .otherwise(strip_code_comments(text, keep_words, keep_doc))
+        .when(ext.isin(*JSX_EXTENSIONS), strip_code_comments(text, keep_words, keep_doc, jsx=True, cut=cut))
+        .otherwise(strip_code_comments(text, keep_words, keep_doc, cut=cut))
     )
-    kept = [c for c in files.columns if c != "content"]
     # The generator keeps the rewrite from being repeated by a filter on its result.
     return files.select(*kept, text.alias("original"), F.inline(F.array(result)))
 

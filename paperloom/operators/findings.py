@@ -181,18 +181,13 @@ def evidence_path(evidence: Column) -> Column:
     return F.regexp_extract(evidence, r"([^\s:`|]+)", 1)
 
 
-def _shared_project(*frames: DataFrame) -> list[str]:
-    return ["project"] if all("project" in f.columns for f in frames) else []
-
-
 def uncovered_modules(files: DataFrame, findings: DataFrame, root: str = "src") -> DataFrame:
-    """Source directories no finding of their project refers to, directly or through a directory below.
-    Without ``project`` in both inputs all rows are of one project."""
-    keys = _shared_project(files, findings)
+    """``project, directory``: source directories no finding of their project refers to, directly or
+    through a directory below."""
     sources = files.where(F.col("path").startswith(f"{root}/") & extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
-    directories = sources.select(*keys, F.concat(parent_dir(F.col("path")), F.lit("/")).alias("directory")).distinct()
-    mentioned = findings.select(*keys, F.explode(directory_prefixes(evidence_path(F.col("evidence")))).alias("directory")).distinct()
-    return directories.join(mentioned, [*keys, "directory"], "left_anti")
+    directories = sources.select("project", F.concat(parent_dir(F.col("path")), F.lit("/")).alias("directory")).distinct()
+    mentioned = findings.select("project", F.explode(directory_prefixes(evidence_path(F.col("evidence")))).alias("directory")).distinct()
+    return directories.join(mentioned, ["project", "directory"], "left_anti")
 
 
 def weak_evidence(findings: DataFrame) -> DataFrame:
@@ -204,24 +199,47 @@ def weak_evidence(findings: DataFrame) -> DataFrame:
     return findings.where(weak).withColumn("problem", problem)
 
 
+def _evidence_line() -> Column:
+    return F.nullif(F.regexp_extract("evidence", _LOCATION, 2), F.lit("")).cast("bigint")
+
+
 def verify_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``verdict``: ``confirmed``, ``false positive`` without that line, ``stale`` without the file.
 
-    Only line counts leave the files, not their content. Where both inputs have ``project``, a
-    finding is held against the files of its own.
+    A finding is held against the files of its own project. Only line counts leave the files, not
+    their content.
     """
-    keys = _shared_project(files, findings)
     counted = files.select(
-        *keys, F.col("path").alias("_path"), F.size(F.split("content", "\n", -1)).cast("bigint").alias("_lines")
-    ).groupBy(*keys, "_path").agg(F.max("_lines").alias("_lines"))
-    line = F.nullif(F.regexp_extract("evidence", _LOCATION, 2), F.lit("")).cast("bigint")
-    located = findings.withColumn("_path", evidence_path(F.col("evidence"))).withColumn("_line", line)
+        "project", F.col("path").alias("_path"), F.size(F.split("content", "\n", -1)).cast("bigint").alias("_lines")
+    ).groupBy("project", "_path").agg(F.max("_lines").alias("_lines"))
+    located = findings.withColumn("_path", evidence_path(F.col("evidence"))).withColumn("_line", _evidence_line())
     verdict = (
         F.when(F.col("_lines").isNull(), "stale")
         .when(F.col("_line").isNull() | F.col("_line").between(1, F.col("_lines")), "confirmed")
         .otherwise("false positive")
     )
-    return located.join(counted, [*keys, "_path"], "left").withColumn("verdict", verdict).drop("_path", "_line", "_lines")
+    return located.join(counted, ["project", "_path"], "left").withColumn("verdict", verdict).drop("_path", "_line", "_lines")
+
+
+def missed_findings(verified: DataFrame, hits: DataFrame) -> DataFrame:
+    """``project, audit, check_id, path, line, pattern, found_from, verdict``: what confirmed critical
+    findings lead to, with verdict ``missed``.
+
+    ``hits`` are matches of ``scans.scan_patterns``. A confirmed critical failure whose evidence names
+    the line of a match stands for that pattern; matches of the pattern in files of the same directory
+    that no finding of the project names are missed, once per audit and check, from the first such
+    finding. Both sides are reduced to one row per directory and pattern, or per match, before they
+    meet, so a directory with many findings multiplies nothing.
+    """
+    spots = hits.select("project", "path", "line", "pattern").distinct()
+    named = verified.select("project", "audit", "check_id", "status", "severity", "verdict", evidence_path(F.col("evidence")).alias("path"), _evidence_line().alias("line"))
+    critical = named.where("verdict = 'confirmed' AND status = 'FAIL' AND severity = 'critical' AND line IS NOT NULL")
+    traced = critical.join(spots, ["project", "path", "line"]).groupBy("project", parent_dir(F.col("path")).alias("folder"), "pattern", "audit", "check_id")
+    sources = traced.agg(F.min(F.struct("path", "line")).alias("s")).select("project", "folder", "pattern", "audit", "check_id", F.concat("s.path", F.lit(":"), "s.line").alias("found_from"))
+    known = named.where("line IS NOT NULL").select("project", "path", "line").distinct()
+    open_spots = spots.join(known, ["project", "path", "line"], "left_anti").withColumn("folder", parent_dir(F.col("path")))
+    found = open_spots.join(sources, ["project", "folder", "pattern"])
+    return found.select("project", "audit", "check_id", "path", "line", "pattern", "found_from", F.lit("missed").alias("verdict"))
 
 
 def stale_sessions(sessions: DataFrame, as_of: str, days: int = STALE_DAYS) -> DataFrame:

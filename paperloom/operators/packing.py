@@ -1,7 +1,9 @@
 """Pack the files of a project, in order, into one context and fill a template with it.
 
-A context up to ``max_bytes`` becomes one row. A larger project is never gathered in one
-task: its context stays a sequence of rows that give the same text when read in order.
+A context is the ordered rows of a project, at every size: each row has its place (project,
+path and the tie columns) and a piece of text, and the pieces of a project concatenate to the
+context. Nothing gathers a project; ``sources.files.write_context`` writes the pieces into one
+file per project.
 """
 
 from __future__ import annotations
@@ -14,11 +16,6 @@ from . import tokens as tok
 from .cleaning import clean_files
 from .selection import locale_key
 
-# Contexts above this size are left as ordered rows.
-MAX_CONTEXT_BYTES = 64 * 1024 * 1024
-
-PLACEHOLDER = r"\{\{(?:context|fileList|tokenCount|usdEstimate)\}\}"
-
 # Head, separator and tail of the two formats.
 LAYOUT = {"xml": ("<files>\n", "\n\n", "\n</files>"), "text": ("", "\n\n", "")}
 
@@ -34,8 +31,9 @@ def _chunk(fmt: str) -> Column:
     return F.concat(F.lit("// file: "), "path", F.lit("\n"), "content")
 
 
-def _order(extra) -> list[Column]:
-    return [locale_key(F.col("path")).alias("k"), F.col("path").alias("p"), *[F.col(c) for c in extra]]
+def order_key(tie=()) -> Column:
+    """Place of a row in its project: root-collation order of the path, then the path, then ``tie``."""
+    return F.struct(locale_key(F.col("path")).alias("k"), F.col("path").alias("p"), *[F.col(c) for c in tie])
 
 
 def _size(files: DataFrame) -> Column:
@@ -43,56 +41,34 @@ def _size(files: DataFrame) -> Column:
     return F.col("length").cast("bigint") if "length" in files.columns else byte_length(F.col("content"))
 
 
-def _assemble(files: DataFrame, chunk: Column, size: Column, layout, extra, max_bytes: int, prepare=None) -> DataFrame:
-    """Pack ``chunk`` of each file; ``prepare`` rewrites files after they are sorted by project size."""
-    prepare = prepare or (lambda df: df)
+def _pieces(files: DataFrame, chunk: Column, layout, tie) -> DataFrame:
+    """One piece per file. The ends of a project come from paths alone, so content is neither
+    sorted nor shuffled unless the optimizer finds the table of ends too large to send."""
     head, sep, tail = (F.lit(part) for part in layout)
-    sizes = files.groupBy("project").agg(F.sum(size).alias("bytes"))
-    # How many projects are large depends on max_bytes, so the optimizer sizes the joins with them.
-    large = sizes.where(F.col("bytes") > max_bytes).select("project")
-
-    whole = (
-        prepare(files.join(large, "project", "left_anti"))
-        .groupBy("project")
-        .agg(F.sort_array(F.collect_list(F.struct(*_order(extra), chunk.alias("chunk")))).alias("items"))
-        .select(
-            "project",
-            F.lit(True).alias("whole"),
-            F.get("items", F.lit(0))["p"].alias("first_path"),
-            F.concat(head, F.array_join(F.col("items.chunk"), layout[1]), tail).alias("text"),
-        )
-    )
-
-    parts = files.join(large, "project", "left_semi").withColumn("_key", F.struct(*_order(extra)))
-    # One row per large project again.
-    ends = parts.groupBy("project").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
-    parts = prepare(parts).join(ends, "project").select(
+    key = order_key(tie)
+    ends = files.groupBy("project").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    last = key == F.col("_last")
+    return files.join(ends, "project").select(
         "project",
-        F.lit(False).alias("whole"),
-        F.col("path").alias("first_path"),
-        F.concat(
-            F.when(F.col("_key") == F.col("_first"), head).otherwise(sep),
-            chunk,
-            F.when(F.col("_key") == F.col("_last"), tail).otherwise(F.lit("")),
-        ).alias("text"),
+        "path",
+        *tie,
+        last.alias("last"),
+        F.concat(F.when(key == F.col("_first"), head).otherwise(sep), chunk, F.when(last, tail).otherwise(F.lit(""))).alias("text"),
     )
-    return whole.unionByName(parts)
 
 
-def pack(
-    files: DataFrame, fmt: str = "xml", tie=(), max_bytes: int = MAX_CONTEXT_BYTES, clean: bool = False, **cleaning
-) -> DataFrame:
-    """``project, whole, first_path, text``: the packed files of each project.
+def pack(files: DataFrame, fmt: str = "xml", tie=(), clean: bool = False, **cleaning) -> DataFrame:
+    """``project, path, *tie, last, text``: the pieces of the context of each project.
 
-    Files come in root-collation order of their paths; ``tie`` names columns that order equal
-    paths. Content is not escaped. A row with ``whole`` holds the complete context; otherwise
-    the rows of a project, in the order of ``first_path``, concatenate to it. With ``clean``
-    comments are dropped first, the sources stay untouched.
+    In the order of ``order_key`` the pieces of a project concatenate to its context; ``last``
+    marks the final one. ``tie`` names columns that order equal paths; path and tie together are
+    unique in a project. Content is not escaped. With ``clean`` comments are dropped first, the
+    sources stay untouched.
     """
     fmt = known_format(fmt)
-    # Cleaning never makes a text longer, so sizes before it bound those after it.
-    prepare = (lambda df: clean_files(df, **cleaning)) if clean else None
-    return _assemble(files, _chunk(fmt), _size(files), LAYOUT[fmt], tie, max_bytes, prepare)
+    if clean:
+        files = clean_files(files, **cleaning)
+    return _pieces(files, _chunk(fmt), LAYOUT[fmt], tie)
 
 
 def pack_xml(files: DataFrame, **options) -> DataFrame:
@@ -103,66 +79,54 @@ def pack_text(files: DataFrame, **options) -> DataFrame:
     return pack(files, "text", **options)
 
 
-def file_list(files: DataFrame, tie=(), max_bytes: int = MAX_CONTEXT_BYTES) -> DataFrame:
+def file_list(files: DataFrame, tie=()) -> DataFrame:
     """The paths of a project in file order, one per line; shaped like ``pack``."""
-    return _assemble(files, F.col("path"), byte_length(F.col("path")) + 1, ("", "\n", ""), tie, max_bytes)
+    return _pieces(files, F.col("path"), ("", "\n", ""), tie)
 
 
 def with_final_newline(parts: DataFrame) -> DataFrame:
-    """The text a sink writes: a complete context ends with one more line end."""
-    return parts.withColumn("text", F.when(F.col("whole"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    """The text a sink writes: a context ends with one more line end."""
+    return parts.withColumn("text", F.when(F.col("last"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
 
 
-def fill_template(
-    template: Column, context: Column, files: Column, tokens: Column, usd: Column
-) -> Column:
-    """Substitute the placeholders in one pass; substituted text is not searched again.
+# Placeholders that stand for rows of their own.
+ROW_PLACEHOLDER = r"\{\{(?:context|fileList)\}\}"
 
-    A template without a context placeholder gets the context appended after a blank line.
-    """
-    cut = F.struct(
-        F.split(template, PLACEHOLDER, -1).alias("pieces"),
-        F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(0)).alias("holders"),
-    )
 
-    def value(piece: Column, holder: Column) -> Column:
-        filled = (
-            F.when(holder.isNull(), F.lit(""))
-            .when(holder == "{{context}}", context)
-            .when(holder == "{{fileList}}", files)
-            .when(holder == "{{tokenCount}}", tokens.cast("string"))
-            .otherwise(tok.usd_text(usd))
-        )
-        return F.concat(piece, filled)
+def fill_template(parts: DataFrame, listed: DataFrame, templates: DataFrame, tie=()) -> DataFrame:
+    """``project, slot, path, *tie, last, text``: templates filled with contexts, as ordered rows.
 
-    body = let(cut, lambda c: F.array_join(F.zip_with(c["pieces"], c["holders"], value), ""))
-    return F.when(template.contains("{{context}}"), body).otherwise(F.concat(body, F.lit("\n\n"), context))
+    ``parts`` are packed files, ``listed`` the file list, and ``templates`` has ``project, template,
+    tokens, usd``. A template is cut at its context and file-list placeholders: even slots are its own
+    texts, odd slots the rows that stand there. Ordered by slot and ``order_key`` the rows of a project
+    concatenate to the filled template. Substituted text is not searched again; a template without a
+    context placeholder gets the context appended after a blank line.
+    """
+    named = F.when(F.col("template").contains("{{context}}"), F.col("template"))
+    named = named.otherwise(F.concat("template", F.lit("\n\n{{context}}")))
+    cut = templates.select("project", "tokens", "usd", named.alias("template"))
+    pieces, holders = F.split("template", ROW_PLACEHOLDER, -1), F.regexp_extract_all("template", F.lit(ROW_PLACEHOLDER), F.lit(0))
+    holders = F.concat(holders, F.array(F.lit(None).cast("string")))
+    slots = cut.select("project", "tokens", "usd", F.posexplode(F.arrays_zip(pieces.alias("piece"), holders.alias("holder"))).alias("i", "s"))
+    slots = slots.select("project", "tokens", "usd", (F.col("i") * 2).alias("slot"), "s.piece", "s.holder")
+    none = [F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in tie]
+    own = slots.select("project", "slot", F.lit("").alias("path"), *none, F.col("holder").isNull().alias("last"), _plain(F.col("piece")).alias("text"))
+    for holder, rows in (("{{context}}", parts), ("{{fileList}}", listed)):
+        places = slots.where(F.col("holder") == holder).select("project", (F.col("slot") + 1).alias("slot"))
+        own = own.unionByName(rows.drop("last").join(places, "project").select("project", "slot", "path", *tie, F.lit(False).alias("last"), "text"))
+    return own
 
 
-def fill_template_rows(parts: DataFrame, templates: DataFrame) -> DataFrame:
-    """Template filling for contexts that stay rows: ``project, slot, first_path, text``.
+def _plain(piece: Column) -> Column:
+    """A piece of a template with its count and price put in."""
+    holders = r"\{\{(?:tokenCount|usdEstimate)\}\}"
+    cut = F.struct(F.split(piece, holders, -1).alias("pieces"), F.regexp_extract_all(piece, F.lit(holders), F.lit(0)).alias("holders"))
 
-    ``templates`` has ``project, template, files, tokens, usd``. The template is cut at its
-    context placeholders; even slots are its own texts, odd slots the context rows. Rows
-    ordered by slot and path concatenate to the filled template.
-    """
-    named = F.when(
-        F.col("template").contains("{{context}}"), F.col("template")
-    ).otherwise(F.concat("template", F.lit("\n\n{{context}}")))
-    cut = templates.select(
-        "project", "files", "tokens", "usd", F.posexplode(F.split(named, r"\{\{context\}\}", -1)).alias("i", "piece")
-    )
-    none = F.lit("")
-    own = cut.select(
-        "project",
-        (F.col("i") * 2).alias("slot"),
-        none.alias("first_path"),
-        fill_template(
-            F.concat(F.col("piece"), F.lit("{{context}}")), none, F.col("files"), F.col("tokens"), F.col("usd")
-        ).alias("text"),
-    )
-    slots = cut.where("i > 0").select("project", (F.col("i") * 2 - 1).alias("slot"))
-    return own.unionByName(parts.join(slots, "project").select("project", "slot", "first_path", "text"))
+    def value(text: Column, holder: Column) -> Column:
+        filled = F.when(holder.isNull(), F.lit("")).when(holder == "{{tokenCount}}", F.col("tokens").cast("string"))
+        return F.concat(text, filled.otherwise(tok.usd_text(F.col("usd"))))
+
+    return let(cut, lambda c: F.array_join(F.zip_with(c["pieces"], c["holders"], value), ""))
 
 
 def looks_inline(source: Column) -> Column:
@@ -200,25 +164,29 @@ def resolve_name(names: DataFrame, templates: DataFrame) -> DataFrame:
     return names.join(best, "named", "left").withColumn("found", F.col("template").isNotNull())
 
 
-def choose_output(contexts: DataFrame, sources: DataFrame, names: DataFrame, templates: DataFrame) -> DataFrame:
-    """``project, output, error``: what each project's context finally looks like.
+def choose_output(
+    parts: DataFrame, listed: DataFrame, totals: DataFrame, sources: DataFrame, names: DataFrame, templates: DataFrame, tie=()
+) -> DataFrame:
+    """``project, slot, path, *tie, last, text, error``: what each project's context finally looks like.
 
-    ``contexts`` has ``project, context, files, tokens, usd``; ``sources`` the configured
-    prompt (``project, source``), ``names`` an explicitly named template (``project, named``).
-    A missing configured prompt leaves the raw context; the named template overrides it, and
-    a missing one is an error.
+    ``totals`` has ``project, tokens, usd``; ``sources`` the configured prompt (``project, source``),
+    ``names`` an explicitly named template (``project, named``). A missing configured prompt leaves the
+    rows of the raw context; the named template overrides it, and a missing one is a row with an error.
     """
     configured = resolve_source(sources, templates).select("project", F.col("template").alias("_configured"))
     explicit = resolve_name(names, templates).select("project", "named", F.col("template").alias("_explicit"))
-    joined = contexts.join(configured, "project", "left").join(explicit, "project", "left")
-    template = F.coalesce("_explicit", "_configured")
-    filled = fill_template(template, F.col("context"), F.col("files"), F.col("tokens"), F.col("usd"))
+    chosen = totals.join(configured, "project", "left").join(explicit, "project", "left")
     missing = F.col("named").isNotNull() & F.col("_explicit").isNull()
-    return joined.select(
-        "project",
-        F.when(~missing, F.coalesce(filled, F.col("context"))).alias("output"),
-        F.when(missing, F.concat(F.lit("template not found: "), "named")).alias("error"),
-    )
+    chosen = chosen.select("project", "tokens", "usd", "named", missing.alias("missing"), F.coalesce("_explicit", "_configured").alias("template"))
+    no_error = F.lit(None).cast("string").alias("error")
+    filled = fill_template(parts, listed, chosen.where("NOT missing AND template IS NOT NULL"), tie).select("*", no_error)
+    raw = parts.join(chosen.where("NOT missing AND template IS NULL").select("project"), "project", "left_semi")
+    none = [F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in tie]
+    failed = chosen.where("missing").select(
+        "project", F.lit(0).alias("slot"), F.lit("").alias("path"), *none, F.lit(True).alias("last"),
+        F.lit(None).cast("string").alias("text"), F.concat(F.lit("template not found: "), "named").alias("error"),
+    )
+    return filled.unionByName(raw.select("project", F.lit(1).alias("slot"), "path", *tie, "last", "text", no_error)).unionByName(failed)
 
 
 def context_bytes(files: DataFrame, fmt: str) -> Column:
@@ -254,7 +222,7 @@ def pack_token_summary(files: DataFrame, fmt: str = "xml", tie=(), vocabulary=No
     def fixed(text: str) -> int:
         return tok.count_text(text, vocabulary)
 
-    key = F.struct(*_order(tie)).alias("key")
+    key = order_key(tie).alias("key")
     if fmt == "xml":
         inner = F.concat(F.lit(' path="'), "path", F.lit('">\n'), "content", F.lit("\n</file"))
         counted = tok.token_count(files.select("project", inner.alias("body")), "body", vocabulary=vocabulary)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.globs import directory_prefixes
+from ..functions.spans import Pattern, SpanFinder
 from ..functions.text import clean_path, let, literal_array, parent_dir, split_lines, trim_space
 
 # Runtimes by priority, the base names that mark them, their tier.
@@ -32,22 +35,26 @@ ENV_PATTERNS = {
     "generic": r"([A-Z][A-Z0-9_]{2,})",
 }
 
-# Patterns of secrets, each with a cheap one that every hit also matches. All are plain
-# enough for any regular-expression dialect.
+# Patterns of secrets; the group is the value a match stands or falls by. All are plain enough for any
+# regular-expression dialect. A name may be quoted, joined with others or in camel case.
+_NAME = (
+    r"(?:(?:[A-Za-z0-9_.-]*[_.-])?(?i:password|passwd|token|key|secret)"
+    r"|[A-Za-z0-9_]*[a-z0-9](?:Password|Passwd|Token|Key|Secret))"
+)
 SECRET_PATTERNS = {
-    "assignment": (
-        r"[=:][ \t]*[\"']",
-        r"(?i)(?:^|[^a-z0-9])(?:password|token|key|secret)[ \t]*[=:][ \t]*[\"'][^\"']+[\"']",
+    "assignment": Pattern(
+        ("password", "passwd", "token", "key", "secret"),
+        rf"(?:^|[^A-Za-z0-9_.-]){_NAME}[\"']?[ \t]*(?::=|=>|[=:])[ \t]*[\"']([^\"']+)[\"']",
     ),
-    "url credentials": (r"://[^ \t/:@]+:", r"[A-Za-z][A-Za-z0-9+.-]*://[^ \t/:@]+:[^ \t/@]+@"),
-    "url parameter": (r"[?&](?:api_key|apikey|token|secret)=", r"[?&](?:api_key|apikey|token|secret)=[^ \t&#]+"),
-    "private key": (r"PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    "cloud access key": (r"AKIA", r"(?:^|[^A-Za-z0-9])AKIA[0-9A-Z]{16}"),
-    "repository token": (r"gh[pousr]_", r"(?:^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}"),
-    "model provider key": (r"sk-", r"(?:^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}"),
+    "url credentials": Pattern(("://",), r"[A-Za-z][A-Za-z0-9+.-]*://[^ \t/:@]+:([^ \t/@]+)@"),
+    "url parameter": Pattern(("api_key=", "apikey=", "token=", "secret="), r"[?&](?:api_key|apikey|token|secret)=([^ \t&#\"']+)"),
+    "private key": Pattern(("private key-----",), r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
+    "cloud access key": Pattern(("akia",), r"(?:^|[^A-Za-z0-9])(AKIA[0-9A-Z]{16})"),
+    "repository token": Pattern(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?:^|[^A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36})"),
+    "model provider key": Pattern(("sk-",), r"(?:^|[^A-Za-z0-9])(sk-[A-Za-z0-9_-]{20,})"),
 }
 # Values that only hold a place.
-PLACEHOLDER_VALUE = r"(?i)[=:][ \t]*[\"'](?:<[^\"']*>|\$\{[^\"']*|x{3,}|\*{3,}|your[-_ ][^\"']*|change[-_ ]?me|example|placeholder|todo|\.{3})[\"']"
+PLACEHOLDER_VALUE = r"(?i)(?:<.*>|\$\{.*|\{\{.*|%[a-z(].*|x{3,}|\*{3,}|your[-_ ].*|change[-_ ]?me|example|placeholder|todo|\.{3})"
 
 # Words that make a source file critical, the directories of each tier, the report's length.
 CRITICAL_WORDS = ("auth", "login", "payment", "billing", "webhook", "cron", "migration")
@@ -94,29 +101,24 @@ def detect_stack(files: DataFrame) -> DataFrame:
 
 
 def scan_patterns(files: DataFrame, patterns=None) -> DataFrame:
-    """``project, path, line, pattern`` of lines that look like secrets, place-holding values aside.
+    """``project, path, line, pattern, n``: every match that looks like a secret, the ``n``-th of its
+    pattern in its line. A match whose own value only holds a place is left out, whatever else stands
+    in its line.
 
-    Files without any hit are sorted out by one pattern over the whole text; line numbers and
-    single patterns are only worked out for the others.
+    Texts are read once by an automaton over the hints of all patterns; a pattern is only tried in
+    the lines that have one of its hints. Null texts have no matches.
     """
-    patterns = patterns or SECRET_PATTERNS
-    anything = F.lit(False)
-    for hint, regex in patterns.values():
-        anything = anything | (_content().rlike(hint) & _content().rlike("(?m)" + regex))
-    hit_names = [
-        lambda t, n=name, rx=regex: F.when(t.rlike(rx) & ~t.rlike(PLACEHOLDER_VALUE), F.lit(n))
-        for name, (_, regex) in patterns.items()
-    ]
-    lines = F.transform(
-        F.split(_content(), "\n", -1),
-        lambda t, i: F.struct(
-            (i + 1).cast("bigint").alias("line"), F.array_compact(F.array(*[h(t) for h in hit_names])).alias("hits")
-        ),
-    )
-    suspicious = files.where(anything).select(
-        "project", "path", F.inline(F.filter(lines, lambda ln: F.size(ln["hits"]) > 0))
-    )
-    return suspicious.select("project", "path", "line", F.explode("hits").alias("pattern"))
+    patterns = dict(patterns or SECRET_PATTERNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = SpanFinder(patterns, PLACEHOLDER_VALUE)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("project", "path", "content")), strict=True)
+            found = [(project, path, line, name, n) for project, path, text in rows for line, name, n, _ in finder.find(text or "")]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["project", "path", "line", "pattern", "n"])
+
+    return files.select("project", "path", "content").mapInArrow(run, "project string, path string, line bigint, pattern string, n bigint")
 
 
 def critical_paths(files: DataFrame, limit: int | None = None) -> DataFrame:

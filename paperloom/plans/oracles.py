@@ -167,10 +167,11 @@ ORACLES["b01_strip_html_comments"] = (
 ORACLES["b02_strip_code_comments"] = (
     f"WITH {_stripped('SELECT * FROM fx_code')} SELECT project, path, content, CAST(len(matches) AS BIGINT) AS removed FROM stripped"
 )
+ORACLES["b02_strip_nested_comments"] = "SELECT project, path, content, CAST(comments AS BIGINT) AS removed FROM fx_components_bare"
 ORACLES["b03_comment_keep_predicate"] = f"""WITH {_stripped('SELECT * FROM fx_code', 'ring', False)}
 SELECT path, CAST(len(matches) AS BIGINT) AS removed, coalesce(array_to_string(matches, ' | '), '') AS matches FROM stripped"""
 ORACLES["b04_token_boundary_space"] = f"""WITH {_stripped('SELECT * FROM fx_code', '')}
-SELECT path, regexp_extract(content, '(?m)^(const v = .*)$', 1) AS line FROM stripped"""
+SELECT project, path, content FROM stripped"""
 ORACLES["b05_clean_summary"] = f"WITH {_stripped(_CORPUS)} SELECT project, {_SUMMARY} FROM stripped GROUP BY project"
 ORACLES["b05_clean_total"] = f"WITH {_stripped('SELECT * FROM fx_pages')} SELECT {_SUMMARY} FROM stripped"
 ORACLES["b06_comment_previews"] = f"""WITH {_stripped(_CORPUS)}
@@ -199,50 +200,44 @@ _XML = "'<file path=\"' || path || '\">' || chr(10) || content || chr(10) || '</
 _GAP = "chr(10) || chr(10)"
 
 
-def _packed_xml(source: str, order: str) -> str:
-    return f"""SELECT project, '<files>' || chr(10) || string_agg({_XML}, {_GAP} ORDER BY {order}) || chr(10) || '</files>' AS text
-FROM {source} GROUP BY project"""
+def _pieces(source: str, order: str, chunk: str = _XML, head: str = "'<files>' || chr(10)", sep: str = _GAP, tail: str = "chr(10) || '</files>'") -> str:
+    """All columns of a source with the piece of text of each row and whether it is its project's last."""
+    return f"""SELECT *, CASE WHEN row_number() OVER w = 1 THEN {head} ELSE {sep} END || {chunk}
+  || CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY project) THEN {tail} ELSE '' END AS text,
+  row_number() OVER w = count(*) OVER (PARTITION BY project) AS last
+FROM {source} WINDOW w AS (PARTITION BY project ORDER BY {order})"""
 
 
-_PACKED_TEXT = f"string_agg('// file: ' || path || chr(10) || content, {_GAP} ORDER BY {_ORDER}, seq)"
+_SEQ = _ORDER + ", seq"
+_PACKED = _pieces("fx_files", _SEQ)
+_PACKED_TEXT = _pieces("fx_files", _SEQ, "'// file: ' || path || chr(10) || content", "''", _GAP, "''")
+_LISTED = _pieces("fx_files", _SEQ, "path", "''", "chr(10)", "''")
 _TOTALS = f"""SELECT project, count(*) AS files,
   CAST(sum(strlen({_XML})) + (count(*) - 1) * 2 + 17 AS BIGINT) AS context_bytes FROM fx_files GROUP BY project"""
-ORACLES["d01_pack_xml"] = _packed_xml("fx_files", _ORDER + ", seq")
-ORACLES["d01_pack_xml_rows"] = f"""
-SELECT project, path AS first_path,
-  CASE WHEN row_number() OVER w = 1 THEN '<files>' || chr(10) ELSE {_GAP} END || {_XML}
-  || CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY project) THEN chr(10) || '</files>' ELSE '' END AS text
-FROM fx_files WINDOW w AS (PARTITION BY project ORDER BY {_ORDER}, seq)"""
-ORACLES["d02_pack_text"] = f"SELECT project, {_PACKED_TEXT} AS text FROM fx_files GROUP BY project"
-_LISTED = f"SELECT project, string_agg(path, chr(10) ORDER BY {_ORDER}, seq) AS text FROM fx_files GROUP BY project"
-ORACLES["d03_file_list"] = _LISTED
-_CONTEXTS = f"""
-packed AS ({_packed_xml("fx_files", _ORDER + ", seq")}),
-listed AS ({_LISTED}),
+ORACLES["d01_pack_xml"] = f"SELECT project, path, seq, text FROM ({_PACKED})"
+ORACLES["d01_pack_xml_rows"] = f"SELECT project, path AS first_path, text FROM ({_PACKED})"
+ORACLES["d02_pack_text"] = f"SELECT project, path, seq, text FROM ({_PACKED_TEXT})"
+ORACLES["d03_file_list"] = f"SELECT project, path, seq, text FROM ({_LISTED})"
+_PROMPTS = f"""
 totals AS (SELECT *, CAST(round(context_bytes / 4) AS BIGINT) AS tokens FROM ({_TOTALS})),
-contexts AS (SELECT project, packed.text AS context, listed.text AS files, tokens, printf('%.4f', tokens / 1000000.0 * 5.0) AS usd
-  FROM packed JOIN listed USING (project) JOIN totals USING (project)),
 prompts AS (SELECT p.project, p.source, p.named, coalesce(t.content, CASE WHEN instr(source, chr(10)) > 0
     OR (regexp_matches(source, '[^\\s]') AND NOT regexp_matches(source, '[/\\\\]') AND NOT regexp_matches(source, '\\.[^/]*$')) THEN source END) AS template
   FROM fx_project_prompts p LEFT JOIN fx_templates t ON t.name = p.source)"""
-# No text of the view holds a placeholder, so replacing one after the other gives the same.
-_FILL = """CASE WHEN instr({t}, '{{{{context}}}}') > 0 THEN {v} ELSE {v} || chr(10) || chr(10) || context END""".format(
-    t="{t}",
-    v="replace(replace(replace(replace({t}, '{{{{fileList}}}}', files), '{{{{tokenCount}}}}', CAST(tokens AS VARCHAR)), "
-    "'{{{{usdEstimate}}}}', usd), '{{{{context}}}}', context)",
-)
-ORACLES["d04_fill_template"] = f"""WITH {_CONTEXTS}
-SELECT project, {_FILL.format(t='template')} AS output FROM contexts JOIN prompts USING (project) WHERE template IS NOT NULL"""
-# Own texts of a template at even slots, the context rows between them at odd ones.
-_PIECES = """
-pieces AS (SELECT project, unnest(range(0, len(p))) AS i, unnest(p) AS piece, len(p) AS n, files, tokens, usd FROM (
-  SELECT project, files, tokens, usd, string_split(CASE WHEN instr(template, '{{context}}') > 0 THEN template ELSE template || chr(10) || chr(10) || '{{context}}' END, '{{context}}') AS p
-  FROM contexts JOIN prompts USING (project) WHERE template IS NOT NULL))"""
-ORACLES["d04_fill_template_rows"] = f"""WITH {_CONTEXTS}, {_PIECES},
-chunks AS ({ORACLES["d01_pack_xml_rows"]})
-SELECT project, CAST(i * 2 AS INT) AS slot, '' AS first_path, replace(replace(replace(piece, '{{{{fileList}}}}', files), '{{{{tokenCount}}}}', CAST(tokens AS VARCHAR)), '{{{{usdEstimate}}}}', usd) AS text FROM pieces
-UNION ALL
-SELECT p.project, CAST(i * 2 + 1 AS INT), first_path, text FROM pieces p JOIN chunks c ON c.project = p.project WHERE i < n - 1"""
+_HOLDER = "'\\{\\{(context|fileList)\\}\\}'"
+# Own texts of a template at even slots, the rows of the context or of the file list between them at odd ones.
+_FILLED = f"""
+full_template AS (SELECT project, tokens, CASE WHEN instr(template, '{{{{context}}}}') > 0 THEN template ELSE template || chr(10) || chr(10) || '{{{{context}}}}' END AS t
+  FROM chosen JOIN totals USING (project)),
+cut AS (SELECT project, tokens, string_split_regex(t, {_HOLDER}) AS p, regexp_extract_all(t, {_HOLDER}, 1) AS h FROM full_template),
+slots AS (SELECT project, tokens, unnest(range(0, len(p))) AS i, unnest(p) AS piece, unnest(list_concat(h, [NULL])) AS holder FROM cut),
+filled AS (
+SELECT project, CAST(i * 2 AS INT) AS slot, '' AS path, CAST(NULL AS BIGINT) AS seq, holder IS NULL AS last,
+  replace(replace(piece, '{{{{tokenCount}}}}', CAST(tokens AS VARCHAR)), '{{{{usdEstimate}}}}', printf('%.4f', tokens / 1000000.0 * 5.0)) AS text FROM slots
+UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), path, seq, FALSE, text FROM slots s JOIN ({_PACKED}) c ON c.project = s.project AND holder = 'context'
+UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), path, seq, FALSE, text FROM slots s JOIN ({_LISTED}) c ON c.project = s.project AND holder = 'fileList')"""
+_BY_CONFIG = f"WITH {_PROMPTS}, chosen AS (SELECT project, template FROM prompts WHERE template IS NOT NULL), {_FILLED}"
+ORACLES["d04_fill_template"] = f"{_BY_CONFIG} SELECT project, slot, path, seq, text FROM filled"
+ORACLES["d04_fill_template_rows"] = f"{_BY_CONFIG} SELECT project, slot, path AS first_path, text FROM filled"
 ORACLES["d05_resolve_template"] = """
 SELECT id, source, coalesce(t.content, inline) AS template, coalesce(t.content, inline) IS NOT NULL AS found
 FROM (SELECT id, source, CASE WHEN instr(source, chr(10)) > 0 OR (regexp_matches(source, '[^\\s]') AND instr(source, '/') = 0
@@ -254,16 +249,24 @@ _BY_NAME = """coalesce(
   (SELECT content FROM fx_templates t WHERE instr({n}, '.') = 0 AND t.name = {n} || '.txt'))"""
 ORACLES["d05_resolve_template_name"] = f"""
 SELECT id, named, {_BY_NAME.format(n='named')} AS template, {_BY_NAME.format(n='named')} IS NOT NULL AS found FROM fx_prompts"""
-ORACLES["d06_choose_output"] = f"""WITH {_CONTEXTS},
-chosen AS (SELECT *, {_BY_NAME.format(n='named')} AS explicit FROM contexts LEFT JOIN prompts USING (project))
-SELECT project, CASE WHEN named IS NULL OR explicit IS NOT NULL THEN
-    CASE WHEN coalesce(explicit, template) IS NULL THEN context ELSE {_FILL.format(t='coalesce(explicit, template)')} END END AS output,
-  CASE WHEN named IS NOT NULL AND explicit IS NULL THEN 'template not found: ' || named END AS error FROM chosen"""
-ORACLES["d07_write_context"] = f"SELECT project, {_PACKED_TEXT} || chr(10) AS text FROM fx_files GROUP BY project"
+_OUTPUT = f"""WITH {_PROMPTS},
+named AS (SELECT project, named, coalesce({_BY_NAME.format(n='named')}, CASE WHEN named IS NULL THEN template END, CASE WHEN named IS NULL THEN '' END) AS t,
+    named IS NOT NULL AND {_BY_NAME.format(n='named')} IS NULL AS missing, named IS NULL AND template IS NULL AS raw
+  FROM totals LEFT JOIN prompts USING (project)),
+chosen AS (SELECT project, t AS template FROM named WHERE NOT missing AND NOT raw), {_FILLED},
+output AS (SELECT *, CAST(NULL AS VARCHAR) AS error FROM filled
+UNION ALL SELECT project, 1, path, seq, last, text, NULL FROM ({_PACKED}) JOIN named USING (project) WHERE raw
+UNION ALL SELECT project, 0, '', NULL, TRUE, NULL, 'template not found: ' || named FROM named WHERE missing)"""
+ORACLES["d06_choose_output"] = f"{_OUTPUT} SELECT project, slot, path, seq, text, error FROM output"
+ORACLES["d07_write_context"] = f"""
+SELECT project, path, seq, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY project ORDER BY {_SEQ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  text || CASE WHEN last THEN chr(10) ELSE '' END AS text FROM ({_PACKED_TEXT})"""
+ORACLES["d07_context_files"] = f"""{_OUTPUT}
+SELECT project || '/context.xml' AS path, CAST(sum(strlen(text)) + 1 AS BIGINT) AS length FROM output WHERE error IS NULL GROUP BY project"""
 ORACLES["d08_pack_summary"] = f"""
 SELECT project, files, context_bytes, tokens, tokens / 1000000.0 * 5.0 AS usd, 'xml' AS format
 FROM (SELECT *, CAST(round(context_bytes / 4) AS BIGINT) AS tokens FROM ({_TOTALS}))"""
-ORACLES["d09_pack_clean"] = f"WITH {_stripped('SELECT * FROM fx_code')} {_packed_xml('stripped', _ORDER)}"
+ORACLES["d09_pack_clean"] = f"WITH {_stripped('SELECT * FROM fx_code')} SELECT project, path, text FROM ({_pieces('stripped', _ORDER)})"
 
 # E: import graph
 
@@ -275,6 +278,25 @@ resolved AS (SELECT e.project, e.path, e.specifier, e.kind, NOT starts_with(e.sp
   FROM edges e LEFT JOIN fx_imports f ON f.project = e.project AND starts_with(e.specifier, '.')
    AND f.path = 'src/' || regexp_extract(e.specifier, '(part[0-9]+)', 1) || '.ts')"""
 ORACLES["e01_import_edges_raw"] = f"WITH {_RAW} SELECT project, path, specifier, kind FROM edges"
+# What each group of projects of the view has in force, and which folder a specifier then means.
+ORACLES["e02_path_aliases"] = """
+SELECT * FROM (VALUES ('al0', '@/*', 'src/*', false), ('al5', '@/*', 'lib/*', false),
+  ('al0', 'first', 'src/part10 | lib/part15', false), ('al5', 'first', 'src/part10 | lib/part15', false),
+  ('al1', '@/deep/*', 'src/* | lib/*', false), ('al6', '@/deep/*', 'src/* | lib/*', false),
+  ('al2', '@/*', 'src/*', false), ('al7', '@/*', 'lib/*', false), ('al2', '*', 'src/*', true), ('al7', '*', 'lib/*', true),
+  ('al3', '@/*', 'none/*', false), ('al8', '@/*', 'none/*', false),
+  ('al3', '@/deep/*', 'none/* | src/* | lib/*', false), ('al8', '@/deep/*', 'none/* | src/* | lib/*', false)) t(project, alias, targets, fallback)
+WHERE project IN (SELECT project FROM fx_aliased)"""
+ORACLES["e02_resolve_aliases"] = """
+WITH parts AS (SELECT *, p_partkey % 10 AS g, unnest([1, 2, 3, 4, 5]) AS line FROM part),
+said AS (SELECT g, p_partkey AS n, p_partkey + line * 10 AS m, line,
+    CASE line WHEN 1 THEN '@/part' || (p_partkey + 10) WHEN 2 THEN '@/deep/part' || (p_partkey + 20) WHEN 3 THEN 'part' || (p_partkey + 30) WHEN 4 THEN 'first' ELSE 'react' END AS specifier,
+    CASE line WHEN 1 THEN g IN (0, 5, 2, 7) WHEN 2 THEN g IN (1, 6, 3, 8) WHEN 3 THEN g IN (2, 7) WHEN 4 THEN g IN (0, 5) ELSE false END AS hit,
+    CASE line WHEN 1 THEN g IN (0, 5, 2, 7, 3, 8) WHEN 2 THEN g NOT IN (4, 9) WHEN 4 THEN g IN (0, 5) ELSE false END AS meant FROM parts),
+goal AS (SELECT *, CASE WHEN line = 4 THEN CASE g WHEN 0 THEN 10 ELSE 15 END ELSE m END AS target FROM said),
+file AS (SELECT p_partkey, CASE WHEN p_partkey % 10 < 5 THEN 'src/' ELSE 'lib/' END || 'part' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '/index.ts' ELSE '.ts' END AS path FROM part)
+SELECT 'al' || g AS project, f.path, specifier, 'import' AS kind, NOT meant AND t.path IS NULL AS external, t.path AS resolved
+FROM goal JOIN file f ON f.p_partkey = n LEFT JOIN file t ON hit AND t.p_partkey = target"""
 ORACLES["e02_resolve_imports"] = f"WITH {_RAW} SELECT * FROM resolved"
 
 
@@ -292,9 +314,9 @@ _DEEP = 24
 ORACLES["e03_reachable"] = f"WITH RECURSIVE {_reached(_DEEP)} SELECT 'app' AS project, path, depth FROM reach"
 ORACLES["e03_reachable_bounded"] = f"WITH RECURSIVE {_reached(3)} SELECT 'app' AS project, path, depth FROM reach"
 ORACLES["e04_explain"] = f"WITH RECURSIVE {_reached(_DEEP)} SELECT 'app' AS project, path, reason FROM reasons"
-ORACLES["e05_pack_reachable"] = f"""WITH RECURSIVE {_reached(4)}
-{_packed_xml('(SELECT * FROM fx_imports WHERE path IN (SELECT path FROM reach))', _ORDER)}"""
-ORACLES["a13_list_files_with_reasons"] = f"""WITH RECURSIVE {_reached(3)}
+ORACLES["e05_pack_reachable"] = f"""WITH RECURSIVE {_reached(_DEEP)}
+SELECT project, path, text FROM ({_pieces('(SELECT * FROM fx_imports WHERE path IN (SELECT path FROM reach))', _ORDER)})"""
+ORACLES["a13_list_files_with_reasons"] = f"""WITH RECURSIVE {_reached(_DEEP)}
 SELECT project, f.path, f.path || '  ← ' || coalesce(reason, '') AS entry FROM fx_imports f LEFT JOIN reasons r ON r.path = f.path"""
 
 # F: product documents
@@ -616,8 +638,8 @@ ORACLES["h08_critical_breakdown"] = """
 SELECT component, check_id, "check", evidence, trim(replace(string_split(solution, chr(92) || chr(92))[1], '**', '')) AS resolution
 FROM fx_findings WHERE status = 'FAIL' AND severity = 'critical'"""
 ORACLES["h09_uncovered_modules"] = f"""
-SELECT DISTINCT regexp_extract(path, '^(.*/)', 1) AS directory FROM fx_files f WHERE starts_with(path, 'src/') AND {_ext()} IN ('.ts', '.js', '.py')
-AND NOT EXISTS (SELECT 1 FROM fx_findings g WHERE starts_with(coalesce(g.evidence, ''), regexp_extract(f.path, '^(.*/)', 1)))"""
+SELECT DISTINCT project, regexp_extract(path, '^(.*/)', 1) AS directory FROM fx_files f WHERE starts_with(path, 'src/') AND {_ext()} IN ('.ts', '.js', '.py')
+AND NOT EXISTS (SELECT 1 FROM fx_findings g WHERE g.project = f.project AND starts_with(coalesce(g.evidence, ''), regexp_extract(f.path, '^(.*/)', 1)))"""
 ORACLES["h10_weak_evidence"] = """
 SELECT session, check_id, solution, CASE WHEN evidence IS NULL THEN 'no evidence' ELSE 'no line, only a file name' END AS problem
 FROM fx_findings WHERE status = 'FAIL' AND (evidence IS NULL OR NOT regexp_matches(evidence, ':[0-9]+'))"""
@@ -626,29 +648,42 @@ verified AS (SELECT f.*, CASE WHEN i.path IS NULL THEN 'stale' WHEN instr(eviden
     THEN 'confirmed' ELSE 'false positive' END AS verdict
   FROM fx_findings f LEFT JOIN fx_imports i ON i.path = string_split(f.evidence, ':')[1])"""
 ORACLES["h11_verify_findings"] = f"WITH {_VERIFIED} SELECT session, check_id, solution, evidence, verdict FROM verified"
+_VERIFIED_SECRETS = """
+verified AS (SELECT f.*, CASE WHEN i.path IS NULL THEN 'stale' WHEN instr(evidence, ':') = 0 OR ends_with(evidence, ':2') THEN 'confirmed' ELSE 'false positive' END AS verdict
+  FROM fx_secret_findings f LEFT JOIN fx_secrets i ON i.project = f.project AND i.path = string_split(f.evidence, ':')[1])"""
+ORACLES["h11_verify_project_findings"] = f"WITH {_VERIFIED_SECRETS} SELECT project, check_id, severity, evidence, verdict FROM verified"
 ORACLES["h12_stale_sessions"] = f"""
 SELECT project, session, datediff('day', session, DATE '{AS_OF}') AS age_days FROM fx_sessions WHERE datediff('day', session, DATE '{AS_OF}') > 30"""
 ORACLES["h13_latest_session"] = "SELECT project, max(session) AS session FROM fx_sessions GROUP BY project"
 ORACLES["h13_keep_newest"] = """
 SELECT project, session FROM fx_sessions QUALIFY row_number() OVER (PARTITION BY project ORDER BY session DESC) <= 2"""
 ORACLES["h14_merge_reports"] = f"""WITH {_PARSED}
-SELECT component, audit, status, count(*) AS findings FROM (SELECT component, audit, status FROM parsed UNION ALL SELECT component, audit, status FROM fx_findings)
-WHERE status IN ('FAIL', 'ACCEPTED') GROUP BY ALL"""
+SELECT * FROM (SELECT session, audit, component, check_id, "check", status, severity, evidence, solution FROM parsed
+  UNION ALL SELECT session, audit, component, check_id, "check", status, severity, evidence, solution FROM fx_findings)
+WHERE status IN ('FAIL', 'ACCEPTED')"""
 
 
 def _secret_oracle() -> str:
     from ..operators.scans import PLACEHOLDER_VALUE, SECRET_PATTERNS
 
-    quoted = {name: rx.replace("'", "''") for name, (_, rx) in SECRET_PATTERNS.items()}
     placeholder = PLACEHOLDER_VALUE.replace("'", "''")
     lines = """SELECT project, path, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS txt FROM (SELECT project, path, string_split(content, chr(10)) AS p FROM fx_texts)"""
-    parts = [
-        f"SELECT project, path, line, '{name}' AS pattern FROM lines WHERE regexp_matches(txt, '{rx}') AND NOT regexp_matches(txt, '{placeholder}')"
-        for name, rx in quoted.items()
-    ]
+    parts = []
+    for name, pattern in SECRET_PATTERNS.items():
+        rx = pattern.regex.replace("'", "''")
+        parts.append(
+            f"""SELECT project, path, line, '{name}' AS pattern, n FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS n, unnest(vs) AS v
+FROM (SELECT *, regexp_extract_all(txt, '{rx}', 1) AS vs FROM lines)) WHERE NOT regexp_full_match(v, '{placeholder}')"""
+        )
     return f"WITH lines AS ({lines}) " + " UNION ALL ".join(parts)
 
 
+# By construction of the view: which pattern the second line of a file holds.
+_SECRET_KIND = """SELECT 'p' || p_partkey % 10 AS project, 'src/d' || (p_partkey // 10) % 4 AS folder, 'src/d' || (p_partkey // 10) % 4 || '/conf' || (p_partkey // 10) || '.ts' AS path,
+  ['assignment', 'cloud access key', 'assignment', 'assignment', 'url credentials', 'url parameter', 'private key', 'repository token', 'model provider key', NULL, NULL, 'assignment'][p_partkey % 12 + 1] AS pattern,
+  CASE p_partkey % 12 WHEN 11 THEN 2 ELSE 1 END AS hits FROM part"""
+ORACLES["h15_scan_secrets"] = f"""
+SELECT project, path, CAST(2 AS BIGINT) AS line, pattern, unnest(range(1, hits + 1)) AS n FROM ({_SECRET_KIND}) WHERE pattern IS NOT NULL"""
 ORACLES["h15_scan_patterns"] = _secret_oracle()
 ORACLES["h16_critical_paths"] = """
 SELECT project, path, tier, CAST(row_number() OVER (PARTITION BY project ORDER BY CASE tier WHEN 'critical' THEN 0 WHEN 'standard' THEN 1 ELSE 2 END, path) AS INTEGER) AS rank FROM (SELECT project, path,
@@ -697,6 +732,29 @@ blocks AS (SELECT project, path, min(line) AS start_line, max(last_line) AS end_
 SELECT b.project, b.path, start_line, end_line, b.lines, CAST(sum(l.tokens) AS BIGINT) AS tokens
 FROM blocks b JOIN lines l ON l.project = b.project AND l.path = b.path AND l.line BETWEEN start_line AND end_line
 GROUP BY ALL HAVING sum(l.tokens) >= 50"""
+ORACLES["h20_clone_classes"] = r"""
+WITH RECURSIVE texts AS (SELECT source AS project, 'doc' || doc_id || '.md' AS path,
+    CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), ' ') WHEN 1 THEN replace(text, '. ', '.' || chr(10)) ELSE text END AS content FROM documents),
+listed AS (SELECT *, row_number() OVER (ORDER BY project, path) AS file FROM texts),
+lined AS (SELECT file, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS txt FROM (SELECT file, string_split(content, chr(10)) AS p FROM listed)),
+words AS (SELECT file, line, unnest(range(1, len(t) + 1)) AS k, unnest(t) AS token FROM (SELECT file, line, regexp_extract_all(txt, '[^ \t\n\x0b\f\r]+') AS t FROM lined)),
+stream AS (SELECT file, list(token ORDER BY line, k) AS ts, list(line ORDER BY line, k) AS ls FROM words GROUP BY file),
+wins AS (SELECT file, s, md5(array_to_string(ts[s + 1 : s + 50], ' ')) AS digest FROM (SELECT file, ts, unnest(range(0, greatest(len(ts) - 49, 0))) AS s FROM stream)),
+rep AS (SELECT digest FROM wins GROUP BY digest HAVING count(*) > 1),
+shared AS (SELECT file, s, digest, s - row_number() OVER (PARTITION BY file ORDER BY s) AS run FROM wins WHERE digest IN (SELECT digest FROM rep)),
+held AS (SELECT *, min(s) OVER (PARTITION BY file, run) AS first, count(*) OVER (PARTITION BY file, run) AS n FROM shared),
+numbered AS (SELECT file, first, max(n) + 49 AS tokens, row_number() OVER (ORDER BY file, first) AS id FROM held GROUP BY file, first),
+has AS (SELECT DISTINCT n.id, h.digest FROM held h JOIN numbered n ON n.file = h.file AND n.first = h.first),
+hub AS (SELECT digest, min(id) AS least FROM has GROUP BY digest),
+e0 AS (SELECT DISTINCT id AS a, least AS b FROM has JOIN hub USING (digest) WHERE id <> least),
+e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
+reach(id, other) AS (SELECT id, id FROM numbered UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other),
+class AS (SELECT id, min(other) AS c FROM reach GROUP BY id),
+sized AS (SELECT id, c, count(*) OVER (PARTITION BY c) AS members FROM class)
+SELECT l.project, l.path, n.first AS start_token, n.tokens, s.ls[n.first + 1] AS start_line, s.ls[n.first + n.tokens] AS end_line,
+  hl.project AS class_project, hl.path AS class_path, hn.first AS class_token, z.members
+FROM numbered n JOIN sized z ON z.id = n.id JOIN listed l ON l.file = n.file JOIN stream s ON s.file = n.file
+JOIN numbered hn ON hn.id = z.c JOIN listed hl ON hl.file = hn.file"""
 ORACLES["h21_debt_markers"] = f"""
 SELECT project, path, line, problem FROM (SELECT project, path, line, CASE
   WHEN TRY_CAST(regexp_extract(txt, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS DATE) < DATE '{DEBT_AS_OF}' - INTERVAL 6 MONTH THEN 'old'
@@ -708,6 +766,20 @@ ORACLES["h22_verification_totals"] = f"""WITH {_VERIFIED}
 SELECT coalesce(audit, 'TOTAL') AS audit, count(*) FILTER (verdict = 'confirmed') AS confirmed, count(*) FILTER (verdict = 'false positive') AS false_positive,
   count(*) FILTER (verdict = 'stale') AS stale, count(*) FILTER (verdict = 'missed') AS missed FROM verified GROUP BY ROLLUP (audit)"""
 
+_MISSED = f"""{_VERIFIED_SECRETS},
+spots AS (SELECT DISTINCT project, folder, path, pattern FROM ({_SECRET_KIND}) WHERE pattern IS NOT NULL),
+named AS (SELECT *, string_split(evidence, ':')[1] AS file, ends_with(evidence, ':2') AS on_line FROM verified),
+sources AS (SELECT n.project, s.folder, s.pattern, n.audit, n.check_id, min(s.path) || ':2' AS found_from
+  FROM named n JOIN spots s ON s.project = n.project AND s.path = n.file WHERE on_line AND verdict = 'confirmed' AND severity = 'critical' GROUP BY ALL),
+missed AS (SELECT s.project, audit, check_id, path, CAST(2 AS BIGINT) AS line, s.pattern, found_from, 'missed' AS verdict
+  FROM spots s JOIN sources c ON c.project = s.project AND c.folder = s.folder AND c.pattern = s.pattern
+  WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.project = s.project AND n.file = s.path AND on_line))"""
+ORACLES["h22_missed_findings"] = f"WITH {_MISSED} SELECT * FROM missed"
+ORACLES["h22_verification_with_missed"] = f"""WITH {_MISSED}
+SELECT coalesce(project, 'TOTAL') AS project, count(*) FILTER (verdict = 'confirmed') AS confirmed, count(*) FILTER (verdict = 'false positive') AS false_positive,
+  count(*) FILTER (verdict = 'stale') AS stale, count(*) FILTER (verdict = 'missed') AS missed
+FROM (SELECT project, verdict FROM verified UNION ALL SELECT project, verdict FROM missed) GROUP BY ROLLUP (project)"""
+
 
 def _matrix_oracle() -> str:
     def role(column: str) -> str:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import segments
 from ..functions.text import byte_length, normalize
-from ..operators import cleaning, contracts, documents, findings, imports, packing, scans, selection, tokens
+from ..operators import cleaning, clones, contracts, documents, findings, imports, packing, scans, selection, tokens
 from ..sources import files as sources
+from ..sources import sink
 from .views import table, view
 
 # Dates the time-dependent checks are run for.
@@ -129,7 +130,7 @@ def a13_list_files(v):
 @query
 def a13_list_files_with_reasons(v):
     files = v("fx_imports")
-    return selection.list_files(files, imports.explain(_reach(v, 3)))
+    return selection.list_files(files, imports.explain(_reach(v)))
 
 
 @query
@@ -155,6 +156,13 @@ def b02_strip_code_comments(v):
     return cleaned.select("project", "path", "content", "removed")
 
 
+@query
+def b02_strip_nested_comments(v):
+    """Comments of code in templates and between tags; the texts there stay."""
+    cleaned = cleaning.clean_files(v("fx_components"), selection.DEFAULT_WHITELIST)
+    return cleaned.select("project", "path", "content", "removed")
+
+
 @query
 def b03_comment_keep_predicate(v):
     """What stays with other settings: doc blocks go, comments about rings stay."""
@@ -164,9 +172,8 @@ def b03_comment_keep_predicate(v):
 
 @query
 def b04_token_boundary_space(v):
-    """The line whose comment stands between two names."""
-    cleaned = cleaning.clean_files(v("fx_code"))
-    return cleaned.select("path", F.regexp_extract("content", r"(?m)^(const v = .*)$", 1).alias("line"))
+    """Whole texts; in each a comment stands between two names."""
+    return cleaning.clean_files(v("fx_code")).select("project", "path", "content")
 
 
 def _cleaned_corpus(v):
@@ -197,13 +204,21 @@ def b07_clean_report(v):
 
 @query
 def b08_write_cleaned(v):
-    """The rows the sink writes."""
-    return sources.changed_files(_cleaned_corpus(v))
+    """Changed files, written by the sink and read back."""
+    return _written(v, sources.write_cleaned)
 
 
 @query
 def b09_backup_originals(v):
-    return sources.changed_originals(_cleaned_corpus(v))
+    """Originals of the changed files, written by the sink and read back."""
+    return _written(v, sources.backup_originals)
+
+
+def _written(v, write):
+    root = sink.new_folder(v.spark)
+    write(_cleaned_corpus(v), root)
+    place = F.split("path", "/", 2)
+    return sources.scan_files(v.spark, root).select(place[0].alias("project"), place[1].alias("path"), F.col("content").cast("string").alias("content"))
 
 
 # C: tokens
@@ -227,58 +242,50 @@ def c03_token_estimate(v):
 # D: packing
 
 
+PIECE = ("project", "path", "seq", "text")
+
+
 @query
 def d01_pack_xml(v):
-    return packing.pack_xml(v("fx_files"), tie=("seq",)).select("project", "text")
+    return packing.pack_xml(v("fx_files"), tie=("seq",)).select(*PIECE)
 
 
 @query
 def d01_pack_xml_rows(v):
-    """The row form that projects above the size limit keep."""
-    return packing.pack_xml(v("fx_files"), tie=("seq",), max_bytes=0).select("project", "first_path", "text")
+    return packing.pack_xml(v("fx_files"), tie=("seq",)).select("project", F.col("path").alias("first_path"), "text")
 
 
 @query
 def d02_pack_text(v):
-    return packing.pack_text(v("fx_files"), tie=("seq",)).select("project", "text")
+    return packing.pack_text(v("fx_files"), tie=("seq",)).select(*PIECE)
 
 
 @query
 def d03_file_list(v):
-    return packing.file_list(v("fx_files"), tie=("seq",)).select("project", "text")
+    return packing.file_list(v("fx_files"), tie=("seq",)).select(*PIECE)
 
 
 def _contexts(v):
     files = v("fx_files")
-    packed = packing.pack_xml(files, tie=("seq",)).select("project", F.col("text").alias("context"))
-    listed = packing.file_list(files, tie=("seq",)).select("project", F.col("text").alias("files"))
     totals = packing.pack_summary(files).select("project", "tokens", "usd")
-    return packed.join(listed, "project").join(totals, "project")
+    return packing.pack_xml(files, tie=("seq",)), packing.file_list(files, tie=("seq",)), totals
+
+
+def _filled(v):
+    parts, listed, totals = _contexts(v)
+    named = packing.resolve_source(v("fx_project_prompts").select("project", "source"), v("fx_templates"))
+    return packing.fill_template(parts, listed, named.where("found").join(totals, "project"), tie=("seq",))
 
 
 @query
 def d04_fill_template(v):
     """Contexts filled into the template their project configures."""
-    named = packing.resolve_source(v("fx_project_prompts").select("project", "source"), v("fx_templates"))
-    filled = _contexts(v).join(named.where("found"), "project")
-    return filled.select(
-        "project",
-        packing.fill_template(
-            F.col("template"), F.col("context"), F.col("files"), F.col("tokens"), F.col("usd")
-        ).alias("output"),
-    )
+    return _filled(v).select("slot", *PIECE)
 
 
 @query
 def d04_fill_template_rows(v):
-    """The same for contexts that stay rows."""
-    files = v("fx_files")
-    named = packing.resolve_source(v("fx_project_prompts").select("project", "source"), v("fx_templates"))
-    listed = packing.file_list(files, tie=("seq",)).select("project", F.col("text").alias("files"))
-    totals = packing.pack_summary(files).select("project", "tokens", "usd")
-    templates = named.where("found").join(listed, "project").join(totals, "project")
-    parts = packing.pack_xml(files, tie=("seq",), max_bytes=0)
-    return packing.fill_template_rows(parts, templates)
+    return _filled(v).select("project", "slot", F.col("path").alias("first_path"), "text")
 
 
 @query
@@ -291,18 +298,31 @@ def d05_resolve_template_name(v):
     return packing.resolve_name(v("fx_prompts").select("id", "named"), v("fx_templates"))
 
 
+def _chosen(v):
+    prompts = v("fx_project_prompts")
+    sources, names = prompts.select("project", "source"), prompts.select("project", "named")
+    return packing.choose_output(*_contexts(v), sources, names, v("fx_templates"), tie=("seq",))
+
+
 @query
 def d06_choose_output(v):
-    prompts = v("fx_project_prompts")
-    return packing.choose_output(
-        _contexts(v), prompts.select("project", "source"), prompts.select("project", "named"), v("fx_templates")
-    )
+    return _chosen(v).select("slot", *PIECE, "error")
 
 
 @query
 def d07_write_context(v):
-    """The text the sink writes for each project."""
-    return packing.with_final_newline(packing.pack_text(v("fx_files"), tie=("seq",))).select("project", "text")
+    """Every piece of the written contexts, read back from its place in its project's file."""
+    root = sink.new_folder(v.spark)
+    pieces = sources.write_context(packing.pack_text(v("fx_files"), tie=("seq",)), root, tie=("seq",))
+    return sink.read_pieces(pieces, root).select("project", "path", "seq", "start", F.col("content").cast("string").alias("text"))
+
+
+@query
+def d07_context_files(v):
+    """Files the sink makes of the chosen outputs, templates included, and their sizes."""
+    root = sink.new_folder(v.spark)
+    sources.write_context(_chosen(v), root, "context.xml", tie=("seq",))
+    return sources.scan_files(v.spark, root).select("path", "length")
 
 
 @query
@@ -312,7 +332,7 @@ def d08_pack_summary(v):
 
 @query
 def d09_pack_clean(v):
-    return packing.pack(v("fx_code"), clean=True, keep_words=selection.DEFAULT_WHITELIST).select("project", "text")
+    return packing.pack(v("fx_code"), clean=True, keep_words=selection.DEFAULT_WHITELIST).select("project", "path", "text")
 
 
 # E: import graph
@@ -333,6 +353,22 @@ def e02_resolve_imports(v):
     return _edges(v)
 
 
+def _configs(v):
+    return v("fx_aliased").where("path LIKE '%.json'")
+
+
+@query
+def e02_path_aliases(v):
+    """Aliases in force in each project, inherited ones included."""
+    return imports.path_aliases(_configs(v)).withColumn("targets", joined("targets"))
+
+
+@query
+def e02_resolve_aliases(v):
+    files = v("fx_aliased")
+    return imports.resolve_imports(imports.import_edges_raw(files), files.select("project", "path"), imports.path_aliases(_configs(v)))
+
+
 def _reach(v, max_depth: int = 0):
     entries = v.spark.createDataFrame([("app", "src/part0.ts")], "project string, path string")
     return imports.reachable(imports.graph_edges(_edges(v)), entries, max_depth)
@@ -355,7 +391,7 @@ def e04_explain(v):
 
 @query
 def e05_pack_reachable(v):
-    return imports.pack_reachable(v("fx_imports"), _reach(v, 4)).select("project", "text")
+    return imports.pack_reachable(v("fx_imports"), _reach(v)).select("project", "path", "text")
 
 
 # F: product documents
@@ -619,10 +655,20 @@ def h10_weak_evidence(v):
 
 @query
 def h11_verify_findings(v):
-    verified = findings.verify_findings(v("fx_findings"), v("fx_imports"))
+    verified = findings.verify_findings(v("fx_findings").withColumn("project", F.lit("app")), v("fx_imports"))
     return verified.select("session", "check_id", "solution", "evidence", "verdict")
 
 
+def _verified_secrets(v):
+    return findings.verify_findings(v("fx_secret_findings"), v("fx_secrets"))
+
+
+@query
+def h11_verify_project_findings(v):
+    """Ten projects with equal paths: each finding is held against the files of its own."""
+    return _verified_secrets(v).select("project", "check_id", "severity", "evidence", "verdict")
+
+
 @query
 def h12_stale_sessions(v):
     return findings.stale_sessions(v("fx_sessions"), AS_OF)
@@ -642,7 +688,7 @@ def h13_keep_newest(v):
 def h14_merge_reports(v):
     parsed = findings.parse_findings(v("fx_reports"))
     merged = findings.merge_reports(parsed, v("fx_findings"))
-    return merged.groupBy("component", "audit", "status").agg(F.count(F.lit(1)).alias("findings"))
+    return merged.select("session", "audit", "component", "check_id", "check", "status", "severity", "evidence", "solution")
 
 
 @query
@@ -650,6 +696,12 @@ def h15_scan_patterns(v):
     return scans.scan_patterns(v("fx_texts"))
 
 
+@query
+def h15_scan_secrets(v):
+    """Every kind of secret and of placeholder."""
+    return scans.scan_patterns(v("fx_secrets"))
+
+
 @query
 def h16_critical_paths(v):
     """Files of the layout whose text, headed by its path, mentions a critical word."""
@@ -686,6 +738,16 @@ def h20_duplicate_blocks(v):
     return scans.duplicate_blocks(v("fx_texts"))
 
 
+@query
+def h20_clone_classes(v):
+    """What each duplicated region is a copy of, wherever the lines break."""
+    broken = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "\n", " ")).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit(". "), F.lit(".\n")))
+    files = v("documents").select(
+        F.col("source").alias("project"), F.concat(F.lit("doc"), "doc_id", F.lit(".md")).alias("path"), F.coalesce(broken, "text").alias("content")
+    )
+    return clones.clone_classes(files)
+
+
 @query
 def h21_debt_markers(v):
     return scans.debt_markers(v("fx_debt"), DEBT_AS_OF)
@@ -693,7 +755,23 @@ def h21_debt_markers(v):
 
 @query
 def h22_verification_totals(v):
-    return findings.verification_totals(findings.verify_findings(v("fx_findings"), v("fx_imports")), "audit")
+    known = v("fx_findings").withColumn("project", F.lit("app"))
+    return findings.verification_totals(findings.verify_findings(known, v("fx_imports")), "audit")
+
+
+def _missed(v):
+    return findings.missed_findings(_verified_secrets(v), scans.scan_patterns(v("fx_secrets")))
+
+
+@query
+def h22_missed_findings(v):
+    return _missed(v)
+
+
+@query
+def h22_verification_with_missed(v):
+    both = _verified_secrets(v).select("project", "verdict").unionByName(_missed(v).select("project", "verdict"))
+    return findings.verification_totals(both, "project")
 
 
 # Components of the import graph: the leading digit of a part.

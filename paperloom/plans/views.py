@@ -63,6 +63,48 @@ SELECT 'p' || CAST(p_partkey % 10 AS STRING) AS project,
 FROM part
 """
 
+# Components with templates in templates and text between tags. Each line is a list of SQL parts; those
+# in a tuple are comments that go.
+_NESTED = {
+    "tsx": [
+        ["'import x from \"a\"; '", ("'// ' || p_name",)],
+        ["'const a = <a href=\"http://x\">see http://h/x now</a>;'"],
+        ["'const b = <p>it''s part ' || CAST(p_partkey AS STRING) || ' // not gone</p>; '", ("'// ' || p_brand",)],
+        ["'const c = <div>'", ("'{{/* ' || p_brand || ' */}}'",), "'{{a'", ("'/* braces stay */'",), "'}}<b/></div>;'"],
+        ["'const t = ' || chr(96) || 'x $' || '{{a '", ("'/* ' || p_type || ' */'",), "'}} // y $' || '{{' || chr(96) || 'in $' || '{{b}}' || chr(96) || '}}' || chr(96) || '; '", ("'/* z */'",)],
+        ["'const f = <T,>(x: T) => x < 2; '", ("'// generic, no tag'",)],
+    ],
+    "ts": [
+        ["'const t = ' || chr(96) || 'x $' || '{{f('", ("'/* ' || p_type || ' */'",), "' 1)}} // ' || p_name || chr(96) || ';'", ("'// ' || p_name",)],
+        ["'const q = a < b; '", ("'/* ' || p_brand || ' */'",)],
+    ],
+}
+
+
+def nested_text(kind: str, comments: bool = True) -> str:
+    """SQL for the text of a component, with or without its comments."""
+    lines = [[part if isinstance(part, str) else part[0] for part in line if comments or isinstance(part, str)] for line in _NESTED[kind]]
+    return _text(*[" || ".join(line) for line in lines])
+
+
+def nested_comments(kind: str) -> int:
+    return sum(isinstance(part, tuple) for line in _NESTED[kind] for part in line)
+
+
+def _components(comments: bool) -> str:
+    return f"""
+SELECT 'p' || CAST(p_partkey % 10 AS STRING) AS project,
+  'src/comp' || CAST(p_partkey AS STRING) || CASE p_partkey % 2 WHEN 0 THEN '.tsx' ELSE '.ts' END AS path,
+  CASE p_partkey % 2 WHEN 0 THEN {nested_text("tsx", comments)} ELSE {nested_text("ts", comments)} END AS content,
+  CASE p_partkey % 2 WHEN 0 THEN {nested_comments("tsx")} ELSE {nested_comments("ts")} END AS comments
+FROM part
+"""
+
+
+VIEWS["fx_components"] = _components(True)
+# The same texts written without the comments, for comparison.
+VIEWS["fx_components_bare"] = _components(False)
+
 VIEWS["fx_pages"] = "SELECT 'web' || CAST(page_id % 10 AS STRING) AS project, 'page' || CAST(page_id AS STRING) || '.html' AS path, html AS content FROM pages"
 
 VIEWS["fx_texts"] = "SELECT source AS project, 'doc' || CAST(doc_id AS STRING) || '.md' AS path, text AS content FROM documents"
@@ -78,6 +120,34 @@ SELECT 'app' AS project, 'src/part' || CAST(p_partkey AS STRING) || '.ts' AS pat
 FROM part
 """
 
+# Ten projects that use one alias for different folders, by configuration files that extend each other.
+VIEWS["fx_aliased"] = f"""
+SELECT 'al' || CAST(p_partkey % 10 AS STRING) AS project,
+  CASE WHEN p_partkey % 10 < 5 THEN 'src/' ELSE 'lib/' END || 'part' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '/index.ts' ELSE '.ts' END AS path,
+  {_text(
+    "'import a from \"@/part' || CAST(p_partkey + 10 AS STRING) || '\";'",
+    "'import b from \"@/deep/part' || CAST(p_partkey + 20 AS STRING) || '\";'",
+    "'import c from \"part' || CAST(p_partkey + 30 AS STRING) || '\";'",
+    "'import d from \"first\";'",
+    "'import r from \"react\";'",
+  )} AS content
+FROM part
+""" + """UNION ALL
+SELECT DISTINCT 'al' || CAST(p_partkey % 10 AS STRING), 'tsconfig.json',
+  CASE WHEN p_partkey % 10 IN (0, 5) THEN '{{"compilerOptions":{{"paths":{{"@/*":["' || CASE WHEN p_partkey % 10 = 0 THEN 'src' ELSE 'lib' END || '/*"],"first":["src/part10","lib/part15"]}}}}}}'
+       WHEN p_partkey % 10 IN (1, 6) THEN '{{"extends":"./conf/one","compilerOptions":{{"strict":true}}}}'
+       WHEN p_partkey % 10 IN (2, 7) THEN '{{"extends":"./conf/one.json","compilerOptions":{{"baseUrl":"' || CASE WHEN p_partkey % 10 = 2 THEN 'src' ELSE 'lib' END || '"}}}}'
+       WHEN p_partkey % 10 IN (3, 8) THEN '{{"compilerOptions":{{"paths":{{"@/*":["none/*"],"@/deep/*":["none/*","src/*","lib/*"]}}}}}}'
+       ELSE '{{}}' END
+FROM part
+UNION ALL
+SELECT DISTINCT 'al' || CAST(p_partkey % 10 AS STRING), 'conf/one.json', '{{"extends":"./two"}}' FROM part
+UNION ALL
+SELECT DISTINCT 'al' || CAST(p_partkey % 10 AS STRING), 'conf/two.json',
+  CASE WHEN p_partkey % 10 IN (1, 6) THEN '{{"compilerOptions":{{"paths":{{"@/deep/*":["../src/*","../lib/*"]}}}}}}' ELSE '{{"compilerOptions":{{"paths":{{"@/*":["*"]}}}}}}' END
+FROM part
+"""
+
 VIEWS["fx_changes"] = """
 SELECT k AS list, 'src/part' || CAST(doc_id AS STRING) || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS path
 FROM (SELECT doc_id, 'staged' AS k FROM labels WHERE quality = 1
@@ -271,6 +341,7 @@ SELECT CAST(o_orderdate AS DATE) AS session,
   'Rule ' || substr(o_orderpriority, 3) AS check,
   CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'UNVERIFIED' END AS status,
   CASE o_orderkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+  'src' || CAST(o_custkey % 20 AS STRING) AS project,
   'src/part' || CAST(o_custkey * 2 AS STRING) || '.ts' AS file,
   CASE WHEN o_totalprice < 1500 THEN CAST(NULL AS STRING) WHEN o_totalprice < 50000 THEN 'src/part' || CAST(o_custkey * 2 AS STRING) || '.ts'
     ELSE 'src/part' || CAST(o_custkey * 2 AS STRING) || '.ts:' || CAST(o_orderkey % 9 AS STRING) END AS evidence,
@@ -304,6 +375,40 @@ SELECT CASE c_custkey % 3 WHEN 0 THEN 'SEC-0' WHEN 1 THEN 'OWA-0' ELSE 'ERR-0' E
 FROM customer
 """
 
+# Files of ten projects with equal paths; the second line holds a secret of each kind or a placeholder.
+_P = "CAST(p_partkey AS STRING)"
+SECRET_LINES = [
+    f"""'password = "hunter' || {_P} || '", token = "example"'""",
+    f"""'AKIA' || lpad({_P}, 16, '0') || ' key = "todo"'""",
+    f"""'"password": "hunter' || {_P} || '"'""",
+    f"""'dbPassword = "hunter' || {_P} || '"'""",
+    f"""'url = postgres://user:pass' || {_P} || '@host/db'""",
+    f"""'fetch("http://h/x?api_key=abc' || {_P} || '&y=1")'""",
+    "'-----BEGIN RSA PRIVATE KEY-----'",
+    f"""'ghp_' || lpad({_P}, 36, '0')""",
+    f"""'x sk-' || lpad({_P}, 24, '0')""",
+    """CASE CAST(floor(p_partkey / 12) AS BIGINT) % 12 WHEN 0 THEN 'secret = "<secret>"' WHEN 1 THEN 'secret = "$' || '{{SECRET}}"' WHEN 2 THEN 'secret = "xxxx"'
+      WHEN 3 THEN 'secret = "****"' WHEN 4 THEN 'secret = "your-secret"' WHEN 5 THEN 'secret = "changeme"' WHEN 6 THEN 'secret = "EXAMPLE"'
+      WHEN 7 THEN 'secret = "placeholder"' WHEN 8 THEN 'secret = "todo"' WHEN 9 THEN 'secret = "..."' WHEN 10 THEN 'secret = "{{{{secret}}}}"' ELSE 'secret = "%s"' END""",
+    "CASE p_partkey % 2 WHEN 0 THEN 'url = https://user:$' || '{{PASS}}@host' ELSE 'GET /x?token=<token>' END",
+    f"""'api_token = "a' || {_P} || '", monkey = "no", x-secret: ' || chr(39) || 'b' || {_P} || chr(39)""",
+]
+VIEWS["fx_secrets"] = f"""
+SELECT 'p' || CAST(p_partkey % 10 AS STRING) AS project,
+  'src/d' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) % 4 AS STRING) || '/conf' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS STRING) || '.ts' AS path,
+  {_text("'const keyboard = \"a\";'", "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(SECRET_LINES)) + " END", "'end'")} AS content
+FROM part
+"""
+
+# Findings about those files: some on the line of the secret, some on another or on no line at all.
+VIEWS["fx_secret_findings"] = """
+SELECT 'p' || CAST(p_partkey % 10 AS STRING) AS project, 'audit-secrets' AS audit, 'SEC-0' || CAST(1 + p_partkey % 3 AS STRING) AS check_id, 'FAIL' AS status,
+  CASE p_size % 3 WHEN 0 THEN 'high' ELSE 'critical' END AS severity,
+  'src/d' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) % 4 AS STRING) || '/conf' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) + CASE p_partkey % 7 WHEN 5 THEN 1000000 ELSE 0 END AS STRING) || '.ts'
+    || CASE p_partkey % 7 WHEN 0 THEN ':2' WHEN 1 THEN ':9' WHEN 2 THEN '' ELSE ':2' END AS evidence
+FROM part WHERE p_partkey % 13 = 0
+"""
+
 VIEWS["fx_sessions"] = "SELECT DISTINCT 'comp' || CAST(o_custkey % 9 AS STRING) AS project, CAST(o_orderdate AS DATE) AS session FROM orders"
 
 VIEWS["fx_env"] = f"""
@@ -374,8 +479,11 @@ TABLES = {
     "fx_ignore_files": ["documents"],
     "fx_texts": ["documents"],
     "fx_code": ["part"],
+    "fx_components": ["part"],
+    "fx_components_bare": ["part"],
     "fx_pages": ["pages"],
     "fx_imports": ["part"],
+    "fx_aliased": ["part"],
     "fx_changes": ["labels"],
     "fx_config": ["supplier"],
     "fx_manifests": ["supplier"],
@@ -389,6 +497,8 @@ TABLES = {
     "fx_findings": ["orders"],
     "fx_reports": ["orders"],
     "fx_baseline": ["customer"],
+    "fx_secrets": ["part"],
+    "fx_secret_findings": ["part"],
     "fx_sessions": ["orders"],
     "fx_env": ["part"],
     "fx_debt": ["part"],

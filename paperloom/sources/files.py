@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.packing import with_final_newline
 from ..session import ensure_checkpoint_dir
+from .sink import write_files
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -112,16 +114,6 @@ def decode(files: DataFrame) -> DataFrame:
     return files.withColumn("valid_utf8", F.is_valid_utf8(text)).withColumn("content", F.make_valid_utf8(text))
 
 
-def write_cleaned(cleaned: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the files that changed, under their project; the sources are never overwritten."""
-    changed_files(cleaned).write.mode("errorifexists").partitionBy("project").format(fmt).save(path)
-
-
-def backup_originals(cleaned: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the originals of the files that changed; call it before ``write_cleaned``."""
-    changed_originals(cleaned).write.mode("errorifexists").partitionBy("project").format(fmt).save(path)
-
-
 def changed_files(cleaned: DataFrame) -> DataFrame:
     """The rows ``write_cleaned`` writes."""
     return cleaned.where("removed > 0").select("project", "path", "content")
@@ -132,15 +124,55 @@ def changed_originals(cleaned: DataFrame) -> DataFrame:
     return cleaned.where("removed > 0").select("project", "path", F.col("original").alias("content"))
 
 
-def write_context(parts: DataFrame, path: str) -> None:
-    """Write packed text so that the files of a project, read in name order, give its context and a line end.
+def _below_project(files: DataFrame) -> DataFrame:
+    return files.select(F.concat_ws("/", "project", "path").alias("path"), "content")
+
+
+def write_cleaned(cleaned: DataFrame, root: str, **options) -> None:
+    """Write the files that changed to ``root/project/path``; see ``sink.write_files`` for the options."""
+    write_files(_below_project(changed_files(cleaned)), root, **options)
 
-    ``parts`` is the result of a pack. Rows of a large project start with the separator
-    before them; its first line end is the one the sink writes after the row before. A range
-    partitioning over project and path spreads one large project over many tasks and keeps
-    the order across the files.
+
+def backup_originals(cleaned: DataFrame, root: str, **options) -> None:
+    """Write the originals of the files that changed; call it before ``write_cleaned``."""
+    write_files(_below_project(changed_originals(cleaned)), root, **options)
+
+
+def context_offsets(parts: DataFrame, order: list[str]) -> DataFrame:
+    """``parts`` with ``start``, the byte at which a piece begins in its project's context.
+
+    A running sum in two steps on keys and sizes alone: rows are dealt by ranges of their order, so a
+    large project lies in many tasks; sums per task and project are small and give each task its base.
+    Text is moved only by the final join. ``order`` names columns that are unique within a project.
+    """
+    ensure_checkpoint_dir(parts.sparkSession)
+    keys = [F.collate(F.col(c), "UNICODE") if c == "path" else F.col(c) for c in order]
+    keys += [F.col(c) for c in order if c == "path"]
+    narrow = parts.select("project", *order, F.octet_length("text").cast("bigint").alias("bytes"))
+    dealt = narrow.repartitionByRange("project", *keys).sortWithinPartitions("project", *keys)
+    dealt = dealt.withColumn("task", F.spark_partition_id()).checkpoint()
+    by_task = Window.partitionBy("project").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("project", "task").agg(F.sum("bytes").alias("sum"))
+    bases = bases.select("project", "task", F.coalesce(F.sum("sum").over(by_task), F.lit(0)).alias("base"))
+    within = Window.partitionBy("project", "task").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(bases, ["project", "task"])
+    placed = placed.select(F.col("project").alias("_project"), *[F.col(c).alias(f"_{c}") for c in order], (F.col("base") + F.col("inside")).alias("start"))
+    same = F.col("project").eqNullSafe(F.col("_project"))
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return parts.join(placed, same).drop("_project", *[f"_{c}" for c in order])
+
+
+def write_context(parts: DataFrame, root: str, name: str = "context.txt", tie=(), **options) -> DataFrame:
+    """Write each project's context, and a line end, to ``root/project/name``; returns what was written.
+
+    ``parts`` is the result of a pack, a filled template or a chosen output (rows without text, which
+    are errors, are left out). Every task writes its pieces at their places in the project's file, so
+    neither a task nor the driver holds a context. The result has ``project, file, start, bytes`` and
+    the order columns, one row per piece.
     """
-    key = F.collate("first_path", "UNICODE")
-    ordered = parts.repartitionByRange("project", key, "first_path").sortWithinPartitions("project", key, "first_path")
-    text = F.when(~F.col("whole") & F.col("text").startswith("\n"), F.substring("text", 2, 1 << 30)).otherwise(F.col("text"))
-    ordered.select("project", text.alias("text")).write.mode("errorifexists").partitionBy("project").text(path)
+    order = [*(["slot"] if "slot" in parts.columns else []), "path", *tie]
+    ready = context_offsets(with_final_newline(parts.where("text IS NOT NULL")), order)
+    ready = ready.withColumn("file", F.concat_ws("/", "project", F.lit(name)))
+    write_files(ready.select(F.col("file").alias("path"), "start", F.col("text").alias("content")), root, **options)
+    return ready.select("project", "file", *order, "start", F.octet_length("text").cast("bigint").alias("bytes"))

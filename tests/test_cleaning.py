@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import segments
+from paperloom.functions import lexer, segments
 from paperloom.operators import cleaning
 from paperloom.operators.selection import DEFAULT_WHITELIST
 from paperloom.sources import files as src
@@ -47,6 +47,49 @@ def test_code(frame):
     assert {r["project"]: r["content"] for r in cleaned} == {str(i): want for i, (_, want) in enumerate(CODE_CASES)}
 
 
+NESTED_CASES = [
+    ("<a>see http://h/x now</a>;", True, "<a>see http://h/x now</a>;"),
+    ("const x = <p>it's // fine</p>; // gone\ny", True, "const x = <p>it's // fine</p>; \ny"),
+    ("`a ${b /* c */} // t ${`n ${q // z\n}`}` // e", False, "`a ${b } // t ${`n ${q \n}`}` "),
+    ("const a = <div>{/* x */}{y /* z */}</div>;", True, "const a = <div>{y }</div>;"),
+    ("const a = <div>{/* x */ /* y */\n}</div>;", True, "const a = <div></div>;"),
+    ("const a = <div>{/* TODO x */}</div>;", True, "const a = <div>{/* TODO x */}</div>;"),
+    ("<A b={1 /* c */} /* d */ t='//x'>t // x <B/> {f(`${x}`)}</A> // y", True, "<A b={1 }  t='//x'>t // x <B/> {f(`${x}`)}</A> "),
+    ("const g = <T,>(x: T) => x; // c", True, "const g = <T,>(x: T) => x; "),
+    ("const g = <T extends U>(x: T) => x; // it's", True, "const g = <T extends U>(x: T) => x; "),
+    ("if (a < b) {} // c\nconst z = c ? <></> : <i>'</i>; /* d */", True, "if (a < b) {} \nconst z = c ? <></> : <i>'</i>; "),
+    ("const x = <Foo<string> a={1}>'//'</Foo>; // c", True, "const x = <Foo<string> a={1}>'//'</Foo>; "),
+    ("#!/usr/bin/env node // x\n// y ${", False, "#!/usr/bin/env node // x\n"),
+    ("x = <a>unclosed // c", True, "x = <a>unclosed "),
+    ("`unclosed ${ a // c\n", False, "`unclosed ${ a \n"),
+    ("a = `${{ b: { c: 1 /* d */ } }}` /* e */", False, "a = `${{ b: { c: 1  } }}` "),
+]
+
+
+def test_nested_code(frame):
+    files = frame("project string, path string, content string", *[(str(i), "s.tsx" if tags else "s.ts", t) for i, (t, tags, _) in enumerate(NESTED_CASES)])
+    cleaned = cleaning.clean_files(files, DEFAULT_WHITELIST).collect()
+    assert {r["project"]: r["content"] for r in cleaned} == {str(i): want for i, (_, _, want) in enumerate(NESTED_CASES)}
+
+
+@pytest.mark.parametrize("text, want", [c for c in CODE_CASES if "TODO" not in c[0].upper() and "keep" not in c[0] and "ts-ignore" not in c[0]])
+def test_the_lexer_agrees_with_the_flat_pattern(text, want):
+    pieces = lexer.cut(text, False)
+    assert "".join(pieces) == text
+    assert "".join(pieces[::2]).replace(" ", "") == want.replace(" ", "")
+
+
+def test_only_texts_that_nest_reach_the_lexer(frame):
+    texts = frame("t string, j boolean", ("a // b", False), ("`${a}`", False), ("`${a}` // b", False), ("<a>b // c</a>", True), ("<a>b // c</a>", False))
+    assert [r[0] for r in texts.select(lexer.nests(F.col("t"), F.col("j"))).collect()] == [False, False, True, True, False]
+
+
+def test_deep_nesting_takes_one_pass(frame):
+    text = "`${" * 20_000 + "a /* b */" + "}`" * 20_000 + " // c"
+    assert lexer.cut(text, False)[1::2] == ["/* b */", "// c"]
+    assert len(lexer.cut("x = <a>" + "<b>{/* c */}</b>" * 20_000 + "</a>", True)) == 40_001
+
+
 def test_doc_blocks_go_on_request(frame):
     assert clean(frame, "stdin.ts", "/** doc */\nconst x = 1;", keep_doc=False)["content"] == "\nconst x = 1;"
 
@@ -120,15 +163,6 @@ def test_previews_and_summary(frame):
     }
 
 
-def test_sinks_write_changed_files_only(spark, frame, tmp_path):
-    files = frame("project string, path string, content string", ("p", "a.ts", "a//x"), ("p", "b.ts", "b"))
-    cleaned = cleaning.clean_files(files)
-    src.backup_originals(cleaned, str(tmp_path / "backup"))
-    src.write_cleaned(cleaned, str(tmp_path / "out"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "backup")).collect()] == [("a.ts", "a//x", "p")]
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a.ts", "a", "p")]
-
-
 def test_the_rewrite_is_not_repeated_by_a_filter(frame):
     files = frame("project string, path string, content string", ("p", "a.ts", "a//x"))
     plan = src.changed_files(cleaning.clean_files(files))._jdf.queryExecution().optimizedPlan().toString()

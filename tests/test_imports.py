@@ -71,10 +71,58 @@ def test_depth_and_reasons(frame):
     assert {r["path"] for r in reach(frame, ["a"], -5).collect()} == set("abcde")
 
 
-def test_large_levels_are_joined_by_a_shuffle(frame, monkeypatch):
-    monkeypatch.setattr(imp, "BROADCAST_BYTES", -1)
-    rows = {r["path"]: (r["depth"], r["parent"]) for r in reach(frame, ["a"]).collect()}
+def test_large_levels_are_joined_without_shuffling_the_edges(spark, frame):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {r["path"]: (r["depth"], r["parent"]) for r in reach(frame, ["a"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert rows == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "b"), "e": (3, "d")}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("import_edges_")]
+
+
+def configs(frame, *rows):
+    return frame("project string, path string, content string", *rows)
+
+
+def test_aliases_are_read_from_each_projects_configuration(frame):
+    found = imp.path_aliases(configs(
+        frame,
+        ("p", "tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["src/*", "lib/*"], "x": ["./y"]}}}'),
+        ("q", "tsconfig.json", '{ // base\n "extends": "./conf/base", "compilerOptions": {"strict": true,}, }'),
+        ("q", "conf/base.json", '{"extends": "../top.json", "compilerOptions": {"paths": {"@/*": ["../app/*"]}}}'),
+        ("q", "top.json", '{"compilerOptions": {"baseUrl": "code", "paths": {"@/*": ["never"]}}}'),
+        ("r", "jsconfig.json", '{"extends": ["./a.json", "./b.json"]}'),
+        ("r", "b.json", '{"extends": "./c.json"}'),
+        ("r", "c.json", '{"extends": "./b.json", "compilerOptions": {"baseUrl": "."}}'),
+        ("s", "tsconfig.json", "not json"), ("s", "sub/tsconfig.json", '{"compilerOptions": {"baseUrl": "."}}'),
+        ("t", "tsconfig.json", '{"extends": "some-package/tsconfig"}'),
+    ))
+    rows = sorted((r["project"], r["alias"], r["targets"], r["fallback"]) for r in found.collect())
+    assert rows == [
+        ("p", "@/*", ["src/*", "lib/*"], False), ("p", "x", ["y"], False),
+        ("q", "*", ["code/*"], True), ("q", "@/*", ["app/*"], False),
+        ("r", "*", ["*"], True),
+    ]
+
+
+def test_the_longest_alias_and_the_first_file_win(frame):
+    files = frame("project string, path string", *[("p", f) for f in ("src/a.ts", "lib/a.ts", "lib/b/index.ts", "ui/k.tsx", "base/z.ts", "one.ts", "end/q.gen.ts")], ("q", "lib/a.ts"))
+    aliases = frame(
+        "project string, alias string, targets array<string>, fallback boolean",
+        ("p", "@/*", ["src/*", "lib/*"], False), ("p", "@/ui/*", ["ui/*"], False), ("p", "one", ["one"], False),
+        ("p", "gen/*.x", ["end/*.gen"], False), ("p", "*", ["base/*"], True), ("q", "@/*", ["lib/*"], False),
+    )
+    wanted = {
+        ("p", "@/a"): ("src/a.ts", False), ("p", "@/b"): ("lib/b/index.ts", False), ("p", "@/ui/k"): ("ui/k.tsx", False),
+        ("p", "@/ui/none"): (None, False), ("p", "one"): ("one.ts", False), ("p", "gen/q.x"): ("end/q.gen.ts", False),
+        ("p", "z"): ("base/z.ts", False), ("p", "react"): (None, True), ("q", "@/a"): ("lib/a.ts", False), ("q", "one"): (None, True),
+    }
+    edges = frame("project string, path string, specifier string, kind string", *[(p, "m.ts", s, "import") for p, s in wanted] * 2)
+    rows = imp.resolve_imports(edges, files, aliases).collect()
+    assert len(rows) == 2 * len(wanted)
+    assert {(r["project"], r["specifier"]): (r["resolved"], r["external"]) for r in rows} == wanted
 
 
 def test_no_entry_is_an_error(frame):

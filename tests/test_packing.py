@@ -1,11 +1,7 @@
-import glob
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import packing, tokens
-from paperloom.sources import files as src
 
 SCHEMA = "project string, path string, content string"
 
@@ -19,52 +15,48 @@ XML = '<files>\n<file path="a.ts">\nconst a = 1;\n</file>\n\n<file path="b.ts">\
 TEXT = "// file: a.ts\nconst a = 1;\n\n// file: b.ts\nconst b = 2;"
 
 
+def context(rows):
+    """The pieces of one project put together."""
+    slots = ["slot"] if "slot" in rows.columns else []
+    return "".join(r["text"] for r in rows.orderBy(*slots, packing.order_key()).collect())
+
+
 def test_formats(files):
-    assert packing.pack_xml(files).collect()[0]["text"] == XML
-    assert packing.pack_text(files).collect()[0]["text"] == TEXT
-    assert packing.pack(files, "yaml").collect()[0]["text"] == XML
+    assert context(packing.pack_xml(files)) == XML
+    assert context(packing.pack_text(files)) == TEXT
+    assert context(packing.pack(files, "yaml")) == XML
     assert packing.pack_summary(files, "yaml").collect()[0]["format"] == "xml"
-    assert packing.file_list(files).collect()[0]["text"] == "a.ts\nb.ts"
+    assert context(packing.file_list(files)) == "a.ts\nb.ts"
 
 
-@pytest.mark.parametrize("fmt", ["xml", "text"])
-def test_rows_of_a_large_project_concatenate_to_its_context(files, fmt):
-    whole = packing.pack(files, fmt).collect()[0]["text"]
-    rows = packing.pack(files, fmt, max_bytes=1).collect()
-    assert not any(r["whole"] for r in rows) and len(rows) == 2
-    assert "".join(r["text"] for r in sorted(rows, key=lambda r: r["first_path"])) == whole
+def test_a_project_is_ordered_rows_at_any_size(frame):
+    mixed = frame(SCHEMA, ("big", "a", "x" * 100_000), ("big", "b", "y"), ("small", "a", "z"))
+    rows = packing.pack_text(mixed).collect()
+    assert sorted((r["project"], r["path"], r["last"]) for r in rows) == [("big", "a", False), ("big", "b", True), ("small", "a", True)]
 
 
-def test_only_large_projects_stay_rows(frame):
-    mixed = frame(SCHEMA, ("big", "a", "x" * 100), ("big", "b", "y"), ("small", "a", "z"))
-    rows = packing.pack_text(mixed, max_bytes=50).collect()
-    assert sorted((r["project"], r["whole"]) for r in rows) == [("big", False), ("big", False), ("small", True)]
+def test_packing_does_not_shuffle_content(files):
+    plan = packing.pack_xml(files)._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan[plan.index("Aggregate") :]
+    assert "content" not in aggregate.split("LogicalRDD")[0]
 
 
-def fill(frame, template, context="CTX", files="a.ts", count=42, usd=0.0123456):
-    row = frame("t string, c string, f string, n bigint, u double", (template, context, files, count, usd))
-    return row.select(packing.fill_template(*[F.col(c) for c in "tcfnu"])).collect()[0][0]
+def fill(frame, files, template, count=42, usd=0.0123456):
+    named = frame("project string, template string, tokens bigint, usd double", ("p", template, count, usd))
+    return context(packing.fill_template(packing.pack_text(files), packing.file_list(files), named))
 
 
-def test_fill_template(frame):
+def test_fill_template(frame, files):
     template = "Files: {{fileList}}\nTokens: {{tokenCount}}\nCost: {{usdEstimate}}\n---\n{{context}}"
-    assert fill(frame, template) == "Files: a.ts\nTokens: 42\nCost: 0.0123\n---\nCTX"
-    assert fill(frame, "Just a prompt") == "Just a prompt\n\nCTX"
-    assert fill(frame, "") == "\n\nCTX"
+    assert fill(frame, files, template) == f"Files: a.ts\nb.ts\nTokens: 42\nCost: 0.0123\n---\n{TEXT}"
+    assert fill(frame, files, "Just a prompt") == f"Just a prompt\n\n{TEXT}"
+    assert fill(frame, files, "") == f"\n\n{TEXT}"
+    assert fill(frame, files, "{{context}}A{{fileList}}{{context}}") == f"{TEXT}Aa.ts\nb.ts{TEXT}"
 
 
 def test_substituted_text_is_not_searched_again(frame):
-    assert fill(frame, "{{context}}|{{fileList}}", "has {{fileList}}", "{{context}}") == "has {{fileList}}|{{context}}"
-
-
-@pytest.mark.parametrize("template", ["A {{fileList}} {{context}} B {{tokenCount}} {{context}} C", "plain", "{{context}}"])
-def test_template_rows_concatenate_to_the_filled_template(frame, files, template):
-    parts = packing.pack_text(files, max_bytes=0)
-    named = frame(
-        "project string, template string, files string, tokens bigint, usd double", ("p", template, "L", 3, 0.5)
-    )
-    rows = sorted(packing.fill_template_rows(parts, named).collect(), key=lambda r: (r["slot"], r["first_path"]))
-    assert "".join(r["text"] for r in rows) == fill(frame, template, TEXT, "L", 3, 0.5)
+    files = frame(SCHEMA, ("p", "{{context}}", "has {{fileList}}"))
+    assert fill(frame, files, "{{context}}|{{fileList}}") == "// file: {{context}}\nhas {{fileList}}|{{context}}"
 
 
 @pytest.mark.parametrize(
@@ -89,36 +81,19 @@ def test_template_lookup(frame):
 
 
 def test_choose_output(frame):
-    contexts = frame(
-        "project string, context string, files string, tokens bigint, usd double",
-        *[(p, "C", "f", 1, 0.1) for p in ("raw", "missing", "configured", "named", "unnamed")],
-    )
+    names = ("raw", "missing", "configured", "named", "unnamed")
+    files = frame(SCHEMA, *[(p, "f", "C") for p in names])
+    totals = frame("project string, tokens bigint, usd double", *[(p, 1, 0.1) for p in names])
     sources = frame("project string, source string", ("missing", "gone.md"), ("configured", "a.md"), ("named", "a.md"))
-    names = frame("project string, named string", ("named", "b"), ("unnamed", "nowhere"))
+    named = frame("project string, named string", ("named", "b"), ("unnamed", "nowhere"))
     templates = frame("name string, content string", ("a.md", "A {{context}}"), ("b.md", "B {{context}}"))
-    rows = {r["project"]: (r["output"], r["error"]) for r in packing.choose_output(contexts, sources, names, templates).collect()}
-    assert rows["raw"] == ("C", None) and rows["missing"] == ("C", None)
-    assert rows["configured"] == ("A C", None) and rows["named"] == ("B C", None)
-    assert rows["unnamed"][0] is None and "nowhere" in rows["unnamed"][1]
-
-
-def read_parts(folder):
-    data = b""
-    for name in sorted(glob.glob(os.path.join(folder, "part-*"))):
-        with open(name, "rb") as handle:
-            data += handle.read()
-    return data.decode()
-
-
-def test_written_parts_read_in_name_order_give_the_context(frame, tmp_path):
-    many = frame(SCHEMA, *[("p", f"f{i:04d}.ts", f"x{i}\n") for i in range(500)], ("q", "a.ts", "y"))
-    whole = packing.pack_xml(many).where("project = 'p'").collect()[0]["text"]
-    src.write_context(packing.pack_xml(many, max_bytes=0), str(tmp_path / "rows"))
-    assert read_parts(str(tmp_path / "rows" / "project=p")) == whole + "\n"
-    src.write_context(packing.pack_xml(many), str(tmp_path / "whole"))
-    assert read_parts(str(tmp_path / "whole" / "project=p")) == whole + "\n"
-    text = packing.with_final_newline(packing.pack_xml(many)).where("project = 'p'").collect()[0]["text"]
-    assert text == whole + "\n"
+    found = packing.choose_output(packing.pack_text(files), packing.file_list(files), totals, sources, named, templates)
+    packed = "// file: f\nC"
+    for project, want in {"raw": packed, "missing": packed, "configured": "A " + packed, "named": "B " + packed}.items():
+        own = found.where(f"project = '{project}'")
+        assert context(own) == want and own.where("error IS NOT NULL").isEmpty()
+    failed = found.where("project = 'unnamed'").collect()
+    assert [(r["text"], r["error"]) for r in failed] == [(None, "template not found: nowhere")]
 
 
 def test_token_count_equals_the_library(frame):
@@ -133,7 +108,7 @@ def test_token_count_equals_the_library(frame):
 def test_summed_tokens_equal_those_of_the_context(frame, fmt):
     odd = [("a.ts", "x  \n\n"), ("b dir/c.ts", "  lead"), ("ä.md", "> quote\n<tag>"), ("z", ""), ("z2", "\n"), ("z3", "1 // ")]
     files = frame(SCHEMA, *[("p", p, c) for p, c in odd], ("single", "a", "b"))
-    contexts = {r["project"]: r["text"] for r in packing.pack(files, fmt).collect()}
+    contexts = {p: context(packing.pack(files.where(f"project = '{p}'"), fmt)) for p in ("p", "single")}
     summary = {r["project"]: r["tokens"] for r in packing.pack_token_summary(files, fmt).collect()}
     assert summary == {p: tokens.count_text(t) for p, t in contexts.items()}
 
@@ -151,5 +126,5 @@ def test_price_text_rounds_by_binary_value(frame):
 
 def test_packing_cleaned_files_leaves_the_sources(frame):
     files = frame(SCHEMA, ("p", "a.ts", "a // x"))
-    assert packing.pack_text(files, clean=True).collect()[0]["text"] == "// file: a.ts\na "
+    assert context(packing.pack_text(files, clean=True)) == "// file: a.ts\na "
     assert files.collect()[0]["content"] == "a // x"
