@@ -25,9 +25,8 @@ SYSTEM_KEEP_WORDS = (
     "fixme",
 )
 
-# Longest preview and the length of its cut form.
+# Fixed value: longest preview in a report of the command line.
 PREVIEW_BYTES = 60
-PREVIEW_CUT = 57
 
 HTML_COMMENT = r"(?s)<!--.*?-->"
 
@@ -136,8 +135,11 @@ def remove_segments(text: Column, pattern: str, removes: Callable[[Column], Colu
     return let(cut, rewritten)
 
 
-def preview(comment: Column) -> Column:
-    """One line of at most 60 bytes; longer ones are cut to 57 characters and three dots."""
+def preview(comment: Column, max_bytes: int | None = None) -> Column:
+    """A comment on one line; with ``max_bytes`` a longer one is cut to three characters less and three
+    dots (``PREVIEW_BYTES`` is what the command line shows)."""
     single = F.trim(F.regexp_replace(comment, r"[ \t\n\f\r]+", " "))
-    cut = F.concat(F.substring(single, 1, PREVIEW_CUT), F.lit("..."))
-    return F.when(F.octet_length(single) <= PREVIEW_BYTES, single).otherwise(cut)
+    if max_bytes is None:
+        return single
+    cut = F.concat(F.substring(single, 1, max_bytes - 3), F.lit("..."))
+    return F.when(F.octet_length(single) <= max_bytes, single).otherwise(cut)

@@ -98,10 +98,6 @@ def byte_length(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 
 
-def first_chars(text: Column, count: int) -> Column:
-    return F.substring(text, 1, count)
-
-
 def literal_array(values) -> Column:
     """A constant array of strings, written as one literal so that long lists keep plans small."""
     values = list(values)

@@ -10,7 +10,6 @@ from ..functions.text import byte_length, extension
 
 HTML_EXTENSIONS = (".html", ".htm")
 JSX_EXTENSIONS = (".tsx", ".jsx")
-PREVIEWS_SHOWN = 3
 
 
 def strip_html_comments(text: Column, keep_words=(), keep_doc=True) -> Column:
@@ -74,20 +73,24 @@ def clean_summary(cleaned: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def previews(cleaned: DataFrame, show_all: bool = False) -> DataFrame:
-    """``project, path, removed, previews, more``: first previews in text order and how many follow."""
-    shown = F.col("matches") if show_all else F.slice("matches", 1, PREVIEWS_SHOWN)
+def previews(cleaned: DataFrame, count: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``project, path, removed, previews, more``: the dropped comments in text order, each on one line.
+
+    With a ``count`` only the first are shown and ``more`` says how many follow; with ``max_bytes``
+    longer ones are cut.
+    """
+    shown = F.col("matches") if count is None else F.slice("matches", 1, count)
     return cleaned.where("removed > 0").select(
         "project",
         "path",
         "removed",
-        F.transform(shown, segments.preview).alias("previews"),
+        F.transform(shown, lambda m: segments.preview(m, max_bytes)).alias("previews"),
         (F.col("removed") - F.size(shown)).cast("bigint").alias("more"),
     )
 
 
-def clean_report(cleaned: DataFrame) -> DataFrame:
+def clean_report(cleaned: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row per processed file with its count and all previews; nothing is written."""
     return cleaned.select(
-        "project", "path", "removed", F.transform("matches", segments.preview).alias("previews")
+        "project", "path", "removed", F.transform("matches", lambda m: segments.preview(m, max_bytes)).alias("previews")
     )

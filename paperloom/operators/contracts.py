@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, first_chars, let, split_lines, trim_space
+from ..functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, let, split_lines, trim_space
 
 DATABASE = "DATABASE_MODEL.md"
 API = "API_CONTRACTS.md"
@@ -170,7 +170,7 @@ def _unpaged(api: Column) -> Column:
                                             s["text"].rlike(rf"{WORD}+\s*[(:]"),
                                             F.regexp_extract(s["text"], rf"({WORD}+)\s*[(:]", 1),
                                         )
-                                        .otherwise(first_chars(s["text"], 50))
+                                        .otherwise(s["text"])
                                         .alias("field"),
                                     )
                                 ),

@@ -19,7 +19,6 @@ from ..functions.text import (
     NOT_AFTER_WORD,
     NOT_BEFORE_WORD,
     base_name,
-    first_chars,
     let,
     literal_array,
     normalize,
@@ -68,7 +67,6 @@ TERM_HEADERS = ("Term", "Термин")
 TEST_SUBSECTIONS = ("**Critical scenarios**", "**Business rules**", "**Negative scenarios**")
 
 PLACEHOLDER = r"\[[^\]]+\](?!\()"
-EXCERPT = 80
 
 # Banned words and phrases, in the order they are looked for.
 BANNED = (
@@ -229,7 +227,7 @@ def required_documents_and_headings(docs: DataFrame) -> DataFrame:
 
 def _placeholders(content: Column) -> Column:
     hits = F.filter(md.numbered_lines(md.blank_fences(content)), lambda ln: ln["text"].rlike(PLACEHOLDER))
-    return F.transform(hits, lambda ln: _issue("placeholder", first_chars(ln["text"], EXCERPT), ln["line"]))
+    return F.transform(hits, lambda ln: _issue("placeholder", ln["text"], ln["line"]))
 
 
 def placeholders(docs: DataFrame) -> DataFrame:
@@ -408,7 +406,7 @@ def excluded_but_specified(docs: DataFrame) -> DataFrame:
         _scope_text(F.col("spec")), lambda scope: _specified(_items(F.col("vision"), "## Out of scope"), scope)
     )
     return _pair(docs).select("project", F.inline(found)).select(
-        "project", F.col("item").alias("excluded"), F.array_join(F.slice("found", 1, 5), ", ").alias("found")
+        "project", F.col("item").alias("excluded"), F.array_join("found", ", ").alias("found")
     )
 
 
@@ -520,15 +518,44 @@ def unmentioned_artifacts(artifacts: DataFrame, docs: DataFrame) -> DataFrame:
 
     The path ends with the name, so a text without the name is without the path.
     """
-    return _unmentioned(artifacts, _texts(docs), "left")
+    return _unmentioned(artifacts, _texts(docs))
 
 
-def _unmentioned(artifacts: DataFrame, texts: DataFrame, how: str) -> DataFrame:
+def _named(artifacts: DataFrame) -> DataFrame:
     path = F.translate("rel_path", "\\", "/")
+    return artifacts.select("project", path.alias("rel_path"), base_name(path).alias("name"))
+
+
+def _trigrams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    places = F.when(F.length(text) > 2, F.sequence(F.lit(1), F.length(text) - 2))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(3))))
+
+
+def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct ``project, name`` of the names (``project, name``) that occur in the text of their project
+    (``project, text``, one row each).
+
+    An index of the texts' trigrams, reduced to trigrams that some name of the project has, gives each
+    name as many hits as it has trigrams if it may occur; only such names, and those too short for a
+    trigram, travel to the text, as one list per project, and are looked up there.
+    """
+    wanted = names.select("project", "name").where("name IS NOT NULL").distinct()
+    grams = wanted.select("project", "name", F.explode_outer(_trigrams(F.col("name"))).alias("gram"))
+    asked = grams.where("gram IS NOT NULL").select("project", "gram").distinct()
+    posted = texts.select("project", F.explode(_trigrams(F.col("text"))).alias("gram")).join(asked, ["project", "gram"], "left_semi")
+    hits = grams.join(posted.withColumn("hit", F.lit(1)), ["project", "gram"], "left").groupBy("project", "name")
+    likely = hits.agg(F.count("gram").alias("n"), F.count("hit").alias("hits")).where("hits = n").select("project", "name")
+    listed = likely.groupBy("project").agg(F.collect_list("name").alias("names"))
+    found = texts.join(listed, "project").select("project", F.explode(F.filter("names", lambda n: F.contains(F.col("text"), n))).alias("name"))
+    return found
+
+
+def _unmentioned(artifacts: DataFrame, texts: DataFrame) -> DataFrame:
     combined = F.concat_ws("\n", *[F.col(c) for c in TEXT_COLUMNS.values()])
-    joined = artifacts.join(texts.select("project", combined.alias("_text")), "project", how)
-    text = F.coalesce("_text", F.lit(""))
-    return joined.where(~F.contains(text, base_name(path))).select("project", path.alias("rel_path"))
+    named = _named(artifacts)
+    found = mentions(named, texts.select("project", combined.alias("text")))
+    return named.join(found, ["project", "name"], "left_anti").select("project", "rel_path")
 
 
 def status_report(docs: DataFrame) -> DataFrame:
@@ -648,8 +675,9 @@ def validate_documents(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
     stage = F.when(F.size("first") > 0, F.lit(1)).otherwise(F.lit(2))
     documented = staged.select("project", stage.alias("stage"), F.inline(F.concat("first", "second")))
     clean = staged.where((F.size("first") == 0) & (F.size("second") == 0))
+    of_clean = artifacts.join(clean.select("project"), "project", "left_semi")
     unmentioned = _emit(
-        _unmentioned(artifacts, clean, "inner"), F.array(_issue("artifact not mentioned", F.lit("")))
+        _unmentioned(of_clean, clean), F.array(_issue("artifact not mentioned", F.lit("")))
     )
     return documented.unionByName(unmentioned.withColumn("stage", F.lit(3)))
 

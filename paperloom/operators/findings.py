@@ -136,6 +136,74 @@ def expire_baseline(accepted: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def baseline_calendar(baseline: DataFrame, until) -> DataFrame:
+    """``project, check_id, file, month, periods, ended``: what a baseline accepts, month by month.
+
+    ``baseline`` has ``project, check_id, file, since, expires``; an entry holds from ``since`` to
+    ``expires``, both included, or for good. Periods of one key that overlap or touch are merged; a month
+    lists those that reach into it, which being disjoint are few, and the last one that ended before it.
+    Months run from a key's first entry to the month of ``until``, a date.
+    """
+    key = ["project", "check_id", "file"]
+    entries = baseline.select(*key, "since", F.coalesce("expires", F.lit("9999-12-31").cast("date")).alias("expires")).where("since <= expires")
+    order = Window.partitionBy(*key).orderBy("since", "expires")
+    before = F.max("expires").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(before.isNull() | (F.date_add(before, 1) < F.col("since")), 1).otherwise(0)
+    runs = entries.distinct().withColumn("apart", apart).withColumn("run", F.sum("apart").over(order))
+    merged = runs.groupBy(*key, "run").agg(F.min("since").alias("since"), F.max("expires").alias("expires"))
+    last = F.lit(until).cast("date")
+    merged = merged.where(F.col("since") <= last)
+    month, step = F.trunc("since", "month"), F.expr("interval 1 month")
+    within = merged.select(*key, F.struct("since", "expires").alias("period"), F.explode(F.sequence(month, F.trunc(F.least("expires", last), "month"), step)).alias("month"))
+    listed = within.groupBy(*key, "month").agg(F.array_sort(F.collect_list("period")).alias("periods"))
+    span = merged.groupBy(*key).agg(F.min("since").alias("since"))
+    months = span.select(*key, F.explode(F.sequence(month, F.trunc(last, "month"), step)).alias("month"))
+    listed = listed.withColumnsRenamed({c: f"_{c}" for c in [*key, "month"]})
+    here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "month"]])
+    full = months.join(listed, here, "left").select(*key, "month", "periods")
+    past = Window.partitionBy(*key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.array_max(F.transform("periods", lambda p: p["expires"]))).over(past)
+    # a period may end in its own month only, so the last end before a month is in a month before it
+    return full.select(*key, "month", F.coalesce("periods", F.array()).alias("periods"), F.when(ended < F.col("month"), ended).alias("ended"))
+
+
+def session_status(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Findings with the ``status`` and ``note`` they have on the day of their own session.
+
+    A failure that an entry of its project and check covers that day, for its file or for all, is
+    ``ACCEPTED``; one whose last such entry has ended is a failure of high severity with a note; others
+    stay. ``findings`` have ``project, session, check_id, file, status, severity``. A finding meets at
+    most two rows, the calendars of its month, so nothing is multiplied however many entries there are.
+    """
+    horizon = findings.agg(F.max("session")).first()[0]
+    if horizon is None:
+        return findings.withColumn("note", F.lit(None).cast("string"))
+    calendar = baseline_calendar(baseline, horizon)
+    one = calendar.where("file IS NOT NULL").withColumnsRenamed({"periods": "_one", "ended": "_one_ended"})
+    every = calendar.where("file IS NULL").drop("file").withColumnsRenamed({"periods": "_any", "ended": "_any_ended"})
+    dated = findings.withColumn("month", F.trunc("session", "month"))
+    joined = dated.join(one, ["project", "check_id", "file", "month"], "left").join(every, ["project", "check_id", "month"], "left")
+    day = F.col("session")
+
+    def holds(periods: str) -> Column:
+        return F.coalesce(F.exists(periods, lambda p: day.between(p["since"], p["expires"])), F.lit(False))
+
+    def gone(periods: str, ended: str) -> Column:
+        here = F.array_max(F.transform(F.filter(periods, lambda p: p["expires"] < day), lambda p: p["expires"]))
+        return F.greatest(here, F.col(ended))
+
+    failed, valid = F.col("status") == "FAIL", holds("_one") | holds("_any")
+    over = F.greatest(gone("_one", "_one_ended"), gone("_any", "_any_ended"))
+    state = F.when(failed & valid, "accepted").when(failed & over.isNotNull(), "expired").otherwise("same")
+    marked = joined.withColumns({"_state": state, "_over": over})
+    return marked.select(
+        *[c for c in findings.columns if c not in ("status", "severity")],
+        F.when(F.col("_state") == "accepted", "ACCEPTED").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("_state") == "expired", "high").otherwise(F.col("severity")).alias("severity"),
+        F.when(F.col("_state") == "expired", F.concat(F.lit("[baseline expired: "), F.col("_over").cast("string"), F.lit("]"))).alias("note"),
+    )
+
+
 def expired_entries(baseline: DataFrame, as_of: str) -> DataFrame:
     """Baseline entries whose date has passed."""
     return baseline.where(F.col("expires") < F.lit(as_of).cast("date"))
@@ -269,6 +337,81 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
     return merged.where(F.col("status").isin("FAIL", "ACCEPTED"))
 
 
+# A row of a finding in a report, and its cells: the text between the bars.
+_ROW = r"^\s*\|\s*[A-Z]+-\d+\s*\|"
+_CELL = r"(?<!\\)\|"
+
+
+def report_rows(reports: DataFrame, *keys: str) -> DataFrame:
+    """``*keys, line, check_id, status, evidence``: the finding rows of Markdown reports (``content``) by
+    the number of their line, from 0; the header above gives the places of the columns."""
+    lines = F.split("content", "\n", -1)
+
+    def cells(line: Column) -> Column:
+        return F.transform(F.split(line, _CELL, -1), trim_space)
+
+    header = F.array_max(F.transform(F.filter(lines, lambda t: t.contains("Check ID")), cells))
+    numbered = F.filter(F.transform(lines, lambda t, i: F.struct(i.alias("line"), t.alias("text"))), lambda x: x["text"].rlike(_ROW))
+    found = reports.select(*keys, header.alias("header"), F.inline(numbered)).withColumn("cells", cells(F.col("text")))
+
+    def cell(title: str) -> Column:
+        return F.get("cells", F.array_position("header", F.lit(title)).cast("int") - 1)
+
+    status = F.regexp_extract(cell("Status"), "(" + "|".join(STATUSES) + ")", 1)
+    return found.select(*keys, "line", cell("Check ID").alias("check_id"), status.alias("status"), F.translate(cell("Evidence"), "`", "").alias("evidence"))
+
+
+def rewrite_reports(reports: DataFrame, verdicts: DataFrame, additions: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Reports spliced after verification, and the log of what was removed.
+
+    ``verdicts`` has ``*keys, line, verdict, evidence`` and ``note``: rows that are ``false positive``
+    or ``stale`` without their file (``gone``) go, ``stale`` ones are marked in their status cell, and
+    those with a ``note`` fail again with it. ``additions`` has ``*keys, row``: whole table rows put below
+    the last finding, or at the end of a report without any. All other text stays byte for byte;
+    reports without a change are left out. Verdicts and additions are gathered per report.
+    """
+    acts = verdicts.where("verdict IN ('false positive', 'gone', 'stale') OR note IS NOT NULL")
+    by_report = acts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("line", F.struct("verdict", "note")))).alias("_acts"))
+    added = additions.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("_added"))
+    joined = reports
+    for side in (by_report, added):
+        side = side.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        joined = joined.join(side, same, "left").drop(*[f"_{k}" for k in keys])
+    lines = F.split("content", "\n", -1)
+    none = F.array().cast("array<string>")
+
+    def spliced(line: Column, act: Column, status: Column) -> Column:
+        def marked(parts: Column) -> Column:
+            stale = F.concat(F.regexp_replace(F.get(parts, status), r"\s+$", ""), F.lit(" [✓ stale] "))
+            failed = F.concat(F.lit(" ❌ FAIL 🟠 "), act["note"], F.lit(" "))
+            cells = (F.slice(parts, 1, status), F.array(F.coalesce(failed, stale)), F.slice(parts, status + 2, F.size(parts)))
+            return F.array(F.array_join(F.concat(*cells), "|"))
+
+        return F.when(act.isNull(), F.array(line)).when(act["verdict"].isin("false positive", "gone"), none).otherwise(let(F.split(line, _CELL, -1), marked))
+
+    def rewritten(given: Column) -> Column:
+        last = F.array_max(F.transform(given["lines"], lambda t, i: F.when(t.rlike(_ROW), i).otherwise(-1)))
+        place = F.when(last < 0, F.size(given["lines"]) - 1).otherwise(last)
+        head = F.array_max(F.filter(given["lines"], lambda t: t.contains("Check ID")))
+        status = F.array_position(F.transform(F.split(head, _CELL, -1), trim_space), F.lit("Status")).cast("int") - 1
+
+        def joined_lines(known: Column) -> Column:
+            def line_of(t: Column, i: Column) -> Column:
+                more = F.when(i == known["place"], F.coalesce(given["added"], none)).otherwise(none)
+                return F.concat(spliced(t, given["acts"][i], known["status"]), more)
+
+            return F.array_join(F.flatten(F.transform(given["lines"], line_of)), "\n")
+
+        return let(F.struct(place.alias("place"), status.alias("status")), joined_lines)
+
+    kept = let(F.struct(lines.alias("lines"), F.col("_acts").alias("acts"), F.col("_added").alias("added")), rewritten)
+    changed = joined.where("_acts IS NOT NULL OR _added IS NOT NULL").select(*[c for c in reports.columns if c != "content"], kept.alias("content"))
+    reason = F.when(F.col("verdict") == "gone", F.concat(F.lit("[removed: "), evidence_path(F.col("evidence")), F.lit(" not found]"))).otherwise(F.lit("[removed: false positive]"))
+    log = verdicts.where("verdict IN ('false positive', 'gone')").select(*keys, "line", "check_id", reason.alias("reason"))
+    return changed, log
+
+
 def verification_totals(verified: DataFrame, by: str = "component") -> DataFrame:
     """Verdicts per report with a TOTAL row."""
     verdict = F.col("verdict")

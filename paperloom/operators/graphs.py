@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.stages import Stages
 
+#: Steps along the edges in one written round of a flood.
+HOPS = 4
+
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node each node is linked with, directly or over others.
@@ -89,16 +92,17 @@ def _trimmed(stages: Stages, links: DataFrame, count: int) -> tuple[DataFrame, i
 
 
 def _flooded(stages: Stages, links: DataFrame, start: str, end: str) -> DataFrame:
-    """``project, node, name``: the smallest node from which a node is reached along the links."""
+    """``project, node, name``: the smallest node from which a node is reached along the links. A written
+    round takes ``HOPS`` steps."""
     nodes = links.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct()
     names, _, _ = stages.write(nodes.withColumn("name", F.col("node")))
     while True:
-        sent = links.join(names.withColumnRenamed("node", start), ["project", start]).select("project", F.col(end).alias("node"), "name")
-        best = sent.groupBy("project", "node").agg(F.min("name").alias("sent"))
-        step = names.join(best, ["project", "node"], "left")
-        lower = F.coalesce(F.col("sent") < F.col("name"), F.lit(False))
-        step = step.select("project", "node", F.least("name", "sent").alias("name"), lower.alias("lower"))
-        names, _, _ = stages.write(step)
+        step = names.select("project", "node", "name", F.col("name").alias("before"))
+        for _ in range(HOPS):
+            sent = links.join(step.select("project", F.col("node").alias(start), "name"), ["project", start])
+            best = sent.groupBy("project", F.col(end).alias("node")).agg(F.min("name").alias("sent"))
+            step = step.join(best, ["project", "node"], "left").select("project", "node", F.least("name", "sent").alias("name"), "before")
+        names, _, _ = stages.write(step.select("project", "node", "name", (F.col("name") < F.col("before")).alias("lower")))
         changed = not names.where("lower").isEmpty()
         names = names.drop("lower")
         if not changed:

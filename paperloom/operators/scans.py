@@ -14,6 +14,8 @@ from ..functions import markdown as md
 from ..functions.globs import directory_prefixes
 from ..functions.spans import Pattern, SpanFinder
 from ..functions.text import clean_path, let, literal_array, parent_dir, split_lines, trim_space
+from ..sources.stages import Stages
+from .graphs import components
 
 # Runtimes by priority, the base names that mark them, their tier.
 RUNTIMES = (
@@ -211,8 +213,12 @@ def broken_links(docs: DataFrame, files: DataFrame) -> DataFrame:
     )
 
     listed = docs.select("project", F.col("rel_path").alias("path")).unionByName(files.select("project", "path"))
+    # only projects that have such links are listed, and only what a link names is kept
     folders = F.transform(directory_prefixes(F.col("path")), lambda d: F.regexp_replace(d, "/$", ""))
-    known = listed.select("project", F.explode(F.concat(F.array("path"), folders)).alias("target")).distinct()
+    asked = local.select("project", "target").distinct()
+    near = listed.join(asked.select("project").distinct(), "project", "left_semi")
+    named_paths = near.select("project", F.explode(F.concat(F.array("path"), folders)).alias("target"))
+    known = named_paths.join(asked, ["project", "target"], "left_semi").distinct()
     headings = F.regexp_extract_all(_content(), F.lit(r"(?md)^#{1,6} +(.*)$"), F.lit(1))
     slugs = docs.select(
         "project", F.col("rel_path").alias("target"), F.explode(F.transform(headings, heading_slug)).alias("slug")
@@ -328,9 +334,43 @@ def call_matrix(edges: DataFrame, roles) -> DataFrame:
     return cells.fillna("", names)
 
 
-def too_many_components(edges: DataFrame, roles, limit: int = MATRIX_COMPONENTS) -> bool:
-    """Whether a matrix over these roles would still be too wide and wants bolder merging."""
-    return len(roles) + 1 > limit
+def merge_components(edges: DataFrame, limit: int = MATRIX_COMPONENTS) -> tuple[DataFrame, DataFrame]:
+    """``component, merged`` for every component of ``edges`` (``caller, callee, purpose``), so that at most
+    ``limit`` are left, and ``caller, callee, calls, purposes`` between those.
+
+    While there are too many, those with the least calls, as many as are too many, each join the one
+    they have most calls with, in either direction; one without calls to others joins the one with the
+    most calls of all. Ties go to the smaller name. A merged component bears the name of the member
+    with the most calls. Each round is written; only the number of components comes to the driver.
+    """
+    stages = Stages(edges.sparkSession)
+    calls = edges.groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("calls"))
+    nodes = edges.select(F.explode(F.array("caller", "callee")).alias("component")).distinct()
+    names, count, _ = stages.write(nodes.select("component", F.col("component").alias("merged")))
+    calls, _, _ = stages.write(calls)
+    while count > limit:
+        ends = names.withColumnRenamed("component", "caller").withColumnRenamed("merged", "a")
+        tips = names.withColumnRenamed("component", "callee").withColumnRenamed("merged", "b")
+        now = calls.join(ends, "caller").join(tips, "callee").groupBy("a", "b").agg(F.sum("calls").alias("calls"))
+        both = now.unionByName(now.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "calls"))
+        weight = both.groupBy("a").agg(F.sum("calls").alias("weight"))
+        near = both.where("a <> b").groupBy("a", "b").agg(F.sum("calls").alias("calls"))
+        best = near.groupBy("a").agg(F.min(F.struct((-F.col("calls")).alias("calls"), "b")).alias("best"))
+        top = weight.agg(F.min(F.struct((-F.col("weight")).alias("w"), "a")).alias("h")).first()["h"]["a"]
+        light = weight.join(best, "a", "left").orderBy("weight", "a").limit(count - limit)
+        joins = light.select("a", F.coalesce("best.b", F.lit(top)).alias("b")).where("a <> b")
+        joins, _, _ = stages.write(joins.select("a", "b"))
+        groups = components(weight.select(F.col("a").alias("node")), joins)
+        heads = groups.join(weight.withColumnRenamed("a", "node"), "node").groupBy("component")
+        heads = heads.agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("h")).select("component", F.col("h.node").alias("head"))
+        renamed = groups.join(heads, "component").select(F.col("node").alias("merged"), "head")
+        names, _, _ = stages.write(names.join(renamed, "merged").select("component", F.col("head").alias("merged")))
+        count = names.select("merged").distinct().count()
+    ends = names.withColumnRenamed("component", "caller").withColumnRenamed("merged", "a")
+    tips = names.withColumnRenamed("component", "callee").withColumnRenamed("merged", "b")
+    told = edges.join(ends, "caller").join(tips, "callee").groupBy("a", "b", "purpose").agg(F.count(F.lit(1)).alias("n"))
+    purposes = F.array_join(F.array_sort(F.collect_list("purpose")), ", ").alias("purposes")
+    return names, told.groupBy(F.col("a").alias("caller"), F.col("b").alias("callee")).agg(F.sum("n").alias("calls"), purposes)
 
 
 def classify_manifest(manifests: DataFrame) -> DataFrame:

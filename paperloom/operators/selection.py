@@ -136,12 +136,15 @@ def oversize_files(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
     return files.where(F.col("length") > limit).select("project", "path", "length")
 
 
-def is_text(path: Column, content: Column | None = None) -> Column:
-    """Known text name, else not a known binary one, else (with ``content``) no zero byte at its start."""
+def is_text(path: Column, content: Column | None = None, probe_bytes: int | None = None) -> Column:
+    """Known text name, else not a known binary one, else (with ``content``) no zero byte in it, or in
+    its first ``probe_bytes``; ``BINARY_PROBE_BYTES`` are what the command line looks at."""
     ext, base = extension(path), F.lower(base_name(path))
     unknown = F.lit(True)
     if content is not None:
-        probe = F.substring(content.cast("binary"), 1, BINARY_PROBE_BYTES)
+        probe = content.cast("binary")
+        if probe_bytes is not None:
+            probe = F.substring(probe, 1, probe_bytes)
         unknown = F.position(F.lit(b"\x00"), probe) == 0
     return (
         F.when(ext.isin(*TEXT_NAMES) | base.isin(*TEXT_NAMES), F.lit(True))
@@ -150,8 +153,8 @@ def is_text(path: Column, content: Column | None = None) -> Column:
     )
 
 
-def text_filter(files: DataFrame, by_content: bool = False) -> DataFrame:
-    return files.where(is_text(F.col("path"), F.col("content") if by_content else None))
+def text_filter(files: DataFrame, by_content: bool = False, probe_bytes: int | None = None) -> DataFrame:
+    return files.where(is_text(F.col("path"), F.col("content") if by_content else None, probe_bytes))
 
 
 def locale_key(path: Column) -> Column:
@@ -211,7 +214,16 @@ def effective_config(configs: DataFrame) -> DataFrame:
         "c",
         F.from_json("json", CONFIG_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
     )
-    bad = F.col("json").isNotNull() & F.col("c._corrupt").isNotNull()
+    # numbers or flags in text fields pass the parser but not the types
+    typed = F.try_parse_json("json")
+
+    def kind(field: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(typed, f"$.{field}", "variant")), F.lit("VOID"))
+
+    mixed = ~kind("prompts.pack").isin("STRING", "VOID")
+    for field in ("cleaner.whitelist", "cleaner.ignore", "packer.ignore"):
+        mixed = mixed | ~kind(field).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    bad = F.col("json").isNotNull() & (F.col("c._corrupt").isNotNull() | typed.isNull() | mixed)
 
     def setting(field: str, default: Column) -> Column:
         return F.when(~bad, F.coalesce(F.col(f"c.{field}"), default))

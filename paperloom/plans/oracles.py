@@ -77,7 +77,7 @@ ORACLES["a06_size_filter"] = "SELECT project, path, length FROM fx_files WHERE l
 ORACLES["a06_oversize_report"] = "SELECT project, path, length FROM fx_files WHERE length > 4096"
 _BASE = "lower(regexp_extract(path, '([^/]*)$', 1))"
 _IS_TEXT = f"""CASE WHEN {_ext()} IN {_in(sel.TEXT_NAMES)} OR {_BASE} IN {_in(sel.TEXT_NAMES)} THEN true
-  WHEN {_ext()} IN {_in(sel.BINARY_EXTENSIONS)} THEN false ELSE instr(content[1:8192], chr(0)) = 0 END"""
+  WHEN {_ext()} IN {_in(sel.BINARY_EXTENSIONS)} THEN false ELSE instr(content, chr(0)) = 0 END"""
 ORACLES["a07_text_filter"] = f"SELECT project, path FROM fx_files WHERE {_IS_TEXT}"
 ORACLES["a08_locale_order"] = (
     "SELECT project, path, seq FROM fx_files ORDER BY icu_sort_key(project, 'und'), icu_sort_key(path, 'und')"
@@ -99,7 +99,8 @@ SELECT project, {_given('cleaner.whitelist', "'//!'", _JOINED)} AS whitelist,
   {_given('packer.useGitignore', 'true', 'CAST({} AS BOOLEAN)')} AS pack_use_vcs_ignore,
   {_given('packer.contentBasedBinaryDetection', 'false', 'CAST({} AS BOOLEAN)')} AS probe_content,
   CASE WHEN NOT bad THEN json_extract_string(json, '$.prompts.pack') END AS pack_prompt, bad AS invalid
-FROM (SELECT *, coalesce(json_type(json, '$.packer.useGitignore') NOT IN ('BOOLEAN', 'NULL'), false) AS bad FROM fx_config)
+FROM (SELECT *, coalesce(json_type(json, '$.packer.useGitignore') NOT IN ('BOOLEAN', 'NULL'), false)
+  OR coalesce(json_type(json, '$.prompts.pack') NOT IN ('VARCHAR', 'NULL'), false) OR contains(json, '["a",1]') AS bad FROM fx_config)
 """
 ORACLES["a10_extension_filter"] = f"SELECT project, path FROM fx_files WHERE {_ext()} IN {_in(sel.CLEANABLE_EXTENSIONS)}"
 ORACLES["a11_input_path_filter"] = """
@@ -116,6 +117,21 @@ SELECT f.project, f.path, f.length FROM fx_files f ANTI JOIN gone g ON f.project
 WHERE {_NO_VCS} AND regexp_matches(path, '^(src|lib|docs)/') AND length <= 16384 AND {_IS_TEXT}
 """
 
+# What the settings of each project of the view leave of its tree.
+_TREE_KEPT = """k <> 4 AND NOT (starts_with(path, 'node_modules/') AND k NOT IN (1, 3)) AND NOT (starts_with(path, 'gen/') AND {gen})
+  AND NOT (k = 3 AND starts_with(path, 'lib/')) AND {more}"""
+_TREE = "SELECT *, CAST(substr(project, 2) AS INT) AS k FROM fx_tree"
+_TREE_CLEANED = f"""
+SELECT project, path, content AS original, 'const a = 1; ' || chr(10) || CASE k WHEN 5 THEN '' ELSE '/** doc */' END || chr(10) || 'b(d);' AS content,
+  CAST(CASE k WHEN 5 THEN 3 ELSE 2 END AS BIGINT) AS removed
+FROM ({_TREE}) WHERE {_TREE_KEPT.format(gen="k <> 2", more="NOT (k = 0 AND regexp_matches(path, '^src/f1.*[.]ts$'))")} AND {_ext()} IN ('.ts', '.js')"""
+ORACLES["a00_clean_configured"] = f"SELECT project, path, content, removed FROM ({_TREE_CLEANED})"
+ORACLES["a00_clean_configured_summary"] = f"""
+SELECT project, count(*) AS files_processed, count(*) AS files_changed, CAST(sum(removed) AS BIGINT) AS comments_removed, CAST(sum(strlen(original)) AS BIGINT) AS bytes_before,
+  CAST(sum(strlen(content)) AS BIGINT) AS bytes_after, CAST(sum(strlen(original)) - sum(strlen(content)) AS BIGINT) AS bytes_saved,
+  CAST(round((sum(strlen(original)) - sum(strlen(content))) / 4) AS BIGINT) AS tokens_saved
+FROM ({_TREE_CLEANED}) GROUP BY project"""
+
 # B: comment removal
 
 _HTML = "(?s)<!--.*?-->"
@@ -155,7 +171,6 @@ stripped AS (SELECT project, path, original, list_filter(t, lambda x: {drop}) AS
 
 _CORPUS = "SELECT * FROM fx_pages UNION ALL SELECT * FROM fx_code"
 _FLAT = "trim(regexp_replace(x, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
-_PREVIEW = f"CASE WHEN strlen({_FLAT}) <= 60 THEN {_FLAT} ELSE {_FLAT}[1:57] || '...' END"
 _SUMMARY = """count(*) AS files_processed, count(*) FILTER (len(matches) > 0) AS files_changed,
   CAST(sum(len(matches)) AS BIGINT) AS comments_removed, CAST(sum(strlen(original)) AS BIGINT) AS bytes_before,
   CAST(sum(strlen(content)) AS BIGINT) AS bytes_after, CAST(sum(strlen(original)) - sum(strlen(content)) AS BIGINT) AS bytes_saved,
@@ -176,11 +191,11 @@ ORACLES["b05_clean_summary"] = f"WITH {_stripped(_CORPUS)} SELECT project, {_SUM
 ORACLES["b05_clean_total"] = f"WITH {_stripped('SELECT * FROM fx_pages')} SELECT {_SUMMARY} FROM stripped"
 ORACLES["b06_comment_previews"] = f"""WITH {_stripped(_CORPUS)}
 SELECT project, path, CAST(len(matches) AS BIGINT) AS removed,
-  array_to_string(list_transform(matches[1:3], lambda x: {_PREVIEW}), ' | ') AS previews, CAST(greatest(len(matches) - 3, 0) AS BIGINT) AS more
+  array_to_string(list_transform(matches, lambda x: {_FLAT}), ' | ') AS previews, CAST(0 AS BIGINT) AS more
 FROM stripped WHERE len(matches) > 0"""
 ORACLES["b07_clean_report"] = f"""WITH {_stripped(_CORPUS)}
 SELECT project, path, CAST(len(matches) AS BIGINT) AS removed,
-  coalesce(array_to_string(list_transform(matches, lambda x: {_PREVIEW}), ' | '), '') AS previews FROM stripped"""
+  coalesce(array_to_string(list_transform(matches, lambda x: {_FLAT}), ' | '), '') AS previews FROM stripped"""
 ORACLES["b08_write_cleaned"] = f"WITH {_stripped(_CORPUS)} SELECT project, path, content FROM stripped WHERE len(matches) > 0"
 ORACLES["b09_backup_originals"] = (
     f"WITH {_stripped(_CORPUS)} SELECT project, path, original AS content FROM stripped WHERE len(matches) > 0"
@@ -212,6 +227,8 @@ _SEQ = _ORDER + ", seq"
 _PACKED = _pieces("fx_files", _SEQ)
 _PACKED_TEXT = _pieces("fx_files", _SEQ, "'// file: ' || path || chr(10) || content", "''", _GAP, "''")
 _LISTED = _pieces("fx_files", _SEQ, "path", "''", "chr(10)", "''")
+_TREE_PACKED = f"(SELECT project, path, content FROM ({_TREE}) WHERE {_TREE_KEPT.format(gen='k <> 3', more='true')})"
+ORACLES["a00_pack_configured"] = f"SELECT project, path, text FROM ({_pieces(_TREE_PACKED, _ORDER)})"
 _TOTALS = f"""SELECT project, count(*) AS files,
   CAST(sum(strlen({_XML})) + (count(*) - 1) * 2 + 17 AS BIGINT) AS context_bytes FROM fx_files GROUP BY project"""
 ORACLES["d01_pack_xml"] = f"SELECT project, path, seq, text FROM ({_PACKED})"
@@ -319,6 +336,11 @@ SELECT project, path, text FROM ({_pieces('(SELECT * FROM fx_imports WHERE path
 ORACLES["a13_list_files_with_reasons"] = f"""WITH RECURSIVE {_reached(_DEEP)}
 SELECT project, f.path, f.path || '  ← ' || coalesce(reason, '') AS entry FROM fx_imports f LEFT JOIN reasons r ON r.path = f.path"""
 
+ORACLES["e06_import_cycles"] = """
+SELECT 'p' || p_partkey // 700 AS project, 'src/m' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || '.ts' AS node,
+  'src/m' || lpad(CAST(p_partkey - p_partkey % 7 AS VARCHAR), 7, '0') || '.ts' AS cycle
+FROM part WHERE p_partkey % 7 <= 3 AND p_partkey - p_partkey % 7 + 3 <= (SELECT max(p_partkey) FROM part)"""
+
 # F: product documents
 
 
@@ -404,7 +426,7 @@ prose AS (SELECT * FROM lines WHERE fences % 2 = 0 AND NOT starts_with(txt, '```
 
 
 ORACLES["f08_placeholders"] = f"""WITH {_lines('SELECT * FROM fx_docs')}
-SELECT project, rel_path, line, txt[1:80] AS detail FROM prose WHERE regexp_matches(txt, '\\[[^\\]]+\\]([^(]|$)')"""
+SELECT project, rel_path, line, txt AS detail FROM prose WHERE regexp_matches(txt, '\\[[^\\]]+\\]([^(]|$)')"""
 
 _PHRASES = "phrases(ord, phrase) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(d.BANNED)) + ")"
 _ANY_PHRASE = "|".join(
@@ -451,7 +473,7 @@ SELECT project, included, excluded, array_to_string(list_sort(shared), ', ') AS
   FROM outside o JOIN inside i ON i.project = o.project) WHERE len(shared) >= 2 AND len(shared) / len(words) >= 0.5"""
 ORACLES["f12_scope_contradictions"] = f"WITH {_BOTH} {_CONTRADICTIONS}"
 _SPECIFIED = """
-SELECT project, item AS excluded, array_to_string(found[1:5], ', ') AS found FROM (
+SELECT project, item AS excluded, array_to_string(found, ', ') AS found FROM (
   SELECT o.project, item, list_filter(words, lambda w: instr(scope, w) > 0) AS found FROM outside o JOIN texts USING (project)) WHERE len(found) >= 2"""
 ORACLES["f13_excluded_but_specified"] = f"WITH {_BOTH} {_SPECIFIED}"
 
@@ -501,7 +523,7 @@ staged(project, stage, rel_path, rule, detail) AS (
   SELECT project, 1, rel_path, rule, detail FROM ({_ABSENT})
   UNION ALL SELECT project, 1, rel_path, 'metadata', 'status' FROM meta WHERE status IS NULL
   UNION ALL SELECT project, 1, rel_path, 'metadata', 'date' FROM meta WHERE date IS NULL
-  UNION ALL SELECT project, 1, rel_path, 'placeholder', txt[1:80] FROM prose WHERE regexp_matches(txt, '\\[[^\\]]+\\]([^(]|$)')
+  UNION ALL SELECT project, 1, rel_path, 'placeholder', txt FROM prose WHERE regexp_matches(txt, '\\[[^\\]]+\\]([^(]|$)')
   UNION ALL SELECT project, 1, rel_path, rule, detail FROM ({_FIRST_PHRASE})
   UNION ALL SELECT project, 1, rel_path, 'short section', detail FROM ({_SHORT})
   UNION ALL SELECT project, 1, '{d.VISION}', 'metric without number', detail FROM ({_METRICS})
@@ -627,6 +649,14 @@ SELECT session, check_id, solution, CASE WHEN {_EXPIRED} THEN 'FAIL' ELSE status
 ORACLES["h05_expired_entries"] = (
     f"SELECT check_id, expires, accepted_by, reason FROM fx_baseline WHERE expires < DATE '{AS_OF}'"
 )
+_ENTRY = "b.project = f.project AND b.check_id = f.check_id AND (b.file IS NULL OR b.file = f.file)"
+ORACLES["h05_session_status"] = f"""
+WITH told AS (SELECT project, session, check_id, file, status, severity, solution,
+    EXISTS (SELECT 1 FROM fx_baseline_periods b WHERE {_ENTRY} AND f.session BETWEEN b.since AND coalesce(b.expires, DATE '9999-12-31')) AS valid,
+    (SELECT max(b.expires) FROM fx_baseline_periods b WHERE {_ENTRY} AND b.expires < f.session) AS ended FROM fx_findings f)
+SELECT project, session, check_id, file, solution, CASE WHEN status = 'FAIL' AND valid THEN 'ACCEPTED' ELSE status END AS status,
+  CASE WHEN status = 'FAIL' AND NOT valid AND ended IS NOT NULL THEN 'high' ELSE severity END AS severity,
+  CASE WHEN status = 'FAIL' AND NOT valid AND ended IS NOT NULL THEN '[baseline expired: ' || CAST(ended AS VARCHAR) || ']' END AS note FROM told"""
 ORACLES["h06_untyped_baseline"] = f"""
 SELECT check_id, file, reason, CASE WHEN instr(reason, 'not real') > 0 THEN 'false-positive' WHEN instr(reason, 'intentional') > 0 THEN 'intentional-design' ELSE 'accepted-risk' END AS recommended_type
 FROM fx_baseline WHERE type IS NULL OR type NOT IN {_in(fd.BASELINE_TYPES)}"""
@@ -663,6 +693,23 @@ SELECT * FROM (SELECT session, audit, component, check_id, "check", status, seve
 WHERE status IN ('FAIL', 'ACCEPTED')"""
 
 
+# A report has one finding, in its fourth line; the third cell of the line is its status.
+_SPLICED = """
+given AS (SELECT r.report, r.component AS project, string_split(r.content, chr(10)) AS l, i.content AS code, 'src/a' || regexp_extract(r.content, 'src/a([0-9]+)[.]ts', 1) || '.ts' AS path
+  FROM fx_reports r LEFT JOIN fx_report_files i ON i.project = r.component AND i.path = 'src/a' || regexp_extract(r.content, 'src/a([0-9]+)[.]ts', 1) || '.ts'),
+told AS (SELECT *, CASE WHEN code IS NULL THEN 'gone' WHEN len(string_split(code, chr(10))) < 7 THEN 'false positive' WHEN report % 5 = 0 THEN 'stale' ELSE 'confirmed' END AS verdict,
+  code IS NOT NULL AND len(string_split(code, chr(10))) >= 7 AND report % 5 <> 0 AND instr(l[4], 'ACCEPTED') > 0 AS expired FROM given)"""
+ORACLES["h14_rewrite_reports"] = f"""WITH {_SPLICED},
+cells AS (SELECT *, string_split(l[4], '|') AS c FROM told),
+marked AS (SELECT *, CASE WHEN verdict = 'stale' THEN rtrim(c[4]) || ' [✓ stale] ' WHEN expired THEN ' ❌ FAIL 🟠 [baseline expired: 1997-01-01] ' ELSE c[4] END AS state FROM cells)
+SELECT project, report, array_to_string(list_concat(l[1:3], CASE WHEN verdict IN ('gone', 'false positive') THEN [] ELSE [array_to_string(list_concat(c[1:3], [state], c[5:]), '|')] END,
+  CASE WHEN report % 4 = 0 THEN ['| SEC-07 | Missed | ❌ FAIL 🔴 | `src/b.ts:1` | — | No |'] ELSE [] END, l[5:]), chr(10)) AS content
+FROM marked WHERE verdict <> 'confirmed' OR expired OR report % 4 = 0"""
+ORACLES["h14_removal_log"] = f"""WITH {_SPLICED}
+SELECT project, report, CAST(3 AS INT) AS line, trim(string_split(l[4], '|')[2]) AS check_id,
+  CASE verdict WHEN 'gone' THEN '[removed: ' || path || ' not found]' ELSE '[removed: false positive]' END AS reason FROM told WHERE verdict IN ('gone', 'false positive')"""
+
+
 def _secret_oracle() -> str:
     from ..operators.scans import PLACEHOLDER_VALUE, SECRET_PATTERNS
 

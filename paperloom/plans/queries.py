@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import segments
 from ..functions.text import byte_length, normalize
-from ..operators import cleaning, clones, contracts, documents, findings, imports, packing, scans, selection, tokens
+from ..operators import chains, cleaning, clones, contracts, documents, findings, graphs, imports, packing, scans, selection, tokens
 from ..sources import files as sources
 from ..sources import sink
 from .views import table, view
@@ -141,6 +141,23 @@ def a00_find_files(v):
     return found.select("project", "path", "length")
 
 
+@query
+def a00_clean_configured(v):
+    """The whole cleaning command under each project's settings."""
+    cleaned = chains.clean_configured(v("fx_tree"), v("fx_tree_config"))
+    return cleaned.select("project", "path", "content", "removed")
+
+
+@query
+def a00_clean_configured_summary(v):
+    return cleaning.clean_summary(chains.clean_configured(v("fx_tree"), v("fx_tree_config")), "project")
+
+
+@query
+def a00_pack_configured(v):
+    return chains.pack_configured(v("fx_tree"), v("fx_tree_config")).select("project", "path", "text")
+
+
 # B: comment removal
 
 
@@ -394,6 +411,14 @@ def e05_pack_reachable(v):
     return imports.pack_reachable(v("fx_imports"), _reach(v)).select("project", "path", "text")
 
 
+@query
+def e06_import_cycles(v):
+    """Files on a circle of imports, with the first file of their strongly connected component."""
+    files = v("fx_modules")
+    resolved = imports.resolve_imports(imports.import_edges_raw(files), files.select("project", "path"))
+    return graphs.cycles(imports.graph_edges(resolved))
+
+
 # F: product documents
 
 
@@ -628,6 +653,13 @@ def h05_expired_entries(v):
     return findings.expired_entries(v("fx_baseline"), AS_OF).select("check_id", "expires", "accepted_by", "reason")
 
 
+@query
+def h05_session_status(v):
+    """Every finding as its baseline had it on the day of its session."""
+    known = v("fx_findings").select("project", "session", "check_id", "file", "status", "severity", "solution")
+    return findings.session_status(known, v("fx_baseline_periods"))
+
+
 @query
 def h06_untyped_baseline(v):
     return findings.untyped_baseline(v("fx_baseline"))
@@ -691,6 +723,28 @@ def h14_merge_reports(v):
     return merged.select("session", "audit", "component", "check_id", "check", "status", "severity", "evidence", "solution")
 
 
+def _rewritten(v):
+    reports = v("fx_reports").withColumn("project", F.col("component"))
+    rows = findings.report_rows(reports, "project", "report")
+    verified = findings.verify_findings(rows, v("fx_report_files"))
+    verdict = F.when(F.col("verdict") == "stale", "gone").when((F.col("verdict") == "confirmed") & (F.col("report") % 5 == 0), "stale")
+    note = F.when((F.col("verdict") == "confirmed") & (F.col("status") == "ACCEPTED") & (F.col("report") % 5 != 0), "[baseline expired: 1997-01-01]")
+    verdicts = verified.withColumns({"note": note, "verdict": verdict.otherwise(F.col("verdict"))})
+    added = reports.where("report % 4 = 0").select("project", "report", F.lit("| SEC-07 | Missed | ❌ FAIL 🔴 | `src/b.ts:1` | — | No |").alias("row"))
+    return findings.rewrite_reports(reports, verdicts, added, "project", "report")
+
+
+@query
+def h14_rewrite_reports(v):
+    """Reports that change after verification, whole."""
+    return _rewritten(v)[0].select("project", "report", "content")
+
+
+@query
+def h14_removal_log(v):
+    return _rewritten(v)[1]
+
+
 @query
 def h15_scan_patterns(v):
     return scans.scan_patterns(v("fx_texts"))
@@ -786,6 +840,24 @@ def h23_call_matrix(v):
     return scans.call_matrix(edges, ROLES)
 
 
+def _merged(v):
+    role = F.regexp_extract(F.col("path"), r"part(\d{1,2})", 1)
+    edges = _edges(v).where("resolved IS NOT NULL")
+    callee = F.regexp_extract("resolved", r"part(\d{1,2})", 1)
+    return scans.merge_components(edges.select(role.alias("caller"), callee.alias("callee"), F.col("kind").alias("purpose")))
+
+
+@query
+def h23_merged_components(v):
+    """A hundred components of the import graph merged until a matrix stays readable."""
+    return _merged(v)[0]
+
+
+@query
+def h23_merged_calls(v):
+    return _merged(v)[1]
+
+
 @query
 def h24_classify_manifest(v):
     return scans.classify_manifest(v("fx_manifests"))

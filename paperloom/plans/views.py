@@ -148,6 +148,36 @@ SELECT DISTINCT 'al' || CAST(p_partkey % 10 AS STRING), 'conf/two.json',
 FROM part
 """
 
+# Modules in blocks of seven: a chain through the block, a way back from its fourth to its first, and a
+# way on to the next block of ten.
+VIEWS["fx_modules"] = f"""
+SELECT 'p' || CAST(CAST(floor(p_partkey / 700) AS BIGINT) AS STRING) AS project, 'src/m' || lpad(CAST(p_partkey AS STRING), 7, '0') || '.ts' AS path,
+  {_text(
+    "CASE WHEN p_partkey % 7 < 6 THEN 'import a from \"./m' || lpad(CAST(p_partkey + 1 AS STRING), 7, '0') || '\";' ELSE '' END",
+    "CASE WHEN p_partkey % 7 = 3 THEN 'import b from \"./m' || lpad(CAST(p_partkey - 3 AS STRING), 7, '0') || '\";' ELSE '' END",
+    "CASE WHEN p_partkey % 70 < 63 THEN 'export * from \"./m' || lpad(CAST(p_partkey + 7 AS STRING), 7, '0') || '\";' ELSE '' END",
+  )} AS content
+FROM part
+"""
+
+# Project trees with settings and ignore files of their own.
+VIEWS["fx_tree"] = """
+SELECT project, path, CAST({bytes}(content) AS BIGINT) AS length, content FROM (
+  SELECT 'p' || CAST(p_partkey % 10 AS STRING) AS project,
+    CASE p_partkey % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'lib/' WHEN 2 THEN 'node_modules/x/' ELSE 'gen/' END || 'f' || CAST(p_partkey AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.md' ELSE '.js' END AS path,
+    'const a = 1; // ' || p_name || chr(10) || '/** doc */' || chr(10) || 'b/* c */(d);' AS content
+  FROM part
+  UNION ALL SELECT DISTINCT 'p' || CAST(p_partkey % 10 AS STRING), '.gitignore', 'gen' || chr(10) FROM part) t
+"""
+
+VIEWS["fx_tree_config"] = """
+SELECT DISTINCT 'p' || CAST(p_partkey % 10 AS STRING) AS project,
+  CASE p_partkey % 10 WHEN 0 THEN '{{"cleaner":{{"ignore":["src/f1*.ts"]}}}}' WHEN 1 THEN '{{"packer":{{"ignore":[]}}}}'
+    WHEN 2 THEN '{{"cleaner":{{"useGitignore":false}}}}' WHEN 3 THEN '{{"packer":{{"useGitignore":false,"ignore":["lib"]}}}}'
+    WHEN 4 THEN '{{"cleaner":{{"useGitignore":"no"}}}}' WHEN 5 THEN '{{"cleaner":{{"keepJSDoc":false,"whitelist":[]}}}}' ELSE '{{}}' END AS json
+FROM part WHERE p_partkey % 10 < 8
+"""
+
 VIEWS["fx_changes"] = """
 SELECT k AS list, 'src/part' || CAST(doc_id AS STRING) || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS path
 FROM (SELECT doc_id, 'staged' AS k FROM labels WHERE quality = 1
@@ -164,7 +194,7 @@ SELECT 'proj' || CAST(s_suppkey AS STRING) AS project,
     WHEN 3 THEN '{{"packer":{{"useGitignore":false,"contentBasedBinaryDetection":true}}}}'
     WHEN 4 THEN '{{"packer":{{"useGitignore":"wrong"}}}}'
     WHEN 5 THEN '{{"cleaner":{{"useGitignore":false,"ignore":["a","b"]}}}}'
-    ELSE '{{}}' END AS json
+    ELSE CASE s_suppkey % 3 WHEN 0 THEN '{{"prompts":{{"pack":5}}}}' WHEN 1 THEN '{{"cleaner":{{"whitelist":["a",1]}}}}' ELSE '{{}}' END END AS json
 FROM supplier
 """
 
@@ -350,7 +380,7 @@ FROM orders
 """
 
 VIEWS["fx_reports"] = f"""
-SELECT CAST(o_orderdate AS DATE) AS session, 'audit-secrets' AS audit, 'comp' || CAST(o_custkey % 9 AS STRING) AS component,
+SELECT CAST(o_orderdate AS DATE) AS session, 'audit-secrets' AS audit, 'comp' || CAST(o_custkey % 9 AS STRING) AS component, o_orderkey AS report,
   {_text(
     "'# Audit Report'",
     "CASE WHEN o_orderpriority < '3' THEN '| Check ID | Check | Status | Evidence | Solution | Fixed |' ELSE '| Check ID | Check | Status | Confidence | Evidence | Solution | Fixed |' END",
@@ -409,6 +439,23 @@ SELECT 'p' || CAST(p_partkey % 10 AS STRING) AS project, 'audit-secrets' AS audi
 FROM part WHERE p_partkey % 13 = 0
 """
 
+# Entries that hold from a day on, some until another: several for one file, and some for all files of a check.
+VIEWS["fx_baseline_periods"] = """
+SELECT 'src' || CAST(c_custkey % 20 AS STRING) AS project,
+  CASE c_custkey % 3 WHEN 0 THEN 'SEC-0' WHEN 1 THEN 'OWA-0' ELSE 'ERR-0' END || CAST(1 + c_nationkey % 5 AS STRING) AS check_id,
+  CASE WHEN c_acctbal > 9700 THEN CAST(NULL AS STRING) ELSE 'src/part' || CAST((c_custkey % 200) * 2 AS STRING) || '.ts' END AS file,
+  CAST(DATE '1992-01-01' + INTERVAL 1 DAY * (c_custkey % 2500) AS DATE) AS since,
+  CASE WHEN c_acctbal < 0 THEN CAST(NULL AS DATE) ELSE CAST(DATE '1992-03-01' + INTERVAL 1 DAY * (c_custkey % 2500 + c_nationkey * 9 - 30) AS DATE) END AS expires
+FROM customer
+"""
+
+# Files the reports speak of: every third has the line, every third is too short, the others are gone.
+VIEWS["fx_report_files"] = """
+SELECT 'comp' || CAST(c_custkey % 9 AS STRING) AS project, 'src/a' || CAST(c_custkey AS STRING) || '.ts' AS path,
+  CASE c_custkey % 3 WHEN 0 THEN repeat('x' || chr(10), 9) ELSE 'x' END AS content
+FROM customer WHERE c_custkey % 3 < 2
+"""
+
 VIEWS["fx_sessions"] = "SELECT DISTINCT 'comp' || CAST(o_custkey % 9 AS STRING) AS project, CAST(o_orderdate AS DATE) AS session FROM orders"
 
 VIEWS["fx_env"] = f"""
@@ -484,6 +531,9 @@ TABLES = {
     "fx_pages": ["pages"],
     "fx_imports": ["part"],
     "fx_aliased": ["part"],
+    "fx_modules": ["part"],
+    "fx_tree": ["part"],
+    "fx_tree_config": ["part"],
     "fx_changes": ["labels"],
     "fx_config": ["supplier"],
     "fx_manifests": ["supplier"],
@@ -499,6 +549,8 @@ TABLES = {
     "fx_baseline": ["customer"],
     "fx_secrets": ["part"],
     "fx_secret_findings": ["part"],
+    "fx_baseline_periods": ["customer"],
+    "fx_report_files": ["customer"],
     "fx_sessions": ["orders"],
     "fx_env": ["part"],
     "fx_debt": ["part"],

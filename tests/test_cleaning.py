@@ -143,7 +143,7 @@ def test_long_strings_do_not_exhaust_the_stack(frame):
     ],
 )
 def test_preview(frame, text, expected):
-    assert frame("t string", (text,)).select(segments.preview(F.col("t"))).collect()[0][0] == expected
+    assert frame("t string", (text,)).select(segments.preview(F.col("t"), segments.PREVIEW_BYTES)).collect()[0][0] == expected
 
 
 def test_previews_and_summary(frame):
@@ -153,9 +153,10 @@ def test_previews_and_summary(frame):
         ("p", "b.ts", "x"),
     )
     cleaned = cleaning.clean_files(files)
-    shown = cleaning.previews(cleaned).collect()[0]
+    shown = cleaning.previews(cleaned, 3).collect()[0]
     assert (shown["previews"], shown["more"]) == (["//1", "//2", "//3"], 2)
-    assert cleaning.previews(cleaned, show_all=True).collect()[0]["more"] == 0
+    whole = cleaning.previews(cleaned).collect()[0]
+    assert (len(whole["previews"]), whole["more"]) == (5, 0)
     total = cleaning.clean_summary(cleaned).collect()[0].asDict()
     assert total == {
         "files_processed": 2, "files_changed": 1, "comments_removed": 5,

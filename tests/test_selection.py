@@ -101,9 +101,22 @@ def test_text_and_binary(frame):
     ]
     files = frame(schema, *rows)
     assert kept(sel.text_filter(files)) == sorted(p for _, p, _ in rows if p != "img.PNG")
-    assert kept(sel.text_filter(files, by_content=True)) == sorted(
+    assert kept(sel.text_filter(files, True, sel.BINARY_PROBE_BYTES)) == sorted(
         p for _, p, _ in rows if p not in ("img.PNG", "blob.xyz")
     )
+    assert kept(sel.text_filter(files, by_content=True)) == sorted(
+        p for _, p, _ in rows if p not in ("img.PNG", "blob.xyz", "late")
+    )
+
+
+@pytest.mark.parametrize("json", ['{"prompts":{"pack":5}}', '{"cleaner":{"whitelist":["a",1]}}', '{"packer":{"ignore":[true]}}', "{", "[]x"])
+def test_fields_of_the_wrong_type_are_errors(frame, json):
+    assert sel.effective_config(frame("project string, json string", ("p", json))).collect()[0]["invalid"]
+
+
+@pytest.mark.parametrize("json", [None, "{}", '{"prompts":{"pack":null}}', '{"prompts":null,"cleaner":{"whitelist":[]}}', '{"packer":{"ignore":["a"],"x":5}}'])
+def test_missing_and_empty_fields_are_not(frame, json):
+    assert not sel.effective_config(frame("project string, json string", ("p", json))).collect()[0]["invalid"]
 
 
 @pytest.mark.parametrize("given, expected", [(["banana", "apple", "cherry"], ["apple", "banana", "cherry"]), (["z", "ä", "a"], ["a", "ä", "z"]), (["only"], ["only"])])
