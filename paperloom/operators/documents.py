@@ -11,6 +11,9 @@ puts all of them behind a single grouping by project.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -526,36 +529,37 @@ def _named(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("project", path.alias("rel_path"), base_name(path).alias("name"))
 
 
-def _trigrams(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    places = F.when(F.length(text) > 2, F.sequence(F.lit(1), F.length(text) - 2))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(3))))
-
-
 def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct ``project, name`` of the names (``project, name``) that occur in the text of their project
     (``project, text``, one row each).
 
-    An index of the texts' trigrams, reduced to trigrams that some name of the project has, gives each
-    name as many hits as it has trigrams if it may occur; only such names, and those too short for a
-    trigram, travel to the text, as one list per project, and are looked up there.
+    The distinct names of a project travel to its text, never the text to a name. An automaton over the
+    names reads the text once, so the work is the length of the text and of the names, not their product.
     """
-    wanted = names.select("project", "name").where("name IS NOT NULL").distinct()
-    grams = wanted.select("project", "name", F.explode_outer(_trigrams(F.col("name"))).alias("gram"))
-    asked = grams.where("gram IS NOT NULL").select("project", "gram").distinct()
-    posted = texts.select("project", F.explode(_trigrams(F.col("text"))).alias("gram")).join(asked, ["project", "gram"], "left_semi")
-    hits = grams.join(posted.withColumn("hit", F.lit(1)), ["project", "gram"], "left").groupBy("project", "name")
-    likely = hits.agg(F.count("gram").alias("n"), F.count("hit").alias("hits")).where("hits = n").select("project", "name")
-    listed = likely.groupBy("project").agg(F.collect_list("name").alias("names"))
-    found = texts.join(listed, "project").select("project", F.explode(F.filter("names", lambda n: F.contains(F.col("text"), n))).alias("name"))
-    return found
+    listed = names.where("name <> ''").groupBy("project").agg(F.collect_set("name").alias("names"))
+    given = texts.select("project", "text").join(listed, "project")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        for batch in batches:
+            for project, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("project", "text", "names")), strict=True):
+                automaton = ahocorasick.Automaton()
+                for name in wanted:
+                    automaton.add_word(name, name)
+                automaton.make_automaton()
+                found = sorted({name for _, name in automaton.iter(text or "")})
+                yield pa.RecordBatch.from_arrays([pa.array([project] * len(found), pa.string()), pa.array(found, pa.string())], names=["project", "name"])
+
+    return given.mapInArrow(run, "project string, name string")
 
 
 def _unmentioned(artifacts: DataFrame, texts: DataFrame) -> DataFrame:
     combined = F.concat_ws("\n", *[F.col(c) for c in TEXT_COLUMNS.values()])
     named = _named(artifacts)
     found = mentions(named, texts.select("project", combined.alias("text")))
-    return named.join(found, ["project", "name"], "left_anti").select("project", "rel_path")
+    # an empty name is in every text
+    return named.where("name <> ''").join(found, ["project", "name"], "left_anti").select("project", "rel_path")
 
 
 def status_report(docs: DataFrame) -> DataFrame:

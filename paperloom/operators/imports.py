@@ -39,6 +39,9 @@ def import_edges_raw(files: DataFrame, strip_comments: bool = True) -> DataFrame
     return found.select("project", "path", specifier.alias("specifier"), kind.alias("kind"))
 
 
+# Levels of a search that one job takes.
+LEVELS = 3
+
 CONFIG = "struct<extends: string, compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>>"
 
 
@@ -193,11 +196,13 @@ def reachable(edges: DataFrame, entries: DataFrame, max_depth: int = 0) -> DataF
     """``project, path, depth, parent``: files reachable from ``entries`` (``project, path``).
 
     Depth 0 are the entries, 1 their imports; a ``max_depth`` below 1 means no limit. Among
-    the importers one step closer the first by path is the parent. Each round expands only
-    the newest level, so cycles end and an edge is used once. A round is one job: it joins the
-    level with the edges, leaves out what was seen, and writes the next level with its number
-    of rows. The edges are bucketed by the file they start from, so a level too large for the
-    optimizer to broadcast is dealt to them and they are not shuffled again.
+    the importers one step closer the first by path is the parent.
+
+    A round is one job of up to ``LEVELS`` levels: the newest level is expanded step by step, each
+    node keeping its least depth and parent, and what was seen in earlier rounds is left out at the
+    end. A node seen before leads to seen nodes only, so the order of the two does not matter.
+    The edges are bucketed by the file they start from, so a level too large for the optimizer to
+    broadcast is dealt to them and they are not shuffled again.
     """
     spark = edges.sparkSession
     stages = Stages(spark)
@@ -213,16 +218,18 @@ def reachable(edges: DataFrame, entries: DataFrame, max_depth: int = 0) -> DataF
     try:
         links = spark.table(name)
         while rows and (max_depth < 1 or depth < max_depth):
-            depth += 1
-            step = (
-                links.join(level.select("project", F.col("path").alias("src")), ["project", "src"])
-                .groupBy("project", F.col("dst").alias("path"))
-                .agg(F.min("src").alias("parent"))
-            )
+            steps = LEVELS if max_depth < 1 else min(LEVELS, max_depth - depth)
+            state = level.select("project", "path", F.struct("depth", "parent").alias("best"))
+            for _ in range(steps):
+                newest = state.where(F.col("best.depth") == depth).select("project", F.col("path").alias("src"))
+                depth += 1
+                found = links.join(newest, ["project", "src"]).select("project", F.col("dst").alias("path"), F.struct(F.lit(depth).alias("depth"), F.col("src").alias("parent")).alias("best"))
+                state = state.unionByName(found).groupBy("project", "path").agg(F.min("best").alias("best"))
             seen = stages.read(schema, paths).select("project", "path")
-            fresh = step.join(seen, ["project", "path"], "left_anti").select("project", "path", F.lit(depth).alias("depth"), "parent")
-            level, rows, path = stages.write(fresh)
+            fresh = state.join(seen, ["project", "path"], "left_anti").select("project", "path", "best.*")
+            found, rows, path = stages.write(fresh, F.col("depth") == depth)
             paths.append(path)
+            level = found.where(F.col("depth") == depth)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return stages.read(schema, paths)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -21,11 +21,12 @@ class Stages:
         self.base = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4()}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, int, str]:
-        """The table read again, its number of rows and its path; one job."""
+    def write(self, df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int, str]:
+        """The table read again, its number of rows, or of those ``counted``, and its path; one job."""
         self.count += 1
         path, seen = f"{self.base}/{self.count}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+        df.observe(seen, rows.alias("rows")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["rows"], path
 
     def read(self, schema, paths: list[str]) -> DataFrame:
