@@ -67,6 +67,8 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.moves.clear()  # states point at each other
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, State] = {}
         self.members: dict[tuple, tuple] = {}
@@ -122,6 +124,8 @@ class Transducer:
         return known
 
     def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        if len(self.states) >= STATES_KEPT or len(self.pairs) >= PAIRS_KEPT:
+            self._forget()  # even inside a piece: the state at work is all that is needed
         members, ended = [], None
         for node, last, pending in state.members:
             step = self.nodes[node].get(byte)
@@ -153,8 +157,6 @@ class Transducer:
         yield from state.final
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > STATES_KEPT or len(self.pairs) > PAIRS_KEPT:
-            self._forget()
         out: list[int] = []
         state = self.start
         for byte in piece:
@@ -221,34 +223,65 @@ _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 #: A run of blanks and line feeds with what follows. The split pattern always cuts where such a
 #: run begins, since its matches have white space only at their start or throughout.
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Letters and digits of a part of Unicode for which they are easily told, and all its characters.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\t\n\x0b-\r -~¡-¬®-±´¶-¸»¿×÷–—‘’“”…{_LETTERS}]*")
+
+
+def _plain_pattern(pattern: str) -> re.Pattern | None:
+    """The split pattern for texts of ``_PLAIN`` characters, which the standard library matches faster;
+    none if it speaks of other classes than letters and numbers."""
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        inside = part == "[" or inside and part != "]"
+        letters = {r"\p{L}": _LETTERS, r"\p{N}": "0-9"}.get(part)
+        out.append(part if letters is None else letters if inside else f"[{letters}]")
+    try:
+        return re.compile("".join(out))
+    except re.error:
+        return None
 
 
 class Codec:
     """Splits texts by the pattern, encodes each match on its own and decodes ids; remembers the
-    ids of units (a word with the blanks before it) met before. Only for split patterns of the
-    usual kind, which never join other characters to white space after them."""
+    ids of matches, or of units (a word with the blanks before it), in two generations. Only for split
+    patterns of the usual kind, which never join other characters to white space after them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.split = regex.compile(pattern).findall
+        plain = _plain_pattern(pattern)
+        self.quick = plain.findall if plain else None
         self.transducer = Transducer(ranks)
         self.decoder = Decoder(self.transducer.bytes_of)
         self.units: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        encode = self.transducer.encode
-        ids = tuple([token for piece in self.split(unit) for token in encode(piece.encode())])
+    def _keep(self, unit: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(unit) <= LONGEST_KEPT:
             if len(self.units) >= UNITS_KEPT:
+                self.older = dict(self.units)
                 self.units.clear()
             self.units[unit] = ids
         return ids
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return self._keep(piece, self.older.get(piece) or tuple(self.transducer.encode(piece.encode())))
+
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        known = self.older.get(unit)
+        encode = self.transducer.encode
+        return self._keep(unit, known or tuple([token for piece in self.split(unit) for token in encode(piece.encode())]))
+
     def encode(self, text: str) -> list[int]:
-        get, make, out = self.units.get, self._unit, []
-        for unit in [text] if _OTHER_SPACE.search(text) else _UNIT.findall(text):
-            out += get(unit) or make(unit)
+        if self.quick and _PLAIN.fullmatch(text):
+            parts, make = self.quick(text), self._piece
+        else:
+            parts, make = [text] if _OTHER_SPACE.search(text) else _UNIT.findall(text), self._unit
+        get, out = self.units.get, []
+        for part in parts:
+            out += get(part) or make(part)
         return out
 
     def decode(self, ids: list[int]) -> str:
