@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import LOWER, Spans, buffers, mix, per_text, slices
+from paperloom.llm.words import LOWER, WORD_BYTE, Spans, buffers, mix, per_text, slices
 
 ORDER = 5
 #: Bytes that never occur in a normalised text: capitals and white space but the blank. One of the
@@ -36,23 +36,21 @@ FOLDS, HELD_FOLD = 5, 1
 def stream(spans: Spans) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text joined by a blank and closed by END, after ORDER times END; and where each
     text's scored bytes (the words, blanks and the closing END) start and stop."""
-    lengths = spans.ends - spans.starts + 1
-    words = spans.counts
-    empty = words == 0
-    # one place for the END of a text without words
-    own = per_text(lengths, spans.first) + empty
+    size = per_text(spans.ends - spans.starts + 1, spans.first)
+    own = np.maximum(size, 1)  # one place for the END of a text without words
     stops = np.cumsum(own + ORDER)
     starts = stops - own
+    # the bytes of words, and the first byte after each word as its blank
+    inside = WORD_BYTE[spans.data]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    heads = spans.off[1:-1][spans.off[1:-1] < len(keep)]
+    keep[heads] = inside[heads]
+    values = np.where(inside, spans.data, np.uint8(32))[keep]
+    places = np.concatenate([[0], np.cumsum(keep)])[spans.off[:-1]]
     out = np.full(int(stops[-1]) if len(stops) else 0, END, np.uint8)
-    before = np.cumsum(lengths) - lengths
-    text = spans.owner()
-    to = before - (before[spans.first[:-1][text]] if len(text) else 0) + starts[text]
-    index = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-    source = index + np.repeat(spans.starts, lengths)
-    values = np.concatenate([spans.data, [32]])[np.minimum(source, len(spans.data))]
-    values[index == np.repeat(lengths - 1, lengths)] = 32
-    out[index + np.repeat(to, lengths)] = values
-    out[stops - 1] = END
+    for start, stop, place in zip(starts.tolist(), stops.tolist(), places.tolist(), strict=True):
+        out[start : stop - 1] = values[place : place + stop - 1 - start]
     return out, np.stack([starts, stops])
 
 
@@ -149,9 +147,13 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = _words(part.column("text"))
             size += len(spans.data)
             data, bounds = stream(spans)
-            codes, ends = scored(data, bounds)
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            pairs += np.bincount((codes & np.uint64(0xFFFF)).astype(np.int64), np.repeat(train, np.diff(ends)), minlength=1 << 16).astype(np.int64)
+            # +1 where a training text's scored bytes start, -1 behind them
+            steps = np.zeros(len(data) + 1, np.int8)
+            steps[bounds[0][train]] += 1
+            steps[bounds[1][train]] -= 1
+            both = (data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]
+            pairs += np.bincount(both[np.cumsum(steps[1:-1], dtype=np.int8) > 0], minlength=1 << 16)
             tokens += int((spans.counts + 1)[train].sum())
     found = np.flatnonzero(pairs)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], found])), pa.array(np.concatenate([[size, tokens], pairs[found]]))], names=["code", "n"])
@@ -163,7 +165,7 @@ class Dictionary:
 
     def __init__(self, docs: pa.Table, fragments: int, counting: bool):
         found: tuple[list, list] = ([], [])
-        amounts: tuple[list, list] = ([], [])
+        trained: tuple[list, list] = ([], [])
         self.parts = []
         for batch in docs.to_batches():
             for part in slices(batch):
@@ -173,29 +175,49 @@ class Dictionary:
                 places = []
                 for kind, (values, owners) in enumerate(((codes, np.diff(ends)), (spans.hashes(), spans.counts))):
                     if counting:
-                        own = np.unique(values)
-                        seen, n = np.unique(values[np.repeat(train, owners)], return_counts=True)
-                        counts = np.zeros(len(own), np.int64)
-                        counts[np.searchsorted(own, seen)] = n
-                        amounts[kind].append(counts)
+                        found[kind].append(values)
+                        trained[kind].append(np.repeat(train, owners))
                     else:
                         own, inverse = np.unique(values, return_inverse=True)
                         places.append((own, inverse.astype(np.int32)))
-                    found[kind].append(own)
+                        found[kind].append(own)
                 if not counting:
                     self.parts.append((part.column("doc_id"), part.column("held_out"), ends, spans.first, places))
         self.keys, self.counts, self.order, self.ends = [], [], [], []
         for kind in (0, 1):
             every = np.concatenate([*found[kind], np.zeros(0, np.uint64)])
-            keys = np.unique(every)
-            self.keys.append(keys)
+            found[kind].clear()
             if counting:
-                self.counts.append(np.bincount(np.searchsorted(keys, every), np.concatenate([*amounts[kind], np.zeros(0, np.int64)]), minlength=len(keys)).astype(np.int64))
+                keys, counts = _tallied(every, np.concatenate([*trained[kind], np.zeros(0, bool)]), kind)
+                self.counts.append(counts)
+            else:
+                keys = np.unique(every)
+            self.keys.append(keys)
             fragment = fragment_of(keys, kind, fragments)
-            self.order.append(np.argsort(fragment, kind="stable"))
+            # short numbers are sorted by counting
+            self.order.append(np.argsort(fragment.astype(np.uint16) if fragments <= 1 << 16 else fragment, kind="stable"))
             self.ends.append(np.concatenate([[0], np.cumsum(np.bincount(fragment, minlength=fragments))]))
 
 
+def _tallied(values: np.ndarray, train: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs in training texts; ``values`` is used up.
+    Grams leave a bit free, which carries the flag through a single sort."""
+    if kind == 1:
+        keys = np.unique(values)
+        seen, n = np.unique(values[train], return_counts=True)
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, seen)] = n
+        return keys, counts
+    values <<= np.uint64(1)
+    values |= train
+    values.sort()
+    train = (values & np.uint64(1)).astype(bool)
+    values >>= np.uint64(1)
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    sums = np.concatenate([[0], np.cumsum(train)])
+    return values[heads], np.diff(sums[np.append(heads, len(values))])
+
+
 def fragment_of(keys: np.ndarray, kind: int, fragments: int) -> np.ndarray:
     """Grams go by the last two bytes of their context, words by their hash."""
     place = mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) if kind == 0 else keys
