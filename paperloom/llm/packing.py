@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ END_ID = 2
 #: Open windows a task may hold, each with at most ``window`` ids.
 OPEN_WINDOWS = 1024
 #: Distinct words whose ids a worker remembers, and the longest word remembered.
-WORDS_KEPT = 350_000
+WORDS_KEPT = 600_000
 LONGEST_KEPT = 48
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -61,7 +62,10 @@ class WordEncoder:
             self.known, self.older = {}, self.known
         known, older, long = self.known, self.older, {}
         rest = []
-        for word in set().union(*split).difference(known):
+        fresh: set[bytes] = set()
+        for words in split:
+            fresh.update(filterfalse(known.__contains__, words))
+        for word in fresh:
             ids = older.get(word)
             if ids is None and self.plain:
                 if word.isalpha() and word.islower():
