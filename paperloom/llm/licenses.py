@@ -109,7 +109,7 @@ TEMPLATES = (
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c == 10 else 32) for c in range(256))
 
-SCHEMA = "doc_id bigint, n_found bigint, license string, dice double, matches array<struct<license: string, dice: double, first_line: bigint, last_line: bigint>>"
+SCHEMA = "doc_id bigint, n_found bigint, license string, dice double, matches array<struct<license: string, dice: double, first_line: bigint, last_line: bigint, shared: bigint>>"
 
 
 def normalise(text: str) -> bytes:
@@ -182,7 +182,8 @@ class Scanner:
             high = taken[place][0] - 1 if place < len(taken) else len(known)
             start, end = spans.widened(start, end, low, high, hits[i])
             taken.insert(place, (start, end))
-            out.append((start, {"license": name, "dice": -dice, "first_line": int(line[start]), "last_line": int(line[end + 1])}))
+            shared = len(np.unique(known[start : end + 1][hits[i][start : end + 1]]))
+            out.append((start, {"license": name, "dice": -dice, "first_line": int(line[start]), "last_line": int(line[end + 1]), "shared": shared}))
         return [match for _, match in sorted(out, key=lambda m: m[0])]
 
 
@@ -227,20 +228,30 @@ class _Spans:
         return start, end
 
 
+#: Templates that reserve rights and license nothing: such a match counts if there is no other.
+NOTICES = ("Proprietary",)
+
+
+def leading(matches: list[dict]) -> dict:
+    """The match that names the license of a text: the one with most bigrams of its template, then the
+    highest coefficient, the first among equals; a bare notice only without any other."""
+    return max(matches, key=lambda m: (m["license"] not in NOTICES, m["shared"], m["dice"]))
+
+
 def scan(documents: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``documents`` (columns doc_id and text; others are ignored): the number
-    of matched spans, the best license with its coefficient (the first span among equals), and all
-    matches with their lines, from 0. Without a match, or for a null or empty text, n_found is 0 and
+    of matched spans, the leading license (see ``leading``) with its coefficient, and all matches with
+    their lines, from 0, and the number of bigrams they share with the template. Without a match, or for a null or empty text, n_found is 0 and
     license null. Equal rows get equal results; a null doc_id is passed on; no rows give none."""
     sent = documents.sparkSession.sparkContext.broadcast((templates, threshold))  # a fixed list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*sent.value)
-        kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int64()), ("last_line", pa.int64())]))
+        kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int64()), ("last_line", pa.int64()), ("shared", pa.int64())]))
         for batch in batches:
             for part in slices(batch):
                 found = [scanner.scan(t) for t in part.column("text").to_pylist()]
-                best = [max(f, key=lambda m: m["dice"]) if f else {"license": None, "dice": None} for f in found]
+                best = [leading(f) if f else {"license": None, "dice": None} for f in found]
                 columns = [pa.array([len(f) for f in found], pa.int64()), pa.array([b["license"] for b in best], pa.string()), pa.array([b["dice"] for b in best], pa.float64()), pa.array(found, kind)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_found", "license", "dice", "matches"])
 
