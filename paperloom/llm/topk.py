@@ -30,17 +30,18 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed as (ids, lengths, values) of at most ``size`` vectors, in 64-bit binaries."""
+    """Rows packed as (ids, hashes of weights, lengths, values) of at most ``size`` vectors, in 64-bit
+    binaries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, size):
                 part = batch.slice(start, size)
                 weights = part.column("weights")
-                packed = [part.column("vec_id").to_numpy(), pa.compute.list_value_length(weights).to_numpy().astype(np.int64), weights.flatten().to_numpy()]
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in packed], names=["ids", "sizes", "values"])
+                packed = [part.column("vec_id").to_numpy(), part.column("mark").to_numpy(), pa.compute.list_value_length(weights).to_numpy().astype(np.int64), weights.flatten().to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in packed], names=["ids", "marks", "sizes", "values"])
 
-    return rows.select("vec_id", "weights").mapInArrow(run, "ids binary, sizes binary, values binary")
+    return rows.select("vec_id", F.xxhash64("weights").alias("mark"), "weights").mapInArrow(run, "ids binary, marks binary, sizes binary, values binary")
 
 
 def _matrix(ids: bytes, sizes: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +71,10 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def select(query_ids: np.ndarray, candidate_ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best rows (query, candidate, score) of each query, ties to the smaller id; rows with
-    the query's own id are no candidates."""
+    """The k best rows (place of the query, candidate, score) of each query, ties to the smaller id;
+    rows with the query's own id are no candidates."""
     out = []
-    for query, row in zip(query_ids, scores, strict=True):
+    for place_of, (query, row) in enumerate(zip(query_ids, scores, strict=True)):
         ids, own = candidate_ids, row
         if len(row) > 4 * k + 16:
             # all that reach the k-th score, counting the query's own rows on top
@@ -83,7 +84,7 @@ def select(query_ids: np.ndarray, candidate_ids: np.ndarray, scores: np.ndarray,
         others = ids != query
         ids, own = ids[others], own[others]
         best = np.lexsort((ids, -own))[:k]
-        out += [(int(query), int(ids[i]), int(own[i])) for i in best]
+        out += [(place_of, int(ids[i]), int(own[i])) for i in best]
     return out
 
 
@@ -92,13 +93,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     rank (from 1), vec_id, score. Both inputs have vec_id and weights as ``usable`` gives them; other
     columns are ignored. Vectors of other lengths count as filled up with zeros. Ties go to the
     smaller vec_id; rows of the query's own id are left out; repeated rows of an id are one vector
-    each and may each be found. Fewer candidates give fewer rows, none give none. Queries are met in
+    each and may each be found; query rows of one id are one query for each different vector, equal ones
+    are one. Products too large for 64-bit sums raise an OverflowError. Fewer candidates give fewer rows, none give none. Queries are met in
     blocks, so only packed blocks are repeated, once for each block group of candidates."""
     spark = vectors.sparkSession
+    queries = queries.dropDuplicates(["vec_id", "weights"])
+    limits = [rows.agg(F.max(F.size("weights")), F.max(F.array_max(F.transform("weights", lambda w: F.abs(w.cast("double")))))).first() for rows in (vectors, queries)]
+    terms = min(size or 0 for size, _ in limits)
+    if terms * (limits[0][1] or 0.0) * (limits[1][1] or 0.0) >= 2**62:
+        raise OverflowError("the components are too large for 64-bit inner products")
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     candidates = _blocks(vectors, CANDIDATE_ROWS).select("*", F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("place"))
-    asked = _blocks(queries, QUERY_ROWS).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("place"), F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("values").alias("q_values"))
-    met = candidates.join(asked, "place").select("q_ids", "q_sizes", "q_values", "ids", "sizes", "values")
+    asked = _blocks(queries, QUERY_ROWS).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("place"), F.col("ids").alias("q_ids"), F.col("marks").alias("q_marks"), F.col("sizes").alias("q_sizes"), F.col("values").alias("q_values"))
+    met = candidates.join(asked, "place").select("q_ids", "q_marks", "q_sizes", "q_values", "ids", "sizes", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +113,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 q_ids, q = _matrix(row["q_ids"], row["q_sizes"], row["q_values"])
                 ids, table = _matrix(row["ids"], row["sizes"], row["values"])
                 found = select(q_ids, ids, accumulate(q, table), k)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+                marks = np.frombuffer(row["q_marks"], np.int64)
+                columns = [[int(q_ids[r[0]]) for r in found], [int(marks[r[0]]) for r in found], [r[1] for r in found], [r[2] for r in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "mark", "vec_id", "score"])
 
     # the rank limit is applied in each task before the shuffle, so a query moves k rows a task
-    winners = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    winners = met.mapInArrow(run, "query_id bigint, mark bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
     return winners.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
