@@ -146,7 +146,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_
     """Fit on at most ``sample_per_class`` labelled rows of each class, the ones with the
     smallest hash of doc_id; three of four train, the fourth calibrates. Labels other than 0
     and 1, null ids, and labels without a document are ignored; of two labels of one id the
-    smaller counts. Only sparse features of the sample reach the driver."""
+    smaller counts, of several texts of one id the one with the least hash. Only sparse features of the sample reach the driver."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -156,8 +156,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_
     picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample_per_class) for q in (0, 1)]
     # at most 2 * sample_per_class rows of two numbers
     sample = F.broadcast(picked[0].union(picked[1]))
-    texts = documents.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(_sparse, "doc_id bigint, quality int, places binary, shares binary").collect()
+    # of several texts of one id the one with the least hash
+    texts = documents.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    rows = texts.select("doc_id", "quality", "t.text").mapInArrow(_sparse, "doc_id bigint, quality int, places binary, shares binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return _train(rows, shares, threshold)
 
