@@ -285,17 +285,19 @@ def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     columns: the row of the smallest doc_id, null ids last, and of the rows of that id the one whose
     text has the least hash. Of rows with equal id and text any one stays; rows without words all stay."""
     scratch = Scratch(documents.sparkSession)
+    # the whole row is one column, so that its names cannot clash with those used here
+    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), documents["doc_id"].cast("bigint").alias("doc"), F.xxhash64(documents["text"]).alias("version"))
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
-    found = _members(documents, words, percent).where("n_shingles > 0").select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), first.alias("first"))
+    found = _members(documents, words, percent).where("n_shingles > 0").select(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version"), first.alias("first"))
     # rows of equal id and text are in one component
-    found = scratch.write(found.groupBy("__doc", "__version").agg(F.first("first").alias("first"), F.count("*").alias("rows")), "found")
-    out, repeated = found.where("not first").select("__doc", "__version"), found.where("first and rows > 1").select("__doc", "__version")
-    same = documents["doc_id"].cast("bigint").eqNullSafe(F.col("__doc")) & (F.xxhash64(documents["text"]) == F.col("__version"))
+    found = scratch.write(found.groupBy("of_doc", "of_version").agg(F.first("first").alias("first"), F.count("*").alias("rows")), "found")
+    same = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
+    back = [F.col("row").getField(c).alias(c) for c in documents.columns]
+    repeated = found.where("first and rows > 1").select("of_doc", "of_version")
     if repeated.isEmpty():
-        return documents.join(out, same, "left_anti")
+        return rows.join(found.where("not first").select("of_doc", "of_version"), same, "left_anti").select(*back)
     # repeated rows are told apart by a number, which is fixed once they are written
-    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")
-    numbered = scratch.write(documents.join(repeated, same).select(row, "__doc", "__version", F.monotonically_increasing_id().alias("__row")), "repeated")
-    chosen = numbered.groupBy("__doc", "__version").agg(F.min("__row").alias("__row")).select("__row")
-    one = numbered.join(chosen, "__row", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
-    return documents.join(found.where("not first or rows > 1").select("__doc", "__version"), same, "left_anti").unionByName(one)
+    numbered = scratch.write(rows.join(repeated, same).select("row", "of_doc", "of_version", F.monotonically_increasing_id().alias("number")), "repeated")
+    chosen = numbered.groupBy("of_doc", "of_version").agg(F.min("number").alias("number")).select("number")
+    one = numbered.join(chosen, "number", "left_semi").select(*back)
+    return rows.join(found.where("not first or rows > 1").select("of_doc", "of_version"), same, "left_anti").select(*back).unionByName(one)
