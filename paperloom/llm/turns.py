@@ -311,6 +311,8 @@ def repair(turns: DataFrame) -> Repair:
     chains = scratch.write(_each(chained, schema, names, _chains), "chains")
 
     known = runs.select("conv", "run", "start", "codes").join(chains.select("conv", "run", "ends", "last", "runs"), ["conv", "run"])
+    # codes are small and the work on them is not, so they are dealt out whatever their size
+    known = known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "run")
     names = ["conv", "run", "start", "runs", "exits", "paths"]
     schema = "conv string, run bigint, start bigint, runs int, exits array<int>, paths array<struct<word: string, seats: string, rows: array<int>>>"
     solved = scratch.write(_each(known, schema, names, _solved, "codes"), "solved")
