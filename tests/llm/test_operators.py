@@ -462,3 +462,41 @@ def test_line_dedup(docs, none, corpus):
     found = lines.remove_repeats(docs).collect()
     assert sorted(((str(r["doc_id"]), r["lines"]["n_lines"], r["lines"]["n_removed"], r["text"]) for r in found), key=str) == brute_lines(corpus)
     assert lines.remove_repeats(none).count() == 0
+
+
+def test_a_rights_notice_does_not_hide_the_license(spark):
+    bsd = "Copyright (c) 2020, Ann. All rights reserved.\n\n" + BSD_TEXT % "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    rows = [(1, bsd), (2, "Copyright Ann. All rights reserved.\n\n" + MIT_TEXT), (3, "All rights reserved."), (4, "Released under the MIT License.\nAll rights reserved.")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1].startswith("BSD-") and (got[2], got[3], got[4]) == ("MIT", "Proprietary", "MIT")
+
+
+def test_topk_of_repeated_queries_and_huge_components(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [2.0, 5.0])], "vec_id bigint, embedding array<float>")
+    vectors = topk.usable(frame)
+    got = sorted(tuple(r) for r in topk.search(vectors, vectors.where("vec_id = 0"), 5).collect())
+    one, two = 256 * 256, 2 * 256 * 256
+    assert got == sorted([(0, 1, 1, 3 * one), (0, 2, 2, two), (0, 1, 2, 5 * one), (0, 2, 1, one)])
+    with pytest.raises(OverflowError):
+        huge = topk.usable(spark.createDataFrame([(0, [1e30]), (50, [1e30])], "vec_id bigint, embedding array<float>"))
+        topk.search(huge, huge, 5)
+
+
+def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 30, 60 if i % 2 else 400)) for i in range(60)] + [(i, sentence(rng, 30)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    models = []
+    for order in (rows, rows[::-1]):
+        models.append(quality.fit(spark.createDataFrame(order, "doc_id bigint, text string").repartition(3), labels))
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].slope == models[1].slope
+
+
+def test_keep_one_with_the_names_it_uses_itself(spark):
+    text = "one two three four five six seven"
+    schema = "doc_id bigint, text string, row int, version string, of_doc int, of_version int, number int, first int, rows int, doc int, __doc int, __version int"
+    frame = spark.createDataFrame([(k, text, *[k] * 1, "v", *[k] * 8) for k in (3, 1, 1, 2)], schema)
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns and [r["doc_id"] for r in kept.collect()] == [1]
