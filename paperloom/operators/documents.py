@@ -697,3 +697,14 @@ def project_name_issues(names: DataFrame) -> DataFrame:
         )
     )
     return names.select("project", F.explode(problems).alias("problem"))
+
+
+def validate_projects(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The whole gate: issues of the first failing stage of each project that has documents, with ``stage``
+    0 for its name and 1 to 3 as ``validate_documents`` has them. A project whose name is refused is not
+    looked into."""
+    names = docs.select("project").distinct()
+    refused = project_name_issues(names)
+    rows = _emit(refused.withColumn("rel_path", F.lit("")), F.array(_issue("project name", F.col("problem")))).withColumn("stage", F.lit(0))
+    kept = docs.join(refused.select("project").distinct(), "project", "left_anti")
+    return rows.unionByName(validate_documents(kept, artifacts))

@@ -537,6 +537,10 @@ staged(project, stage, rel_path, rule, detail) AS (
   UNION ALL SELECT project, 2, '{d.VISION}', 'goal conflict', excluded FROM ({_GOALS})
   UNION ALL SELECT project, 3, rel_path, 'artifact not mentioned', '' FROM ({_ARTIFACTS}))
 SELECT * FROM staged WHERE (project, stage) IN (SELECT project, min(stage) FROM staged GROUP BY project)"""
+_NAMED_WELL = "(SELECT * FROM fx_gate WHERE instr(project, ' ') = 0)"
+ORACLES["f23_validate_projects"] = f"""
+SELECT * FROM ({ORACLES["f23_validate_documents"].replace("fx_docs", _NAMED_WELL)}) WHERE project IN (SELECT project FROM {_NAMED_WELL})
+UNION ALL SELECT DISTINCT project, 0, '', 'project name', 'spaces' FROM fx_gate WHERE instr(project, ' ') > 0"""
 ORACLES["f24_project_name_issues"] = """
 SELECT project, 'empty' AS problem FROM fx_names WHERE trim(project) = ''
 UNION ALL SELECT project, 'forbidden characters' FROM fx_names WHERE regexp_matches(project, '[/\\\\:*?"<>|]')

@@ -557,6 +557,12 @@ def f23_validate_documents(v):
     )
 
 
+@query
+def f23_validate_projects(v):
+    """The gate on documents that reach its later stages, names first."""
+    return documents.validate_projects(v("fx_gate"), v("fx_artifacts")).select("project", "stage", "rel_path", "rule", "detail")
+
+
 @query
 def f24_project_name_issues(v):
     return documents.project_name_issues(v("fx_names"))

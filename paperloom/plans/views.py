@@ -316,6 +316,14 @@ SELECT 'proj' || CAST(s_suppkey AS STRING), '2_PRODUCT_SPEC/SPEC.md',
 FROM supplier
 """
 
+# The same documents with the heading that is also a banned word, and stops nearly all of them, in a code
+# block, and some projects with a refused name.
+VIEWS["fx_gate"] = f"""
+SELECT CASE WHEN CAST(substr(project, 5) AS INT) % 29 = 3 THEN replace(project, 'proj', 'my proj') ELSE project END AS project, rel_path,
+  replace(content, '## Quick links', {TICKS} || {NL} || '## Quick links' || {NL} || {TICKS}) AS content
+FROM ({VIEWS["fx_docs"]}) g
+"""
+
 VIEWS["fx_artifacts"] = """
 SELECT DISTINCT 'proj' || CAST(l_suppkey AS STRING) AS project, '3_ARTIFACTS/part' || CAST(l_partkey % 150 AS STRING) || '.png' AS rel_path
 FROM lineitem
@@ -541,6 +549,7 @@ TABLES = {
     "fx_prompts": ["customer", "nation"],
     "fx_project_prompts": ["documents", "nation"],
     "fx_docs": ["supplier"],
+    "fx_gate": ["supplier"],
     "fx_artifacts": ["lineitem"],
     "fx_runbooks": ["supplier"],
     "fx_blueprints": ["supplier"],
