@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, WORD, literal_array, normalize, quote, split_lines, trim_space, unix_lines
 
+# Fixed value: the line between the head and the body of a table.
 TABLE_RULE = r"^\s*\|[-: |]+\|\s*$"
 
 # Words that carry no topic.

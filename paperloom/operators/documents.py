@@ -69,6 +69,7 @@ ENTITY_HEADERS = ("Entity", "Сущность")
 TERM_HEADERS = ("Term", "Термин")
 TEST_SUBSECTIONS = ("**Critical scenarios**", "**Business rules**", "**Negative scenarios**")
 
+# Fixed value: bracketed text that is not a link.
 PLACEHOLDER = r"\[[^\]]+\](?!\()"
 
 # Banned words and phrases, in the order they are looked for.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.globs import directory_prefixes
-from ..functions.text import extension, let, parent_dir, split_lines, trim_space
+from ..functions.text import extension, let, parent_dir, trim_space
 
 # Statuses, the severity marks and the types of baseline entries.
 STATUSES = ("PASS", "FAIL", "ACCEPTED", "UNVERIFIED")

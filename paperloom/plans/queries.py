@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions import segments
 from ..functions.text import byte_length, normalize
 from ..operators import chains, cleaning, clones, contracts, documents, findings, graphs, imports, packing, scans, selection, tokens
 from ..sources import files as sources
