@@ -158,38 +158,54 @@ def fit(documents: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_
     sample = F.broadcast(picked[0].union(picked[1]))
     # of several texts of one id the one with the least hash
     texts = documents.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
-    rows = texts.select("doc_id", "quality", "t.text").mapInArrow(_sparse, "doc_id bigint, quality int, places binary, shares binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return _train(rows, shares, threshold)
+    rows = texts.select("doc_id", "quality", "t.text").mapInArrow(_sparse, "doc_id bigint, quality int, places binary, shares binary").toArrow()
+    return _train(rows.sort_by("doc_id"), shares, threshold)
 
 
-def _train(rows: list, shares: dict[int, int], threshold: float, rounds: int = 120) -> Model:
+#: Features of the sample that one step of a round takes at once; more only cost memory.
+STEP_FEATURES = 1 << 18
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers of all values of a binary column, one after the other."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(value.as_buffer(), kind) for chunk in column.chunks for value in chunk)], dtype=kind)
+
+
+def _train(rows: pa.Table, shares: dict[int, int], threshold: float, rounds: int = 120) -> Model:
     """Full-batch logistic regression with adaptive steps, then Platt's line on the fourth fold."""
     size = (GROUPS + 1) << BITS
-    y = np.array([r["quality"] for r in rows], float)
-    fold = np.arange(len(rows)) % 4
+    y = rows.column("quality").to_numpy().astype(float)
+    fold = np.arange(len(y)) % 4
     held = fold == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(rows), bool)
-    counts = np.array([len(r["places"]) // 4 for r in rows])
-    cols = np.frombuffer(b"".join(bytes(r["places"]) for r in rows), np.int32)
-    vals = np.frombuffer(b"".join(bytes(r["shares"]) for r in rows), np.float32).astype(float)
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    owner = np.repeat(np.arange(len(rows)), counts)
+        held = np.zeros(len(y), bool)
+    cols, vals = _joined(rows.column("places"), np.int32), _joined(rows.column("shares"), np.float32)
+    ends = np.concatenate([[0], np.cumsum([len(value.as_buffer()) // 4 for chunk in rows.column("places").chunks for value in chunk])]).astype(np.int64)
+    # runs of rows of about STEP_FEATURES features: no array but the sample itself is as long as the sample
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP_FEATURES, ends[-1], STEP_FEATURES)), [len(y)]]))
+    parts = [(slice(a, b), slice(ends[a], ends[b]), ends[a : b + 1] - ends[a]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     # a feature's share is scaled by its spread, so rare and common n-grams move alike
-    spread = np.sqrt(np.bincount(cols, vals * vals, minlength=size) / max(1, len(rows))) + 1e-4
-    vals = vals / spread[cols]
+    spread = np.zeros(size)
+    for _, at, _ in parts:
+        spread += np.bincount(cols[at], vals[at].astype(float) ** 2, minlength=size)
+    spread = np.sqrt(spread / max(1, len(y))) + 1e-4
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     w, bias, first, second = np.zeros(size), 0.0, np.zeros(size), np.zeros(size)
+    z = np.zeros(len(y))
     for step in range(1, rounds + 1):
-        z = per_text(vals * w[cols], ends) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
-        grad = np.bincount(cols, vals * error[owner], minlength=size) + 1e-4 * w
+        scaled, grad, moved = w / spread, np.zeros(size), 0.0
+        for own, at, off in parts:
+            z[own] = per_text(vals[at] * scaled[cols[at]], off) + bias
+            error = (1 / (1 + np.exp(-np.clip(z[own], -60, 60))) - y[own]) * weight[own]
+            grad += np.bincount(cols[at], vals[at] * np.repeat(error, np.diff(off)), minlength=size)
+            moved += error.sum()
+        grad = grad / spread + 1e-4 * w
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         w -= 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-        bias -= 0.1 * error.sum()
-    z = per_text(vals * w[cols], ends) + bias
+        bias -= 0.1 * moved
+    for own, at, off in parts:
+        z[own] = per_text(vals[at] * (w / spread)[cols[at]], off) + bias
     slope, shift = _platt(z[held], y[held], shares) if held.any() else (1.0, 0.0)
     table = (w / spread).reshape(GROUPS + 1, 1 << BITS).astype(np.float32)
     table[GROUPS, 0] = bias

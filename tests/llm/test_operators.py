@@ -500,3 +500,21 @@ def test_keep_one_with_the_names_it_uses_itself(spark):
     frame = spark.createDataFrame([(k, text, *[k] * 1, "v", *[k] * 8) for k in (3, 1, 1, 2)], schema)
     kept = jaccard.keep_one(frame)
     assert kept.columns == frame.columns and [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_the_fit_holds_little_more_than_its_sample():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    count, features = 512, 4000
+    places = [rng.integers(0, quality.GROUPS << quality.BITS, features).astype(np.int32).tobytes() for _ in range(count)]
+    given = [rng.random(features).astype(np.float32).tobytes() for _ in range(count)]
+    rows = pa.table({"doc_id": range(count), "quality": [k % 2 for k in range(count)], "places": places, "shares": given})
+    tracemalloc.start()
+    model = quality._train(rows, {0: count, 1: count}, 0.5, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any() and most < 4 * 8 * count * features
