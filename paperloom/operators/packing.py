@@ -48,7 +48,8 @@ def _pieces(files: DataFrame, chunk: Column, layout, tie) -> DataFrame:
     key = order_key(tie)
     ends = files.groupBy("project").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     last = key == F.col("_last")
-    return files.join(ends, "project").select(
+    ends = ends.withColumnRenamed("project", "_project")
+    return files.join(ends, F.col("project").eqNullSafe(F.col("_project"))).select(
         "project",
         "path",
         *tie,

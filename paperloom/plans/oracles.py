@@ -223,6 +223,14 @@ def _pieces(source: str, order: str, chunk: str = _XML, head: str = "'<files>' |
 FROM {source} WINDOW w AS (PARTITION BY project ORDER BY {order})"""
 
 
+def _whole(pieces: str, order: str) -> str:
+    """The pieces of each project put together in order, in parts of 4 MiB."""
+    return f"""SELECT project, part, min(start) AS start, count(*) AS pieces, coalesce(string_agg(text, '' ORDER BY {order}), '') AS text FROM (
+  SELECT *, start // 4194304 AS part FROM (
+    SELECT *, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY project ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM ({pieces}))) GROUP BY project, part"""
+
+
 _SEQ = _ORDER + ", seq"
 _PACKED = _pieces("fx_files", _SEQ)
 _PACKED_TEXT = _pieces("fx_files", _SEQ, "'// file: ' || path || chr(10) || content", "''", _GAP, "''")
@@ -231,10 +239,10 @@ _TREE_PACKED = f"(SELECT project, path, content FROM ({_TREE}) WHERE {_TREE_KEPT
 ORACLES["a00_pack_configured"] = f"SELECT project, path, text FROM ({_pieces(_TREE_PACKED, _ORDER)})"
 _TOTALS = f"""SELECT project, count(*) AS files,
   CAST(sum(strlen({_XML})) + (count(*) - 1) * 2 + 17 AS BIGINT) AS context_bytes FROM fx_files GROUP BY project"""
-ORACLES["d01_pack_xml"] = f"SELECT project, path, seq, text FROM ({_PACKED})"
+ORACLES["d01_pack_xml"] = _whole(_PACKED, _SEQ)
 ORACLES["d01_pack_xml_rows"] = f"SELECT project, path AS first_path, text FROM ({_PACKED})"
-ORACLES["d02_pack_text"] = f"SELECT project, path, seq, text FROM ({_PACKED_TEXT})"
-ORACLES["d03_file_list"] = f"SELECT project, path, seq, text FROM ({_LISTED})"
+ORACLES["d02_pack_text"] = _whole(_PACKED_TEXT, _SEQ)
+ORACLES["d03_file_list"] = _whole(_LISTED, _SEQ)
 _PROMPTS = f"""
 totals AS (SELECT *, CAST(round(context_bytes / 4) AS BIGINT) AS tokens FROM ({_TOTALS})),
 prompts AS (SELECT p.project, p.source, p.named, coalesce(t.content, CASE WHEN instr(source, chr(10)) > 0
@@ -253,7 +261,7 @@ SELECT project, CAST(i * 2 AS INT) AS slot, '' AS path, CAST(NULL AS BIGINT) AS
 UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), path, seq, FALSE, text FROM slots s JOIN ({_PACKED}) c ON c.project = s.project AND holder = 'context'
 UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), path, seq, FALSE, text FROM slots s JOIN ({_LISTED}) c ON c.project = s.project AND holder = 'fileList')"""
 _BY_CONFIG = f"WITH {_PROMPTS}, chosen AS (SELECT project, template FROM prompts WHERE template IS NOT NULL), {_FILLED}"
-ORACLES["d04_fill_template"] = f"{_BY_CONFIG} SELECT project, slot, path, seq, text FROM filled"
+ORACLES["d04_fill_template"] = f"{_BY_CONFIG} {_whole('SELECT * FROM filled', 'slot, ' + _SEQ)}"
 ORACLES["d04_fill_template_rows"] = f"{_BY_CONFIG} SELECT project, slot, path AS first_path, text FROM filled"
 ORACLES["d05_resolve_template"] = """
 SELECT id, source, coalesce(t.content, inline) AS template, coalesce(t.content, inline) IS NOT NULL AS found
@@ -274,7 +282,8 @@ chosen AS (SELECT project, t AS template FROM named WHERE NOT missing AND NOT ra
 output AS (SELECT *, CAST(NULL AS VARCHAR) AS error FROM filled
 UNION ALL SELECT project, 1, path, seq, last, text, NULL FROM ({_PACKED}) JOIN named USING (project) WHERE raw
 UNION ALL SELECT project, 0, '', NULL, TRUE, NULL, 'template not found: ' || named FROM named WHERE missing)"""
-ORACLES["d06_choose_output"] = f"{_OUTPUT} SELECT project, slot, path, seq, text, error FROM output"
+ORACLES["d06_choose_output"] = f"""{_OUTPUT} SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({_whole('SELECT * FROM output WHERE error IS NULL', 'slot, ' + _SEQ)})
+UNION ALL SELECT project, 0, 0, 0, NULL, error FROM output WHERE error IS NOT NULL"""
 ORACLES["d07_write_context"] = f"""
 SELECT project, path, seq, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY project ORDER BY {_SEQ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
   text || CASE WHEN last THEN chr(10) ELSE '' END AS text FROM ({_PACKED_TEXT})"""
@@ -283,7 +292,7 @@ SELECT project || '/context.xml' AS path, CAST(sum(strlen(text)) + 1 AS BIGINT)
 ORACLES["d08_pack_summary"] = f"""
 SELECT project, files, context_bytes, tokens, tokens / 1000000.0 * 5.0 AS usd, 'xml' AS format
 FROM (SELECT *, CAST(round(context_bytes / 4) AS BIGINT) AS tokens FROM ({_TOTALS}))"""
-ORACLES["d09_pack_clean"] = f"WITH {_stripped('SELECT * FROM fx_code')} SELECT project, path, text FROM ({_pieces('stripped', _ORDER)})"
+ORACLES["d09_pack_clean"] = f"WITH {_stripped('SELECT * FROM fx_code')} {_whole(_pieces('stripped', _ORDER), _ORDER)}"
 
 # E: import graph
 

@@ -258,12 +258,10 @@ def c03_token_estimate(v):
 # D: packing
 
 
-PIECE = ("project", "path", "seq", "text")
-
-
 @query
 def d01_pack_xml(v):
-    return packing.pack_xml(v("fx_files"), tie=("seq",)).select(*PIECE)
+    """The whole context of each project."""
+    return sources.assemble_context(packing.pack_xml(v("fx_files"), tie=("seq",)), tie=("seq",))
 
 
 @query
@@ -273,12 +271,12 @@ def d01_pack_xml_rows(v):
 
 @query
 def d02_pack_text(v):
-    return packing.pack_text(v("fx_files"), tie=("seq",)).select(*PIECE)
+    return sources.assemble_context(packing.pack_text(v("fx_files"), tie=("seq",)), tie=("seq",))
 
 
 @query
 def d03_file_list(v):
-    return packing.file_list(v("fx_files"), tie=("seq",)).select(*PIECE)
+    return sources.assemble_context(packing.file_list(v("fx_files"), tie=("seq",)), tie=("seq",))
 
 
 def _contexts(v):
@@ -296,7 +294,7 @@ def _filled(v):
 @query
 def d04_fill_template(v):
     """Contexts filled into the template their project configures."""
-    return _filled(v).select("slot", *PIECE)
+    return sources.assemble_context(_filled(v), tie=("seq",))
 
 
 @query
@@ -322,7 +320,11 @@ def _chosen(v):
 
 @query
 def d06_choose_output(v):
-    return _chosen(v).select("slot", *PIECE, "error")
+    """The whole output of each project, or why it has none."""
+    chosen = _chosen(v)
+    whole = sources.assemble_context(chosen.where("error IS NULL").drop("error"), tie=("seq",))
+    none = chosen.where("error IS NOT NULL").select("project", *[F.lit(0).cast("bigint").alias(c) for c in ("part", "start", "pieces")], "text", "error")
+    return whole.withColumn("error", F.lit(None).cast("string")).unionByName(none)
 
 
 @query
@@ -348,7 +350,7 @@ def d08_pack_summary(v):
 
 @query
 def d09_pack_clean(v):
-    return packing.pack(v("fx_code"), clean=True, keep_words=selection.DEFAULT_WHITELIST).select("project", "path", "text")
+    return sources.assemble_context(packing.pack(v("fx_code"), clean=True, keep_words=selection.DEFAULT_WHITELIST))
 
 
 # E: import graph

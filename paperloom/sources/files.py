@@ -143,19 +143,22 @@ def context_offsets(parts: DataFrame, order: list[str]) -> DataFrame:
 
     A running sum in two steps on keys and sizes alone: rows are dealt by ranges of their order, so a
     large project lies in many tasks; sums per task and project are small and give each task its base.
-    Text is moved only by the final join. ``order`` names columns that are unique within a project.
+    Text is moved only by the final join. ``order`` names columns that are unique within a project;
+    rows that share them begin at one place.
     """
     ensure_checkpoint_dir(parts.sparkSession)
     keys = [F.collate(F.col(c), "UNICODE") if c == "path" else F.col(c) for c in order]
     keys += [F.col(c) for c in order if c == "path"]
-    narrow = parts.select("project", *order, F.octet_length("text").cast("bigint").alias("bytes"))
+    narrow = parts.groupBy("project", *order).agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
     dealt = narrow.repartitionByRange("project", *keys).sortWithinPartitions("project", *keys)
     dealt = dealt.withColumn("task", F.spark_partition_id()).checkpoint()
     by_task = Window.partitionBy("project").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("project", "task").agg(F.sum("bytes").alias("sum"))
     bases = bases.select("project", "task", F.coalesce(F.sum("sum").over(by_task), F.lit(0)).alias("base"))
     within = Window.partitionBy("project", "task").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("inside", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(bases, ["project", "task"])
+    bases = bases.select(F.col("project").alias("of"), F.col("task").alias("in"), "base")
+    here = F.col("project").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in"))
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(bases, here)
     placed = placed.select(F.col("project").alias("_project"), *[F.col(c).alias(f"_{c}") for c in order], (F.col("base") + F.col("inside")).alias("start"))
     same = F.col("project").eqNullSafe(F.col("_project"))
     for c in order:
@@ -163,6 +166,27 @@ def context_offsets(parts: DataFrame, order: list[str]) -> DataFrame:
     return parts.join(placed, same).drop("_project", *[f"_{c}" for c in order])
 
 
+#: Bytes of a context from which on it goes on in the next row.
+PART_BYTES = 4 << 20
+
+
+def assemble_context(parts: DataFrame, tie=(), part_bytes: int = PART_BYTES) -> DataFrame:
+    """``project, part, start, pieces, text``: the pieces of each project put together in their order.
+
+    ``parts`` is the result of a pack, a filled template or a chosen output. A context of at most
+    ``part_bytes`` is one row with its whole text. Part k of a longer one has the pieces that begin in
+    the k-th run of ``part_bytes`` bytes, ``start`` is the byte at which it begins: the parts of a project,
+    in order, are the context without a gap, and no task holds more of it than a part and a piece.
+    """
+    order = [*(["slot"] if "slot" in parts.columns else []), "path", *tie]
+    keys = [k for c in order for k in ([F.collate(F.col(c), "UNICODE"), F.col(c)] if c == "path" else [F.col(c)])]
+    placed = context_offsets(parts, order).select("project", "start", F.struct("start", *[k.alias(f"k{i}") for i, k in enumerate(keys)], "text").alias("piece"))
+    grouped = placed.groupBy("project", F.floor(F.col("start") / part_bytes).alias("part")).agg(
+        F.min("start").alias("start"), F.count(F.lit(1)).alias("pieces"), F.sort_array(F.collect_list("piece")).alias("all")
+    )
+    return grouped.select("project", "part", "start", "pieces", F.array_join("all.text", "").alias("text"))
+
+
 def write_context(parts: DataFrame, root: str, name: str = "context.txt", tie=(), **options) -> DataFrame:
     """Write each project's context, and a line end, to ``root/project/name``; returns what was written.
 

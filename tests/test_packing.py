@@ -128,3 +128,33 @@ def test_packing_cleaned_files_leaves_the_sources(frame):
     files = frame(SCHEMA, ("p", "a.ts", "a // x"))
     assert context(packing.pack_text(files, clean=True)) == "// file: a.ts\na "
     assert files.collect()[0]["content"] == "a // x"
+
+
+def test_a_context_is_put_together_whole(files):
+    from paperloom.sources.files import assemble_context
+
+    assert [tuple(r) for r in assemble_context(packing.pack_xml(files)).collect()] == [("p", 0, 0, 2, XML)]
+    assert [r["text"] for r in assemble_context(packing.file_list(files)).collect()] == ["a.ts\nb.ts"]
+
+
+def test_a_long_context_goes_on_in_the_next_part(frame):
+    from paperloom.sources.files import assemble_context
+
+    names = ["b", "C", "a", "é", "_d", "e f"]
+    rows = [(project, name, name * 9) for project in ("p", None) for name in names] + [("q", "x", ""), ("p", "e f", "again")]
+    packed = packing.pack_text(frame(SCHEMA, *rows, *[("p", f"n{k}", str(k)) for k in range(30)]))
+    whole = {r["project"]: r["text"] for r in assemble_context(packed).collect()}
+    assert set(whole) == {"p", None, "q"} and whole["q"] == "// file: x\n"
+    assert whole[None].startswith("// file: _d") and all(f"// file: {name}\n{name * 9}" in whole[None] for name in names)
+    parts = sorted(assemble_context(packed, part_bytes=40).where("project = 'p'").collect(), key=lambda r: r["part"])
+    assert len(parts) > 5 and "".join(r["text"] for r in parts) == whole["p"] and sum(r["pieces"] for r in parts) == 37
+    assert all(r["start"] // 40 == r["part"] for r in parts)
+
+
+def test_the_packing_queries_give_whole_contexts(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    bytes_of = {r["project"]: r["context_bytes"] for r in entry.queries()["d08_pack_summary"](spark, sf_dir).collect()}
+    packed = entry.queries()["d01_pack_xml"](spark, sf_dir).collect()
+    assert len(packed) == len(bytes_of)
+    assert all(len(r["text"].encode()) == bytes_of[r["project"]] and r["text"].endswith("</files>") for r in packed)
