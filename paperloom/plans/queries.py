@@ -234,7 +234,7 @@ def _written(v, write):
     root = sink.new_folder(v.spark)
     write(_cleaned_corpus(v), root)
     place = F.split("path", "/", 2)
-    return sources.scan_files(v.spark, root).select(place[0].alias("project"), place[1].alias("path"), F.col("content").cast("string").alias("content"))
+    return sources.scan_files(v.spark, root, in_tasks=True).select(place[0].alias("project"), place[1].alias("path"), F.col("content").cast("string").alias("content"))
 
 
 # C: tokens
@@ -340,7 +340,7 @@ def d07_context_files(v):
     """Files the sink makes of the chosen outputs, templates included, and their sizes."""
     root = sink.new_folder(v.spark)
     sources.write_context(_chosen(v), root, "context.xml", tie=("seq",))
-    return sources.scan_files(v.spark, root).select("path", "length")
+    return sources.scan_files(v.spark, root, in_tasks=True, content=False).select("path", "length")
 
 
 @query

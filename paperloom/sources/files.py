@@ -2,22 +2,121 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.packing import with_final_newline
 from ..session import ensure_checkpoint_dir
-from .sink import write_files
+from .sink import local_path, write_files
+
+
+#: Rows of a listing, and bytes of content, that a task holds at once.
+LISTED, LOADED = 8192, 16 << 20
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, glob: str | None = None, in_tasks: bool = False, content: bool = True) -> DataFrame:
     """``(path, length, modified, content)`` of the files below ``root``.
 
     Paths are relative. A filter on ``length`` reaches the scan, and content that is not
     selected is not read. Files that vanish or cannot be read are skipped. Like every Spark
     file scan this one leaves out empty files and names that start with a dot or an
     underscore; ``list_tree`` and ``read_tree`` have them.
+
+    Spark's scan lists all files on the driver and opens few in a task. With ``in_tasks``, for many
+    files on a mounted file system, tasks list the folders, level by level, and read the files: the
+    driver sees no listing and small files are rows, not tasks. Then filters come after the reading,
+    and ``content`` false leaves it out.
     """
+    if not in_tasks:
+        return _scan_by_spark(spark, root, glob)
+    if glob:
+        raise ValueError("a scan in tasks takes no name filter")
+    base = local_path(root)
+    ensure_checkpoint_dir(spark)
+    schema = "path string, length bigint, modified timestamp, is_dir boolean"
+    width = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([("",)], "path string").mapInArrow(_scan_below(base), schema).checkpoint()
+    found = level
+    while not level.where("is_dir").isEmpty():
+        level = level.where("is_dir").select("path").repartition(width).mapInArrow(_scan_below(base), schema).checkpoint()
+        found = found.unionByName(level)
+    files = found.where("NOT is_dir AND length > 0").drop("is_dir")
+    if not content:
+        return files
+    count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(width, count // (2 * LISTED), size // (8 * LOADED))
+    return files.repartition(tasks).mapInArrow(_load_below(base), "path string, length bigint, modified timestamp, content binary")
+
+
+def _scan_below(base: str):
+    """Task function: folders in, the files and folders in them out, but for hidden names."""
+
+    def run(batches):
+        names = ["path", "length", "modified", "is_dir"]
+        kinds = [pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.bool_()]
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = []
+                try:
+                    entries = os.scandir(os.path.join(base, folder))
+                except OSError:
+                    continue
+                with entries:
+                    for entry in entries:
+                        if entry.name.startswith((".", "_")) and not (entry.name.startswith("_") and "=" in entry.name):
+                            continue
+                        try:
+                            below, stat = entry.is_dir(), entry.stat()
+                        except OSError:
+                            continue
+                        if not below and not entry.is_file():
+                            continue
+                        rows.append((os.path.join(folder, entry.name), stat.st_size, stat.st_mtime_ns // 1000, below))
+                        if len(rows) == LISTED:
+                            yield table(rows)
+                            rows = []
+                if rows:
+                    yield table(rows)
+
+    return run
+
+
+def _load_below(base: str):
+    """Task function: adds the content of listed files, a bounded number of bytes at a time."""
+
+    def run(batches):
+        for batch in batches:
+            places, contents, size = [], [], 0
+
+            def table():
+                own = batch.take(pa.array(places, pa.int64()))
+                return pa.RecordBatch.from_arrays([*own.columns, pa.array(contents, pa.binary())], names=[*own.schema.names, "content"])
+
+            for place, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    with open(os.path.join(base, path), "rb") as handle:
+                        contents.append(handle.read())
+                except OSError:
+                    continue
+                places.append(place)
+                size += len(contents[-1])
+                if size >= LOADED:
+                    yield table()
+                    places, contents, size = [], [], 0
+            if places:
+                yield table()
+
+    return run
+
+
+def _scan_by_spark(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

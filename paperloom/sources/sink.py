@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
+from .stages import Stages
 
 FORMAT = "paperloom_files"
 #: Files a task keeps open at once.
@@ -148,11 +149,18 @@ def write_files(rows: DataFrame, root: str, merge: bool = False) -> None:
     whole = "start" not in rows.columns
     start = F.lit(0) if whole else F.col("start")
     rows = rows.select("path", start.cast("bigint").alias("start"), F.col("content").cast("binary").alias("content"))
+    # worked out once, for the test and the writing
+    stages = Stages(rows.sparkSession)
+    rows, _, _ = stages.write(rows)
     given = rows if whole else rows.where("octet_length(content) > 0")
     again = given.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path").first()
     if again is not None:
+        stages.remove()
         raise ValueError(f"{again[0]!r} is given twice")
-    rows.write.format(FORMAT).option("root", root).option("merge", str(merge).lower()).mode("append").save()
+    try:
+        rows.write.format(FORMAT).option("root", root).option("merge", str(merge).lower()).mode("append").save()
+    finally:
+        stages.remove()
 
 
 def new_folder(spark: SparkSession) -> str:

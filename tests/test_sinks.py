@@ -93,3 +93,32 @@ def test_filled_templates_are_written(frame, tmp_path):
     rows = packing.fill_template(packing.pack_text(files), packing.file_list(files), totals)
     src.write_context(rows, str(tmp_path / "out"), "prompt.md")
     assert tree(tmp_path / "out") == {"p/prompt.md": "a.ts\nb.ts|// file: a.ts\n1\n\n// file: b.ts\n2|3\n"}
+
+
+def test_a_scan_in_tasks_lists_and_reads_what_the_scan_does(spark, tmp_path):
+    from paperloom.sources import files as src
+
+    for path, text in {"a": "x", "b/c.ts": "é\n" * 40_000, "b/d/e": "z", "b/empty": "", ".hidden": "h", "_own/f": "o", "b/_g": "g", "b/k=_1": "k"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, encoding="utf-8")
+    for k in range(300):
+        (tmp_path / f"b/many{k}").write_text(str(k))
+    listed = [sorted((r["path"], r["length"], r["modified"].timestamp(), bytes(r["content"])) for r in src.scan_files(spark, str(tmp_path), in_tasks=t).collect()) for t in (False, True)]
+    assert [x[:2] + x[3:] for x in listed[0]] == [x[:2] + x[3:] for x in listed[1]] and len(listed[1]) == 304
+    assert all(abs(x[2] - y[2]) < 1 for x, y in zip(*listed, strict=True))
+    assert src.scan_files(spark, "file:" + str(tmp_path), in_tasks=True, content=False).columns == ["path", "length", "modified"]
+
+
+def test_the_sink_works_its_rows_out_once(spark, tmp_path):
+    from paperloom.sources.sink import write_files
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("concat('f', id) as path", "'x' as content").mapInArrow(tell, "path string, content string")
+    write_files(rows, str(tmp_path / "out"))
+    assert seen.value == 50 and len(list((tmp_path / "out").iterdir())) == 50
