@@ -51,40 +51,49 @@ def cycles(edges: DataFrame) -> DataFrame:
     component of that node and leave; edges between different names lie in no component and leave too.
     """
     stages = Stages(edges.sparkSession)
-    links, count, _ = stages.write(edges.select("project", "src", "dst").distinct())
-    found: list[DataFrame] = []
+    given, _, _ = stages.write(edges.select("project", "src", "dst").dropna().distinct())
+    # nodes get numbers in the order of project and name, range by range; the rounds move numbers only
+    names = given.select("project", F.explode(F.array("src", "dst")).alias("name")).distinct()
+    names = names.repartitionByRange("project", "name").sortWithinPartitions("project", "name")
+    names, _, _ = stages.write(names.withColumn("id", F.monotonically_increasing_id()))
+    start, end = (names.select("project", F.col("name").alias(side), F.col("id").alias(f"{side}_id")) for side in ("src", "dst"))
+    numbered = given.join(start, ["project", "src"]).join(end, ["project", "dst"])
+    all_links, count, _ = stages.write(numbered.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    links, found = all_links, []
     while count:
         links, count = _trimmed(stages, links, count)
         if not count:
             break
         ahead = _flooded(stages, links, "src", "dst")
         back = _flooded(stages, links, "dst", "src")
-        named = ahead.join(back.withColumnRenamed("name", "other"), ["project", "node"])
+        named = ahead.join(back.withColumnRenamed("name", "other"), "node")
         named, _, _ = stages.write(named)
-        found.append(named.where("name = other").select("project", "node", F.col("name").alias("cycle")))
-        left = named.select("project", "node", "name", "other", (F.col("name") == F.col("other")).alias("done"))
-        ends = [left.select("project", *[F.col(c).alias(f"{side}_{c}") for c in ("name", "other", "done")], F.col("node").alias(side)) for side in ("src", "dst")]
-        kept = links.join(ends[0], ["project", "src"]).join(ends[1], ["project", "dst"])
+        found.append(named.where("name = other").select("node", F.col("name").alias("cycle")))
+        left = named.select("node", "name", "other", (F.col("name") == F.col("other")).alias("done"))
+        ends = [left.select(*[F.col(c).alias(f"{side}_{c}") for c in ("name", "other", "done")], F.col("node").alias(side)) for side in ("src", "dst")]
+        kept = links.join(ends[0], "src").join(ends[1], "dst")
         kept = kept.where("NOT src_done AND NOT dst_done AND src_name = dst_name AND src_other = dst_other")
-        links, count, _ = stages.write(kept.select("project", "src", "dst"))
+        links, count, _ = stages.write(kept.select("src", "dst"))
     if not found:
         return edges.select("project", F.col("src").alias("node"), F.col("src").alias("cycle")).where("false")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     # a node alone is on a circle only if it points to itself
-    size = out.groupBy("project", "cycle").agg(F.count(F.lit(1)).alias("n"))
-    loops = edges.where("src = dst").select("project", F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
-    out = out.join(size, ["project", "cycle"]).join(loops, ["project", "node"], "left")
-    return out.where("n > 1 OR loop").select("project", "node", "cycle")
+    size = out.groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+    loops = all_links.where("src = dst").select(F.col("src").alias("node")).withColumn("loop", F.lit(True))
+    out = out.join(size, "cycle").join(loops, "node", "left").where("n > 1 OR loop").select("node", "cycle")
+    out = out.join(names.select("project", F.col("id").alias("node"), F.col("name").alias("node_name")), "node")
+    out = out.join(names.select(F.col("id").alias("cycle"), F.col("name").alias("cycle_name")), "cycle")
+    return out.select("project", F.col("node_name").alias("node"), F.col("cycle_name").alias("cycle"))
 
 
 def _trimmed(stages: Stages, links: DataFrame, count: int) -> tuple[DataFrame, int]:
     while count:
-        to = links.select("project", F.col("dst").alias("src")).distinct()
-        out = links.select("project", F.col("src").alias("dst")).distinct()
-        kept = links.join(to, ["project", "src"], "left_semi").join(out, ["project", "dst"], "left_semi")
-        links, left, _ = stages.write(kept.select("project", "src", "dst"))
+        to = links.select(F.col("dst").alias("src")).distinct()
+        out = links.select(F.col("src").alias("dst")).distinct()
+        kept = links.join(to, "src", "left_semi").join(out, "dst", "left_semi")
+        links, left, _ = stages.write(kept.select("src", "dst"))
         if left == count:
             break
         count = left
@@ -92,18 +101,17 @@ def _trimmed(stages: Stages, links: DataFrame, count: int) -> tuple[DataFrame, i
 
 
 def _flooded(stages: Stages, links: DataFrame, start: str, end: str) -> DataFrame:
-    """``project, node, name``: the smallest node from which a node is reached along the links. A written
-    round takes ``HOPS`` steps."""
-    nodes = links.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    names, _, _ = stages.write(nodes.withColumn("name", F.col("node")))
+    """``node, name``: the smallest node from which a node is reached along the links. A written round
+    takes ``HOPS`` steps; only nodes that got a smaller name in the last step send theirs on."""
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    names, _, _ = stages.write(nodes.withColumn("name", F.col("node")).withColumn("lower", F.lit(True)))
     while True:
-        step = names.select("project", "node", "name", F.col("name").alias("before"))
+        step = names.select("node", "name", "lower", F.col("name").alias("before"))
         for _ in range(HOPS):
-            sent = links.join(step.select("project", F.col("node").alias(start), "name"), ["project", start])
-            best = sent.groupBy("project", F.col(end).alias("node")).agg(F.min("name").alias("sent"))
-            step = step.join(best, ["project", "node"], "left").select("project", "node", F.least("name", "sent").alias("name"), "before")
-        names, _, _ = stages.write(step.select("project", "node", "name", (F.col("name") < F.col("before")).alias("lower")))
-        changed = not names.where("lower").isEmpty()
-        names = names.drop("lower")
+            sent = links.join(step.where("lower").select(F.col("node").alias(start), "name"), start)
+            best = sent.groupBy(F.col(end).alias("node")).agg(F.min("name").alias("sent"))
+            least = F.least("name", "sent")
+            step = step.join(best, "node", "left").select("node", least.alias("name"), (least < F.col("name")).alias("lower"), "before")
+        names, changed, _ = stages.write(step.select("node", "name", "lower"), F.col("lower"))
         if not changed:
-            return names
+            return names.select("node", "name")
