@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,17 +50,13 @@ def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
 
 def winnow(values: np.ndarray, window: int) -> np.ndarray:
     """Places of the least value, the last of equals, of every ``window`` values in a row."""
-    chosen, queue, last = [], deque(), -1
-    for at, value in enumerate(values.tolist()):
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, at))
-        if queue[0][1] <= at - window:
-            queue.popleft()
-        if at >= window - 1 and queue[0][1] != last:
-            last = queue[0][1]
-            chosen.append(last)
-    return np.array(chosen, np.int64)
+    if len(values) < window:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(values, window)[:, ::-1]
+    # a run of windows at a time, since their order is a copy
+    least = [views[at : at + (1 << 16)].argmin(axis=1) for at in range(0, len(views), 1 << 16)]
+    places = np.arange(window - 1, len(values)) - np.concatenate(least)
+    return places[np.concatenate([[True], places[1:] != places[:-1]])]
 
 
 def _split(min_tokens: int) -> tuple[int, int]:
@@ -143,13 +138,19 @@ def clone_classes(files: DataFrame, min_tokens: int = DUPLICATE_TOKENS) -> DataF
     repeated = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("digest", "least")
     inside = Window.partitionBy("file").orderBy("start")
     runs = windows.join(repeated, "digest").withColumn("run", F.col("start") - F.row_number().over(inside))
+    # where a copied passage goes on in step with the place that has it first, its windows tell one link
+    before = F.lag(F.struct("start", "least")).over(inside)
+    on = (before["start"] + 1 == F.col("start")) & (before["least"]["file"] == F.col("least.file")) & (before["least"]["start"] + 1 == F.col("least.start"))
+    runs = runs.withColumn("turn", F.coalesce(~on, F.lit(True)) | F.coalesce(F.lead("start").over(inside) == F.col("start"), F.lit(False)))
     starts = Window.partitionBy("file", "run")
-    held, _, _ = stages.write(runs.select("file", "start", "least", F.min("start").over(starts).alias("first"), F.count(F.lit(1)).over(starts).alias("n")))
+    held, _, _ = stages.write(runs.select("file", "start", "least", "turn", F.min("start").over(starts).alias("first"), F.count(F.lit(1)).over(starts).alias("n")))
     regions = held.groupBy("file", F.col("first").alias("start")).agg((F.max("n") + (min_tokens - 1)).alias("tokens"))
     nodes = regions.select(F.struct("file", "start").alias("node"))
     # the window a region shares lies in the region that has it first
+    linked, _, _ = stages.write(held.where("turn").select("file", "first", "least").distinct())
     homes = held.select(F.struct("file", "start").alias("least"), F.struct("file", F.col("first").alias("start")).alias("b"))
-    edges = held.select(F.struct("file", F.col("first").alias("start")).alias("a"), "least").distinct().join(homes, "least").select("a", "b")
+    homes = homes.join(linked.select("least").distinct(), "least", "left_semi")
+    edges = linked.select(F.struct("file", F.col("first").alias("start")).alias("a"), "least").join(homes, "least").select("a", "b")
     classes, _, _ = stages.write(components(nodes, edges).select(F.col("node.file").alias("file"), F.col("node.start").alias("start"), "component"))
     sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     told = regions.join(classes, ["file", "start"]).join(sizes, "component")

@@ -261,7 +261,7 @@ def c03_token_estimate(v):
 @query
 def d01_pack_xml(v):
     """The whole context of each project."""
-    return sources.assemble_context(packing.pack_xml(v("fx_files"), tie=("seq",)), tie=("seq",))
+    return sources.assemble_context(packing.pack_xml(v("fx_files"), tie=("seq",), nameless=True), tie=("seq",))
 
 
 @query
@@ -271,12 +271,12 @@ def d01_pack_xml_rows(v):
 
 @query
 def d02_pack_text(v):
-    return sources.assemble_context(packing.pack_text(v("fx_files"), tie=("seq",)), tie=("seq",))
+    return sources.assemble_context(packing.pack_text(v("fx_files"), tie=("seq",), nameless=True), tie=("seq",))
 
 
 @query
 def d03_file_list(v):
-    return sources.assemble_context(packing.file_list(v("fx_files"), tie=("seq",)), tie=("seq",))
+    return sources.assemble_context(packing.file_list(v("fx_files"), tie=("seq",), nameless=True), tie=("seq",))
 
 
 def _contexts(v):
@@ -350,7 +350,7 @@ def d08_pack_summary(v):
 
 @query
 def d09_pack_clean(v):
-    return sources.assemble_context(packing.pack(v("fx_code"), clean=True, keep_words=selection.DEFAULT_WHITELIST))
+    return sources.assemble_context(packing.pack(v("fx_code"), clean=True, nameless=True, keep_words=selection.DEFAULT_WHITELIST))
 
 
 # E: import graph

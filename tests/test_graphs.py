@@ -129,3 +129,41 @@ def test_every_long_shared_run_shares_a_fingerprint():
             rolled = clones._rolled(np.concatenate([around[0], common, around[1]]), run)
             marks.append(set(rolled[clones.winnow(rolled, window)].tolist()))
         assert marks[0] & marks[1]
+
+
+def test_cycles_works_its_edges_out_once(spark, frame):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "project string, src string, dst string"
+    edges = frame(schema, ("p", "a", "b"), ("p", "b", "a"), ("p", "c", "c"), (None, "a", "b"), (None, "b", "a")).mapInArrow(tell, schema)
+    assert sorted(tuple(r) for r in graphs.cycles(edges).collect()) == [("p", "a", "a"), ("p", "b", "a"), ("p", "c", "c")]
+    assert seen.value == 5
+
+
+def test_winnow_takes_the_last_least_value():
+    rng = np.random.default_rng(5)
+    for size, window in ((0, 3), (2, 3), (3, 3), (70_000, 21), (500, 1)):
+        values = rng.integers(0, 7, size).astype(np.uint64)
+        plain = sorted({max(range(at, at + window), key=lambda k: (-int(values[k]), k)) for at in range(size - window + 1)})
+        assert clones.winnow(values, window).tolist() == plain
+
+
+def test_a_long_copy_tells_few_links(frame, monkeypatch):
+    told = []
+    plain = clones.components
+
+    def counted(nodes, edges):
+        told.append(edges.count())
+        return plain(nodes, edges)
+
+    monkeypatch.setattr(clones, "components", counted)
+    long = " ".join(f"t{k}" for k in range(400))
+    files = frame("project string, path string, content string", ("p", "a", long), ("p", "b", "x " + long + " y"), ("p", "c", "z z " + long))
+    rows = clones.clone_classes(files).collect()
+    assert sorted((r["path"], r["start_token"], r["tokens"], r["class_path"], r["members"]) for r in rows) == [("a", 0, 400, "a", 3), ("b", 1, 400, "a", 3), ("c", 2, 400, "a", 3)]
+    assert told[0] <= 3

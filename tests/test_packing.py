@@ -142,7 +142,7 @@ def test_a_long_context_goes_on_in_the_next_part(frame):
 
     names = ["b", "C", "a", "é", "_d", "e f"]
     rows = [(project, name, name * 9) for project in ("p", None) for name in names] + [("q", "x", ""), ("p", "e f", "again")]
-    packed = packing.pack_text(frame(SCHEMA, *rows, *[("p", f"n{k}", str(k)) for k in range(30)]))
+    packed = packing.pack_text(frame(SCHEMA, *rows, *[("p", f"n{k}", str(k)) for k in range(30)]), nameless=True)
     whole = {r["project"]: r["text"] for r in assemble_context(packed).collect()}
     assert set(whole) == {"p", None, "q"} and whole["q"] == "// file: x\n"
     assert whole[None].startswith("// file: _d") and all(f"// file: {name}\n{name * 9}" in whole[None] for name in names)
