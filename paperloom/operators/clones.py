@@ -25,13 +25,18 @@ from .scans import DUPLICATE_TOKENS
 _TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
+#: Hashes of tokens a task remembers from text to text.
+KNOWN_TOKENS = 1 << 19
+_known: dict[str, int] = {}
+
+
 def _hashed(tokens: list[str]) -> np.ndarray:
     """A 64-bit hash of every token."""
-    known: dict[str, int] = {}
-    for token in tokens:
-        if token not in known:
-            known[token] = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-    return np.array([known[t] for t in tokens], np.uint64)
+    if len(_known) > KNOWN_TOKENS:
+        _known.clear()
+    for token in set(tokens).difference(_known):
+        _known[token] = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+    return np.fromiter(map(_known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
