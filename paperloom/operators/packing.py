@@ -8,7 +8,7 @@ file per project.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_length, clean_path, let
@@ -41,15 +41,18 @@ def _size(files: DataFrame) -> Column:
     return F.col("length").cast("bigint") if "length" in files.columns else byte_length(F.col("content"))
 
 
-def _pieces(files: DataFrame, chunk: Column, layout, tie, nameless: bool = False) -> DataFrame:
+def _pieces(files: DataFrame, chunk: Column, layout, tie, nameless: bool = False, loose: bool = False) -> DataFrame:
     """One piece per file. The ends of a project come from paths alone, so content is neither
     sorted nor shuffled unless the optimizer finds the table of ends too large to send."""
     head, sep, tail = (F.lit(part) for part in layout)
     key = order_key(tie)
-    ends = files.groupBy("project").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    last = key == F.col("_last")
+    ends = (files.where(chunk.isNotNull()) if loose else files).groupBy("project").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    first, last = key == F.col("_first"), key == F.col("_last")
     ends = ends.withColumnRenamed("project", "_project")
     same = F.col("project").eqNullSafe(F.col("_project")) if nameless else F.col("project") == F.col("_project")
+    if loose:
+        files = files if nameless else files.where("project IS NOT NULL")
+        return _loose_pieces(files.join(ends, same, "left"), chunk, first, last, (head, sep, tail), tie)
     return files.join(ends, same).select(
         "project",
         "path",
@@ -59,18 +62,38 @@ def _pieces(files: DataFrame, chunk: Column, layout, tie, nameless: bool = False
     )
 
 
-def pack(files: DataFrame, fmt: str = "xml", tie=(), clean: bool = False, nameless: bool = False, **cleaning) -> DataFrame:
+def _loose_pieces(files: DataFrame, chunk: Column, first: Column, last: Column, layout, tie) -> DataFrame:
+    """Pieces of files that may share their place: those at the two ends of a project are numbered
+    among their like, so that one has the head and one the tail. Only these are shuffled."""
+    head, sep, tail = layout
+    outer = F.coalesce(first | last, F.lit(False))
+    own = ["project", "path", *tie]
+    inner = files.where(~outer).select(*own, F.lit(1).alias("nth"), F.lit(False).alias("last"), F.concat(sep, chunk).alias("text"))
+    like = Window.partitionBy(*own)
+    ranked = files.where(outer).select(*own, first.alias("_head"), last.alias("_tail"), chunk.alias("_chunk"))
+    ranked = ranked.withColumn("nth", F.row_number().over(like.orderBy(F.col("_chunk").asc_nulls_last())))
+    ranked = ranked.withColumn("last", F.col("_tail") & (F.col("nth") == F.count("_chunk").over(like)))
+    before = F.when(F.col("_head") & (F.col("nth") == 1), head).otherwise(sep)
+    text = F.concat(before, "_chunk", F.when(F.col("last"), tail).otherwise(F.lit("")))
+    return inner.unionByName(ranked.select(*own, "nth", "last", text.alias("text")))
+
+
+def pack(files: DataFrame, fmt: str = "xml", tie=(), clean: bool = False, nameless: bool = False, loose: bool = False, **cleaning) -> DataFrame:
     """``project, path, *tie, last, text``: the pieces of the context of each project.
 
     In the order of ``order_key`` the pieces of a project concatenate to its context; ``last``
     marks the final one. ``tie`` names columns that order equal paths; path and tie together are
     unique in a project. Content is not escaped. With ``clean`` comments are dropped first, the
     sources stay untouched. Files without a project are left out, or with ``nameless`` one more project.
+
+    With ``loose`` path and tie may repeat and files may lack a text: head and tail stand at the first
+    and last file that has one, files that share a place come in the order of their text, and a column
+    ``nth`` behind ``tie`` numbers those at the ends; name it as one more tie in what follows.
     """
     fmt = known_format(fmt)
     if clean:
         files = clean_files(files, **cleaning)
-    return _pieces(files, _chunk(fmt), LAYOUT[fmt], tie, nameless)
+    return _pieces(files, _chunk(fmt), LAYOUT[fmt], tie, nameless, loose)
 
 
 def pack_xml(files: DataFrame, **options) -> DataFrame:
@@ -81,9 +104,9 @@ def pack_text(files: DataFrame, **options) -> DataFrame:
     return pack(files, "text", **options)
 
 
-def file_list(files: DataFrame, tie=(), nameless: bool = False) -> DataFrame:
+def file_list(files: DataFrame, tie=(), nameless: bool = False, loose: bool = False) -> DataFrame:
     """The paths of a project in file order, one per line; shaped like ``pack``."""
-    return _pieces(files, F.col("path"), ("", "\n", ""), tie, nameless)
+    return _pieces(files, F.col("path"), ("", "\n", ""), tie, nameless, loose)
 
 
 def with_final_newline(parts: DataFrame) -> DataFrame:

@@ -235,13 +235,25 @@ _SEQ = _ORDER + ", seq"
 _PACKED = _pieces("fx_files", _SEQ)
 _PACKED_TEXT = _pieces("fx_files", _SEQ, "'// file: ' || path || chr(10) || content", "''", _GAP, "''")
 _LISTED = _pieces("fx_files", _SEQ, "path", "''", "chr(10)", "''")
+
+
+def _placed(chunk: str = _XML, head: str = "'<files>' || chr(10)", sep: str = _GAP, tail: str = "chr(10) || '</files>'") -> str:
+    """Like ``_pieces`` of the files, which may lack a text and share path and seq: ``nth`` is the place in the project,
+    the first and the last file that have a text get head and tail."""
+    order = "icu_sort_key(path, 'und') NULLS FIRST, path NULLS FIRST, seq NULLS FIRST, chunk NULLS LAST"
+    return f"""SELECT project, nth, with_text = texts AS last, CASE WHEN with_text = 1 THEN {head} ELSE {sep} END || chunk || CASE WHEN with_text = texts THEN {tail} ELSE '' END AS text
+  FROM (SELECT project, chunk, row_number() OVER w AS nth, count(chunk) OVER w AS with_text, count(chunk) OVER (PARTITION BY project) AS texts
+    FROM (SELECT *, {chunk} AS chunk FROM fx_files) WINDOW w AS (PARTITION BY project ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+_PLACED_TEXT = _placed("'// file: ' || path || chr(10) || content", "''", _GAP, "''")
 _TREE_PACKED = f"(SELECT project, path, content FROM ({_TREE}) WHERE {_TREE_KEPT.format(gen='k <> 3', more='true')})"
 ORACLES["a00_pack_configured"] = f"SELECT project, path, text FROM ({_pieces(_TREE_PACKED, _ORDER)})"
 _TOTALS = f"""SELECT project, count(*) AS files,
   CAST(sum(strlen({_XML})) + (count(*) - 1) * 2 + 17 AS BIGINT) AS context_bytes FROM fx_files GROUP BY project"""
 ORACLES["d01_pack_xml"] = _whole(_PACKED, _SEQ)
 ORACLES["d01_pack_xml_rows"] = f"SELECT project, path AS first_path, text FROM ({_PACKED})"
-ORACLES["d02_pack_text"] = _whole(_PACKED_TEXT, _SEQ)
+ORACLES["d02_pack_text"] = _whole(_PLACED_TEXT, "nth")
 ORACLES["d03_file_list"] = _whole(_LISTED, _SEQ)
 _PROMPTS = f"""
 totals AS (SELECT *, CAST(round(context_bytes / 4) AS BIGINT) AS tokens FROM ({_TOTALS})),

@@ -257,6 +257,9 @@ def c03_token_estimate(v):
 
 # D: packing
 
+# Ties of files that may lack a text or share path and seq.
+LOOSE = ("seq", "nth")
+
 
 @query
 def d01_pack_xml(v):
@@ -271,7 +274,7 @@ def d01_pack_xml_rows(v):
 
 @query
 def d02_pack_text(v):
-    return sources.assemble_context(packing.pack_text(v("fx_files"), tie=("seq",), nameless=True), tie=("seq",))
+    return sources.assemble_context(packing.pack_text(v("fx_files"), tie=("seq",), nameless=True, loose=True), tie=LOOSE)
 
 
 @query

@@ -237,18 +237,18 @@ def backup_originals(cleaned: DataFrame, root: str, **options) -> None:
     write_files(_below_project(changed_originals(cleaned)), root, **options)
 
 
-def context_offsets(parts: DataFrame, order: list[str]) -> DataFrame:
+def context_offsets(parts: DataFrame, order: list[str], repeats: bool = False) -> DataFrame:
     """``parts`` with ``start``, the byte at which a piece begins in its project's context.
 
     A running sum in two steps on keys and sizes alone: rows are dealt by ranges of their order, so a
     large project lies in many tasks; sums per task and project are small and give each task its base.
     Text is moved only by the final join. ``order`` names columns that are unique within a project;
-    rows that share them begin at one place.
+    rows that share them begin at one place, or with ``repeats`` one behind the other, by their text.
     """
     ensure_checkpoint_dir(parts.sparkSession)
     keys = [F.collate(F.col(c), "UNICODE") if c == "path" else F.col(c) for c in order]
     keys += [F.col(c) for c in order if c == "path"]
-    narrow = parts.groupBy("project", *order).agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    narrow = parts.groupBy("project", *order).agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("like"))
     dealt = narrow.repartitionByRange("project", *keys).sortWithinPartitions("project", *keys)
     dealt = dealt.withColumn("task", F.spark_partition_id()).checkpoint()
     by_task = Window.partitionBy("project").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -262,7 +262,11 @@ def context_offsets(parts: DataFrame, order: list[str]) -> DataFrame:
     same = F.col("project").eqNullSafe(F.col("_project"))
     for c in order:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return parts.join(placed, same).drop("_project", *[f"_{c}" for c in order])
+    found = parts.join(placed, same).drop("_project", *[f"_{c}" for c in order])
+    if not repeats or dealt.where("like > 1").isEmpty():
+        return found
+    before = Window.partitionBy("project", *order).orderBy(F.col("text").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("start", F.col("start") + F.coalesce(F.sum(F.octet_length("text").cast("bigint")).over(before), F.lit(0)))
 
 
 #: Bytes of a context from which on it goes on in the next row.
@@ -279,7 +283,7 @@ def assemble_context(parts: DataFrame, tie=(), part_bytes: int = PART_BYTES) ->
     """
     order = [*(["slot"] if "slot" in parts.columns else []), "path", *tie]
     keys = [k for c in order for k in ([F.collate(F.col(c), "UNICODE"), F.col(c)] if c == "path" else [F.col(c)])]
-    placed = context_offsets(parts, order).select("project", "start", F.struct("start", *[k.alias(f"k{i}") for i, k in enumerate(keys)], "text").alias("piece"))
+    placed = context_offsets(parts, order, repeats=True).select("project", "start", F.struct("start", *[k.alias(f"k{i}") for i, k in enumerate(keys)], "text").alias("piece"))
     grouped = placed.groupBy("project", F.floor(F.col("start") / part_bytes).alias("part")).agg(
         F.min("start").alias("start"), F.count(F.lit(1)).alias("pieces"), F.sort_array(F.collect_list("piece")).alias("all")
     )

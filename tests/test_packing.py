@@ -1,6 +1,15 @@
+import os
+import sys
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(__file__))
+
+import compare
 from paperloom.operators import packing, tokens
 
 SCHEMA = "project string, path string, content string"
@@ -158,3 +167,53 @@ def test_the_packing_queries_give_whole_contexts(spark, sf_dir):
     packed = entry.queries()["d01_pack_xml"](spark, sf_dir).collect()
     assert len(packed) == len(bytes_of)
     assert all(len(r["text"].encode()) == bytes_of[r["project"]] and r["text"].endswith("</files>") for r in packed)
+
+
+@pytest.fixture
+def odd_dir(tmp_path):
+    """Documents of which some share path and seq, and some lack a text, first and last in their project."""
+    texts = [
+        (780, "two", "src0"), (781, "one", "src0"), (781, "one", "src0"), (0, "z", "src0"),
+        (782, None, "src1"), (580, "mid", "src1"), (1, None, "src1"),
+        (783, None, "src2"), (2, None, "src2"),
+        (3, "y", "other"), (4, "x", "other"), (784, None, "other"), (785, "v", "other"), (785, "v", "other"),
+    ]
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": s, "n_chars": len(t or "")} for i, t, s in texts]
+    nations = [{"n_nationkey": k, "n_name": f"N{k}", "n_regionkey": k, "n_comment": ""} for k in range(5)]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "documents.parquet")
+    pq.write_table(pa.Table.from_pylist(nations), tmp_path / "nation.parquet")
+    return str(tmp_path)
+
+
+def texts_and_sql(spark, folder, name):
+    """The text of each project, once the query agrees with its SQL."""
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for table in ("documents", "nation"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    rows = entry.queries()[name](spark, folder)
+    assert compare.difference(rows, con, entry.oracle_sql()[name]) is None
+    return {r["project"]: r["text"] for r in rows.collect()}
+
+
+SHARED = '<files>\n' + "\n\n".join(f'<file path="{p}">\n{t}\n</file>' for p, t in [(".env.example", "one"), (".env.example", "one"), (".env.example", "two"), ("src/f0.ts", "z")]) + "\n</files>"
+MIDDLE = '<files>\n<file path="Dockerfile">\nmid\n</file>\n</files>'
+
+
+def test_texts_of_files_that_share_a_place_or_have_none(spark, odd_dir):
+    found = texts_and_sql(spark, odd_dir, "d02_pack_text")
+    assert found["src0"] == "\n\n".join(f"// file: {p}\n{t}" for p, t in [(".env.example", "one"), (".env.example", "one"), (".env.example", "two"), ("src/f0.ts", "z")])
+    assert found["src1"] == "// file: Dockerfile\nmid" and found["src2"] == ""
+
+
+def test_long_contexts_of_files_that_share_a_place(frame):
+    from paperloom.sources.files import assemble_context
+
+    rows = [("p", path, f"{k % 7}" * 20) for path in "abc" for k in range(30)] + [(None, "a", "x"), ("p", "0", None), ("p", "c", None)]
+    packed = packing.pack_text(frame(SCHEMA, *rows), loose=True)
+    assert {r["project"] for r in packed.collect()} == {"p"}
+    parts = sorted(assemble_context(packed, tie=("nth",), part_bytes=300).collect(), key=lambda r: r["part"])
+    texts = sorted(r for r in rows if r[0] and r[2])
+    assert "".join(r["text"] for r in parts) == "\n\n".join(f"// file: {p}\n{t}" for _, p, t in texts)
+    assert len(parts) > 9 and max(len(r["text"]) for r in parts) < 350 and all(r["start"] // 300 == r["part"] for r in parts)
