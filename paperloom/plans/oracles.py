@@ -247,6 +247,7 @@ def _placed(chunk: str = _XML, head: str = "'<files>' || chr(10)", sep: str = _G
 
 
 _PLACED_TEXT = _placed("'// file: ' || path || chr(10) || content", "''", _GAP, "''")
+_PLACED_LIST = _placed("path", "''", "chr(10)", "''")
 _TREE_PACKED = f"(SELECT project, path, content FROM ({_TREE}) WHERE {_TREE_KEPT.format(gen='k <> 3', more='true')})"
 ORACLES["a00_pack_configured"] = f"SELECT project, path, text FROM ({_pieces(_TREE_PACKED, _ORDER)})"
 _TOTALS = f"""SELECT project, count(*) AS files,
@@ -254,7 +255,7 @@ _TOTALS = f"""SELECT project, count(*) AS files,
 ORACLES["d01_pack_xml"] = _whole(_PACKED, _SEQ)
 ORACLES["d01_pack_xml_rows"] = f"SELECT project, path AS first_path, text FROM ({_PACKED})"
 ORACLES["d02_pack_text"] = _whole(_PLACED_TEXT, "nth")
-ORACLES["d03_file_list"] = _whole(_LISTED, _SEQ)
+ORACLES["d03_file_list"] = _whole(_PLACED_LIST, "nth")
 _PROMPTS = f"""
 totals AS (SELECT *, CAST(round(context_bytes / 4) AS BIGINT) AS tokens FROM ({_TOTALS})),
 prompts AS (SELECT p.project, p.source, p.named, coalesce(t.content, CASE WHEN instr(source, chr(10)) > 0

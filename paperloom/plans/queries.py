@@ -279,7 +279,7 @@ def d02_pack_text(v):
 
 @query
 def d03_file_list(v):
-    return sources.assemble_context(packing.file_list(v("fx_files"), tie=("seq",), nameless=True), tie=("seq",))
+    return sources.assemble_context(packing.file_list(v("fx_files"), tie=("seq",), nameless=True, loose=True), tie=LOOSE)
 
 
 def _contexts(v):

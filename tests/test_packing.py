@@ -217,3 +217,10 @@ def test_long_contexts_of_files_that_share_a_place(frame):
     texts = sorted(r for r in rows if r[0] and r[2])
     assert "".join(r["text"] for r in parts) == "\n\n".join(f"// file: {p}\n{t}" for _, p, t in texts)
     assert len(parts) > 9 and max(len(r["text"]) for r in parts) < 350 and all(r["start"] // 300 == r["part"] for r in parts)
+
+
+def test_lists_of_files_that_share_a_place(spark, odd_dir):
+    found = texts_and_sql(spark, odd_dir, "d03_file_list")
+    assert found["src0"] == ".env.example\n.env.example\n.env.example\nsrc/f0.ts"
+    assert found["src1"] == ".env.example\nDockerfile\nsrc/f1.ts"
+    assert found["other"] == ".env.example\n.env.example\n.env.example\nsrc/f3.ts\nsrc/f4.ts"
