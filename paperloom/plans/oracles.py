@@ -246,6 +246,7 @@ def _placed(chunk: str = _XML, head: str = "'<files>' || chr(10)", sep: str = _G
     FROM (SELECT *, {chunk} AS chunk FROM fx_files) WINDOW w AS (PARTITION BY project ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
+_PLACED = _placed()
 _PLACED_TEXT = _placed("'// file: ' || path || chr(10) || content", "''", _GAP, "''")
 _PLACED_LIST = _placed("path", "''", "chr(10)", "''")
 _TREE_PACKED = f"(SELECT project, path, content FROM ({_TREE}) WHERE {_TREE_KEPT.format(gen='k <> 3', more='true')})"
@@ -262,19 +263,27 @@ prompts AS (SELECT p.project, p.source, p.named, coalesce(t.content, CASE WHEN i
     OR (regexp_matches(source, '[^\\s]') AND NOT regexp_matches(source, '[/\\\\]') AND NOT regexp_matches(source, '\\.[^/]*$')) THEN source END) AS template
   FROM fx_project_prompts p LEFT JOIN fx_templates t ON t.name = p.source)"""
 _HOLDER = "'\\{\\{(context|fileList)\\}\\}'"
-# Own texts of a template at even slots, the rows of the context or of the file list between them at odd ones.
-_FILLED = f"""
-full_template AS (SELECT project, tokens, CASE WHEN instr(template, '{{{{context}}}}') > 0 THEN template ELSE template || chr(10) || chr(10) || '{{{{context}}}}' END AS t
+
+
+def _filled(packed: str, listed: str, place: str = "path, seq", none: str = "'' AS path, CAST(NULL AS BIGINT) AS seq", tokens: str = "tokens") -> str:
+    """Own texts of a template at even slots, the rows of the context or of the file list between them at odd ones."""
+    return f"""
+full_template AS (SELECT project, {tokens}, CASE WHEN instr(template, '{{{{context}}}}') > 0 THEN template ELSE template || chr(10) || chr(10) || '{{{{context}}}}' END AS t
   FROM chosen JOIN totals USING (project)),
 cut AS (SELECT project, tokens, string_split_regex(t, {_HOLDER}) AS p, regexp_extract_all(t, {_HOLDER}, 1) AS h FROM full_template),
 slots AS (SELECT project, tokens, unnest(range(0, len(p))) AS i, unnest(p) AS piece, unnest(list_concat(h, [NULL])) AS holder FROM cut),
 filled AS (
-SELECT project, CAST(i * 2 AS INT) AS slot, '' AS path, CAST(NULL AS BIGINT) AS seq, holder IS NULL AS last,
+SELECT project, CAST(i * 2 AS INT) AS slot, {none}, holder IS NULL AS last,
   replace(replace(piece, '{{{{tokenCount}}}}', CAST(tokens AS VARCHAR)), '{{{{usdEstimate}}}}', printf('%.4f', tokens / 1000000.0 * 5.0)) AS text FROM slots
-UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), path, seq, FALSE, text FROM slots s JOIN ({_PACKED}) c ON c.project = s.project AND holder = 'context'
-UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), path, seq, FALSE, text FROM slots s JOIN ({_LISTED}) c ON c.project = s.project AND holder = 'fileList')"""
-_BY_CONFIG = f"WITH {_PROMPTS}, chosen AS (SELECT project, template FROM prompts WHERE template IS NOT NULL), {_FILLED}"
-ORACLES["d04_fill_template"] = f"{_BY_CONFIG} {_whole('SELECT * FROM filled', 'slot, ' + _SEQ)}"
+UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), {place}, FALSE, text FROM slots s JOIN ({packed}) c ON c.project = s.project AND holder = 'context'
+UNION ALL SELECT s.project, CAST(i * 2 + 1 AS INT), {place}, FALSE, text FROM slots s JOIN ({listed}) c ON c.project = s.project AND holder = 'fileList')"""
+
+
+_FILLED = _filled(_PACKED, _LISTED)
+_FILLED_PLACED = _filled(_PLACED, _PLACED_LIST, "nth", "CAST(NULL AS BIGINT) AS nth", "coalesce(tokens, 0) AS tokens")
+_CONFIGURED = f"WITH {_PROMPTS}, chosen AS (SELECT project, template FROM prompts WHERE template IS NOT NULL)"
+_BY_CONFIG = f"{_CONFIGURED}, {_FILLED}"
+ORACLES["d04_fill_template"] = f"{_CONFIGURED}, {_FILLED_PLACED} {_whole('SELECT * FROM filled', 'slot, nth')}"
 ORACLES["d04_fill_template_rows"] = f"{_BY_CONFIG} SELECT project, slot, path AS first_path, text FROM filled"
 ORACLES["d05_resolve_template"] = """
 SELECT id, source, coalesce(t.content, inline) AS template, coalesce(t.content, inline) IS NOT NULL AS found

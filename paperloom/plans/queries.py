@@ -282,22 +282,23 @@ def d03_file_list(v):
     return sources.assemble_context(packing.file_list(v("fx_files"), tie=("seq",), nameless=True, loose=True), tie=LOOSE)
 
 
-def _contexts(v):
+def _contexts(v, loose):
     files = v("fx_files")
     totals = packing.pack_summary(files).select("project", "tokens", "usd")
-    return packing.pack_xml(files, tie=("seq",)), packing.file_list(files, tie=("seq",)), totals
+    totals = totals.na.fill(0) if loose else totals  # a project without any text
+    return packing.pack_xml(files, tie=("seq",), loose=loose), packing.file_list(files, tie=("seq",), loose=loose), totals
 
 
-def _filled(v):
-    parts, listed, totals = _contexts(v)
+def _filled(v, tie=("seq",)):
+    parts, listed, totals = _contexts(v, tie == LOOSE)
     named = packing.resolve_source(v("fx_project_prompts").select("project", "source"), v("fx_templates"))
-    return packing.fill_template(parts, listed, named.where("found").join(totals, "project"), tie=("seq",))
+    return packing.fill_template(parts, listed, named.where("found").join(totals, "project"), tie=tie)
 
 
 @query
 def d04_fill_template(v):
     """Contexts filled into the template their project configures."""
-    return sources.assemble_context(_filled(v), tie=("seq",))
+    return sources.assemble_context(_filled(v, LOOSE), tie=LOOSE)
 
 
 @query
@@ -318,7 +319,7 @@ def d05_resolve_template_name(v):
 def _chosen(v):
     prompts = v("fx_project_prompts")
     sources, names = prompts.select("project", "source"), prompts.select("project", "named")
-    return packing.choose_output(*_contexts(v), sources, names, v("fx_templates"), tie=("seq",))
+    return packing.choose_output(*_contexts(v, False), sources, names, v("fx_templates"), tie=("seq",))
 
 
 @query

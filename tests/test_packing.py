@@ -224,3 +224,8 @@ def test_lists_of_files_that_share_a_place(spark, odd_dir):
     assert found["src0"] == ".env.example\n.env.example\n.env.example\nsrc/f0.ts"
     assert found["src1"] == ".env.example\nDockerfile\nsrc/f1.ts"
     assert found["other"] == ".env.example\n.env.example\n.env.example\nsrc/f3.ts\nsrc/f4.ts"
+
+
+def test_templates_filled_with_files_that_share_a_place_or_have_none(spark, odd_dir):
+    found = texts_and_sql(spark, odd_dir, "d04_fill_template")
+    assert found == {"src0": f"Plain prompt of N0\n\n{SHARED}", "src1": f"summarize this\n\n{MIDDLE}"}
