@@ -296,15 +296,21 @@ _BY_NAME = """coalesce(
   (SELECT content FROM fx_templates t WHERE instr({n}, '.') = 0 AND t.name = {n} || '.txt'))"""
 ORACLES["d05_resolve_template_name"] = f"""
 SELECT id, named, {_BY_NAME.format(n='named')} AS template, {_BY_NAME.format(n='named')} IS NOT NULL AS found FROM fx_prompts"""
-_OUTPUT = f"""WITH {_PROMPTS},
+
+
+def _output(packed: str, filled: str, place: str = "path, seq", none: str = "'', NULL") -> str:
+    return f"""WITH {_PROMPTS},
 named AS (SELECT project, named, coalesce({_BY_NAME.format(n='named')}, CASE WHEN named IS NULL THEN template END, CASE WHEN named IS NULL THEN '' END) AS t,
     named IS NOT NULL AND {_BY_NAME.format(n='named')} IS NULL AS missing, named IS NULL AND template IS NULL AS raw
   FROM totals LEFT JOIN prompts USING (project)),
-chosen AS (SELECT project, t AS template FROM named WHERE NOT missing AND NOT raw), {_FILLED},
+chosen AS (SELECT project, t AS template FROM named WHERE NOT missing AND NOT raw), {filled},
 output AS (SELECT *, CAST(NULL AS VARCHAR) AS error FROM filled
-UNION ALL SELECT project, 1, path, seq, last, text, NULL FROM ({_PACKED}) JOIN named USING (project) WHERE raw
-UNION ALL SELECT project, 0, '', NULL, TRUE, NULL, 'template not found: ' || named FROM named WHERE missing)"""
-ORACLES["d06_choose_output"] = f"""{_OUTPUT} SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({_whole('SELECT * FROM output WHERE error IS NULL', 'slot, ' + _SEQ)})
+UNION ALL SELECT project, 1, {place}, last, text, NULL FROM ({packed}) JOIN named USING (project) WHERE raw
+UNION ALL SELECT project, 0, {none}, TRUE, NULL, 'template not found: ' || named FROM named WHERE missing)"""
+
+
+_OUTPUT = _output(_PACKED, _FILLED)
+ORACLES["d06_choose_output"] = f"""{_output(_PLACED, _FILLED_PLACED, "nth", "NULL")} SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({_whole('SELECT * FROM output WHERE error IS NULL', 'slot, nth')})
 UNION ALL SELECT project, 0, 0, 0, NULL, error FROM output WHERE error IS NOT NULL"""
 ORACLES["d07_write_context"] = f"""
 SELECT project, path, seq, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY project ORDER BY {_SEQ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,

@@ -316,17 +316,17 @@ def d05_resolve_template_name(v):
     return packing.resolve_name(v("fx_prompts").select("id", "named"), v("fx_templates"))
 
 
-def _chosen(v):
+def _chosen(v, tie=("seq",)):
     prompts = v("fx_project_prompts")
     sources, names = prompts.select("project", "source"), prompts.select("project", "named")
-    return packing.choose_output(*_contexts(v, False), sources, names, v("fx_templates"), tie=("seq",))
+    return packing.choose_output(*_contexts(v, tie == LOOSE), sources, names, v("fx_templates"), tie=tie)
 
 
 @query
 def d06_choose_output(v):
     """The whole output of each project, or why it has none."""
-    chosen = _chosen(v)
-    whole = sources.assemble_context(chosen.where("error IS NULL").drop("error"), tie=("seq",))
+    chosen = _chosen(v, LOOSE)
+    whole = sources.assemble_context(chosen.where("error IS NULL").drop("error"), tie=LOOSE)
     none = chosen.where("error IS NOT NULL").select("project", *[F.lit(0).cast("bigint").alias(c) for c in ("part", "start", "pieces")], "text", "error")
     return whole.withColumn("error", F.lit(None).cast("string")).unionByName(none)
 

@@ -229,3 +229,10 @@ def test_lists_of_files_that_share_a_place(spark, odd_dir):
 def test_templates_filled_with_files_that_share_a_place_or_have_none(spark, odd_dir):
     found = texts_and_sql(spark, odd_dir, "d04_fill_template")
     assert found == {"src0": f"Plain prompt of N0\n\n{SHARED}", "src1": f"summarize this\n\n{MIDDLE}"}
+
+
+def test_outputs_of_files_that_share_a_place_or_have_none(spark, odd_dir):
+    found = texts_and_sql(spark, odd_dir, "d06_choose_output")
+    assert found["src0"] == f"Plain prompt of N0\n\n{SHARED}" and found["src1"] == f"summarize this\n\n{MIDDLE}"
+    assert found["src2"] == "Files: .env.example\nsrc/f2.ts Tokens: 0 Cost: 0.0000  again 0"
+    assert found["other"].startswith('<files>\n<file path=".env.example">\nv\n</file>\n\n<file path=".env.example">') and found["other"].endswith("y\n</file>\n\n<file path=\"src/f4.ts\">\nx\n</file>\n</files>")
