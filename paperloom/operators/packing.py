@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_length, clean_path, let
+from ..session import ensure_checkpoint_dir
 from . import tokens as tok
 from .cleaning import clean_files
 from .selection import locale_key
@@ -41,6 +42,18 @@ def _size(files: DataFrame) -> Column:
     return F.col("length").cast("bigint") if "length" in files.columns else byte_length(F.col("content"))
 
 
+#: Rows of a table of one row per project up to which a join with files sends it to every task.
+SENT = 10_000
+
+
+def _settled(few: DataFrame) -> DataFrame:
+    """A table of one row per project, worked out once: several branches read it, and each would carry
+    what is behind it in its plan. A small one is sent to the tasks, so that no project's files meet in one."""
+    ensure_checkpoint_dir(few.sparkSession)
+    few = few.checkpoint()
+    return F.broadcast(few) if few.count() <= SENT else few
+
+
 def _pieces(files: DataFrame, chunk: Column, layout, tie, nameless: bool = False, loose: bool = False) -> DataFrame:
     """One piece per file. The ends of a project come from paths alone, so content is neither
     sorted nor shuffled unless the optimizer finds the table of ends too large to send."""
@@ -52,7 +65,7 @@ def _pieces(files: DataFrame, chunk: Column, layout, tie, nameless: bool = False
     same = F.col("project").eqNullSafe(F.col("_project")) if nameless else F.col("project") == F.col("_project")
     if loose:
         files = files if nameless else files.where("project IS NOT NULL")
-        return _loose_pieces(files.join(ends, same, "left"), chunk, first, last, (head, sep, tail), tie)
+        return _loose_pieces(files.join(_settled(ends), same, "left"), chunk, first, last, (head, sep, tail), tie)
     return files.join(ends, same).select(
         "project",
         "path",
@@ -88,7 +101,8 @@ def pack(files: DataFrame, fmt: str = "xml", tie=(), clean: bool = False, namele
 
     With ``loose`` path and tie may repeat and files may lack a text: head and tail stand at the first
     and last file that has one, files that share a place come in the order of their text, and a column
-    ``nth`` behind ``tie`` numbers those at the ends; name it as one more tie in what follows.
+    ``nth`` behind ``tie`` numbers those at the ends; name it as one more tie in what follows. The ends
+    are found at once.
     """
     fmt = known_format(fmt)
     if clean:
@@ -129,7 +143,7 @@ def fill_template(parts: DataFrame, listed: DataFrame, templates: DataFrame, tie
     """
     named = F.when(F.col("template").contains("{{context}}"), F.col("template"))
     named = named.otherwise(F.concat("template", F.lit("\n\n{{context}}")))
-    cut = templates.select("project", "tokens", "usd", named.alias("template"))
+    cut = _settled(templates.select("project", "tokens", "usd", named.alias("template")))
     pieces, holders = F.split("template", ROW_PLACEHOLDER, -1), F.regexp_extract_all("template", F.lit(ROW_PLACEHOLDER), F.lit(0))
     holders = F.concat(holders, F.array(F.lit(None).cast("string")))
     slots = cut.select("project", "tokens", "usd", F.posexplode(F.arrays_zip(pieces.alias("piece"), holders.alias("holder"))).alias("i", "s"))
@@ -203,6 +217,7 @@ def choose_output(
     chosen = totals.join(configured, "project", "left").join(explicit, "project", "left")
     missing = F.col("named").isNotNull() & F.col("_explicit").isNull()
     chosen = chosen.select("project", "tokens", "usd", "named", missing.alias("missing"), F.coalesce("_explicit", "_configured").alias("template"))
+    chosen = _settled(chosen)
     no_error = F.lit(None).cast("string").alias("error")
     filled = fill_template(parts, listed, chosen.where("NOT missing AND template IS NOT NULL"), tie).select("*", no_error)
     raw = parts.join(chosen.where("NOT missing AND template IS NULL").select("project"), "project", "left_semi")

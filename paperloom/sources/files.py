@@ -258,15 +258,18 @@ def context_offsets(parts: DataFrame, order: list[str], repeats: bool = False) -
     bases = bases.select(F.col("project").alias("of"), F.col("task").alias("in"), "base")
     here = F.col("project").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in"))
     placed = dealt.withColumn("inside", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(bases, here)
-    placed = placed.select(F.col("project").alias("_project"), *[F.col(c).alias(f"_{c}") for c in order], (F.col("base") + F.col("inside")).alias("start"))
+    placed = placed.select(F.col("project").alias("_project"), *[F.col(c).alias(f"_{c}") for c in order], (F.col("base") + F.col("inside")).alias("start"), F.col("like").alias("_like"))
     same = F.col("project").eqNullSafe(F.col("_project"))
     for c in order:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    found = parts.join(placed, same).drop("_project", *[f"_{c}" for c in order])
+    own = ["_project", *[f"_{c}" for c in order], "_like"]
     if not repeats or dealt.where("like > 1").isEmpty():
-        return found
+        return parts.join(placed, same).drop(*own)
+    alone = parts.join(placed.where("_like = 1"), same)
+    # Only these few rows are dealt once more.
     before = Window.partitionBy("project", *order).orderBy(F.col("text").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("start", F.col("start") + F.coalesce(F.sum(F.octet_length("text").cast("bigint")).over(before), F.lit(0)))
+    behind = F.col("start") + F.coalesce(F.sum(F.octet_length("text").cast("bigint")).over(before), F.lit(0))
+    return alone.unionByName(parts.join(placed.where("_like > 1"), same).withColumn("start", behind)).drop(*own)
 
 
 #: Bytes of a context from which on it goes on in the next row.
