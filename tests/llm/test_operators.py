@@ -482,6 +482,83 @@ def test_topk_of_repeated_queries_and_huge_components(spark):
         topk.search(huge, huge, 5)
 
 
+def sent_bytes(df):
+    """Bytes of rows that all shuffles and broadcasts of a DataFrame's run have sent."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            if name in ("Exchange", "BroadcastExchange"):
+                total += node.metrics().apply("dataSize").value()
+            todo += [node.children().apply(n) for n in range(node.children().size())]
+    return total
+
+
+def test_topk_sends_queries_to_no_more_places_than_the_candidates_need(spark):
+    import numpy as np
+
+    weights = np.random.default_rng(2).integers(-200, 200, (9000, 32))
+    frame = spark.createDataFrame([(k, w.tolist()) for k, w in enumerate(weights)], "vec_id bigint, weights array<bigint>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        found = topk.search(frame, frame.where("vec_id % 20 = 0"), 5)
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # queries were sent 200 times
+    assert 0 < sent_bytes(found) < 2 * weights.nbytes
+    scores = weights[::20] @ weights.T
+    scores[np.arange(450), np.arange(0, 9000, 20)] = -(2**62)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert got == sorted((20 * q, n + 1, int(c), int(scores[q, c])) for q, row in enumerate(best) for n, c in enumerate(row))
+
+
+@pytest.mark.parametrize("top", [3, 2**13, 2**29])  # many ties; sums for floats of 32 and 64 bits and integers
+def test_topk_over_several_places_and_tiles(spark, monkeypatch, top):
+    rng = random.Random(top)
+    monkeypatch.setattr(topk, "PLACE_ROWS", 40)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    rows = [(rng.randrange(-60, 60), [rng.choice([0, rng.randrange(-top, top)]) for _ in range(rng.randrange(5))]) for _ in range(240)]
+    rows += rng.choices(rows, k=60) + [(99, [1, -1])] * 12
+    frame = spark.createDataFrame(rows, "vec_id bigint, weights array<bigint>").repartition(3)
+    for k in (1, 5, 400):
+        want = []
+        for query, w in {(i, tuple(w)) for i, w in rows if i % 3 == 0}:
+            scored = sorted((-sum(a * b for a, b in zip(w, c)), i) for i, c in rows if i != query)[:k]
+            want += [(query, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+        got = topk.search(frame, frame.where("vec_id % 3 = 0"), k)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_topk_of_tiles_and_rare_terms():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for share, width in ((0.002, 700), (0.05, 90), (1.0, 6)):
+        queries, candidates = ((rng.random((n, width)) < share) * rng.integers(-3, 4, (n, width)) for n in (20, 1500))
+        ids, own = np.sort(rng.integers(0, 900, 1500)), rng.integers(0, 900, 20)
+        want = queries @ candidates.T
+        best = topk.Best(own, 5, np.float32)
+        for start, stop in ((0, 3), (3, 259), (259, 1027), (1027, 1500)):
+            table = np.zeros((-(-(stop - start) // topk.STRIP_ROWS) * topk.STRIP_ROWS, width), np.float32)
+            table[: stop - start] = candidates[start:stop]
+            scores = np.full((20, len(table)), 99, np.float32)
+            topk.accumulate(queries.astype(np.float32), table, np.count_nonzero(queries, axis=0), np.count_nonzero(table, axis=0), scores)
+            assert (scores[:, : stop - start] == want[:, start:stop]).all()
+            best.select(ids[start:stop], scores)
+        best.settle()
+        for q in range(20):
+            scored = sorted((-int(s), int(i)) for s, i in zip(want[q], ids) if i != own[q])[:5]
+            assert [(-int(s), int(i)) for s, i in zip(best.scores[q], best.ids[q])] == scored
+
+
 def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
     import numpy as np
 
